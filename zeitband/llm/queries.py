@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts, token_files
+from . import host_rules, packing, secrets, token_counts, token_files
 from .common import new_folder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -20,6 +20,34 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), limit=2048)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir))
+
+
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.quality_report(documents(spark, sf_dir), host="source", reject_rate=0.5, block_rate=0.9)
+
+
+OP4_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, coalesce(source, chr(1)) as host from documents),
+l as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, t, host from d),
+w as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from l),
+g as (select doc_id, i, w || ' ' || lead(w, 1) over o || ' ' || lead(w, 2) over o as g from w window o as (partition by doc_id order by i)),
+r as (select doc_id, i from g where g is not null qualify count(*) over (partition by doc_id, g) > 1),
+c as (select doc_id, count(distinct i + k) as n from r, (values (0), (1), (2)) as s(k) group by doc_id),
+m as (select l.doc_id, host, cast(len(ws) as bigint) as n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
+  cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols, cast(len(ls) as bigint) as n_lines,
+  cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words from l left join c using (doc_id)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  10 * n_symbols > word_chars or 10 * n_dup_lines > 3 * n_lines or word_chars < 2 * n_words or word_chars > 20 * n_words as soft from m),
+h as (select host, count(*) as n, sum(cast(base_failed or soft as int)) as f from f group by host),
+p as (select avg(f / n) as m, var_pop(f / n) as v from h),
+k as (select m, case when v > 0 then least(10000.0, greatest(1.0, m * (1 - m) / v - 1)) else 10000.0 end as k from p),
+s as (select host, (f + k * m) / (n + k) as rate from h, k)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ((rate > 0.5 and soft) or rate > 0.9) as kept from f join s using (host)
+"""
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "tokens")
     token_files.write_token_files(documents(spark, sf_dir), path, public_tokenizers.path(VOCABULARY), end_id=2)
@@ -31,5 +59,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), end_id=1, longest=2048, tokens=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_token_files, op8_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_host_rules, op6_token_files, op8_packing)}
+ORACLES: dict[str, str] = {"op4_host_rules": OP4_SQL}
