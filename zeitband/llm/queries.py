@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, packing, secrets, token_counts, token_files
+from . import host_rules, packing, secrets, token_counts, token_files, warc
 from .common import new_folder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -59,5 +59,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), end_id=1, longest=2048, tokens=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_host_rules, op6_token_files, op8_packing)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_host_rules, op6_token_files, op8_packing, op9_warc)}
 ORACLES: dict[str, str] = {"op4_host_rules": OP4_SQL}
