@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, packing, secrets, token_counts, token_files, warc
+from . import host_rules, language_id, packing, secrets, token_counts, token_files, warc
 from .common import new_folder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -63,5 +63,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_host_rules, op6_token_files, op8_packing, op9_warc)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir), rows=3000, chars=1500, hidden=12, steps=400)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_host_rules, op6_token_files, op8_packing, op9_warc, op10_language_id)}
 ORACLES: dict[str, str] = {"op4_host_rules": OP4_SQL}
