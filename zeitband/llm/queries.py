@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, language_id, packing, secrets, token_counts, token_files, warc
+from . import decontaminate, host_rules, language_id, packing, secrets, token_counts, token_files, warc
 from .common import new_folder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), share=0.6, least_overlap=0.6)
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.quality_report(documents(spark, sf_dir), host="source", reject_rate=0.5, block_rate=0.9)
 
@@ -67,5 +71,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir), rows=3000, chars=1500, hidden=12, steps=400)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_host_rules, op6_token_files, op8_packing, op9_warc, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_decontamination, op4_host_rules, op6_token_files, op8_packing, op9_warc, op10_language_id)}
 ORACLES: dict[str, str] = {"op4_host_rules": OP4_SQL}
