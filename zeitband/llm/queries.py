@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_rules, language_id, packing, secrets, token_counts, token_files, warc
+from . import decontaminate, host_rules, jaccard, language_id, packing, secrets, token_counts, token_files, warc
 from .common import new_folder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -59,6 +59,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(sums, ["file", "position"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir), k=5, percent=75)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), end_id=1, longest=2048, tokens=False)
 
@@ -71,5 +75,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir), rows=3000, chars=1500, hidden=12, steps=400)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_decontamination, op4_host_rules, op6_token_files, op8_packing, op9_warc, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_decontamination, op4_host_rules, op6_token_files, op7_jaccard_join, op8_packing, op9_warc, op10_language_id)}
 ORACLES: dict[str, str] = {"op4_host_rules": OP4_SQL}
