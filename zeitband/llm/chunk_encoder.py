@@ -1,49 +1,83 @@
 """Token ids from the tokenizers library, as little-endian unsigned 32-bit integers.
 
-The library encodes each distinct white-space-free chunk once per worker; no token crosses white space in the
-vocabularies used here, so the ids of a text are those of its chunks in a row.
+The library encodes each distinct white-space-free chunk of a batch once; no token crosses white space in the
+vocabularies used here, so the ids of a text are those of its chunks in a row. The vocabulary reads lower case, so
+chunks are looked up in lower case where that cannot change the ids. A worker keeps the ids of the chunks that it met
+first, up to a bound; frequent chunks are among them, and rarer ones are kept for their batch alone.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
+from array import array
 from functools import lru_cache
 
-import numpy as np
+from .token_counts import SEPARATORS
 
-from .token_counts import CACHE_ENTRIES, SEPARATORS
-
-#: Longer chunks are encoded anew each time.
+#: Chunks, and words without their marks, that a worker keeps at most.
+CHUNK_ENTRIES = 150_000
+WORD_ENTRIES = 600_000
+MARKS = ".,;:!?*#$%&|"
+#: Longer chunks are not kept.
 KEPT_CHARS = 200
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, unless that could turn a string into a special token, choose a final sigma or meet
+    text that is not composed."""
+    if "<|" in text or "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+        return text
+    return text.lower()
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.of.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def parts(self, chunk: str) -> tuple[str, str]:
+        """A chunk as its word and the marks that end it, which are pre-tokens of their own; or as it is."""
+        word = chunk.rstrip(MARKS)
+        if len(word) == len(chunk) or not word or not word[-1].lower()[-1].isalnum() or "<|" in chunk:
+            return chunk, ""
+        return word, chunk[len(word) :]
+
+    def learn(self, new: list[str]) -> None:
+        """Add the ids of new chunks, from their words' ids."""
+        words, parts = self.words, list(map(self.parts, new))
+        fresh = list({p for each in parts for p in each} - words.keys())
+        for i in range(0, len(fresh), 10_000):
+            words.update(zip(fresh[i : i + 10_000], self.direct(fresh[i : i + 10_000]), strict=True))
+        self.chunks.update(zip(new, [words[w] + words[m] for w, m in parts], strict=True))
+        forget(words, fresh, WORD_ENTRIES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut = [[] if SEPARATORS.search(t) else t.split() for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        new = list({c for chunks in cut for c in chunks} - self.known.keys())
-        for i in range(0, len(new), 10_000):
-            self.known.update(zip(new[i : i + 10_000], self.direct(new[i : i + 10_000]), strict=True))
-        known = self.known.__getitem__
+        cut = [[] if SEPARATORS.search(t) else lowered(t).split() for t in texts]
+        new = list(set().union(*cut) - self.chunks.keys())
+        self.learn(new)
+        known = self.chunks.__getitem__
         ids = [b"".join(map(known, chunks)) if chunks else self.direct([t])[0] for t, chunks in zip(texts, cut, strict=True)]
-        for c in new:
-            if len(c) > KEPT_CHARS:
-                del self.known[c]
+        forget(self.chunks, new, CHUNK_ENTRIES)
         return ids
 
 
+def forget(known: dict[str, bytes], new: list[str], most: int) -> None:
+    """Drop new entries: the long ones, and those beyond the bound."""
+    room = max(0, most - len(known) + len(new))
+    for i, x in enumerate(new):
+        if i >= room or len(x) > KEPT_CHARS:
+            del known[x]
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)

@@ -36,7 +36,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches in order; each slice holds at most ``limit`` bytes of ``column``, or one row."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))

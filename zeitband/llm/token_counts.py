@@ -29,8 +29,9 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+
 #: str.split() also cuts at these, which are not white space to the tokenizer.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 NO_RANK = np.int64(2**62)
-#: Chunks whose counts a worker keeps before it starts afresh.
-CACHE_ENTRIES = 400_000
+#: Chunks that a worker keeps at most: those that it met first, the frequent ones among them. Rarer ones are kept for
+#: their batch alone.
+CACHE_ENTRIES = 250_000
 
 
 def byte_characters() -> list[str]:
@@ -149,12 +150,13 @@ class TokenCounter:
 
     def count(self, texts: list[str]) -> list[int]:
         cut = [self.chunks(t) for t in texts]
-        if len(self.counts) > CACHE_ENTRIES:
-            self.counts.clear()
-        if new := list({c for chunks in cut for c in chunks} - self.counts.keys()):
+        if new := list(set().union(*cut) - self.counts.keys()):
             self.learn(new)
         known = self.counts.__getitem__
-        return [sum(map(known, chunks)) for chunks in cut]
+        found = [sum(map(known, chunks)) for chunks in cut]
+        for c in new[max(0, CACHE_ENTRIES - len(self.counts) + len(new)) :]:
+            del self.counts[c]
+        return found
 
 
 @lru_cache(maxsize=2)
