@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunked import bucket_of, chunks, open_chunk, shared_counts, short
 from .common import blocks, materialize
 from .graph import components
 from .shingles import shingle_sets
@@ -41,8 +41,6 @@ from .shingles import shingle_sets
 #: Sets in a tile at most, about; counted shingles in a bucket, about.
 TILE = 1024
 BUCKET = 1_000_000
-CHUNK_BYTES = 4_000_000
-LOW = np.uint64(0xFFFFFFFF)
 
 
 def required(n: int, percent: int) -> int:
@@ -61,14 +59,6 @@ def counted(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     return (half, least) if least >= 1 else (s, 1)
 
 
-def bucket_of(s: np.ndarray, buckets: int) -> np.ndarray:
-    return ((s >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-
-
-def short(s: np.ndarray) -> np.ndarray:
-    return ((s >> np.uint64(1)) & LOW).astype(np.uint32)
-
-
 def classes(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n and the signature of the shingle set of each document, with its compressed text."""
 
@@ -84,80 +74,6 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, class binary, packed binary")
 
 
-def chunks(kept: DataFrame) -> DataFrame:
-    """Representatives in chunks of a few megabytes: chunk, ids and the compressed texts as one blob."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        ids: list[int] = []
-        texts: list[bytes] = []
-
-        def flush() -> pa.RecordBatch:
-            name = int.from_bytes(hashlib.blake2b(struct.pack("<qq", ids[0], len(ids)) + texts[0][:64], digest_size=8).digest(), "little", signed=True)
-            sizes = np.array([len(t) for t in texts], np.int64)
-            out = pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(texts))], pa.binary())], ["chunk", "ids", "sizes", "packed"])
-            ids.clear()
-            texts.clear()
-            return out
-
-        held = 0
-        for b in batches:
-            for i, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(unpack.decompress(packed))
-                held += len(texts[-1])
-                if held >= CHUNK_BYTES:
-                    yield flush()
-                    held = 0
-        if ids:
-            yield flush()
-
-    return kept.select("doc_id", "packed").mapInArrow(run, "chunk long, ids array<long>, sizes array<long>, packed binary")
-
-
-def open_chunk(sizes: list[int], packed: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
-    ends = np.cumsum(sizes)
-    return [raw[e - n : e] for n, e in zip(sizes, ends, strict=True)]
-
-
-def shared_counts(held: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """chunk, and of its counted shingles in one bucket those that several sets have: short hashes and counts."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, sizes, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                all_ = np.concatenate([counted(s, percent)[0] for s in shingle_sets(open_chunk(sizes, packed), k)])
-                at = bucket_of(all_, buckets)
-                order = np.argsort(at, kind="stable")
-                cut = np.searchsorted(at[order], np.arange(buckets + 1))
-                all_ = short(all_[order])
-                rows = []
-                for i in range(buckets):
-                    if cut[i] < cut[i + 1]:
-                        h, n = np.unique(all_[cut[i] : cut[i + 1]], return_counts=True)
-                        many = n > 1
-                        rows.append((i, chunk, h[~many].tobytes(), h[many].tobytes(), n[many].astype(np.uint32).tobytes()))
-                if rows:
-                    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "chunk", "once", "many", "counts"])
-
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(a + b, np.uint32) for a, b in zip(rows["once"], rows["many"], strict=True)]
-        weights = [np.concatenate([np.ones(len(a) // 4, np.uint32), np.frombuffer(c, np.uint32)]) for a, c in zip(rows["once"], rows["counts"], strict=True)]
-        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        h, where = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(where, np.concatenate(weights))
-        keep = total[where] > 1
-        of, hashes, n = of[keep], h[where[keep]], np.minimum(total[where[keep]], 2**32 - 1).astype(np.uint32)
-        cut = np.searchsorted(of, np.arange(len(parts) + 1))
-        found = [(c, hashes[s:e].tobytes(), n[s:e].tobytes()) for c, s, e in zip(rows["chunk"], cut[:-1], cut[1:], strict=True) if s < e]
-        return pd.DataFrame({"chunk": [x[0] for x in found], "bucket": np.full(len(found), rows["bucket"].iloc[0], np.int32), "hashes": [x[1] for x in found], "counts": [x[2] for x in found]})
-
-    dealt = held.select("chunk", "sizes", "packed").mapInArrow(spread, "bucket int, chunk long, once binary, many binary, counts binary")
-    return dealt.groupBy("bucket").applyInPandas(gather, "chunk long, bucket int, hashes binary, counts binary")
-
-
 def with_partners(held: DataFrame, shared: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     """The sets that may have a partner: doc_id, n, the whole set, and the shared shingles of its prefix."""
 
@@ -311,9 +227,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     named = thin.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
     buckets = max(16, math.ceil((thin.agg(F.sum("n")).first()[0] or 0) / 2 / BUCKET))
     # Copies are dropped task by task before their texts move.
-    kept = all_.filter("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "packed"), "doc_id").alias("x")).select("x.doc_id", "x.packed").filter("doc_id is not null")
+    kept = all_.filter("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "packed"), "doc_id").alias("x")).select("x.doc_id", "class", "x.packed").filter("doc_id is not null")
     held = materialize(chunks(kept), "chunks")
-    sets = materialize(with_partners(held, shared_counts(held, k, percent, buckets), k, percent, buckets), "sets")
+    sets = materialize(with_partners(held, shared_counts(held, lambda texts: [counted(s, percent)[0] for s in shingle_sets(texts, k)], buckets), k, percent, buckets), "sets")
     comps = components(candidate_edges(sets, percent))
     comps = comps.select(F.col("u").alias("doc_id"), F.col("root").alias("comp"))
     comps = materialize(comps.union(comps.select(F.col("comp").alias("doc_id"), "comp")).distinct(), "comps")
