@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_rules, jaccard, language_id, packing, secrets, token_counts, token_files, warc
+from . import decontaminate, host_rules, jaccard, language_id, packing, repeats, secrets, token_counts, token_files, warc
 from .common import new_folder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -52,6 +52,13 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.repeated_spans(documents(spark, sf_dir), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    kept = F.when(F.size("spans") == 0, F.col("text_sha256")).otherwise(F.sha2("left", 256))
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), kept.alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "tokens")
     token_files.write_token_files(documents(spark, sf_dir), path, public_tokenizers.path(VOCABULARY), end_id=2)
@@ -75,5 +82,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir), rows=3000, chars=1500, hidden=12, steps=400)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_decontamination, op4_host_rules, op6_token_files, op7_jaccard_join, op8_packing, op9_warc, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_decontamination, op4_host_rules, op5_suffix_dedup, op6_token_files, op7_jaccard_join, op8_packing, op9_warc, op10_language_id)}
 ORACLES: dict[str, str] = {"op4_host_rules": OP4_SQL}
