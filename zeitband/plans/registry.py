@@ -2,5 +2,151 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from zeitband.functions import text
+from zeitband.operators import intervals, labels
+from zeitband.sources.timelines import VIEWS, segments, turns
+
+SQL_VIEWS = VIEWS.format(lineitem="lineitem", part="part")
+SHORT = "trim(speaker_id)"
+WINDOW = "window w as (partition by tid order by seq)"
+KEPT = "tid, seq, start_ms, end_ms, text"
+
+
+def assign_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.assign_speakers(segments(spark, sf_dir), turns(spark, sf_dir))
+
+
+def assignment_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_speakers(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+ASSIGN = f"""{SQL_VIEWS},
+votes as (select s.tid, s.seq, t.speaker, min(t.turn_seq) as first_turn,
+  cast(sum(least(greatest(s.end_ms, s.start_ms + 300), t.end_ms) - greatest(s.start_ms, t.start_ms)) as bigint) as overlap_ms
+  from v_seg s join v_turn t on s.tid = t.tid and t.start_ms < greatest(s.end_ms, s.start_ms + 300) and t.end_ms > s.start_ms group by all),
+best as (select * from votes qualify row_number() over (partition by tid, seq order by overlap_ms desc, first_turn) = 1),
+r as (select s.tid, s.seq, s.start_ms, s.end_ms, s.text, b.overlap_ms, b.speaker, case when b.overlap_ms is null then 'noOverlap' when b.overlap_ms < 80 then 'belowMinOverlap'
+  when b.overlap_ms < 300 and 100 * b.overlap_ms < 35 * greatest(s.end_ms - s.start_ms, 300) then 'lowConfidence' else 'label' end as reason from v_seg s left join best b on s.tid = b.tid and s.seq = b.seq)
+"""
+
+
+def overlap_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir)
+    return intervals.overlap_votes(t.filter("turn_seq % 2 = 0"), t.filter("turn_seq % 2 = 1"), 2000, 9000)
+
+
+def replace_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir)
+    return intervals.replace_interval(t.filter("turn_seq % 2 = 0"), t.filter("turn_seq % 2 = 1"), 5000)
+
+
+def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.change_points(turns(spark, sf_dir))
+
+
+def _on_segments(f):
+    return lambda spark, sf_dir: f(segments(spark, sf_dir))
+
+
+def compare_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.compare(segments(spark, sf_dir), assign_speakers(spark, sf_dir))
+
+
+def export_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments(spark, sf_dir).withColumn("text", text.clean_text(F.col("text"))).filter("text <> ''")
+    merged = labels.collapse(rows, F.lag("seq").over(labels.order()).isNotNull() & F.col("speaker_id").eqNullSafe(F.lag("speaker_id").over(labels.order())))
+    head = F.concat(F.lit("["), text.hms(F.col("start_ms")), F.lit("] "), F.coalesce("speaker_id", F.lit("Unbekannt")), F.lit(": "))
+    return merged.select("tid", "seq", F.concat(head, F.col("text")).alias("line"))
+
+
+def ascii_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return docs.filter(text.ascii_like(F.col("text"), "THE")).select("conv_id", "turn")
+
+
+def literal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return docs.filter(text.contains_text(F.col("text"), "An")).select("conv_id", "turn")
+
+
+def hopping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    w = F.window("ts", "80 minutes", "60 minutes", "40 minutes")
+    return events.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event")).select(F.unix_timestamp("w.start").alias("start_s"), "n", "first_event")
+
+
+def hourly_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms"), F.max(F.abs("value")).alias("peak")).select(F.unix_timestamp("w.start").alias("start_s"), "rms", "peak")
+
+
+def _block_sql(joins: str, source: str = "v_seg") -> str:
+    return f"""{SQL_VIEWS}, j as (select *, case when {joins} then 0 else 1 end as new from {source} {WINDOW}),
+k as (select *, sum(new) over (partition by tid order by seq rows between unbounded preceding and current row) as block from j)"""
+
+
+MERGED = "select tid, min(seq) as seq, min(start_ms) as start_ms, max(end_ms) as end_ms, arg_min(coalesce(speaker_id, chr(1)), seq) as s, string_agg(text, ' ' order by seq) as text, count(*) as n_merged from k group by tid, block"
+MERGED = f"select * exclude (s), nullif(s, chr(1)) as speaker_id from ({MERGED})"
+WORDS = "len(string_split_regex(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '\\s+'))"
+
+QUERIES = {
+    "assign_speakers": assign_speakers,
+    "assignment_reasons": assignment_reasons,
+    "overlap_votes": overlap_votes,
+    "replace_interval": replace_interval,
+    "change_points": change_points,
+    "smooth_islands": _on_segments(labels.smooth_islands),
+    "fill_between": _on_segments(labels.fill_between),
+    "inherit_tiny": _on_segments(labels.inherit_tiny),
+    "fill_nearest": _on_segments(labels.fill_nearest),
+    "fill_leading": _on_segments(labels.fill_leading),
+    "renumber": _on_segments(labels.renumber),
+    "merge_gaps": _on_segments(labels.merge_gaps),
+    "compact_tiny": _on_segments(labels.compact_tiny),
+    "assignment_quality": _on_segments(labels.quality),
+    "compare_assignments": compare_assignments,
+    "export_blocks": export_blocks,
+    "ascii_search": ascii_search,
+    "literal_search": literal_search,
+    "hopping_chunks": hopping_chunks,
+    "hourly_peak": hourly_peak,
+}
+ORACLES = {
+    "assign_speakers": f"{ASSIGN} select tid, seq, start_ms, end_ms, text, overlap_ms, reason, case when reason = 'label' then 'speaker_' || speaker end as speaker_id from r",
+    "assignment_reasons": f"{ASSIGN} select reason, count(*) as n from r group by reason",
+    "overlap_votes": f"""{SQL_VIEWS}, c as (select tid, turn_seq, speaker, greatest(start_ms, 2000) as s, least(end_ms, 9000) as e from v_turn)
+select a.tid, a.speaker as local, b.speaker as "global", cast(sum(least(a.e, b.e) - greatest(a.s, b.s)) as bigint) as overlap_ms from c a join c b on a.tid = b.tid and a.s < b.e and b.s < a.e
+where a.turn_seq % 2 = 0 and b.turn_seq % 2 = 1 and a.e > a.s and b.e > b.s group by all""",
+    "replace_interval": f"""{SQL_VIEWS} select tid, turn_seq, start_ms, case when turn_seq % 2 = 1 or end_ms <= 4990 then end_ms else least(end_ms, 5000) end as end_ms, speaker from v_turn
+where turn_seq % 2 = 1 or end_ms <= 4990 or start_ms < 5000""",
+    "change_points": f"{SQL_VIEWS} select * from (select tid, turn_seq, start_ms, lag(speaker) over (partition by tid order by turn_seq) as before, speaker from v_turn) where before <> speaker",
+    "smooth_islands": f"""{SQL_VIEWS}, x as (select *, lag(speaker_id) over w as l, lead(speaker_id) over w as r, lag(end_ms - start_ms) over w as dl, lead(end_ms - start_ms) over w as dr,
+ count(*) over (partition by tid, speaker_id) as n from v_seg {WINDOW})
+select {KEPT}, case when l = r and l <> speaker_id and end_ms - start_ms <= 2000 and {WORDS} <= 3 and 3 * (end_ms - start_ms) <= greatest(dl, dr) and n > 1 then l else speaker_id end as speaker_id from x""",
+    "fill_between": f"""{SQL_VIEWS}, x as (select *, lag(speaker_id) over w as l, lead(speaker_id) over w as r from v_seg {WINDOW})
+select {KEPT}, case when speaker_id is null and l = r and (end_ms - start_ms <= 2000 or {WORDS} <= 3) then l else speaker_id end as speaker_id from x""",
+    "inherit_tiny": f"""{SQL_VIEWS}, x as (select *, case when start_ms - lag(end_ms) over w between 0 and 500 then lag(speaker_id) over w end as l, case when lead(start_ms) over w - end_ms between 0 and 500 then lead(speaker_id) over w end as r from v_seg {WINDOW})
+select {KEPT}, case when speaker_id is null and (end_ms - start_ms <= 800 or length(trim(text)) <= 3) then coalesce(l, r) else speaker_id end as speaker_id from x""",
+    "fill_nearest": f"""{SQL_VIEWS}, x as (select *, last_value(speaker_id ignore nulls) over (partition by tid order by seq rows between unbounded preceding and 1 preceding) as l,
+ first_value(speaker_id ignore nulls) over (partition by tid order by seq rows between 1 following and unbounded following) as r from v_seg)
+select {KEPT}, coalesce(speaker_id, case when l is null or r is null or l = r then coalesce(l, r) end) as speaker_id from x""",
+    "fill_leading": f"""{SQL_VIEWS}, f as (select tid, start_ms as fs, speaker_id as fl from v_seg where speaker_id is not null qualify row_number() over (partition by tid order by start_ms, seq) = 1)
+select {KEPT}, case when speaker_id is null and end_ms <= fs then fl else speaker_id end as speaker_id from v_seg left join f using (tid)""",
+    "renumber": f"""{SQL_VIEWS}, x as (select *, case when speaker_id is not null then min(seq) over (partition by tid, speaker_id) end as f from v_seg)
+select {KEPT}, speaker_id, case when f is not null then dense_rank() over (partition by tid order by f nulls last) end as speaker_no from x""",
+    "merge_gaps": f"{_block_sql('lag(speaker_id) over w = speaker_id and start_ms - lag(end_ms) over w between 0 and 1200')} {MERGED}",
+    "compact_tiny": f"{_block_sql('(end_ms - start_ms < 600 or length(trim(text)) < 3) and start_ms - lag(end_ms) over w between 0 and 1200')} {MERGED}",
+    "assignment_quality": f"""{SQL_VIEWS} select tid, count(speaker_id) as labeled, count(*) - count(speaker_id) as unlabeled, count(distinct speaker_id) as speakers,
+ cast(coalesce(sum(end_ms - start_ms) filter (speaker_id is not null), 0) as bigint) as labeled_ms from v_seg group by tid""",
+    "compare_assignments": f"""{ASSIGN}, z as (select r.tid, v.speaker_id as a, case when reason = 'label' then 'speaker_' || speaker end as b from r join v_seg v on r.tid = v.tid and r.seq = v.seq)
+select tid, count(*) filter (a is null and b is not null) as "new", count(*) filter (a <> b) as changed, count(*) filter (a is not null and b is null) as lost from z group by tid""",
+    "export_blocks": f"""{_block_sql('lag(seq) over w is not null and speaker_id is not distinct from lag(speaker_id) over w')}, m as ({MERGED}) select tid, seq, '[' || printf('%02d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) || '] ' || coalesce(speaker_id, 'Unbekannt') || ': ' || text as line from m""",
+    "ascii_search": "select conv_id, turn from conversations where translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%the%'",
+    "literal_search": "select conv_id, turn from conversations where contains(lower(text), 'an')",
+    "hopping_chunks": """select cast(epoch(s) as bigint) as start_s, count(*) as n, min(event_id) as first_event from
+ (select event_id, ts, unnest([time_bucket(interval '60 minutes', ts, timestamp '1970-01-01 00:40:00'), time_bucket(interval '60 minutes', ts, timestamp '1970-01-01 00:40:00') - interval '60 minutes']) as s from events) where ts < s + interval '80 minutes' group by s""",
+    "hourly_peak": "select cast(epoch(date_trunc('hour', ts)) as bigint) as start_s, round(sqrt(avg(value * value)), 6) as rms, max(abs(value)) as peak from events group by date_trunc('hour', ts)",
+}
