@@ -34,7 +34,7 @@ def chunks(kept: DataFrame) -> DataFrame:
     """``kept`` (doc_id, class, packed text) in chunks: chunk, ids, classes, sizes and the compressed texts as one blob."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        pack, unpack = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
         held: list[tuple[int, bytes, bytes]] = []
 
         def flush() -> pa.RecordBatch:

@@ -38,7 +38,7 @@ from .common import materialize
 from .shingles import _BYTE, _PRIME, _power, mix
 
 #: A context holds up to so many windows more than one.
-SPREAD = 18
+SPREAD = 24
 #: Counted anchors in a bucket, and bytes of text behind the contexts of a bucket, about.
 BUCKET = 1_000_000
 BUCKET_TEXT = 8_000_000
@@ -168,17 +168,17 @@ def texts_once(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """All rows as doc_id, n_bytes and class; and of each class of long texts the least doc_id with the packed text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         for b in batches:
-            packed = [pack.compress(t) if t is not None and len(t) >= length else None for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(packed, pa.binary())], ["doc_id", "n_bytes", "class", "packed"])
+            packed = [pack.compress(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(packed, pa.binary())], ["doc_id", "class", "packed"])
 
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), raw.alias("raw"))
-    rows = rows.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.unhex(F.sha2("raw", 256)).alias("class"), "raw")
-    all_ = materialize(rows.mapInArrow(run, "doc_id long, n_bytes long, class binary, packed binary"), "texts")
-    least = all_.filter(F.col("packed").isNotNull()).groupBy("class").agg(F.min_by(F.struct("doc_id", "packed"), "doc_id").alias("x"))
-    return all_.drop("packed"), least.select("x.doc_id", "class", "x.packed")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), F.unhex(F.sha2(raw, 256)).alias("class"), raw.alias("raw"))
+    long_ = rows.filter(F.col("n_bytes") >= length).select("doc_id", "class", "raw")
+    packed = long_.mapInArrow(run, "doc_id long, class binary, packed binary")
+    least = packed.groupBy("class").agg(F.min_by(F.struct("doc_id", "packed"), "doc_id").alias("x"))
+    return rows.drop("raw"), least.select("x.doc_id", "class", "x.packed")
 
 
 def shared_contexts(held: DataFrame, shared: DataFrame, length: int, buckets: int, parts: int) -> DataFrame:
@@ -208,8 +208,8 @@ def shared_contexts(held: DataFrame, shared: DataFrame, length: int, buckets: in
                     first, where = distinct_rows(rows)
                     least = np.full(len(first), LAST_ID)
                     np.minimum.at(least, where, ids[text[at]])
-                    lengths = (end[at] - start[at])[first].astype(np.uint8 if width < 256 else np.uint32)
-                    places = [text[at].astype(np.uint32), (start[at] - begin[text[at]]).astype(np.int64), where.astype(np.uint32)]
+                    lengths = (end[at] - start[at])[first]
+                    places = [text[at].astype(np.uint32), (start[at] - begin[text[at]]).astype(np.uint32), where.astype(np.uint32)]
                     made.append((chunk, int(part[s]), pack.compress(rows[first].tobytes()), lengths.astype(np.uint32).tobytes(), least.tobytes(), *(pack.compress(x.tobytes()) for x in places)))
         return pd.DataFrame(made, columns=["chunk", "part", "rows", "lengths", "least", "text", "start", "which"])
 
@@ -241,7 +241,7 @@ def group_repeats(contexts: DataFrame, length: int) -> DataFrame:
             n = z - a
             pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
             which = np.repeat(np.arange(len(names), dtype=np.uint32), n)
-            made.append((chunk, part, *(pack.compress(x.tobytes()) for x in (least[names], which, start[pick].astype(np.int64), size[pick].astype(np.int64), low[pick]))))
+            made.append((chunk, part, *(pack.compress(x.tobytes()) for x in (least[names], which, start[pick].astype(np.uint32), size[pick].astype(np.uint32), low[pick]))))
         return pd.DataFrame(made, columns=["chunk", "part", "all_least", "p_which", "p_start", "p_size", "p_least"])
 
     schema = "chunk long, part int, all_least binary, p_which binary, p_start binary, p_size binary, p_least binary"
@@ -251,9 +251,9 @@ def group_repeats(contexts: DataFrame, length: int) -> DataFrame:
 def marked(found: dict, unpack: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one chunk and bucket: text, start, size and least id of all repeats at all their occurrences."""
     read = lambda name, kind: np.frombuffer(unpack.decompress(found[name]), kind)
-    text, start, which = read("text", np.uint32).astype(np.int64), read("start", np.int64), read("which", np.uint32).astype(np.int64)
+    text, start, which = read("text", np.uint32).astype(np.int64), read("start", np.uint32).astype(np.int64), read("which", np.uint32).astype(np.int64)
     size, least = np.frombuffer(found["lengths"], np.uint32).astype(np.int64), read("all_least", np.int64)
-    p_which, p_start, p_size, p_least = read("p_which", np.uint32), read("p_start", np.int64), read("p_size", np.int64), read("p_least", np.int64)
+    p_which, p_start, p_size, p_least = read("p_which", np.uint32), read("p_start", np.uint32).astype(np.int64), read("p_size", np.uint32).astype(np.int64), read("p_least", np.int64)
     # Repeats in part of a context stand in the order of its number.
     a, z = np.searchsorted(p_which, which), np.searchsorted(p_which, which, side="right")
     n = z - a
