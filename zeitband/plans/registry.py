@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zeitband.functions import text
-from zeitband.operators import intervals, labels
+from zeitband.operators import identity, intervals, labels, store
 from zeitband.sources.timelines import VIEWS, segments, turns
 
 SQL_VIEWS = VIEWS.format(lineitem="lineitem", part="part")
@@ -47,6 +47,32 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.change_points(turns(spark, sf_dir))
 
 
+def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.match_greedily(overlap_votes(spark, sf_dir))
+
+
+def identify_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    mixed = F.transform("embedding", lambda x, i: x.cast("double") * 0.7 + F.when(i == F.col("label"), 1.0).otherwise(0.0))
+    rows = rows.select((F.col("vec_id") % 4).alias("session"), "vec_id", F.col("label").alias("speaker"), mixed.alias("embedding"))
+    return identity.identify(rows.drop("speaker"), identity.mean_voices(rows.filter("vec_id % 3 = 0")))
+
+
+def upsert_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments(spark, sf_dir).select("tid", "seq", "speaker_id", "start_ms")
+    new = rows.filter("seq >= 3").withColumn("speaker_id", F.lit("speaker_9")).withColumn("start_ms", F.col("start_ms") + 1)
+    return store.upsert(rows.filter("seq <= 4"), new.unionByName(new.withColumn("start_ms", F.col("start_ms") + 1)), ["tid", "seq"], "start_ms")
+
+
+def delete_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments(spark, sf_dir).select("tid", "seq")
+    return store.delete(rows, rows.filter("tid % 5 = 0").select("tid").distinct())
+
+
+def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.from_documents(store.to_documents(segments(spark, sf_dir)))
+
+
 def _on_segments(f):
     return lambda spark, sf_dir: f(segments(spark, sf_dir))
 
@@ -109,6 +135,11 @@ QUERIES = {
     "assignment_quality": _on_segments(labels.quality),
     "compare_assignments": compare_assignments,
     "export_blocks": export_blocks,
+    "reconcile": reconcile,
+    "identify_voices": identify_voices,
+    "upsert_segments": upsert_segments,
+    "delete_transcripts": delete_transcripts,
+    "document_round_trip": document_round_trip,
     "ascii_search": ascii_search,
     "literal_search": literal_search,
     "hopping_chunks": hopping_chunks,
@@ -144,6 +175,14 @@ select {KEPT}, speaker_id, case when f is not null then dense_rank() over (parti
     "compare_assignments": f"""{ASSIGN}, z as (select r.tid, v.speaker_id as a, case when reason = 'label' then 'speaker_' || speaker end as b from r join v_seg v on r.tid = v.tid and r.seq = v.seq)
 select tid, count(*) filter (a is null and b is not null) as "new", count(*) filter (a <> b) as changed, count(*) filter (a is not null and b is null) as lost from z group by tid""",
     "export_blocks": f"""{_block_sql('lag(seq) over w is not null and speaker_id is not distinct from lag(speaker_id) over w')}, m as ({MERGED}) select tid, seq, '[' || printf('%02d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) || '] ' || coalesce(speaker_id, 'Unbekannt') || ': ' || text as line from m""",
+    "identify_voices": """with e as (select vec_id % 4 as session, vec_id, label, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings),
+f as (select session, vec_id, label, i, cast(x as double) * 0.7 + case when i = label then 1.0 else 0.0 end as x from e),
+v as (select session, label, i, avg(x) as x from f where vec_id % 3 = 0 group by all),
+s as (select f.vec_id, v.label, round(sum(f.x * v.x) / (sqrt(sum(f.x * f.x)) * sqrt(sum(v.x * v.x))), 6) as similarity from f join v on f.session = v.session and f.i = v.i group by all)
+select vec_id, similarity, case when similarity > 0.62 then label end as speaker from s qualify row_number() over (partition by vec_id order by similarity desc, label) = 1""",
+    "upsert_segments": f"""{SQL_VIEWS} select tid, seq, case when seq >= 3 then 'speaker_9' else speaker_id end as speaker_id, case when seq >= 3 then start_ms + 2 else start_ms end as start_ms from v_seg""",
+    "delete_transcripts": f"{SQL_VIEWS} select tid, seq from v_seg where tid % 5 <> 0",
+    "document_round_trip": f"{SQL_VIEWS} select tid, cast(seq as int) as seq, start_ms, end_ms, speaker_id, text from v_seg",
     "ascii_search": "select conv_id, turn from conversations where translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%the%'",
     "literal_search": "select conv_id, turn from conversations where contains(lower(text), 'an')",
     "hopping_chunks": """select cast(epoch(s) as bigint) as start_s, count(*) as n, min(event_id) as first_event from
