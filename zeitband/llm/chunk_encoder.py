@@ -25,10 +25,11 @@ KEPT_CHARS = 200
 
 def lowered(text: str) -> str:
     """The text in lower case, unless that could turn a string into a special token, choose a final sigma or meet
-    text that is not composed."""
+    text that is not composed, before or after."""
     if "<|" in text or "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
         return text
-    return text.lower()
+    low = text.lower()
+    return low if unicodedata.is_normalized("NFC", low) else text
 
 
 class ChunkEncoder:
