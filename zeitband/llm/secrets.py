@@ -7,11 +7,13 @@ and names bound earlier, whose literal is carried on. A literal is reported if i
 the literal looks like key material. Added spans cover the literal alone and never overlap a base span.
 
 Defined cases: a null or empty text has no spans; each row gives one row, in any order, repeated rows and null ids
-included; other columns are ignored by the scan and passed on by the redaction; offsets count code points.
+included; other columns are ignored by the scan and passed on by the redaction; offsets count code points. Bare words
+of over ``MOST_LENGTH`` characters are data, not keys, and are not scored; the base patterns read them like any text.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -48,6 +50,7 @@ PAIR_WEIGHT = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"):
 PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|dummy|redacted|your[_-]|xxxx|\*\*\*|\.\.\.|^\$|^%|^<|^none$|^null$|^true$|^false$|environ|getenv")
 LEAST_SCORE = 0.5
 LEAST_LENGTH = 8
+MOST_LENGTH = 4096
 
 
 def sensitivity(name: str) -> float:
@@ -57,9 +60,9 @@ def sensitivity(name: str) -> float:
 
 
 def strength(literal: str) -> float:
-    """0 to 1: bits a character of the literal, against 3 bits; 0 for short, blank-holding or placeholder literals and
+    """0 to 1: bits a character of the literal, against 3 bits; 0 for short, overlong, blank-holding or placeholder literals and
     those of letters in one case only."""
-    if len(literal) < LEAST_LENGTH or re.search(r"\s", literal) or PLACEHOLDER.search(literal):
+    if not LEAST_LENGTH <= len(literal) <= MOST_LENGTH or re.search(r"\s", literal) or PLACEHOLDER.search(literal):
         return 0.0
     classes = [any(c.islower() for c in literal), any(c.isupper() for c in literal[1:]), any(c.isdigit() for c in literal), any(not c.isalnum() for c in literal)]
     if sum(classes) < 2:
@@ -81,8 +84,9 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return found
 
 
-def literal_at(text: str, at: int, known: dict[str, list[tuple[int, int]]]) -> tuple[list[tuple[int, int]], int]:
-    """The pieces of the literal that starts at ``at``, and where the lexer stops."""
+def literal_at(text: str, at: int, known: dict[str, list[tuple[int, int]]], bare_end: int = 0) -> tuple[list[tuple[int, int]], int]:
+    """The pieces of the literal that starts at ``at``, and where the lexer stops. ``bare_end`` is the end of the bare
+    word met last; a word that starts inside it ends there too, so no run is read more than once."""
     while at < len(text) and text[at] in " \t":
         at += 1
     pieces = []
@@ -92,44 +96,60 @@ def literal_at(text: str, at: int, known: dict[str, list[tuple[int, int]]]) -> t
         if not (j := JOIN.match(text, at)) or j.end() == at:
             break
         at = j.end()
-    if pieces or not (m := BARE.match(text, at)):
+    if pieces:
         return pieces, at
-    word = m.group()
-    if word in known:
-        return known[word], m.end()
-    return [(m.start(), m.end())], m.end()
+    if at < bare_end:
+        end = bare_end
+    elif m := BARE.match(text, at):
+        end = m.end()
+    else:
+        return pieces, at
+    if end - at <= REACH and (word := text[at:end]) in known:
+        return known[word], end
+    return [(at, end)], end
 
 
 def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """Each assigned name with the pieces of its literal, constants carried on from earlier names."""
     known: dict[str, list[tuple[int, int]]] = {}
-    done = 0
+    done = bare_end = 0
     for m in OPERATOR.finditer(text):
         if m.start() < done:
             continue
         before = NAME_BEFORE.search(text[max(done, m.start() - REACH) : m.start()])
         if not before:
             continue
-        pieces, end = literal_at(text, m.end(), known)
+        pieces, end = literal_at(text, m.end(), known, bare_end)
         if pieces:
             name = before.group(2)
             known[name] = pieces
             yield name, pieces
-            if text[m.end() : end].count("\n") == 0 and STRING.match(text, m.end() + len(text[m.end() : end]) - len(text[m.end() : end].lstrip())):
+            at = m.end()
+            while at < end and text[at] in " \t":
+                at += 1
+            if STRING.match(text, at):
                 done = end
+            else:
+                bare_end = end
 
 
 def all_spans(text: str) -> list[tuple[int, int, str, int]]:
     found = base_spans(text)
     if ":" in text or "=" in text:
-        taken = [(s, e) for s, e, _, _ in found]
+        taken: list[tuple[int, int]] = []
+        for s, e in sorted((s, e) for s, e, _, _ in found):
+            if taken and s <= taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+            else:
+                taken.append((s, e))
         seen = set()
         for name, pieces in assignments(text):
             weight = sensitivity(name)
-            if weight <= 0 or weight * strength("".join(text[s:e] for s, e in pieces)) < LEAST_SCORE:
+            if weight <= 0 or sum(e - s for s, e in pieces) > MOST_LENGTH or weight * strength("".join(text[s:e] for s, e in pieces)) < LEAST_SCORE:
                 continue
             for s, e in pieces:
-                if e > s and (s, e) not in seen and not any(s < b and a < e for a, b in taken):
+                at = bisect.bisect_left(taken, (e,)) - 1
+                if e > s and (s, e) not in seen and (at < 0 or taken[at][1] <= s):
                     seen.add((s, e))
                     found.append((s, e, "named", s))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
