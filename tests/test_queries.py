@@ -32,4 +32,4 @@ def test_reconcile(spark):
 
 
 def test_all_but_these_have_sql():
-    assert QUERIES.keys() - ORACLES.keys() == {"reconcile"}
+    assert QUERIES.keys() - ORACLES.keys() == {"reconcile", "dedupe_texts"}

@@ -66,11 +66,11 @@ def renumber(rows: DataFrame) -> DataFrame:
     return ranked.withColumn("speaker_no", F.when(F.col("first").isNotNull(), F.col("rank").cast("long"))).drop("first", "rank")
 
 
-def collapse(rows: DataFrame, joins: Column) -> DataFrame:
-    """Runs of rows that join the row before them, as one row each; texts joined by blanks in order."""
+def collapse(rows: DataFrame, joins: Column, between: str = " ") -> DataFrame:
+    """Runs of rows that join the row before them, as one row each; texts joined in order, ``between`` them."""
     block = F.sum(F.when(joins, 0).otherwise(1)).over(order().rowsBetween(Window.unboundedPreceding, 0))
     parts = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    merged = rows.withColumn("block", block).groupBy("tid", "block").agg(F.min("seq").alias("seq"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min_by("speaker_id", "seq").alias("speaker_id"), F.array_join(parts["text"], " ").alias("text"), F.count(F.lit(1)).alias("n_merged"))
+    merged = rows.withColumn("block", block).groupBy("tid", "block").agg(F.min("seq").alias("seq"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min_by("speaker_id", "seq").alias("speaker_id"), F.array_join(parts["text"], between).alias("text"), F.count(F.lit(1)).alias("n_merged"))
     return merged.drop("block")
 
 

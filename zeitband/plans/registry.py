@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zeitband.functions import text
-from zeitband.operators import identity, intervals, labels, store
+from zeitband.operators import dedupe, identity, intervals, labels, reports, splitting, store
 from zeitband.sources.timelines import VIEWS, segments, turns
+from zeitband.streaming.levels import levels, run_levels
 
 SQL_VIEWS = VIEWS.format(lineitem="lineitem", part="part")
 SHORT = "trim(speaker_id)"
@@ -82,10 +83,16 @@ def compare_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segments(spark, sf_dir).withColumn("text", text.clean_text(F.col("text"))).filter("text <> ''")
-    merged = labels.collapse(rows, F.lag("seq").over(labels.order()).isNotNull() & F.col("speaker_id").eqNullSafe(F.lag("speaker_id").over(labels.order())))
     head = F.concat(F.lit("["), text.hms(F.col("start_ms")), F.lit("] "), F.coalesce("speaker_id", F.lit("Unbekannt")), F.lit(": "))
-    return merged.select("tid", "seq", F.concat(head, F.col("text")).alias("line"))
+    return reports.speaker_blocks(segments(spark, sf_dir)).select("tid", "seq", F.concat(head, F.col("text")).alias("line"))
+
+
+def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_long(segments(spark, sf_dir), turns(spark, sf_dir), longest_ms=4000)
+
+
+def stream_hourly_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_levels(spark, f"{sf_dir}/events.parquet")
 
 
 def ascii_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +112,7 @@ def hopping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms"), F.max(F.abs("value")).alias("peak")).select(F.unix_timestamp("w.start").alias("start_s"), "rms", "peak")
+    return levels(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def _block_sql(joins: str, source: str = "v_seg") -> str:
@@ -118,6 +124,19 @@ MERGED = "select tid, min(seq) as seq, min(start_ms) as start_ms, max(end_ms) as
 MERGED = f"select * exclude (s), nullif(s, chr(1)) as speaker_id from ({MERGED})"
 WORDS = "len(string_split_regex(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '\\s+'))"
 
+SAME_SPEAKER = "lag(seq) over w is not null and speaker_id is not distinct from lag(speaker_id) over w"
+
+
+def _report_sql(head: str, part: str, between: str) -> str:
+    return f"""{_block_sql(SAME_SPEAKER)}, m as ({MERGED.replace("' '", between)}),
+h as (select tid, left(arg_min(trim(text), seq), 60) as title, printf('%d:%02d Min', max(end_ms) // 60000, max(end_ms) // 1000 % 60) as length, count(distinct speaker_id) as speakers from v_seg group by tid),
+p as (select tid, string_agg({part} || chr(10) || text || chr(10), '' order by seq) as body from m group by tid)
+select tid, {head} || chr(10) || coalesce(body, '') as report from h left join p using (tid)"""
+
+
+HMS = "printf('%02d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60)"
+HOURLY = "select cast(epoch(date_trunc('hour', ts)) as bigint) as start_s, round(sqrt(avg(value * value)), 6) as rms, max(abs(value)) as peak from events group by date_trunc('hour', ts)"
+
 QUERIES = {
     "assign_speakers": assign_speakers,
     "assignment_reasons": assignment_reasons,
@@ -144,6 +163,11 @@ QUERIES = {
     "literal_search": literal_search,
     "hopping_chunks": hopping_chunks,
     "hourly_peak": hourly_peak,
+    "stream_hourly_peak": stream_hourly_peak,
+    "split_long": split_long,
+    "dedupe_texts": _on_segments(dedupe.dedupe_texts),
+    "report_text": _on_segments(lambda rows: reports.report(rows, markdown=False)),
+    "report_markdown": _on_segments(lambda rows: reports.report(rows, markdown=True)),
 }
 ORACLES = {
     "assign_speakers": f"{ASSIGN} select tid, seq, start_ms, end_ms, text, overlap_ms, reason, case when reason = 'label' then 'speaker_' || speaker end as speaker_id from r",
@@ -187,5 +211,18 @@ select vec_id, similarity, case when similarity > 0.62 then label end as speaker
     "literal_search": "select conv_id, turn from conversations where contains(lower(text), 'an')",
     "hopping_chunks": """select cast(epoch(s) as bigint) as start_s, count(*) as n, min(event_id) as first_event from
  (select event_id, ts, unnest([time_bucket(interval '60 minutes', ts, timestamp '1970-01-01 00:40:00'), time_bucket(interval '60 minutes', ts, timestamp '1970-01-01 00:40:00') - interval '60 minutes']) as s from events) where ts < s + interval '80 minutes' group by s""",
-    "hourly_peak": "select cast(epoch(date_trunc('hour', ts)) as bigint) as start_s, round(sqrt(avg(value * value)), 6) as rms, max(abs(value)) as peak from events group by date_trunc('hour', ts)",
+    "hourly_peak": HOURLY,
+    "stream_hourly_peak": HOURLY,
+    "report_text": _report_sql("title || chr(10) || 'Dauer: ' || length || ' · Sprecher: ' || speakers", f"chr(10) || coalesce(speaker_id, '—') || ' ' || {HMS}", "chr(10)"),
+    "report_markdown": _report_sql("'# ' || title || chr(10) || chr(10) || '**Dauer:** ' || length || ' · **Sprecher:** ' || speakers", f"chr(10) || '## ' || coalesce(speaker_id, 'Unbekannt') || ' · ' || {HMS}", "' '"),
+    "split_long": f"""{SQL_VIEWS}, m as (select s.tid, s.seq, s.start_ms, s.end_ms, t.speaker, t.start_ms as cut, lag(t.speaker) over (partition by s.tid, s.seq order by t.start_ms, t.turn_seq) as before
+ from v_seg s join v_turn t on s.tid = t.tid and t.start_ms < s.end_ms and t.end_ms > s.start_ms where s.end_ms - s.start_ms >= 4000),
+k as (select distinct tid, seq, cut as a from m where before <> speaker and cut > start_ms and cut < end_ms),
+e as (select * from k union all select tid, seq, start_ms from v_seg semi join k using (tid, seq) union all select tid, seq, end_ms from v_seg semi join k using (tid, seq)),
+p as (select tid, seq, a, lead(a) over x as z, row_number() over x - 1 as part from e window x as (partition by tid, seq order by a) qualify z is not null),
+w as (select p.*, s.speaker_id, s.start_ms, s.end_ms, string_split_regex(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '\\s+') as words from p join v_seg s using (tid, seq)),
+o as (select w.tid, w.seq, part, t.speaker, sum(least(z, t.end_ms) - greatest(a, t.start_ms)) as ms, min(turn_seq) as first_turn from w join v_turn t on w.tid = t.tid and t.start_ms < z and t.end_ms > a group by all having ms >= 80),
+best as (select * from o qualify row_number() over (partition by tid, seq, part order by ms desc, first_turn) = 1)
+select tid, seq, part, a as start_ms, z as end_ms, coalesce('speaker_' || speaker, speaker_id) as speaker_id, coalesce(nullif(array_to_string(words[cast(floor(len(words) * (a - start_ms) / (end_ms - start_ms)) as int) + 1 : cast(floor(len(words) * (z - start_ms) / (end_ms - start_ms)) as int)], ' '), ''), '...') as text
+from w left join best using (tid, seq, part) union all select tid, seq, 0, start_ms, end_ms, speaker_id, text from v_seg anti join k using (tid, seq)""",
 }
