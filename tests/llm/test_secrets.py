@@ -1,0 +1,43 @@
+import random
+import string
+import time
+
+import pytest
+
+from zeitband.llm.secrets import Value, all_spans, rate_bare, redact, strength
+
+
+def long_key(n):
+    return "".join(random.Random(n).choices(string.ascii_letters + string.digits, k=n))
+
+
+def named(text):
+    return [text[s:e] for s, e, kind, _ in all_spans(text) if kind == "named"]
+
+
+@pytest.mark.parametrize("n", [4096, 4097, 5000, 50_000])
+def test_literals_of_any_length(n):
+    key = long_key(n)
+    half = n // 2
+    for text, pieces in ((f'signing_key = "{key}"', [key]), (f"signing_key={key}", [key]), (f'signing_key = "{key[:half]}" + "{key[half:]}"', [key[:half], key[half:]])):
+        assert named(text) == pieces
+        assert not any(p in redact(text, all_spans(text), "[secret]") for p in pieces)
+
+
+def test_suffixes_are_rated_like_whole_words():
+    rng = random.Random(3)
+    for _ in range(300):
+        word = "".join(rng.choice(["a", "B", "1", "_", ".", "xxx", "Example", "$", "none", "é", "null"]) for _ in range(rng.randint(1, 20)))
+        values = [Value([(i, len(word))], bare=True) for i in range(len(word))]
+        rate_bare(word, values)
+        assert [v.strength for v in values] == pytest.approx([strength(word[i:]) for i in range(len(word))], abs=1e-9)
+
+
+def test_long_text_takes_linear_time():
+    def took(text):
+        start = time.perf_counter()
+        all_spans(text)
+        return time.perf_counter() - start
+
+    for text in ("pwd=" * 250_000, f"k = '{long_key(500_000)}'\n" + "pwd = k\n" * 50_000):
+        assert took(text) < 30

@@ -3,12 +3,11 @@
 Three plain patterns give the base spans. Beside them, every assignment in the text (``name = value``,
 ``"name": "value"``, ``name := value``, ``name => value``; source, JSON, YAML, INI and environment files alike) is
 lexed into a name and its literal: string literals, literals joined by ``+`` or standing side by side, bare words,
-and names bound earlier, whose literal is carried on. A literal is reported if its target's name is sensitive and
+and names bound earlier, whose literal is carried on. A literal of any length is reported if its target's name is sensitive and
 the literal looks like key material. Added spans cover the literal alone and never overlap a base span.
 
 Defined cases: a null or empty text has no spans; each row gives one row, in any order, repeated rows and null ids
-included; other columns are ignored by the scan and passed on by the redaction; offsets count code points. Bare words
-of over ``MOST_LENGTH`` characters are data, not keys, and are not scored; the base patterns read them like any text.
+included; other columns are ignored by the scan and passed on by the redaction; offsets count code points.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +37,8 @@ STRING = re.compile(r"""[rbuf]?("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""", re.
 BARE = re.compile(r"[^\s\"',;(){}\[\]<>|&]+")
 JOIN = re.compile(r"[ \t]*(?:\+[ \t]*)?(?=[rbuf]?[\"'])")
 NAME = re.compile(r"[A-Za-z_$][\w.$\-]*\Z", re.ASCII)
-PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 REACH = 120
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 # How sensitive a part of a name is, and pairs of parts that are more so together.
 PART_WEIGHT = {
@@ -47,10 +46,14 @@ PART_WEIGHT = {
     "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "private": 0.5, "signature": 0.5, "salt": 0.5, "key": 0.4, "access": 0.3, "pass": 0.6,
 }
 PAIR_WEIGHT = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("encryption", "key"): 0.9, ("signing", "key"): 0.9, ("account", "key"): 0.9, ("auth", "key"): 0.9, ("client", "secret"): 1.0}
-PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|dummy|redacted|your[_-]|xxxx|\*\*\*|\.\.\.|^\$|^%|^<|^none$|^null$|^true$|^false$|environ|getenv")
+PLACEHOLDER = r"change_?me|example|placeholder|dummy|redacted|your[_-]|xxxx|\*\*\*|\.\.\.|environ|getenv"
+PLACEHOLDER, PLACEHOLDER_STARTS = re.compile(PLACEHOLDER, re.IGNORECASE), re.compile(f"(?={PLACEHOLDER})", re.IGNORECASE)
+PLACEHOLDER_FIRST = "$%<"
+#: No placeholder is longer.
+EDGE = len("placeholder")
+WEIGHTS = sorted({*PART_WEIGHT.values(), *PAIR_WEIGHT.values()})
 LEAST_SCORE = 0.5
 LEAST_LENGTH = 8
-MOST_LENGTH = 4096
 
 
 def sensitivity(name: str) -> float:
@@ -59,17 +62,99 @@ def sensitivity(name: str) -> float:
     return max([0.0, *(PART_WEIGHT.get(p, 0.0) for p in parts), *pairs])
 
 
+def kinds_of(c: str) -> tuple[bool, bool, bool, bool]:
+    return c.islower(), c.isupper(), c.isdigit(), not c.isalnum()
+
+
+def entropy(counts: Iterable[int], n: int) -> float:
+    return -math.fsum(k / n * math.log2(k / n) for k in counts)
+
+
+class Facts:
+    """What a literal's strength depends on; the facts of joined literals follow from those of the parts."""
+
+    __slots__ = ("n", "counts", "head", "tail", "bad")
+
+    def __init__(self, literal: str):
+        self.n, self.counts, self.head, self.tail = len(literal), Counter(literal), literal[:EDGE], literal[-EDGE:]
+        self.bad = bool(re.search(r"\s", literal) or PLACEHOLDER.search(literal))
+
+    def add(self, other: Facts) -> None:
+        self.bad = self.bad or other.bad or bool(PLACEHOLDER.search(self.tail + other.head))
+        self.n += other.n
+        self.counts.update(other.counts)
+        self.head, self.tail = (self.head + other.head)[:EDGE], (self.tail + other.tail)[-EDGE:]
+
+    def strength(self) -> float:
+        """0 to 1: bits a character of the literal, against 3 bits; 0 for short, blank-holding or placeholder literals and
+        those of letters in one case only."""
+        if self.n < LEAST_LENGTH or self.bad or self.head[0] in PLACEHOLDER_FIRST:
+            return 0.0
+        once = self.counts[self.head[0]] == 1
+        kinds = [kinds_of(c) for c in self.counts]
+        upper = any(k[1] and not (once and c == self.head[0]) for c, k in zip(self.counts, kinds, strict=True))
+        if sum((any(k[0] for k in kinds), upper, any(k[2] for k in kinds), any(k[3] for k in kinds))) < 2:
+            return 0.0
+        return min(1.0, entropy(self.counts.values(), self.n) / 3)
+
+
 def strength(literal: str) -> float:
-    """0 to 1: bits a character of the literal, against 3 bits; 0 for short, overlong, blank-holding or placeholder literals and
-    those of letters in one case only."""
-    if not LEAST_LENGTH <= len(literal) <= MOST_LENGTH or re.search(r"\s", literal) or PLACEHOLDER.search(literal):
-        return 0.0
-    classes = [any(c.islower() for c in literal), any(c.isupper() for c in literal[1:]), any(c.isdigit() for c in literal), any(not c.isalnum() for c in literal)]
-    if sum(classes) < 2:
-        return 0.0
-    n = len(literal)
-    bits = -sum(k / n * math.log2(k / n) for k in Counter(literal).values())
-    return min(1.0, bits / 3)
+    return Facts(literal).strength()
+
+
+class Value:
+    """An assigned literal: spans of the text and values of names, joined. Values that share parts share their facts."""
+
+    __slots__ = ("parts", "bare", "facts", "strength")
+
+    def __init__(self, parts: list[tuple[int, int] | Value], bare: bool = False):
+        self.parts, self.bare = parts, bare
+        self.facts: Facts | None = None
+        self.strength: float | None = None
+
+
+def facts_of(text: str, value: Value) -> Facts:
+    """The value's facts, from the innermost names outwards."""
+    waiting = [value]
+    while waiting:
+        v = waiting[-1]
+        inner = [p for p in v.parts if isinstance(p, Value) and p.facts is None] if v.facts is None else []
+        if inner:
+            waiting += inner
+            continue
+        waiting.pop()
+        if v.facts is None:
+            made = Facts("")
+            for p in v.parts:
+                made.add(p.facts if isinstance(p, Value) else Facts(text[p[0] : p[1]]))
+            v.facts = made
+    return value.facts
+
+
+def rate_bare(text: str, values: list[Value]) -> None:
+    """Strengths of bare words with one end, each a suffix of the longest: one pass from the end, however many there are."""
+    values = sorted(values, key=lambda v: -v.parts[0][0])
+    at = end = values[0].parts[0][1]
+    last = max((m.start() for m in PLACEHOLDER_STARTS.finditer(text, values[-1].parts[0][0], end)), default=-1)
+    counts: Counter[str] = Counter()
+    kinds, total = [0] * 4, 0.0
+    for v in values:
+        start = v.parts[0][0]
+        for c in reversed(text[start:at]):
+            k = counts[c]
+            counts[c] = k + 1
+            total += (k + 1) * math.log2(k + 1) - (k * math.log2(k) if k else 0.0)
+            if not k or c.isupper():
+                kinds = [x + y for x, y in zip(kinds, kinds_of(c), strict=True)]
+        at = start
+        n = end - start
+        if n < LEAST_LENGTH or last >= start or text[start] in PLACEHOLDER_FIRST or sum((kinds[0] > 0, kinds[1] > text[start].isupper(), kinds[2] > 0, kinds[3] > 0)) < 2:
+            v.strength = 0.0
+            continue
+        bits = math.log2(n) - total / n
+        # Summed exactly where rounding might decide: near 3 and near what some weight asks for.
+        near = any(abs(bits - 3 * LEAST_SCORE / w) < 1e-6 for w in WEIGHTS)
+        v.strength = min(1.0, (entropy(counts.values(), n) if near else bits) / 3)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
@@ -84,8 +169,8 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return found
 
 
-def literal_at(text: str, at: int, known: dict[str, list[tuple[int, int]]], bare_end: int = 0) -> tuple[list[tuple[int, int]], int]:
-    """The pieces of the literal that starts at ``at``, and where the lexer stops. ``bare_end`` is the end of the bare
+def literal_at(text: str, at: int, known: dict[str, Value], bare_end: int = 0) -> tuple[Value | None, int]:
+    """The literal that starts at ``at``, and where the lexer stops. ``bare_end`` is the end of the bare
     word met last; a word that starts inside it ends there too, so no run is read more than once."""
     while at < len(text) and text[at] in " \t":
         at += 1
@@ -97,21 +182,21 @@ def literal_at(text: str, at: int, known: dict[str, list[tuple[int, int]]], bare
             break
         at = j.end()
     if pieces:
-        return pieces, at
+        return Value(pieces), at
     if at < bare_end:
         end = bare_end
     elif m := BARE.match(text, at):
         end = m.end()
     else:
-        return pieces, at
+        return None, at
     if end - at <= REACH and (word := text[at:end]) in known:
         return known[word], end
-    return [(at, end)], end
+    return Value([(at, end)], bare=True), end
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """Each assigned name with the pieces of its literal, constants carried on from earlier names."""
-    known: dict[str, list[tuple[int, int]]] = {}
+def assignments(text: str) -> Iterator[tuple[str, Value]]:
+    """Each assigned name with its literal, constants carried on from earlier names."""
+    known: dict[str, Value] = {}
     done = bare_end = 0
     for m in OPERATOR.finditer(text):
         if m.start() < done:
@@ -119,11 +204,11 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
         before = NAME_BEFORE.search(text[max(done, m.start() - REACH) : m.start()])
         if not before:
             continue
-        pieces, end = literal_at(text, m.end(), known, bare_end)
-        if pieces:
+        value, end = literal_at(text, m.end(), known, bare_end)
+        if value:
             name = before.group(2)
-            known[name] = pieces
-            yield name, pieces
+            known[name] = value
+            yield name, value
             at = m.end()
             while at < end and text[at] in " \t":
                 at += 1
@@ -142,16 +227,32 @@ def all_spans(text: str) -> list[tuple[int, int, str, int]]:
                 taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
             else:
                 taken.append((s, e))
-        seen = set()
-        for name, pieces in assignments(text):
-            weight = sensitivity(name)
-            if weight <= 0 or sum(e - s for s, e in pieces) > MOST_LENGTH or weight * strength("".join(text[s:e] for s, e in pieces)) < LEAST_SCORE:
-                continue
-            for s, e in pieces:
-                at = bisect.bisect_left(taken, (e,)) - 1
-                if e > s and (s, e) not in seen and (at < 0 or taken[at][1] <= s):
-                    seen.add((s, e))
-                    found.append((s, e, "named", s))
+        asked = [(weight, value) for name, value in assignments(text) if (weight := sensitivity(name)) > 0]
+        runs: dict[int, list[Value]] = {}
+        for value in {id(v): v for _, v in asked}.values():
+            if value.bare:
+                runs.setdefault(value.parts[0][1], []).append(value)
+            else:
+                value.strength = facts_of(text, value).strength()
+        for values in runs.values():
+            rate_bare(text, values)
+        seen: set[tuple[int, int] | int] = set()
+        for weight, value in asked:
+            waiting = [value] if weight * value.strength >= LEAST_SCORE else []
+            while waiting:
+                v = waiting.pop()
+                if id(v) in seen:
+                    continue
+                seen.add(id(v))
+                for p in v.parts:
+                    if isinstance(p, Value):
+                        waiting.append(p)
+                        continue
+                    s, e = p
+                    at = bisect.bisect_left(taken, (e,)) - 1
+                    if e > s and p not in seen and (at < 0 or taken[at][1] <= s):
+                        seen.add(p)
+                        found.append((s, e, "named", s))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
