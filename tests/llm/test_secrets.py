@@ -6,6 +6,8 @@ import pytest
 
 from zeitband.llm.secrets import Value, all_spans, rate_bare, redact, strength
 
+KEY = "Ab3dEf6hIj9k"
+
 
 def long_key(n):
     return "".join(random.Random(n).choices(string.ascii_letters + string.digits, k=n))
@@ -39,5 +41,40 @@ def test_long_text_takes_linear_time():
         all_spans(text)
         return time.perf_counter() - start
 
-    for text in ("pwd=" * 250_000, f"k = '{long_key(500_000)}'\n" + "pwd = k\n" * 50_000):
+    for text in ("pwd=" * 250_000, "a = 'x1'\n" + "".join(f"pwd{i} = pwd{i - 1} + 'x1'\n" for i in range(1, 20_000)), f"k = '{long_key(500_000)}'\n" + "pwd = k\n" * 50_000, "pwd = '1a'\n" + "pwd = pwd + pwd\n" * 2000):
         assert took(text) < 30
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'config["db_secret"] = "{KEY}"',
+        f"os.environ['API_KEY'] = '{KEY}'",
+        f"x[ 'private_key' ] = '{KEY}'",
+        f"$conf['a']['db_secret'] => '{KEY}';",
+        f'api_secret: str = "{KEY}"',
+        f'api_secret: Optional[Dict[str, str]] = "{KEY}"',
+        f'api_secret: str | None = "{KEY}"',
+        f'api_secret:str="{KEY}"',
+        f'const apiSecret: string = "{KEY}";',
+        f'val apiSecret: String? = "{KEY}"',
+        f'let private_key: &\'static str = "{KEY}";',
+        f'def f(private_key: str = "{KEY}", n: int = 3): pass',
+        f"private_key: {KEY}",
+        f'private_key_{"x" * 200} = "{KEY}"',
+        f'private_key {" " * 200} = "{KEY}"',
+    ],
+)
+def test_names_of_each_form(text):
+    assert [text[s:e] for s, e, kind, _ in all_spans(text) if KEY in text[s:e]] == [KEY]
+
+
+def test_joined_names_and_strings():
+    assert named('PREFIX = "Ab3dEf"\nprivate_key = PREFIX + "6hIj9kLm"') == ["Ab3dEf", "6hIj9kLm"]
+    assert named('END = "Ab3dEf"\nprivate_key = "6hIj9kLm" + END') == ["Ab3dEf", "6hIj9kLm"]
+    assert named('A = "Ab3dEf"\nB = "6hIj9kLm"\nprivate_key = A+B;') == ["Ab3dEf", "6hIj9kLm"]
+    assert named('A = "Ab3dEf6hIj9k"\nprivate_key = A + other()') == ["Ab3dEf6hIj9k"]
+    assert named('private_key = other + "Ab3dEf6hIj9k"') == ["Ab3dEf6hIj9k"]
+    assert named('abc = "x1"\nprivate_key=abc+Def1/Ghi2JkL==') == ["abc+Def1/Ghi2JkL=="]
+    assert named('A = "exam"\nprivate_key = A + "ple6hIj9kLm"') == []
+    assert named("private_key: Ab3d=EfGh6hIj9k") == ["Ab3d=EfGh6hIj9k"]

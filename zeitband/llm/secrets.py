@@ -2,9 +2,10 @@
 
 Three plain patterns give the base spans. Beside them, every assignment in the text (``name = value``,
 ``"name": "value"``, ``name := value``, ``name => value``; source, JSON, YAML, INI and environment files alike) is
-lexed into a name and its literal: string literals, literals joined by ``+`` or standing side by side, bare words,
-and names bound earlier, whose literal is carried on. A literal of any length is reported if its target's name is sensitive and
-the literal looks like key material. Added spans cover the literal alone and never overlap a base span.
+lexed into a name and its literal: string literals, literals and names joined by ``+`` or standing side by side, bare
+words, and names bound earlier, whose literal is carried on. The name may be quoted, a subscript (``x["name"] = value``)
+or have a type (``name: type = value``). A literal of any length is reported if its target's name is sensitive and the
+literal looks like key material. Added spans cover the literal alone and never overlap a base span.
 
 Defined cases: a null or empty text has no spans; each row gives one row, in any order, repeated rows and null ids
 included; other columns are ignored by the scan and passed on by the redaction; offsets count code points.
@@ -32,12 +33,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
 OPERATOR = re.compile(r"(?::=|=>|[:=])(?!=)")
-NAME_BEFORE = re.compile(r"""(?:^|[^\w.$\-])(["']?)([A-Za-z_$][\w.$\-]*)(\]?)\1[ \t]*$""", re.ASCII)
+IDENTIFIER = re.compile(r"[A-Za-z_$][\w.$\-]*", re.ASCII)
+NAME_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.$-")
+TYPE_START = re.compile(r"[ \t]*(?:&(?:'\w+[ \t]+)?(?:mut[ \t]+)?)?[A-Za-z_$]", re.ASCII)
 STRING = re.compile(r"""[rbuf]?("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""", re.ASCII)
 BARE = re.compile(r"[^\s\"',;(){}\[\]<>|&]+")
-JOIN = re.compile(r"[ \t]*(?:\+[ \t]*)?(?=[rbuf]?[\"'])")
-NAME = re.compile(r"[A-Za-z_$][\w.$\-]*\Z", re.ASCII)
-REACH = 120
+PLUS = re.compile(r"[ \t]*\+[ \t]*")
+BLANKS = re.compile(r"[ \t]*")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 # How sensitive a part of a name is, and pairs of parts that are more so together.
@@ -169,29 +171,103 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return found
 
 
-def literal_at(text: str, at: int, known: dict[str, Value], bare_end: int = 0) -> tuple[Value | None, int]:
-    """The literal that starts at ``at``, and where the lexer stops. ``bare_end`` is the end of the bare
-    word met last; a word that starts inside it ends there too, so no run is read more than once."""
-    while at < len(text) and text[at] in " \t":
-        at += 1
-    pieces = []
-    while m := STRING.match(text, at):
-        pieces.append((m.start(1) + 1, m.end(1) - 1))
-        at = m.end()
-        if not (j := JOIN.match(text, at)) or j.end() == at:
+def joined_at(text: str, at: int, known: dict[str, Value]) -> tuple[Value | None, int]:
+    """The strings and names that ``+`` joins or that stand side by side from ``at`` on, and their end. Names not bound
+    earlier have no literal; in a bare word (``a+b``, without a string) all must be bound."""
+    parts: list[tuple[int, int] | Value] = []
+    strings = unknown = 0
+    tight = bool((m := IDENTIFIER.match(text, at)) and BARE.match(text, m.end(), m.end() + 1))
+    while True:
+        if m := STRING.match(text, at):
+            parts.append((m.start(1) + 1, m.end(1) - 1))
+            strings += 1
+        elif m := IDENTIFIER.match(text, at):
+            if m.group() in known:
+                parts.append(known[m.group()])
+            else:
+                unknown += 1
+        else:
+            break
+        at = end = m.end()
+        if plus := PLUS.match(text, at):
+            at = plus.end()
+        elif not (text[end - 1] in "\"'" and STRING.match(text, at := BLANKS.match(text, at).end())):
+            at = end
             break
-        at = j.end()
-    if pieces:
-        return Value(pieces), at
+    if not parts or tight and not strings and (unknown or BARE.match(text, at, at + 1)):
+        return None, at
+    return (parts[0] if len(parts) == 1 and isinstance(parts[0], Value) else Value(parts)), at
+
+
+def literal_at(text: str, at: int, known: dict[str, Value], bare_end: int = 0) -> tuple[Value | None, int, bool]:
+    """The literal that starts at ``at``, where the lexer stops, and whether it is a bare word. ``bare_end`` is the end
+    of the bare word met last; a word that starts inside it ends there too, so no run is read more than once."""
+    at = BLANKS.match(text, at).end()
+    value, end = joined_at(text, at, known)
+    if value is not None:
+        return value, end, False
     if at < bare_end:
         end = bare_end
     elif m := BARE.match(text, at):
         end = m.end()
     else:
-        return None, at
-    if end - at <= REACH and (word := text[at:end]) in known:
-        return known[word], end
-    return Value([(at, end)], bare=True), end
+        return None, at, False
+    return Value([(at, end)], bare=True), end, True
+
+
+def name_before(text: str, end: int, low: int) -> str | None:
+    """The name that ends before ``end``, back to its start but not beyond ``low``: plain, quoted or the last subscript."""
+
+    def skip(i: int) -> int:
+        while i > low and text[i - 1] in " \t":
+            i -= 1
+        return i
+
+    i = skip(end)
+    if i > low and text[i - 1] == "]":
+        i = skip(i - 1)
+    quote = text[i - 1] if i > low and text[i - 1] in "\"'" else ""
+    i -= len(quote)
+    start = i
+    while start > low and text[start - 1] in NAME_CHARACTERS:
+        start -= 1
+    if start == i or not IDENTIFIER.match(text, start):
+        return None
+    if quote and (start == low or text[start - 1] != quote or start - 1 > low and text[start - 2] in NAME_CHARACTERS):
+        return None
+    return text[start:i]
+
+
+def annotation_end(text: str, at: int) -> int | None:
+    """Where a type and ``=`` that start at ``at`` end, if they do: ``str =``, ``Optional[str] =``, ``str | None =``,
+    ``&str =``. Without a blank before or a quote behind ``=``, it is taken for a part of a bare word."""
+    m = TYPE_START.match(text, at)
+    if not m:
+        return None
+    i, depth, gap = m.end(), 0, False
+    while i < len(text):
+        c = text[i]
+        if c == "=":
+            after = text[i + 1 : i + 2]
+            return i + 1 if not depth and after not in ("=", ">") and (gap or after and STRING.match(text, BLANKS.match(text, i + 1).end())) else None
+        if c in "\n:":
+            return None
+        if c in "[<":
+            depth += 1
+        elif c in "]>":
+            depth -= 1
+            if depth < 0:
+                return None
+        elif not depth:
+            if c in " \t":
+                gap = True
+            elif c == "|":
+                i = BLANKS.match(text, i + 1).end() - 1
+                gap = False
+            elif gap or not (c in NAME_CHARACTERS or c in "?!*"):
+                return None
+        i += 1
+    return None
 
 
 def assignments(text: str) -> Iterator[tuple[str, Value]]:
@@ -201,21 +277,21 @@ def assignments(text: str) -> Iterator[tuple[str, Value]]:
     for m in OPERATOR.finditer(text):
         if m.start() < done:
             continue
-        before = NAME_BEFORE.search(text[max(done, m.start() - REACH) : m.start()])
-        if not before:
+        name = name_before(text, m.start(), done)
+        if not name:
             continue
-        value, end = literal_at(text, m.end(), known, bare_end)
-        if value:
-            name = before.group(2)
-            known[name] = value
-            yield name, value
-            at = m.end()
-            while at < end and text[at] in " \t":
-                at += 1
-            if STRING.match(text, at):
-                done = end
-            else:
-                bare_end = end
+        at = m.end()
+        if m.group() == ":" and (value_at := annotation_end(text, at)):
+            done = at = value_at
+        value, end, bare = literal_at(text, at, known, bare_end)
+        if value is None:
+            continue
+        known[name] = value
+        yield name, value
+        if bare:
+            bare_end = end
+        else:
+            done = end
 
 
 def all_spans(text: str) -> list[tuple[int, int, str, int]]:
