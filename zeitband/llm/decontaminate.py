@@ -8,9 +8,10 @@ weight; a passage whose essential terms, with all the rest granted, stay below t
 what is retrieved, the document must share the word runs of both parts of the item: the question (up to the last
 question mark or colon, else the first three quarters) and the answer (the rest).
 
-The index is built on the driver and shipped to the tasks shard by shard; a shard takes items of at most
-``SHARD_BYTES`` of text, so what is shipped is bounded however long the list of items grows, and every document meets
-every shard.
+The index is built on the driver and shipped to the tasks shard by shard; a shard takes distinct texts of at most about
+``SHARD_BYTES`` (or one longer text), so what is shipped is bounded however long the list of items grows or often it
+repeats an item, and every document meets every shard. Number and mean length of the items, the longest one and the
+frequencies of terms are counted once over all items, so no result depends on how the shards are dealt.
 
 Defined cases: items and documents that are null, empty or without a word match nothing; repeated items and rows
 count each; items with a null id are searched like others; an empty table on either side gives no matches; columns
@@ -20,23 +21,27 @@ other than doc_id, text, item_id are ignored by the search and passed on by the
 from __future__ import annotations
 
 import bisect
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, materialize, new_folder
 
 K1, B = 1.2, 0.75
 BLOCK = 16
 ESSENTIAL = 0.8
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Hash buckets of texts for each shard, about.
+FINE = 64
 LEAST_WINDOW = 64
 WORD = re.compile(r"[^\W_]+")
 
@@ -81,23 +86,29 @@ class Postings:
         self.block_top = [max(self.weights[i : i + BLOCK]) for i in range(0, len(entries), BLOCK)]
 
 
+class Totals(NamedTuple):
+    """Of all items that have a word: their number, words and the words of the longest."""
+
+    count: int
+    words: int
+    longest: int
+
+
 class ItemIndex:
-    """BM25 weights of each item's terms, divided by the score of the item's own words."""
+    """BM25 weights of each distinct text's terms, divided by the score of the item's own words. ``frequency`` holds at
+    least the terms of ``texts``; it and ``totals`` are those of all items."""
 
-    def __init__(self, items: list[tuple[object, str]]):
-        cut = [(item, split_item(text)) for item, text in items]
-        cut = [(item, q, a) for item, (q, a) in cut if q or a]
-        self.ids = [item for item, _, _ in cut]
-        self.parts = [(q, a) for _, q, a in cut]
+    def __init__(self, texts: list[str], totals: Totals, frequency: dict[str, int]):
+        self.ids = [hashlib.sha256(text.encode()).digest() for text in texts]
+        self.parts = [split_item(text) for text in texts]
         counts = [Counter(q + a) for q, a in self.parts]
-        frequency = Counter(t for c in counts for t in c)
-        mean = sum(sum(c.values()) for c in counts) / max(1, len(counts))
+        mean = totals.words / max(1, totals.count)
         entries: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.essential: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.spare = np.zeros(len(counts))
         for d, c in enumerate(counts):
             norm = K1 * (1 - B + B * sum(c.values()) / mean)
-            raw = {t: math.log(1 + (len(counts) - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in c.items()}
+            raw = {t: math.log(1 + (totals.count - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in c.items()}
             total, carried = sum(raw.values()), 0.0
             for t, w in sorted(raw.items(), key=lambda x: (-x[1], x[0])):
                 entries[t].append((d, w / total))
@@ -106,7 +117,7 @@ class ItemIndex:
                     carried += w / total
             self.spare[d] = max(0.0, 1 - carried)
         self.postings = {t: Postings(e) for t, e in entries.items()}
-        self.longest = max((len(q) + len(a) for q, a in self.parts), default=0)
+        self.longest = totals.longest
         # Essential postings as flat arrays, for whole batches of passages at once.
         self.number = {t: i for i, t in enumerate(self.essential)}
         lists = list(self.essential.values())
@@ -187,13 +198,50 @@ class ItemIndex:
         return [(int(t), max(0, int(x) * stride), (int(x) + 2) * stride) for t, x in zip(of, k, strict=True)]
 
 
+def distinct_texts(items: DataFrame) -> DataFrame:
+    """Each distinct text that has a word, with the number of items that have it, its words and its terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text"):
+            words = [q + a for q, a in map(split_item, b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(len, words), pa.int64()), pa.array([list(set(w)) for w in words], pa.list_(pa.string()))], ["text", "n", "words", "terms"])
+
+    counted = items.filter(F.col("text").isNotNull()).groupBy("text").agg(F.count("*").alias("n"))
+    return counted.mapInArrow(run, "text string, n long, words long, terms array<string>").filter("words > 0")
+
+
+def by_shard(rows: DataFrame, what: str) -> DataFrame:
+    """``rows`` written once, in a folder for each shard."""
+    path = new_folder(rows.sparkSession, what)
+    rows.write.partitionBy("shard").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def index_shards(items: DataFrame) -> Iterator[ItemIndex]:
-    """The items' indexes; each is built from at most about ``SHARD_BYTES`` of text."""
-    sized = items.select("item_id", "text").filter(F.col("text").isNotNull())
-    total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(2 * total / SHARD_BYTES))
-    for i in range(shards):
-        yield ItemIndex([tuple(r) for r in sized.filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == i).collect()])
+    """The indexes of the items' distinct texts; each is built from at most about ``SHARD_BYTES`` of text."""
+    spark = items.sparkSession
+    texts = materialize(distinct_texts(items), "items")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if not size:
+        yield ItemIndex([], Totals(0, 0, 0), {})
+        return
+    bucket = F.pmod(F.xxhash64("text"), F.lit(FINE * math.ceil(size / SHARD_BYTES))).alias("bucket")
+    sums = texts.groupBy(bucket).agg(F.sum(F.octet_length("text")), F.sum("n"), F.sum(F.col("n") * F.col("words")), F.max("words")).collect()
+    totals = Totals(sum(r[2] for r in sums), sum(r[3] for r in sums), max(r[4] for r in sums))
+    dealt, shard, held = [], 0, 0
+    for r in sorted(sums):
+        if held and held + r[1] > SHARD_BYTES:
+            shard, held = shard + 1, 0
+        held += r[1]
+        dealt.append((r[0], shard))
+    placed = texts.withColumn("bucket", bucket).join(F.broadcast(spark.createDataFrame(dealt, "bucket long, shard int")), "bucket")
+    own = by_shard(placed.select("shard", "text"), "item-texts")
+    terms = placed.select("shard", "n", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("n").alias("n"), F.collect_set("shard").alias("shards"))
+    frequencies = by_shard(terms.select(F.explode("shards").alias("shard"), "term", "n"), "item-terms")
+    for i in range(shard + 1):
+        here = F.col("shard") == i
+        frequency = {r["term"]: r["n"] for r in frequencies.filter(here).select("term", "n").collect()}
+        yield ItemIndex(sorted(r["text"] for r in own.filter(here).select("text").collect()), totals, frequency)
 
 
 def matches(index: ItemIndex, texts: list[list[str]], share: float, least_overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
@@ -210,7 +258,7 @@ def matches(index: ItemIndex, texts: list[list[str]], share: float, least_overla
 
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.6, least_overlap: float = 0.6) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, score, question_overlap, answer_overlap."""
-    kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType
+    kind = docs.schema["doc_id"].dataType.simpleString()
     thin = docs.select("doc_id", "text")
 
     def search(index: ItemIndex) -> DataFrame:
@@ -221,13 +269,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.6, least_over
             for b in blocks(batches, "text"):
                 best = matches(of, [words_of(t) if t else [] for t in b.column(1).to_pylist()], share, least_overlap)
                 numbers = [pa.array([x[i] for x in best.values()], pa.float64()) for i in range(3)]
-                item = pa.array([None if of.ids[d] is None else str(of.ids[d]) for _, d in best], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([t for t, _ in best], pa.int64())), item, *numbers], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                item = pa.array([of.ids[d] for _, d in best], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([t for t, _ in best], pa.int64())), item, *numbers], ["doc_id", "item", "score", "question_overlap", "answer_overlap"])
 
-        return thin.mapInArrow(run, f"doc_id {kinds[0]}, item_id string, score double, question_overlap double, answer_overlap double")
+        return thin.mapInArrow(run, f"doc_id {kind}, item binary, score double, question_overlap double, answer_overlap double")
 
     found = reduce(DataFrame.unionByName, map(search, index_shards(items)))
-    return found.withColumn("item_id", F.col("item_id").cast(kinds[1]))
+    ids = items.filter(F.col("text").isNotNull()).select("item_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("item"))
+    return found.join(ids, "item").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, share: float = 0.6, least_overlap: float = 0.6) -> DataFrame:
