@@ -2,7 +2,7 @@
 
 The network reads the bytes of a stretch of text from both sides, labels every position, and the log probabilities
 of all positions of a document are pooled (averaged, then normalised). It is trained in numpy by backpropagation
-through time on a bounded sample of labelled documents, and applied to whole texts. A stretch is one word with the
+through time on a sample of labelled documents, bounded for each language, and applied to whole texts. A stretch is one word with the
 blank on either side (words over ``LONGEST`` bytes are read in pieces, all of them), so the states start afresh at
 each word and the pooled sums of a word are computed once per worker.
 
@@ -13,6 +13,8 @@ empty table gives an empty result; columns other than doc_id, text and lang are
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,13 +186,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, rows: int = 3000, chars: int = 1500) -> list[tuple[str, str]]:
-    """The bounded sample that is learned from: ``rows`` labelled documents that are not held out, in an order that a
-    hash of the id gives, and of each a stretch of ``chars`` characters from a place that the hash gives."""
+    """The bounded sample that is learned from: of each language ``rows`` distinct labelled documents (id and text) that
+    are not held out, or all if there are fewer, in the order of a hash; of each a stretch of ``chars`` characters from a
+    place that the hash of the id gives. So many hashes are let through that hardly more than these reach the driver."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     place = F.xxhash64(F.col("doc_id").cast("string"))
     start = F.pmod(place, F.greatest(F.lit(1), F.length("text") - F.lit(chars) + 1)) + 1
-    taken = usable.select(place.alias("place"), F.substr("text", start.cast("int"), F.lit(chars)).alias("text"), "lang").orderBy("place", "lang", "text").limit(rows)
-    return [(r["text"], r["lang"]) for r in taken.collect()]
+    order = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 1)
+    enough, top = 1.2 * rows + 6 * math.sqrt(rows) + 50, 2**63 - 1
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct(order, 0.02).alias("n")).collect()
+    limits = docs.sparkSession.createDataFrame([(r["lang"], top if r["n"] <= enough else int(enough / r["n"] * top)) for r in counts], "lang string, most long")
+    taken = usable.select("lang", order.alias("order"), F.substr("text", start.cast("int"), F.lit(chars)).alias("text")).join(F.broadcast(limits), "lang").filter("order <= most")
+    found: dict[str, list[tuple[int, str]]] = defaultdict(list)
+    for r in taken.select("lang", "order", "text").distinct().collect():
+        found[r["lang"]].append((r["order"], r["text"]))
+    return [(text, lang) for lang in sorted(found) for _, text in sorted(found[lang])[:rows]]
 
 
 def identify(docs: DataFrame, rows: int = 3000, chars: int = 1500, hidden: int = 16, steps: int = 700) -> DataFrame:
