@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zeitband.shared import new_folder
+
 
 def levels(values: DataFrame, width: str = "1 hour", late: str = "120 seconds") -> DataFrame:
     """start_s, rms and peak of ``value`` in each window of ``ts``; on a stream, rows later than ``late`` are dropped
@@ -20,8 +19,7 @@ def levels(values: DataFrame, width: str = "1 hour", late: str = "120 seconds")
 def run_levels(spark: SparkSession, events: str, width: str = "1 hour", late: str = "120 seconds") -> DataFrame:
     """Read the Parquet files of ``events`` as a stream to their end; each batch appends the windows that it changed,
     and the last version of each window is the result."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="zeitband-")
-    place = f"{shared.rstrip('/')}/levels-{uuid.uuid4().hex}"
+    place = new_folder(spark, "levels")
     stream = spark.readStream.schema(spark.read.parquet(events).schema).parquet(events + "*")
 
     def write(batch: DataFrame, number: int) -> None:
