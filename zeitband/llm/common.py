@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (local tests), a temporary folder is set once per session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="zeitband-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/zeitband-{what}-{uuid.uuid4().hex}"
+from zeitband.shared import new_folder
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -33,7 +17,31 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     lost executors, and nothing below is computed twice."""
     path = new_folder(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._zb_folder = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of materialized tables. All that was made from them must be written by then."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._zb_folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_checksums(rows: DataFrame, tokens: str = "tokens", name: str = "ids_crc32") -> DataFrame:
+    """``rows`` with the column of token ids replaced by their CRC-32 as little-endian unsigned 32-bit integers."""
+    kept = [c for c in rows.columns if c != tokens]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(kept))
+            values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            crc = [zlib.crc32(values[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(crc, pa.int64())], [*kept, name])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*kept, tokens).mapInArrow(run, f"{schema}, {name} long")
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:

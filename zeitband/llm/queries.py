@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zeitband.shared import new_folder
+
 from . import decontaminate, host_rules, jaccard, language_id, packing, repeats, secrets, token_counts, token_files, warc
-from .common import new_folder
+from .common import with_checksums
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -71,7 +73,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), end_id=1, longest=2048, tokens=False)
+    return with_checksums(packing.pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), end_id=1, longest=2048))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,21 +2,21 @@
 groups and pages of a set size with page indexes, so that ids or metadata can be read selectively.
 
 A dataset is a folder of Parquet files in ascending document order: doc_id, n_tokens, tokens. Rows with a null
-doc_id come first; a null text counts as empty; repeated ids keep one row each; an empty table gives no rows.
+doc_id come first; a null text counts as empty; repeated ids keep one row each, in the order of a hash of their texts;
+texts of any length are stored whole; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunk_encoder import encoder
-from .common import blocks
+from .common import blocks, with_checksums
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -40,9 +40,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, r
     """Encode ``docs`` and write them as token files in ascending doc_id order.
 
     Documents are dealt by ranges of doc_id before they are encoded, so only raw text moves and no task holds more
-    than its range.
+    than its range. Rows that share a doc_id (or have none) are dealt by the hash of their text.
     """
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    dealt = keyed.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
     (
         encode_documents(dealt, tokenizer, end_id)
         .write.option("parquet.writer.version", "PARQUET_2_0")
@@ -56,6 +57,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, r
     )
 
 
+def file_number(name: Column) -> Column:
+    """The number of the task that wrote a file (``part-00012-...``); names alone are out of order from 100,000 on."""
+    return F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, n_tokens, start, file and position of each document, without reading any token.
 
@@ -63,7 +69,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     files before (one row per file).
     """
     rows = spark.read.parquet(path).select("doc_id", "n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("position"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(file_number(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total")).select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
@@ -72,13 +78,4 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """file, position and ids_crc32 of each document, from its stored tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(2)
-            values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-            crc = [zlib.crc32(values[s:e].tobytes()) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crc, pa.int64())], ["file", "position", "ids_crc32"])
-
-    rows = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("position"), "tokens")
-    return rows.mapInArrow(run, "file string, position long, ids_crc32 long")
+    return with_checksums(spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("position"), "tokens"))
