@@ -75,14 +75,13 @@ def shared_counts(held: DataFrame, keys_of: Callable[[list[bytes]], list[np.ndar
                 all_ = np.concatenate(keys_of(open_chunk(sizes, packed)))
                 at = bucket_of(all_, buckets)
                 order = np.argsort(at, kind="stable")
-                cut = np.searchsorted(at[order], np.arange(buckets + 1))
-                all_ = short(all_[order])
+                at, all_ = at[order], short(all_[order])
+                cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))[: len(at) + 1]
                 rows = []
-                for i in range(buckets):
-                    if cut[i] < cut[i + 1]:
-                        h, n = np.unique(all_[cut[i] : cut[i + 1]], return_counts=True)
-                        many = n > 1
-                        rows.append((i, chunk, h[~many].tobytes(), h[many].tobytes(), n[many].astype(np.uint32).tobytes()))
+                for s, e in zip(cut[:-1], cut[1:], strict=True):
+                    h, n = np.unique(all_[s:e], return_counts=True)
+                    many = n > 1
+                    rows.append((int(at[s]), chunk, h[~many].tobytes(), h[many].tobytes(), n[many].astype(np.uint32).tobytes()))
                 if rows:
                     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "chunk", "once", "many", "counts"])

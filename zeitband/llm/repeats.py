@@ -9,16 +9,19 @@ Every byte that lies in a string of ``length`` bytes which also starts in a docu
    windows with one anchor is a context: ``length`` bytes and at most ``SPREAD`` more.
 3. Anchor hashes are counted over all chunks of text (4 bytes each, dealt by hash). Windows whose anchor no other text
    has are unique; the contexts of the others go to the bucket of their anchor, each distinct one once per chunk with
-   the least doc_id that has it there.
-4. A bucket sorts the suffixes of its distinct contexts and takes the longest common prefixes of neighbours. A stack
+   the least doc_id that has it there. Anchors that over ``hot`` texts have would fill one bucket: their contexts are cut
+   into windows, which go to the bucket of their own hash as 16 bytes each.
+4. A bucket is worked off in slices of anchors, since only contexts of one anchor share a window. A slice sorts the
+   suffixes of its distinct contexts and takes the longest common prefixes of neighbours. A stack
    scan of these gives the intervals of the common-prefix tree; an interval whose members are preceded by different
    bytes (or begin a context) is a maximal repeat, and all members learn the least doc_id of the group. Intervals
    with one and the same byte before all members are part of a longer repeat with the same members and are passed by.
 5. The chunks get back what was found, and mark all their occurrences in documents of a larger doc_id.
 
 Defined cases: a null text is empty and loses nothing, as do texts under ``length`` bytes; rows that share a doc_id do
-not repeat each other; a null doc_id counts as larger than all others; repeated rows each get the same result; an empty table gives an
-empty result; columns other than doc_id and text are ignored.
+not repeat each other; a null doc_id counts as larger than all others; repeated rows each get the same result; texts of
+any length are read whole; an empty table gives an empty result; columns other than doc_id and text, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunked import bucket_of, chunks, open_chunk, shared_counts, short
-from .common import materialize
+from .common import blocks, materialize
 from .shingles import _BYTE, _PRIME, _power, mix
 
 #: A context holds up to so many windows more than one.
@@ -42,12 +45,39 @@ SPREAD = 24
 #: Counted anchors in a bucket, and bytes of text behind the contexts of a bucket, about.
 BUCKET = 1_000_000
 BUCKET_TEXT = 8_000_000
+#: Slices that a bucket is worked off in.
+SLICES = 64
+#: Texts that share an anchor, from which on its windows are dealt one by one.
+HOT = 10_000
+#: Bytes of text hashed at once, about; a longer text is hashed by itself.
+STEP_BYTES = 1_000_000
 #: Never part of UTF-8 text.
 PAD = 0xFF
 LAST_ID = 2**63 - 1
 SPANS = "array<struct<start:long,end:long>>"
 
 
+def steps(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in runs of about ``STEP_BYTES``, each with the number of its first text."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t) > STEP_BYTES:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(t)
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def prefix_sums(raw: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _power("up", len(raw)), dtype=np.uint64)))
+
+
+def range_hashes(sums: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the ``length`` bytes from each start on."""
+    return mix((sums[start + length] - sums[start]) * _power("down", len(sums))[start] * _PRIME)
+
+
 def context_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The contexts of ``texts`` laid end to end: the bytes, and of each context its text, start, end and anchor hash."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -57,7 +87,7 @@ def context_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
     none = np.zeros(0, np.int64)
     if n < length:
         return raw, none, none, none, np.zeros(0, np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_BYTE[raw]) * _power("up", n), dtype=np.uint64)))
+    sums = prefix_sums(raw)
     hashes = mix((sums[k:] - sums[:-k]) * _power("down", n - k + 1) * _PRIME)
     least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     width = 1
@@ -80,9 +110,12 @@ def context_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
 
 def anchors_of(texts: list[bytes], length: int) -> list[np.ndarray]:
     """The distinct anchor hashes of each text."""
-    _, text, _, _, h = context_runs(texts, length)
-    cut = np.searchsorted(text, np.arange(len(texts) + 1))
-    return [np.unique(h[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+    found = []
+    for _, some in steps(texts):
+        _, text, _, _, h = context_runs(some, length)
+        cut = np.searchsorted(text, np.arange(len(some) + 1))
+        found += [np.unique(h[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+    return found
 
 
 def padded_rows(raw: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
@@ -169,7 +202,7 @@ def texts_once(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6)
-        for b in batches:
+        for b in blocks(batches, "raw"):
             packed = [pack.compress(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(packed, pa.binary())], ["doc_id", "class", "packed"])
 
@@ -181,71 +214,109 @@ def texts_once(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return rows.drop("raw"), least.select("x.doc_id", "class", "x.packed")
 
 
-def shared_contexts(held: DataFrame, shared: DataFrame, length: int, buckets: int, parts: int) -> DataFrame:
-    """By chunk and bucket: the distinct contexts with their least doc_id, and where each occurs (text and start)."""
+def shared_contexts(held: DataFrame, shared: DataFrame, length: int, buckets: int, parts: int, hot: int) -> DataFrame:
+    """By chunk and bucket: the distinct contexts with their least doc_id, and where each occurs (text and start).
+
+    Buckets from ``parts`` on hold windows of frequent anchors: a window is named by two hashes in place of its bytes.
+    ``slices`` counts the contexts of each slice of a bucket, in order."""
     width = length + SPREAD
 
+    def rows_of(chunk: int, key: np.ndarray, names: np.ndarray, sizes: np.ndarray, ids: np.ndarray, text: np.ndarray, start: np.ndarray, first_part: int, pack: zstandard.ZstdCompressor) -> Iterator[tuple]:
+        slice_ = (key % np.uint64(parts * SLICES)).astype(np.int64)
+        order = np.argsort(slice_, kind="stable")
+        part = slice_[order] // SLICES
+        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))[: len(part) + 1]
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            at = order[s:e]
+            first, where = distinct_rows(names[at])
+            # Distinct contexts in the order of their slices.
+            by_slice = np.argsort(slice_[at[first]], kind="stable")
+            first, where = first[by_slice], np.argsort(by_slice)[where]
+            least = np.full(len(first), LAST_ID)
+            np.minimum.at(least, where, ids[at])
+            counts = np.bincount(slice_[at[first]] % SLICES, minlength=SLICES).astype(np.uint32)
+            places = [text[at].astype(np.uint32), start[at].astype(np.uint32), where.astype(np.uint32)]
+            yield (chunk, first_part + int(part[s]), pack.compress(names[at[first]].tobytes()), sizes[at[first]].astype(np.uint32).tobytes(), least.tobytes(), counts.tobytes(), *(pack.compress(x.tobytes()) for x in places))
+
     def run(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         made = []
         if len(own) and len(back):
             known = np.concatenate([np.frombuffer(h, np.uint32).astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, h in zip(back["bucket"], back["hashes"], strict=True)])
-            known.sort()
+            often = np.concatenate([np.frombuffer(c, np.uint32) for c in back["counts"]])
+            order = np.argsort(known)
+            known, often = known[order], often[order]
             pack = zstandard.ZstdCompressor(level=3)
-            for chunk, ids, sizes, packed in zip(own["chunk"], own["ids"], own["sizes"], own["packed"], strict=True):
-                raw, text, start, end, h = context_runs(open_chunk(sizes, packed), length)
-                key = short(h).astype(np.uint64) | bucket_of(h, buckets).astype(np.uint64) << np.uint64(32)
-                keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
-                if not len(keep):
-                    continue
-                part = (h[keep] % np.uint64(parts)).astype(np.int64)
-                keep, part = keep[np.argsort(part, kind="stable")], np.sort(part)
-                begin = np.cumsum(sizes) - np.array(sizes)
-                ids = np.array(ids, np.int64)
-                cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-                for s, e in zip(cut[:-1], cut[1:], strict=True):
-                    at = keep[s:e]
-                    rows = padded_rows(raw, start[at], end[at], width)
-                    first, where = distinct_rows(rows)
-                    least = np.full(len(first), LAST_ID)
-                    np.minimum.at(least, where, ids[text[at]])
-                    lengths = (end[at] - start[at])[first]
-                    places = [text[at].astype(np.uint32), (start[at] - begin[text[at]]).astype(np.uint32), where.astype(np.uint32)]
-                    made.append((chunk, int(part[s]), pack.compress(rows[first].tobytes()), lengths.astype(np.uint32).tobytes(), least.tobytes(), *(pack.compress(x.tobytes()) for x in places)))
-        return pd.DataFrame(made, columns=["chunk", "part", "rows", "lengths", "least", "text", "start", "which"])
-
-    schema = "chunk long, part int, rows binary, lengths binary, least binary, text binary, start binary, which binary"
+            for chunk, all_ids, sizes, packed in zip(own["chunk"], own["ids"], own["sizes"], own["packed"], strict=True):
+                all_ids, kept, windows = np.array(all_ids, np.int64), [], []
+                for base, some in steps(open_chunk(sizes, packed)):
+                    raw, text, start, end, h = context_runs(some, length)
+                    key = short(h).astype(np.uint64) | bucket_of(h, buckets).astype(np.uint64) << np.uint64(32)
+                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    begin = np.cumsum([0, *map(len, some)])
+                    keep = np.flatnonzero((known[at] == key) & (often[at] <= hot))
+                    if len(keep):
+                        kept.append((h[keep], padded_rows(raw, start[keep], end[keep], width), end[keep] - start[keep], all_ids[base + text[keep]], base + text[keep], start[keep] - begin[text[keep]]))
+                    many = np.flatnonzero((known[at] == key) & (often[at] > hot))
+                    if len(many):
+                        n = end[many] - start[many] - length + 1
+                        of = np.repeat(many, n)
+                        place = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                        own_hash = range_hashes(prefix_sums(raw), place, length)
+                        names = np.column_stack([own_hash, h[of]]).view(np.uint8)
+                        windows.append((own_hash, names, np.full(len(of), length), all_ids[base + text[of]], base + text[of], place - begin[text[of]]))
+                for rows, first_part in ((kept, 0), (windows, parts)):
+                    if rows:
+                        made += rows_of(chunk, *map(np.concatenate, zip(*rows, strict=True)), first_part, pack)
+        return pd.DataFrame(made, columns=["chunk", "part", "rows", "lengths", "least", "slices", "text", "start", "which"])
+
+    schema = "chunk long, part int, rows binary, lengths binary, least binary, slices binary, text binary, start binary, which binary"
     return held.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(run, schema)
 
 
-def group_repeats(contexts: DataFrame, length: int) -> DataFrame:
+def group_repeats(contexts: DataFrame, length: int, parts: int) -> DataFrame:
     """By chunk and bucket: the least id of each of the chunk's contexts in all texts, and the repeats in part of a
     context that reach smaller ids (context, start, size, id)."""
-    width = length + SPREAD
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        unpack = zstandard.ZstdDecompressor()
-        all_ = np.frombuffer(b"".join(unpack.decompress(x) for x in rows["rows"]), np.uint8).reshape(-1, width)
-        sizes = np.frombuffer(b"".join(rows["lengths"]), np.uint32).astype(np.int64)
-        own = np.frombuffer(b"".join(rows["least"]), np.int64)
-        first, where = distinct_rows(all_)
+    def learn(rows: np.ndarray, sizes: np.ndarray, own: np.ndarray, whole: bool) -> tuple[np.ndarray, ...]:
+        """Of one slice: the least id of each context, and context, start, size and id of the repeats in part."""
+        first, where = distinct_rows(rows)
         least = np.full(len(first), LAST_ID)
         np.minimum.at(least, where, own)
-        context, start, size, low = maximal_repeats(all_[first], sizes[first], least, length)
+        none = np.zeros(0, np.int64)
+        context, start, size, low = (none, none, none, none) if whole or len(first) < 2 or least.min() == least.max() else maximal_repeats(rows[first], sizes[first], least, length)
         order = np.argsort(context, kind="stable")
         context, start, size, low = context[order], start[order], size[order], low[order]
-        at = np.cumsum([0, *(len(x) // 4 for x in rows["lengths"])])
-        pack, made = zstandard.ZstdCompressor(level=3), []
-        for chunk, part, s, e in zip(rows["chunk"], rows["part"], at[:-1], at[1:], strict=True):
-            names = where[s:e]
-            a, z = np.searchsorted(context, names), np.searchsorted(context, names, side="right")
-            n = z - a
-            pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-            which = np.repeat(np.arange(len(names), dtype=np.uint32), n)
-            made.append((chunk, part, *(pack.compress(x.tobytes()) for x in (least[names], which, start[pick].astype(np.uint32), size[pick].astype(np.uint32), low[pick]))))
+        a, z = np.searchsorted(context, where), np.searchsorted(context, where, side="right")
+        n = z - a
+        pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+        return least[where], np.repeat(np.arange(len(where)), n), start[pick], size[pick], low[pick]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        whole = rows["part"].iloc[0] >= parts
+        width = 16 if whole else length + SPREAD
+        each = [np.frombuffer(unpack.decompress(x), np.uint8).reshape(-1, width) for x in rows["rows"]]
+        sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["lengths"]]
+        least = [np.frombuffer(x, np.int64) for x in rows["least"]]
+        ends = np.cumsum([np.frombuffer(x, np.uint32) for x in rows["slices"]], axis=1, dtype=np.int64)
+        told: list[list[tuple]] = [[] for _ in each]
+        for i in range(SLICES):
+            s, e = (ends[:, i - 1] if i else np.zeros(len(each), np.int64)), ends[:, i]
+            at = np.flatnonzero(e > s)
+            if not len(at):
+                continue
+            found = learn(*(np.concatenate([x[c][s[c] : e[c]] for c in at]) for x in (each, sizes, least)), whole)
+            edge = np.concatenate(([0], np.cumsum(e[at] - s[at])))
+            split = np.searchsorted(found[1], edge)
+            for k, c in enumerate(at):
+                a, z = split[k], split[k + 1]
+                told[c].append((found[0][edge[k] : edge[k + 1]], found[1][a:z] - edge[k] + s[c], *(x[a:z] for x in found[2:])))
+        kinds = (np.int64, np.uint32, np.uint32, np.uint32, np.int64)
+        made = [(chunk, part, *(pack.compress(np.concatenate(x).astype(kind).tobytes()) for x, kind in zip(zip(*t, strict=True), kinds, strict=True))) for chunk, part, t in zip(rows["chunk"], rows["part"], told, strict=True)]
         return pd.DataFrame(made, columns=["chunk", "part", "all_least", "p_which", "p_start", "p_size", "p_least"])
 
     schema = "chunk long, part int, all_least binary, p_which binary, p_start binary, p_size binary, p_least binary"
-    return contexts.select("chunk", "part", "rows", "lengths", "least").groupBy("part").applyInPandas(run, schema)
+    return contexts.select("chunk", "part", "rows", "lengths", "least", "slices").groupBy("part").applyInPandas(run, schema)
 
 
 def marked(found: dict, unpack: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -262,9 +333,10 @@ def marked(found: dict, unpack: zstandard.ZstdDecompressor) -> tuple[np.ndarray,
     return np.concatenate([text, text[at]]), np.concatenate([start, start[at] + p_start[pick]]), np.concatenate([size[which], p_size[pick]]), np.concatenate([least[which], p_least[pick]])
 
 
-def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, the removed spans (start and end byte, maximal, ascending), the
-    SHA-256 of the whole text and, where anything is removed, the bytes that are left."""
+    SHA-256 of the whole text and, where anything is removed, the bytes that are left. ``hot`` changes how work is
+    dealt, not what is found."""
     if length <= 2 * SPREAD:
         raise ValueError(f"length must be over {2 * SPREAD}")
     rows, once = texts_once(docs, length)
@@ -272,8 +344,8 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     volume = held.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets, parts = max(16, math.ceil(volume / 10 / BUCKET)), max(16, math.ceil(volume / BUCKET_TEXT))
     shared = shared_counts(held, lambda texts: anchors_of(texts, length), buckets)
-    contexts = materialize(shared_contexts(held, shared, length, buckets, parts), "contexts")
-    found = group_repeats(contexts, length)
+    contexts = materialize(shared_contexts(held, shared, length, buckets, parts, hot), "contexts")
+    found = group_repeats(contexts, length, parts)
     places = contexts.select("chunk", "part", "lengths", "text", "start", "which").join(found, ["chunk", "part"])
 
     def run(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
