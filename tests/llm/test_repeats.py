@@ -53,6 +53,8 @@ def test_like_brute_force(spark, tmp_path):
     # Nothing depends on how the windows of frequent anchors are dealt.
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for hot in (1, 4):
+        for r in repeated_spans(docs, hot=hot).filter("left is not null").collect():
+            assert hashlib.sha256(r["left"]).hexdigest() == r["left_sha256"]
         spans = [(r["doc_id"], r["n_bytes"], sum(e - s for s, e in r["spans"]), len(r["spans"])) for r in repeated_spans(docs, hot=hot).collect()]
         assert sorted(spans, key=repr) == sorted((w[:4] for w in want), key=repr)
 

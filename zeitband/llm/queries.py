@@ -57,8 +57,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeats.repeated_spans(documents(spark, sf_dir), length=50)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    kept = F.when(F.size("spans") == 0, F.col("text_sha256")).otherwise(F.sha2("left", 256))
-    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), kept.alias("kept_sha256"))
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("left_sha256").alias("kept_sha256"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ names, are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -55,6 +56,7 @@ STEP_BYTES = 1_000_000
 PAD = 0xFF
 LAST_ID = 2**63 - 1
 SPANS = "array<struct<start:long,end:long>>"
+FOUND = ["all_least", "p_which", "p_start", "p_size", "p_least"]
 
 
 def steps(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -335,7 +337,7 @@ def marked(found: dict, unpack: zstandard.ZstdDecompressor) -> tuple[np.ndarray,
 
 def repeated_spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, the removed spans (start and end byte, maximal, ascending), the
-    SHA-256 of the whole text and, where anything is removed, the bytes that are left. ``hot`` changes how work is
+    SHA-256 of the whole text, the bytes that are left where anything is removed, and the SHA-256 of what is left. ``hot`` changes how work is
     dealt, not what is found."""
     if length <= 2 * SPREAD:
         raise ValueError(f"length must be over {2 * SPREAD}")
@@ -346,7 +348,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFra
     shared = shared_counts(held, lambda texts: anchors_of(texts, length), buckets)
     contexts = materialize(shared_contexts(held, shared, length, buckets, parts, hot), "contexts")
     found = group_repeats(contexts, length, parts)
-    places = contexts.select("chunk", "part", "lengths", "text", "start", "which").join(found, ["chunk", "part"])
+    # Places and what was found at them meet where the chunk's text is.
+    back = contexts.select("chunk", "part", "lengths", "text", "start", "which").unionByName(found, allowMissingColumns=True)
 
     def run(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         unpack, made = zstandard.ZstdDecompressor(), []
@@ -354,8 +357,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFra
             texts, ids, total = open_chunk(sizes, packed), np.array(ids, np.int64), int(np.sum(sizes))
             begin = np.cumsum(sizes) - np.array(sizes)
             cover = np.zeros(total + 1, np.int32)
-            for x in back.to_dict("records"):
-                text, start, size, least = marked(x, unpack)
+            told = back[back["all_least"].notna()].set_index("part")
+            for x in back[back["which"].notna()].to_dict("records"):
+                text, start, size, least = marked(x | told.loc[x["part"], FOUND].to_dict(), unpack)
                 hit = least < ids[text]
                 at = begin[text[hit]] + start[hit]
                 np.add.at(cover, at, 1)
@@ -365,10 +369,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFra
                 own_gone = gone[b : b + len(t)]
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], own_gone.astype(np.int8), [0]))))
                 spans = [{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)]
-                made.append((int(ids[i]), name, spans, np.frombuffer(t, np.uint8)[~own_gone].tobytes() if spans else None))
-        return pd.DataFrame(made, columns=["doc_id", "class", "spans", "left"])
+                left = np.frombuffer(t, np.uint8)[~own_gone].tobytes() if spans else None
+                made.append((int(ids[i]), name, spans, left, hashlib.sha256(left).hexdigest() if spans else name.hex()))
+        return pd.DataFrame(made, columns=["doc_id", "class", "spans", "left", "left_sha256"])
 
-    kept = held.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInPandas(run, f"doc_id long, class binary, spans {SPANS}, left binary")
+    kept = held.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(run, f"doc_id long, class binary, spans {SPANS}, left binary, left_sha256 string")
     first = kept.withColumn("first", F.lit(True))
     copy = (F.col("n_bytes") >= length) & F.col("first").isNull()
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
@@ -378,4 +383,5 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFra
         F.when(copy, whole).otherwise(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"),
         F.lower(F.hex("class")).alias("text_sha256"),
         F.when(copy, F.lit(b"")).otherwise(F.col("left")).alias("left"),
+        F.when(copy, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("left_sha256", F.lower(F.hex("class")))).alias("left_sha256"),
     )
