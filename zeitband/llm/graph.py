@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -32,4 +32,5 @@ def components(edges: DataFrame) -> DataFrame:
         # In the large-star result every v is less than its u; the small star hangs u and its v on the least v.
         small = _with_least(large)
         hung = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        now = materialize(hung.filter("u <> v").distinct(), "edges")
+        last, now = now, materialize(hung.filter("u <> v").distinct(), "edges")
+        discard(last)

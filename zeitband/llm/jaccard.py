@@ -8,16 +8,18 @@
    it may miss, occur nowhere else has no partner at all; of the others, those rarest shingles (the prefix) are shared
    with every partner. Sets that share one, in the same or a neighbouring size band, are hung on the least of them;
    the components of that graph hold every link.
-4. Each component is cut into tiles of bounded size by size band. In a tile, bitmaps in which every shingle flips one
+4. Each component is cut into tiles of bounded size (sets, and shingles in them) by size band. In a tile, bitmaps in which every shingle flips one
    bit bound the overlap of a pair from above (each differing bit is a shingle that only one of both has); pairs that
    may still link are decided by intersecting the sorted arrays. Links between sets that are already connected
    are not looked for, since they change no component.
 5. Components of more than one tile go on: the least members of the tiles' components are compared with each other,
-   and what is still apart after that is compared tile by tile, all pairs of tiles whose bands allow a link.
+   and what is still apart after that is compared tile by tile, those pairs of tiles that share a prefix shingle and
+   whose bands allow a link.
 
 Defined cases: texts without words (or null) have an empty set and link with nothing; rows that share a doc_id are
-one vertex; rows with a null doc_id get their class's component and never give it its name; an empty table gives an
-empty result; columns other than doc_id and text are ignored.
+one vertex, whatever their texts; rows with a null doc_id get their class's component and never give it its name;
+texts of any length are read whole; equal texts and equal sets are linked; an empty table gives an empty result;
+columns other than doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +36,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunked import bucket_of, chunks, open_chunk, shared_counts, short
-from .common import blocks, materialize
+from .common import blocks, discard, materialize
 from .graph import components
 from .shingles import shingle_sets
 
-#: Sets in a tile at most, about; counted shingles in a bucket, about.
+#: Weight of a tile at most, about; a set weighs 1 for every so many shingles, 1 at least.
 TILE = 1024
+WEIGHT_SHINGLES = 4096
+#: Counted shingles in a bucket, about.
 BUCKET = 1_000_000
+#: Rows of one class are dealt to so many tasks.
+SALTS = 256
 
 
 def required(n: int, percent: int) -> int:
@@ -174,12 +180,16 @@ def relabel(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.drop("label").join(roots, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
 
 
+def weight() -> Column:
+    return F.ceil(F.greatest(F.col("n"), F.lit(1)) / F.lit(WEIGHT_SHINGLES))
+
+
 def verified_edges(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """A spanning set of the links between the sets of each candidate component."""
-    rows = sets.drop("prefix").join(comps, "doc_id").withColumn("band", band(percent))
-    sizes = materialize(rows.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    rows = sets.join(comps, "doc_id").withColumns({"band": band(percent), "w": weight()})
+    sizes = materialize(rows.groupBy("comp", "band").agg(F.sum("w").alias("m")), "sizes")
     whole = sizes.groupBy("comp").agg(F.sum("m").alias("all"))
-    small = rows.join(whole.filter(F.col("all") <= TILE), "comp").withColumn("label", F.col("doc_id"))
+    small = rows.drop("prefix").join(whole.filter(F.col("all") <= TILE), "comp").withColumn("label", F.col("doc_id"))
     tiles = max(1, -(-(whole.filter(F.col("all") <= TILE).agg(F.sum("all")).first()[0] or 0) // TILE))
     small = small.withColumn("tile", F.pmod(F.xxhash64("comp"), F.lit(tiles)))
     edges = tile_links(small, "tile", percent)
@@ -192,57 +202,78 @@ def verified_edges(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame
     edges = materialize(edges.union(tile_links(large, "tile", percent)), "links")
     # Then the least members of the tiles' components, dealt anew.
     labelled = materialize(relabel(large.drop("tile"), edges), "labelled")
+    discard(large)
     least = labelled.filter("doc_id = label")
-    count = least.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    again = least.join(count, "comp").withColumn("tile", F.xxhash64("comp", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.ceil(F.col("m") / F.lit(TILE))))).drop("m")
+    count = least.groupBy("comp").agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("m")).filter("k > 1")
+    again = least.join(count, "comp").withColumn("tile", F.xxhash64("comp", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.ceil(F.col("m") / F.lit(TILE))))).drop("k", "m")
     edges = materialize(edges.union(tile_links(again, "tile", percent)), "links")
-    # What is still apart: all pairs of tiles whose bands allow a link and that are not of one label alone.
-    labelled = materialize(relabel(labelled, edges), "labelled")
-    apart = labelled.groupBy("comp").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("comp")
+    # What is still apart: pairs of tiles with a common prefix shingle, of bands that allow a link and not of one label alone.
+    relabelled = materialize(relabel(labelled, edges), "labelled")
+    discard(labelled)
+    apart = relabelled.groupBy("comp").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("comp")
     if apart.isEmpty():
         return edges
-    left = labelled.join(apart, "comp", "left_semi")
-    per = left.groupBy("comp", "band", "label").agg(F.count(F.lit(1)).alias("m"))
+    left = relabelled.join(apart, "comp", "left_semi")
+    per = left.groupBy("comp", "band", "label").agg(F.sum("w").alias("m"))
     # Labels of under half a tile share tiles; larger ones have tiles of their own.
     own = F.when(F.col("m") * 2 > TILE, F.col("label"))
     mixed = per.filter(F.col("m") * 2 <= TILE).groupBy("comp", "band").agg(F.sum("m").alias("rest"))
     dealt = left.join(per, ["comp", "band", "label"]).join(mixed, ["comp", "band"], "left").withColumn("own", own)
     many = F.ceil(F.when(F.col("own").isNotNull(), F.col("m")).otherwise(F.col("rest")) / F.lit(TILE))
     slot = F.pmod(F.xxhash64(F.when(F.col("own").isNotNull(), F.col("doc_id")).otherwise(F.col("label"))), many)
-    dealt = materialize(dealt.withColumn("part", F.xxhash64("comp", "band", F.coalesce("own", F.lit(-1)), slot)).select("comp", "band", "own", "part", "doc_id", "label", "shingles"), "dealt")
-    parts = dealt.select("comp", "band", "own", "part").distinct()
-    other = parts.select("comp", *[F.col(c).alias(f"{c}_") for c in ("band", "own", "part")])
-    pairs = parts.join(other, "comp").filter("part <= part_ and abs(band - band_) <= 1 and not (own <=> own_ and own is not null)")
+    dealt = materialize(dealt.withColumn("part", F.xxhash64("comp", "band", F.coalesce("own", F.lit(-1)), slot)).select("comp", "band", "own", "part", "doc_id", "label", "prefix", "shingles"), "dealt")
+    # Shingles that the same parts have give the same pairs, so each list of parts is paired once.
+    lists = dealt.select("comp", "band", "own", "part", F.explode("prefix").alias("h")).distinct().groupBy("comp", "h").agg(F.array_sort(F.collect_list(F.struct("part", "band", "own"))).alias("parts")).select("comp", "parts").distinct()
+    one = lists.select("comp", "parts", F.explode("parts").alias("p"))
+    pairs = one.select("comp", "p", F.explode("parts").alias("q")).filter("p.part <= q.part and abs(p.band - q.band) <= 1 and not (p.own <=> q.own and p.own is not null)")
+    pairs = pairs.select("comp", F.col("p.part").alias("part"), F.col("q.part").alias("part_")).distinct()
     pairs = materialize(pairs.select("comp", F.xxhash64("part", "part_").alias("tile"), "part", "part_"), "pairs")
     same = pairs.filter("part = part_").select("tile", "part", F.lit(-1).alias("side"))
     crossed = pairs.filter("part <> part_").select("tile", F.explode(F.array(F.struct("part", F.lit(0).alias("side")), F.struct(F.col("part_").alias("part"), F.lit(1).alias("side")))).alias("x")).select("tile", "x.part", "x.side")
-    edges = edges.union(tile_links(dealt.join(same, "part"), "tile", percent)).union(tile_links(dealt.join(crossed, "part"), "tile", percent, across=True))
-    return materialize(edges, "links")
+    edges = materialize(edges.union(tile_links(dealt.join(same, "part"), "tile", percent)).union(tile_links(dealt.join(crossed, "part"), "tile", percent, across=True)), "links")
+    discard(relabelled, dealt, pairs)
+    return edges
+
+
+def repeated_ids(thin: DataFrame, named: DataFrame) -> DataFrame:
+    """Edges between the representatives of all classes that one doc_id has."""
+    several = thin.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z and doc_id is not null").select("doc_id")
+    reps = thin.join(several, "doc_id", "left_semi").select("doc_id", "class").distinct().join(named, "class").select("doc_id", "rep")
+    return reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").select(F.col("rep").alias("u"), F.col("least").alias("v"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each document."""
     all_ = materialize(classes(docs, k), "classes")
-    thin = all_.select("doc_id", "n", "class")
-    named = thin.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    thin = materialize(all_.select("doc_id", "n", "class"), "thin")
+    # A class in slices of its rows: what all of them must know moves once a slice.
+    slices = materialize(thin.filter("n > 0").groupBy("class", salt).agg(F.min("doc_id").alias("least")), "slices")
+    named = slices.groupBy("class").agg(F.min("least").alias("rep"))
     buckets = max(16, math.ceil((thin.agg(F.sum("n")).first()[0] or 0) / 2 / BUCKET))
     # Copies are dropped task by task before their texts move.
     kept = all_.filter("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "packed"), "doc_id").alias("x")).select("x.doc_id", "class", "x.packed").filter("doc_id is not null")
     held = materialize(chunks(kept), "chunks")
+    discard(all_)
     sets = materialize(with_partners(held, shared_counts(held, lambda texts: [counted(s, percent)[0] for s in shingle_sets(texts, k)], buckets), k, percent, buckets), "sets")
+    discard(held)
     comps = components(candidate_edges(sets, percent))
     comps = comps.select(F.col("u").alias("doc_id"), F.col("root").alias("comp"))
     comps = materialize(comps.union(comps.select(F.col("comp").alias("doc_id"), "comp")).distinct(), "comps")
-    roots = components(verified_edges(sets, comps, percent)).withColumnRenamed("u", "rep")
+    links = verified_edges(sets, comps, percent)
+    discard(sets)
+    roots = components(links.union(repeated_ids(thin, named))).withColumnRenamed("u", "rep")
     found = named.join(roots, "rep", "left").select("class", F.coalesce("root", "rep").alias("component_id"))
+    told = slices.drop("least").join(found, "class")
     kind = docs.schema["doc_id"].dataType
-    joined = thin.join(found, "class", "left")
+    joined = thin.withColumn("salt", salt).join(told, ["class", "salt"], "left")
     return joined.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").cast(kind).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each component, the one that gives it its name. Rows with a null doc_id, which no
-    component can name, are passed on."""
+    component can name, are passed on. Rows that share that doc_id stay if their texts differ; of those with one text
+    (equal but for other columns, if at all) one stays."""
     names = jaccard_components(docs.filter("doc_id is not null"), k, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(names, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    kept = docs.join(names, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
