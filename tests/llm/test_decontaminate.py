@@ -66,7 +66,7 @@ def test_every_way_to_deal_gives_plain_bm25(spark, monkeypatch):
 def test_shards_are_bounded_and_share_their_statistics(spark, monkeypatch):
     _, _, item_rows, _ = tables(spark)
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 2000)
-    shards = list(decontaminate.index_shards(item_rows))
+    shards = [decontaminate.load_shard(name) for name in decontaminate.write_shards(item_rows)]
     assert len(shards) > 2 and sum(len(x.ids) for x in shards) == 60
     assert len({x.longest for x in shards}) == 1
     assert all(sum(len(" ".join(q + a)) for q, a in x.parts) <= 2000 for x in shards)

@@ -8,14 +8,16 @@ weight; a passage whose essential terms, with all the rest granted, stay below t
 what is retrieved, the document must share the word runs of both parts of the item: the question (up to the last
 question mark or colon, else the first three quarters) and the answer (the rest).
 
-The index is built on the driver and shipped to the tasks shard by shard; a shard takes distinct texts of at most about
-``SHARD_BYTES`` (or one longer text), so what is shipped is bounded however long the list of items grows or often it
-repeats an item, and every document meets every shard. Number and mean length of the items, the longest one and the
-frequencies of terms are counted once over all items, so no result depends on how the shards are dealt.
+The index is written to the shared folder in shards, each built by one task from distinct texts of at most about
+``SHARD_BYTES`` (or one longer text). A task that searches holds one shard and a few megabytes of documents at a time
+and meets every shard, so its memory does not grow with the list of items. Number and mean length of the items, the
+longest one and the frequencies of terms are counted once over all items, so no result depends on how the shards are
+dealt.
 
 Defined cases: items and documents that are null, empty or without a word match nothing; repeated items and rows
-count each; items with a null id are searched like others; an empty table on either side gives no matches; columns
-other than doc_id, text, item_id are ignored by the search and passed on by the filter.
+count each; items with a null id are searched like others; of passages with equal scores any gives the same row; texts of
+any length are searched whole; an empty table on either side gives no matches; columns other than doc_id, text, item_id,
+whatever their names, are ignored by the search and passed on by the filter.
 """
 
 from __future__ import annotations
@@ -23,18 +25,24 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
+import pickle
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, new_folder
+from zeitband.shared import new_folder
+
+from .common import blocks, discard, materialize
 
 K1, B = 1.2, 0.75
 BLOCK = 16
@@ -42,6 +50,8 @@ ESSENTIAL = 0.8
 SHARD_BYTES = 4 << 20
 #: Hash buckets of texts for each shard, about.
 FINE = 64
+#: Bytes of documents that meet a shard at once, about.
+HELD_BYTES = 4 << 20
 LEAST_WINDOW = 64
 WORD = re.compile(r"[^\W_]+")
 
@@ -210,21 +220,14 @@ def distinct_texts(items: DataFrame) -> DataFrame:
     return counted.mapInArrow(run, "text string, n long, words long, terms array<string>").filter("words > 0")
 
 
-def by_shard(rows: DataFrame, what: str) -> DataFrame:
-    """``rows`` written once, in a folder for each shard."""
-    path = new_folder(rows.sparkSession, what)
-    rows.write.partitionBy("shard").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-def index_shards(items: DataFrame) -> Iterator[ItemIndex]:
-    """The indexes of the items' distinct texts; each is built from at most about ``SHARD_BYTES`` of text."""
+def write_shards(items: DataFrame) -> list[str]:
+    """Write the indexes of the items' distinct texts, and return their files, one for each shard."""
     spark = items.sparkSession
+    path = new_folder(spark, "item-index")
     texts = materialize(distinct_texts(items), "items")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if not size:
-        yield ItemIndex([], Totals(0, 0, 0), {})
-        return
+        return []
     bucket = F.pmod(F.xxhash64("text"), F.lit(FINE * math.ceil(size / SHARD_BYTES))).alias("bucket")
     sums = texts.groupBy(bucket).agg(F.sum(F.octet_length("text")), F.sum("n"), F.sum(F.col("n") * F.col("words")), F.max("words")).collect()
     totals = Totals(sum(r[2] for r in sums), sum(r[3] for r in sums), max(r[4] for r in sums))
@@ -235,46 +238,66 @@ def index_shards(items: DataFrame) -> Iterator[ItemIndex]:
         held += r[1]
         dealt.append((r[0], shard))
     placed = texts.withColumn("bucket", bucket).join(F.broadcast(spark.createDataFrame(dealt, "bucket long, shard int")), "bucket")
-    own = by_shard(placed.select("shard", "text"), "item-texts")
     terms = placed.select("shard", "n", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("n").alias("n"), F.collect_set("shard").alias("shards"))
-    frequencies = by_shard(terms.select(F.explode("shards").alias("shard"), "term", "n"), "item-terms")
-    for i in range(shard + 1):
-        here = F.col("shard") == i
-        frequency = {r["term"]: r["n"] for r in frequencies.filter(here).select("term", "n").collect()}
-        yield ItemIndex(sorted(r["text"] for r in own.filter(here).select("text").collect()), totals, frequency)
+    frequencies = terms.select(F.explode("shards").alias("shard"), "term", "n")
+
+    def build(own: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+        index = ItemIndex(sorted(own["text"]), totals, dict(zip(counted["term"], counted["n"], strict=True)))
+        where, folder = fs.FileSystem.from_uri(path)
+        where.create_dir(folder, recursive=True)
+        # Files of lost or repeated tasks are named nowhere.
+        name = uuid.uuid4().hex
+        with where.open_output_stream(f"{folder}/{name}", compression=None) as out:
+            out.write(pickle.dumps(index))
+        return pd.DataFrame({"name": [name]})
 
+    built = placed.select("shard", "text").groupBy("shard").cogroup(frequencies.groupBy("shard")).applyInPandas(build, "name string")
+    names = [f"{path}/{r['name']}" for r in built.collect()]
+    discard(texts)
+    return names
 
-def matches(index: ItemIndex, texts: list[list[str]], share: float, least_overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
+
+@lru_cache(maxsize=1)
+def load_shard(name: str) -> ItemIndex:
+    where, path = fs.FileSystem.from_uri(name)
+    with where.open_input_stream(path, compression=None) as file:
+        return pickle.loads(file.read())
+
+
+def matches(index: ItemIndex, texts: list[list[str]], share: float, least_overlap: float) -> dict[tuple[int, bytes], tuple[float, float, float]]:
     """Text and item of each verified match, with the score and both overlaps of its best passage."""
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for t, start, end in index.candidates(texts, share) if index.ids else []:
+    best: dict[tuple[int, bytes], tuple[float, float, float]] = {}
+    for t, start, end in index.candidates(texts, share):
         passage = texts[t][start:end]
         for d, score in index.search(set(passage), share):
             q, a = (overlap(part, passage) for part in index.parts[d])
             if q >= least_overlap and a >= least_overlap:
-                best[t, d] = max(best.get((t, d), (0.0, 0.0, 0.0)), (score, q, a))
+                best[t, index.ids[d]] = max(best.get((t, index.ids[d]), (0.0, 0.0, 0.0)), (score, q, a))
     return best
 
 
+def all_matches(texts: list[str | None], shards: list[str], share: float, least_overlap: float) -> dict[tuple[int, bytes], tuple[float, float, float]]:
+    """The matches of ``texts`` in all shards; no item is in two of them."""
+    words = [words_of(t) if t else [] for t in texts]
+    found: dict[tuple[int, bytes], tuple[float, float, float]] = {}
+    for name in shards:
+        found |= matches(load_shard(name), words, share, least_overlap)
+    return found
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.6, least_overlap: float = 0.6) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, score, question_overlap, answer_overlap."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    thin = docs.select("doc_id", "text")
-
-    def search(index: ItemIndex) -> DataFrame:
-        shipped = docs.sparkSession.sparkContext.broadcast(index)
+    shards = write_shards(items)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = shipped.value
-            for b in blocks(batches, "text"):
-                best = matches(of, [words_of(t) if t else [] for t in b.column(1).to_pylist()], share, least_overlap)
-                numbers = [pa.array([x[i] for x in best.values()], pa.float64()) for i in range(3)]
-                item = pa.array([of.ids[d] for _, d in best], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([t for t, _ in best], pa.int64())), item, *numbers], ["doc_id", "item", "score", "question_overlap", "answer_overlap"])
-
-        return thin.mapInArrow(run, f"doc_id {kind}, item binary, score double, question_overlap double, answer_overlap double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text", HELD_BYTES):
+            best = all_matches(b.column(1).to_pylist(), shards, share, least_overlap)
+            numbers = [pa.array([x[i] for x in best.values()], pa.float64()) for i in range(3)]
+            item = pa.array([i for _, i in best], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([t for t, _ in best], pa.int64())), item, *numbers], ["doc_id", "item", "score", "question_overlap", "answer_overlap"])
 
-    found = reduce(DataFrame.unionByName, map(search, index_shards(items)))
+    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item binary, score double, question_overlap double, answer_overlap double")
     ids = items.filter(F.col("text").isNotNull()).select("item_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("item"))
     return found.join(ids, "item").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
 
@@ -282,16 +305,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.6, least_over
 def drop_leaking(docs: DataFrame, items: DataFrame, share: float = 0.6, least_overlap: float = 0.6) -> DataFrame:
     """The documents that hold no item, judged row by row; columns and all other rows stay."""
     place = docs.columns.index("text")
+    shards = write_shards(items)
 
-    def without(docs: DataFrame, index: ItemIndex) -> DataFrame:
-        shipped = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in blocks(batches, "text"):
-                texts = [words_of(t) if t else [] for t in b.column(place).to_pylist()]
-                bad = {t for t, _ in matches(shipped.value, texts, share, least_overlap)}
-                yield b.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
-
-        return docs.mapInArrow(run, docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text", HELD_BYTES):
+            bad = {t for t, _ in all_matches(b.column(place).to_pylist(), shards, share, least_overlap)}
+            yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
-    return reduce(without, index_shards(items), docs)
+    return docs.mapInArrow(run, docs.schema)
