@@ -8,13 +8,15 @@ them by archive and offset, read runs of neighbouring records in one go and chec
 Of records with equal payloads of at least ``least_bytes``, the one with the smallest page_id is a response and the
 others revisit it. Defined cases: a null payload is empty; a null URL is an empty target; line breaks in a URL are
 percent-encoded; a record with a null page_id is a response that none revisits; repeated rows with the smallest
-page_id are all responses; an empty table gives an empty index; other columns are ignored.
+page_id are all responses; payloads of any length are written whole, and one longer than a read takes a read of its own;
+an empty table gives an empty index; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,7 +26,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, new_folder
+from zeitband.shared import new_folder
+
+from .common import blocks, materialize
 
 INDEX = "page_id string, archive string, offset long, length long, url string, digest string"
 #: An archive is closed after so many bytes; one read takes at most so many, over gaps of at most so many.
@@ -33,6 +37,8 @@ READ_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
 #: Records of one archive are read in parallel by stretches of so many bytes.
 STRETCH_BYTES = 32 << 20
+#: Pages of one payload are looked at in so many slices.
+SLICES = 256
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -53,16 +59,21 @@ def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str
     return "\r\n".join(lines).encode() + body + b"\r\n\r\n", digest
 
 
+def page_of(name: str) -> str | None:
+    """The page_id in a record's name; it may hold colons, the digest behind it holds none."""
+    return name.removeprefix("<urn:page:").rpartition(":")[0] or None
+
+
 def parse(raw: bytes) -> tuple[str | None, int, str, str, str | None]:
     """page_id, payload bytes, payload digest, record type and the page that it refers to."""
     head, _, body = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     http, _, payload = body[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
-    page = fields["WARC-Record-ID"].split(":")[2] or None
+    page = page_of(fields["WARC-Record-ID"])
     stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if fields["WARC-Type"] == "revisit":
         size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length:"))
-        return page, size, stated, "revisit", fields["WARC-Refers-To"].split(":")[2]
+        return page, size, stated, "revisit", page_of(fields["WARC-Refers-To"])
     if (digest := base32_sha1(payload)) != stated:
         raise ValueError(f"page {page}: payload digest {digest}, record says {stated}")
     return page, len(payload), digest, "response", None
@@ -73,8 +84,11 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     keyed = rows.withColumn("key", F.sha2(F.col("payload").cast("binary"), 256))
     thin = keyed.filter(F.octet_length("payload") >= least_bytes).select("page_id", "key")
-    first = thin.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = thin.join(first, "key").filter("page_id <> refers_to").distinct()
+    # Payloads in slices of their pages: a payload of very many pages is not told to all of them by one task.
+    thin = thin.withColumn("slice", F.pmod(F.xxhash64("page_id"), F.lit(SLICES)).cast("int"))
+    slices = thin.groupBy("key", "slice").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("m"))
+    first = slices.groupBy("key").agg(F.min("least").alias("refers_to"), F.sum("m").alias("n")).filter("n > 1").drop("n")
+    later = thin.join(slices.select("key", "slice").join(first, "key"), ["key", "slice"]).filter("page_id <> refers_to").drop("slice").distinct()
     return keyed.join(later, ["page_id", "key"], "left").drop("key")
 
 
@@ -140,7 +154,9 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
             file.close()
 
     stretch = (F.col("offset") / F.lit(STRETCH_BYTES)).cast("long")
-    ranges = index.repartition("archive", stretch).sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
+    # As many tasks as there are bytes to read, not as the index has rows.
+    tasks = math.ceil((index.agg(F.sum("length")).first()[0] or 0) / STRETCH_BYTES) * 2 + 1
+    ranges = index.repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
     return ranges.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
