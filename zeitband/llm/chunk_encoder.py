@@ -8,12 +8,13 @@ first, up to a bound; frequent chunks are among them, and rarer ones are kept fo
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from array import array
 from functools import lru_cache
 
-from .token_counts import SEPARATORS
+from .token_counts import SEPARATORS, check_vocabulary
 
 #: Chunks, and words without their marks, that a worker keeps at most.
 CHUNK_ENTRIES = 150_000
@@ -37,6 +38,8 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            check_vocabulary(json.load(f), path)
         self.of = Tokenizer.from_file(path)
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -47,7 +50,9 @@ class ChunkEncoder:
     def parts(self, chunk: str) -> tuple[str, str]:
         """A chunk as its word and the marks that end it, which are pre-tokens of their own; or as it is."""
         word = chunk.rstrip(MARKS)
-        if len(word) == len(chunk) or not word or not word[-1].lower()[-1].isalnum() or "<|" in chunk:
+        if len(word) == len(chunk) or not word or "<|" in chunk:
+            return chunk, ""
+        if not (word[-1].isascii() or unicodedata.is_normalized("NFC", word[-1])) or not word[-1].lower()[-1].isalnum():
             return chunk, ""
         return word, chunk[len(word) :]
 

@@ -1,33 +1,41 @@
 """Token counts by rank-synchronous array merging.
 
-A text is cut into pre-tokens; the distinct pre-tokens of a batch are laid out as one ragged array of symbols, and
-in every round each sequence applies its own lowest-rank pair, all sequences at once, until none has a pair left.
-The symbols that survive are its tokens. Counts of white-space-free chunks are kept per worker, since chunks repeat
-and no token crosses white space.
+A text is cut into pre-tokens by the vocabulary's own normalizer and pre-tokenizer; the distinct pre-tokens of a batch
+are laid out as one ragged array of symbols, and in every round each sequence applies its own lowest-rank pair, all
+sequences at once, until none has a pair left. The symbols that survive are its tokens. Counts of white-space-free
+chunks are kept per worker, since chunks repeat and no token crosses white space. Chunks of ASCII letters, digits and
+marks, which any normalizer of this kind only puts in lower case, are cut by a pattern; vocabularies of another kind are
+refused.
 
 Defined cases: a null or empty text has 0 tokens and 0 bytes; every row gives one row, repeated rows and null or
-repeated ids included; other columns are ignored; an empty table gives an empty result.
+repeated ids included; texts of any length are counted whole; other columns, whatever their names, are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks
 
-# Fixed values of the vocabulary file's pre-tokenizer: contractions, letter runs, single digits, runs of the rest.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+# Fixed values of the vocabulary file: its normalizer, and its pre-tokenizer's contractions, letter runs, single digits
+# and runs of the rest.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-case ASCII.
+ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 #: str.split() also cuts at these, which are not white space to the tokenizer.
-SEPARATORS = regex.compile("[\x1c-\x1f]")
+SEPARATORS = re.compile("[\x1c-\x1f]")
+#: White space of the tokenizer (the Unicode property), for texts with separators.
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 NO_RANK = np.int64(2**62)
 #: Chunks that a worker keeps at most: those that it met first, the frequent ones among them. Rarer ones are kept for
 #: their batch alone.
@@ -42,12 +50,21 @@ def byte_characters() -> list[str]:
     return [shown[b] if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def check_vocabulary(spec: dict, path: str) -> None:
+    """Refuse vocabularies whose texts may not be cut at white space and read in lower case."""
+    normalizers = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    splits = [p["pattern"].get("Regex") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+    if normalizers != NORMALIZERS or splits != [SPLIT] or spec["model"]["type"] != "BPE":
+        raise ValueError(f"{path} is not a lower-case byte-level BPE vocabulary with word ends")
+
+
 class MergeTable:
     """Pair ranks of a byte-level BPE vocabulary with word ends, as sorted arrays."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_vocabulary(spec, path)
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         shown = byte_characters()
@@ -120,14 +137,24 @@ class MergeTable:
 
 class TokenCounter:
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         self.table = MergeTable(path)
-        self.pre_token = regex.compile(PRE_TOKEN)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, self.table.special)) + ")")
-        self.space = regex.compile(r"\p{White_Space}+")
+        of = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = of.normalizer, of.pre_tokenizer
+        self.special = re.compile("(" + "|".join(map(re.escape, self.table.special)) + ")")
+        self.byte = {c: b for b, c in enumerate(byte_characters())}
         self.counts: dict[str, int] = {}
 
     def chunks(self, text: str) -> list[str]:
-        return [x for x in self.space.split(text) if x] if SEPARATORS.search(text) else text.split()
+        return [x for x in SPACE.split(text) if x] if SEPARATORS.search(text) else text.split()
+
+    def words(self, part: str) -> list[bytes]:
+        """The pre-tokens of a text without special tokens."""
+        if part.isascii():
+            return [w.encode() for w in ASCII_SPLIT.findall(part.lower())]
+        shown = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part))
+        return [bytes(map(self.byte.__getitem__, w)) for w, _ in shown]
 
     def pre_tokens(self, chunk: str) -> tuple[list[bytes], int]:
         """The pre-tokens of a chunk, and how many special tokens it holds."""
@@ -137,8 +164,7 @@ class TokenCounter:
             if i % 2:
                 special += 1
             elif part:
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                words += [w.encode() for w in self.pre_token.findall(plain)]
+                words += self.words(part)
         return words, special
 
     def learn(self, chunks: list[str]) -> None:
