@@ -1,13 +1,22 @@
-"""Identities of speakers: similarity to known voices, and matching of local to global numbers."""
+"""Identities of speakers: similarity to known voices, banks of voices that learn, and matching of local to global numbers."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zeitband.functions.text import cosine
 
+from .intervals import overlaps
+
+#: A bank of up to so many voices is broadcast; a larger one is joined in salted copies of its sessions.
+BROADCAST_VOICES = 20_000
+SALTS = 32
+
 
 def mean_voices(rows: DataFrame) -> DataFrame:
     """session, speaker and the mean of its embeddings: sums by dimension are combined before the shuffle."""
@@ -16,27 +25,189 @@ def mean_voices(rows: DataFrame) -> DataFrame:
     return means.groupBy("session", "speaker").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("voice"))
 
 
-def identify(queries: DataFrame, bank: DataFrame, threshold: float = 0.62) -> DataFrame:
+def with_voices(queries: DataFrame, bank: DataFrame) -> DataFrame:
+    """Each query with each voice of its session, or with none; the size of the bank decides how they meet."""
+    if bank.limit(BROADCAST_VOICES + 1).count() <= BROADCAST_VOICES:
+        return queries.join(F.broadcast(bank), "session", "left")
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")
+    copies = bank.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return queries.withColumn("__salt", salt).join(copies, ["session", "__salt"], "left").drop("__salt")
+
+
+def identify(queries: DataFrame, bank: DataFrame, threshold: float = 0.62, pending_threshold: float = 0.35) -> DataFrame:
     """vec_id, similarity and speaker of the voice of the same session that is most similar; the speaker is null up to
-    the threshold, and ties go to the least one. A session has few voices, so the join by session stays narrow.
-    ``queries`` has session, vec_id and embedding; without a voice in its session a query has similarity 0."""
-    scored = queries.join(bank, "session", "left").select("vec_id", F.coalesce(F.round(cosine(F.col("embedding"), F.col("voice")), 6), F.lit(0.0)).alias("similarity"), "speaker")
-    best = scored.groupBy("vec_id").agg(F.max(F.struct("similarity", (-F.col("speaker")).alias("place"))).alias("b"))
-    return best.select("vec_id", "b.similarity", F.when(F.col("b.similarity") > threshold, -F.col("b.place")).alias("speaker"))
+    the threshold, and ties go to the least one. Voices may be pending (``pending``, if the bank has that column): they
+    have a threshold of their own, and give way to a confirmed voice that is as similar. ``queries`` has session, vec_id
+    and embedding; without a voice in its session a query has similarity 0."""
+    voices = bank if "pending" in bank.columns else bank.withColumn("pending", F.lit(False))
+    scored = with_voices(queries, voices).select("vec_id", F.coalesce(F.round(cosine(F.col("embedding"), F.col("voice")), 6), F.lit(0.0)).alias("similarity"), "speaker", F.coalesce("pending", F.lit(False)).alias("pending"))
+    best = scored.groupBy("vec_id").agg(F.max(F.struct("similarity", (~F.col("pending")).alias("sure"), (-F.col("speaker")).alias("place"))).alias("b"))
+    needed = F.when(F.col("b.sure"), threshold).otherwise(pending_threshold)
+    return best.select("vec_id", "b.similarity", F.when(F.col("b.similarity") > needed, -F.col("b.place")).alias("speaker"))
+
+
+def best_confirmed(queries: DataFrame, bank: DataFrame) -> DataFrame:
+    """vec_id and the largest similarity to any voice of its session, 0 without one."""
+    return identify(queries, bank, threshold=2.0).select("vec_id", "similarity")
+
+
+# Banks that learn.
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) or len(a) != len(b) or not (norms := float(np.linalg.norm(a) * np.linalg.norm(b))):
+        return 0.0
+    return float(a @ b) / norms
+
+
+class VoiceBank:
+    """The voices of one session. A voice is pending after a first contact and confirmed by a second one that is similar
+    enough, or at once by a long one. Order matters, so contacts come one by one."""
+
+    def __init__(self, match: float = 0.62, confirm: float = 0.35, least_ms: int = 2000, quick_ms: int = 4000):
+        self.match, self.confirm, self.least_ms, self.quick_ms = match, confirm, least_ms, quick_ms
+        self.sure: dict[int, tuple[np.ndarray, int]] = {}
+        self.pending: dict[int, np.ndarray] = {}
+
+    def knows(self, speaker: int) -> bool:
+        return speaker in self.sure or speaker in self.pending
+
+    def _confirm(self, speaker: int, voice: np.ndarray) -> None:
+        self.sure[speaker] = ((self.pending.pop(speaker) + voice) / 2, 2)
+
+    def identify(self, voice: np.ndarray | None, ms: int, confirmed_only: bool = False) -> int | None:
+        """The most similar voice above its threshold; a pending one is confirmed by that. Confirmed voices come first
+        on ties."""
+        if voice is None or ms < self.least_ms:
+            return None
+        known = [(v, s, False) for s, (v, _) in self.sure.items()]
+        known += [] if confirmed_only else [(v, s, True) for s, v in self.pending.items()]
+        best, at, waits = 0.0, None, False
+        for v, s, is_pending in known:
+            if (x := similarity(voice, v)) > best:
+                best, at, waits = x, s, is_pending
+        if at is None or best <= (self.confirm if waits else self.match):
+            return None
+        if waits:
+            self._confirm(at, voice)
+        return at
+
+    def enroll(self, speaker: int, voice: np.ndarray | None, ms: int) -> bool:
+        """Take a contact of a speaker in; true if the speaker is confirmed by then."""
+        if voice is None or ms < self.least_ms:
+            return False
+        if speaker in self.sure:
+            mean, n = self.sure[speaker]
+            self.sure[speaker] = ((mean * n + voice) / (n + 1), n + 1)
+            return True
+        first = speaker not in self.pending
+        if not first and similarity(self.pending[speaker], voice) >= self.confirm:
+            self._confirm(speaker, voice)
+            return True
+        self.pending[speaker] = voice
+        if first and ms >= self.quick_ms:
+            self._confirm(speaker, voice)
+            return True
+        return False
+
+    def dump(self) -> dict:
+        return {"sure": [[s, v.tolist(), n] for s, (v, n) in self.sure.items()], "pending": [[s, v.tolist()] for s, v in self.pending.items()]}
+
+    def load(self, state: dict) -> VoiceBank:
+        self.sure = {s: (np.array(v), n) for s, v, n in state["sure"]}
+        self.pending = {s: np.array(v) for s, v in state["pending"]}
+        return self
+
+
+CONTACTS = "session long, seq long, matched int, confirmed boolean, n_confirmed long, n_pending long"
+
+
+def contact(bank: VoiceBank, r: dict) -> tuple:
+    """One contact: identified, or else enrolled as the speaker that it was taken for."""
+    voice = None if r["embedding"] is None else np.asarray(r["embedding"], np.float64)
+    matched = bank.identify(voice, r["ms"])
+    sure = matched is None and bank.enroll(int(r["speaker"]), voice, r["ms"])
+    return r["session"], r["seq"], matched, sure, len(bank.sure), len(bank.pending)
+
+
+def identify_and_enroll(contacts: DataFrame, **limits: float) -> DataFrame:
+    """session, seq, the voice that was matched, whether the contact confirmed one, and the sizes of the bank after it.
+    ``contacts``: session, seq (their order), speaker, ms, embedding. Each step depends on the ones before, so a
+    session is one group; a bank itself stays small. A null embedding or short contact changes nothing."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        bank = VoiceBank(**limits)
+        made = [contact(bank, r) for r in rows.sort_values(["seq", "speaker"], kind="stable").to_dict("records")]
+        out = pd.DataFrame(made, columns=["session", "seq", "matched", "confirmed", "n_confirmed", "n_pending"])
+        return out.astype({"matched": "Int32"})
+
+    return contacts.select("session", "seq", "speaker", "ms", "embedding").groupBy("session").applyInPandas(run, CONTACTS)
+
+
+# Matching of one chunk's speakers to those of the session.
+
+
+def significant_turns(turns: DataFrame, fragment_ms: int = 400, aggregate_ms: int = 2000) -> DataFrame:
+    """tid, turn_seq, speaker, start_ms, end_ms of turns of ``fragment_ms`` at least. Where a timeline has none of these,
+    each speaker whose fragments last ``aggregate_ms`` in all becomes one turn from the first to the last of them."""
+    ms = F.col("end_ms") - F.col("start_ms")
+    rows = turns.select("tid", "turn_seq", "speaker", "start_ms", "end_ms")
+    whole = rows.filter(ms >= fragment_ms)
+    broken = rows.join(whole.select("tid").distinct(), "tid", "left_anti")
+    sums = broken.groupBy("tid", "speaker").agg(F.min("turn_seq").alias("turn_seq"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum(ms).alias("ms"))
+    return whole.unionByName(sums.filter(F.col("ms") >= aggregate_ms).drop("ms"))
+
+
+def overlap_votes(local: DataFrame, world: DataFrame, zones: DataFrame) -> DataFrame:
+    """Overlap of each pair of local and global speaker inside the zone of their timeline (tid, zone_start, zone_end),
+    both sides clipped to it, and the first turns that each has in it."""
+
+    def clip(turns: DataFrame, name: str) -> DataFrame:
+        inside = turns.join(zones, "tid")
+        return inside.select("tid", F.col("speaker").alias(name), F.col("turn_seq").alias(f"{name}_first"), F.greatest("start_ms", "zone_start").alias("start_ms"), F.least("end_ms", "zone_end").alias("end_ms"))
+
+    met = overlaps(clip(local, "local"), clip(world, "global"), "tid")
+    return met.groupBy("tid", "local", "global").agg(F.sum("overlap_ms").alias("overlap_ms"), F.min("local_first").alias("local_first"), F.min("global_first").alias("global_first"))
+
+
+def greedy_pairs(votes: list[tuple[int, int, int]], least_ms: int) -> Iterator[tuple[int, int, int]]:
+    """One-to-one pairs of (local, global, overlap_ms) votes in their order."""
+    left, right = set(), set()
+    for a, b, ms in votes:
+        if ms >= least_ms and a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            yield a, b, ms
 
 
 def match_greedily(votes: DataFrame, least_ms: int = 300) -> DataFrame:
-    """One-to-one pairs of local and global speaker per timeline, the largest overlap first (ties: smaller numbers);
-    ``votes`` has tid, local, global and overlap_ms. A timeline has few speakers, so its votes are one small group."""
+    """One-to-one pairs of local and global speaker per timeline, the largest overlap first; ties go to the local, then
+    the global speaker whose turn comes first. A timeline has few speakers, so its votes are one small group."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        used_local, used_global, found = set(), set(), []
-        for r in rows.sort_values(["overlap_ms", "local", "global"], ascending=[False, True, True]).itertuples(index=False):
-            if r[1] not in used_local and r[2] not in used_global:
-                used_local.add(r[1])
-                used_global.add(r[2])
-                found.append(tuple(r))
-        return pd.DataFrame(found, columns=["tid", "local", "global", "overlap_ms"])
-
-    rows = votes.filter(F.col("overlap_ms") >= least_ms).select("tid", "local", "global", "overlap_ms")
-    return rows.groupBy("tid").applyInPandas(run, rows.schema)
+        ordered = rows.sort_values(["overlap_ms", "local_first", "global_first", "local", "global"], ascending=[False, True, True, True, True])
+        found = greedy_pairs(list(zip(ordered["local"], ordered["global"], ordered["overlap_ms"], strict=True)), least_ms)
+        return pd.DataFrame([(rows["tid"].iloc[0], *x) for x in found], columns=["tid", "local", "global", "overlap_ms"])
+
+    schema = votes.select("tid", "local", "global", "overlap_ms").schema
+    return votes.filter(F.col("overlap_ms") >= least_ms).groupBy("tid").applyInPandas(run, schema)
+
+
+def speaker_mapping(local: DataFrame, world: DataFrame, zones: DataFrame, least_ms: int = 300, fragment_ms: int = 400, aggregate_ms: int = 2000) -> DataFrame:
+    """tid, local, speaker and is_new: the session's number of each local speaker that has a significant turn. Speakers
+    without a match get new numbers in ascending order, from the largest that the session has in significant turns."""
+    own = significant_turns(local, fragment_ms, aggregate_ms)
+    old = world.filter((F.col("end_ms") - F.col("start_ms") >= fragment_ms) & (F.col("end_ms") > F.col("start_ms")))
+    pairs = match_greedily(overlap_votes(own, old, zones), least_ms)
+    speakers = own.groupBy("tid", F.col("speaker").alias("local")).agg(F.lit(1).alias("n")).drop("n")
+    top = old.groupBy("tid").agg(F.max("speaker").alias("top"))
+    found = speakers.join(pairs.select("tid", "local", "global"), ["tid", "local"], "left").join(top, "tid", "left")
+    is_new = F.col("global").isNull()
+    fresh = F.count_if(is_new).over(Window.partitionBy("tid").orderBy("local").rowsBetween(Window.unboundedPreceding, 0))
+    return found.select("tid", "local", F.coalesce("global", F.coalesce("top", F.lit(-1)) + fresh).cast("bigint").alias("speaker"), is_new.alias("is_new"))
+
+
+def reconcile(local: DataFrame, world: DataFrame, zones: DataFrame, least_ms: int = 300, fragment_ms: int = 400, aggregate_ms: int = 2000) -> DataFrame:
+    """tid, turn_seq, local, speaker, start_ms, end_ms of the significant turns of a chunk in the session's numbers."""
+    own = significant_turns(local, fragment_ms, aggregate_ms).withColumnRenamed("speaker", "local")
+    return own.join(speaker_mapping(local, world, zones, least_ms, fragment_ms, aggregate_ms).drop("is_new"), ["tid", "local"])

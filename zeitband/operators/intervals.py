@@ -24,34 +24,57 @@ def assign_speakers(segments: DataFrame, turns: DataFrame, least_ms: int = 80, s
     """Label each segment with the speaker whose turns overlap it most; ties go to the speaker whose turn comes first.
 
     Segments count as 300 ms long at least. A winner needs ``least_ms`` of overlap, and ``sure_ms`` or
-    ``sure_percent`` of the segment; else the segment is unlabeled, and ``reason`` says why. No row is lost.
+    ``sure_percent`` of the segment; else the segment is unlabeled, and ``reason`` says why. No row is lost. Timelines
+    without any turn keep the labels that they have (``noTurns``).
     """
     wide = segments.select("tid", "seq", "start_ms", F.greatest("end_ms", F.col("start_ms") + 300).alias("end_ms"))
     votes = overlaps(wide, turns, "tid").groupBy("tid", "seq", "speaker").agg(F.sum("overlap_ms").alias("overlap_ms"), F.min("turn_seq").alias("first_turn"))
     best = votes.groupBy("tid", "seq").agg(F.max(F.struct("overlap_ms", -F.col("first_turn"), "speaker")).alias("best")).select("tid", "seq", "best.overlap_ms", "best.speaker")
-    rows = segments.drop("speaker_id").join(best, ["tid", "seq"], "left")
+    heard = turns.select("tid").distinct().withColumn("__heard", F.lit(True))
+    rows = segments.join(best, ["tid", "seq"], "left").join(heard, "tid", "left")
     duration = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(300))
     reason = (
-        F.when(F.col("overlap_ms").isNull(), "noOverlap")
+        F.when(F.col("__heard").isNull(), "noTurns")
+        .when(F.col("overlap_ms").isNull(), "noOverlap")
         .when(F.col("overlap_ms") < least_ms, "belowMinOverlap")
         .when((F.col("overlap_ms") < sure_ms) & (100 * F.col("overlap_ms") < sure_percent * duration), "lowConfidence")
         .otherwise("label")
     )
-    return rows.withColumn("reason", reason).withColumn("speaker_id", F.when(F.col("reason") == "label", F.concat(F.lit("speaker_"), F.col("speaker").cast("string")))).drop("speaker")
+    named = F.when(F.col("reason") == "label", F.concat(F.lit("speaker_"), F.col("speaker").cast("string"))).when(F.col("reason") == "noTurns", F.col("speaker_id"))
+    return rows.withColumn("reason", reason).withColumn("speaker_id", named).drop("speaker", "__heard")
 
 
-def overlap_votes(local: DataFrame, world: DataFrame, zone_start: int, zone_end: int) -> DataFrame:
-    """Overlap of each pair of local and global speaker inside a zone, both sides clipped to it."""
-    clip = lambda df, name: df.select("tid", F.col("speaker").alias(name), F.greatest("start_ms", F.lit(zone_start)).alias("start_ms"), F.least("end_ms", F.lit(zone_end)).alias("end_ms"))
-    return overlaps(clip(local, "local"), clip(world, "global"), "tid").groupBy("tid", "local", "global").agg(F.sum("overlap_ms").alias("overlap_ms"))
+def replace_interval(kept: DataFrame, added: DataFrame, zones: DataFrame, margin_ms: int = 10) -> DataFrame:
+    """Turns of ``kept`` give way to ``added`` from the zone of their timeline on (``zones``: tid, zone_start, zone_end).
+
+    Turns that end ``margin_ms`` before the zone stay; those that begin before it end where it begins; those that begin
+    in it or behind it go. Timelines without a zone stay as they are; ``added`` is taken as it is.
+    """
+    rows = kept.join(zones.select("tid", "zone_start", "zone_end"), "tid", "left")
+    ends = F.col("end_ms") <= F.col("zone_start") - margin_ms
+    into = (F.col("start_ms") < F.col("zone_end") + margin_ms) & (F.col("start_ms") < F.col("zone_start"))
+    left = rows.filter(F.col("zone_start").isNull() | ends | into)
+    clipped = F.when(F.col("zone_start").isNull() | ends, F.col("end_ms")).otherwise(F.col("zone_start"))
+    return left.withColumn("end_ms", clipped).select(*kept.columns).unionByName(added)
+
+
+def coalesce_turns(turns: DataFrame, margin_ms: int = 10) -> DataFrame:
+    """Neighbouring turns of one speaker, in order of start, that overlap or lie up to ``margin_ms`` apart, as one:
+    tid, turn_seq (of the first), speaker, start_ms, end_ms, n_merged."""
+    w = Window.partitionBy("tid").orderBy("start_ms", "turn_seq")
+    rows = turns.select("tid", "turn_seq", "speaker", "start_ms", "end_ms", F.lag("speaker").over(w).alias("l"))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("l") == F.col("speaker"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy("tid", "run").orderBy("start_ms", "turn_seq")
+    reach = F.max("end_ms").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("apart", F.when(F.col("start_ms") <= reach + margin_ms, 0).otherwise(1))
+    rows = rows.withColumn("block", F.sum("apart").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("tid", "run", "block").agg(F.min_by("turn_seq", F.struct("start_ms", "turn_seq")).alias("turn_seq"), F.first("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n_merged")).drop("run", "block")
 
 
-def replace_interval(kept: DataFrame, added: DataFrame, zone_start: int, margin_ms: int = 10) -> DataFrame:
-    """Turns of ``kept`` that end by the zone's start stay, those that reach into it are clipped, later ones give way
-    to ``added``."""
-    ends = F.col("end_ms") <= zone_start - margin_ms
-    into = F.col("start_ms") < zone_start
-    return kept.filter(ends | into).withColumn("end_ms", F.when(ends, F.col("end_ms")).otherwise(F.least("end_ms", F.lit(zone_start)))).unionByName(added)
+def longest_turns(turns: DataFrame, keys: list[str]) -> DataFrame:
+    """The longest turn of each group; of equals the one with the least turn_seq."""
+    best = turns.groupBy(*keys).agg(F.max(F.struct((F.col("end_ms") - F.col("start_ms")).alias("ms"), (-F.col("turn_seq")).alias("place"), F.struct("turn_seq", "start_ms", "end_ms").alias("turn"))).alias("b"))
+    return best.select(*keys, "b.turn.turn_seq", "b.turn.start_ms", "b.turn.end_ms")
 
 
 def change_points(turns: DataFrame) -> DataFrame:

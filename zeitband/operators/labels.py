@@ -3,16 +3,19 @@ speaker_id, text; a null or blank speaker_id is unlabeled."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from zeitband.functions.text import is_blank, speaker_name, trimmed
+
 
 def order() -> WindowSpec:
     return Window.partitionBy("tid").orderBy("seq")
 
 
 def label(name: str = "speaker_id") -> Column:
-    return F.when(F.trim(F.col(name)) != "", F.col(name))
+    return F.when(~is_blank(F.col(name)), F.col(name))
 
 
 def words(name: str = "text") -> Column:
@@ -39,7 +42,7 @@ def fill_between(rows: DataFrame, longest_ms: int = 2000, most_words: int = 3) -
 
 def inherit_tiny(rows: DataFrame, longest_ms: int = 800, most_chars: int = 3, gap_ms: int = 500) -> DataFrame:
     """A tiny unlabeled segment takes the label of the segment close before it, else of the one close after."""
-    tiny = (F.col("end_ms") - F.col("start_ms") <= longest_ms) | (F.length(F.trim("text")) <= most_chars)
+    tiny = (F.col("end_ms") - F.col("start_ms") <= longest_ms) | (F.length(trimmed(F.col("text"))) <= most_chars)
     before = F.when((F.col("start_ms") - F.lag("end_ms").over(order())).between(0, gap_ms), F.lag(label()).over(order()))
     after = F.when((F.lead("start_ms").over(order()) - F.col("end_ms")).between(0, gap_ms), F.lead(label()).over(order()))
     return rows.withColumn("speaker_id", F.when(label().isNull() & tiny, F.coalesce(before, after)).otherwise(F.col("speaker_id")))
@@ -56,14 +59,15 @@ def fill_nearest(rows: DataFrame) -> DataFrame:
 def fill_leading(rows: DataFrame) -> DataFrame:
     """Unlabeled segments that end before the first labeled one take its label."""
     first = F.min(F.when(label().isNotNull(), F.struct("start_ms", "seq", "speaker_id"))).over(Window.partitionBy("tid"))
-    return rows.withColumn("first", first).withColumn("speaker_id", F.when(label().isNull() & (F.col("end_ms") <= F.col("first.start_ms")), F.col("first.speaker_id")).otherwise(F.col("speaker_id"))).drop("first")
+    leads = label().isNull() & (F.col("end_ms") <= F.col("__first.start_ms"))
+    return rows.withColumn("__first", first).withColumn("speaker_id", F.when(leads, F.col("__first.speaker_id")).otherwise(F.col("speaker_id"))).drop("__first")
 
 
 def renumber(rows: DataFrame) -> DataFrame:
     """speaker_no numbers the speakers of a timeline from 1 in the order of their first segments."""
     first = F.when(label().isNotNull(), F.min("seq").over(Window.partitionBy("tid", "speaker_id")))
-    ranked = rows.withColumn("first", first).withColumn("rank", F.dense_rank().over(Window.partitionBy("tid").orderBy(F.col("first").asc_nulls_last())))
-    return ranked.withColumn("speaker_no", F.when(F.col("first").isNotNull(), F.col("rank").cast("long"))).drop("first", "rank")
+    ranked = rows.withColumn("__first", first).withColumn("__rank", F.dense_rank().over(Window.partitionBy("tid").orderBy(F.col("__first").asc_nulls_last())))
+    return ranked.withColumn("speaker_no", F.when(F.col("__first").isNotNull(), F.col("__rank").cast("long"))).drop("__first", "__rank")
 
 
 def collapse(rows: DataFrame, joins: Column, between: str = " ") -> DataFrame:
@@ -74,16 +78,69 @@ def collapse(rows: DataFrame, joins: Column, between: str = " ") -> DataFrame:
     return merged.drop("block")
 
 
-def merge_gaps(rows: DataFrame, gap_ms: int = 1200) -> DataFrame:
-    """Neighbouring segments of one speaker with gaps of 0 to ``gap_ms`` become one."""
-    gap = F.col("start_ms") - F.lag("end_ms").over(order())
-    return collapse(rows, F.coalesce((F.lag(label()).over(order()) == label()) & gap.between(0, gap_ms), F.lit(False)))
+def merge_history(rows: DataFrame, gap_ms: int = 1200) -> DataFrame:
+    """Neighbours in order of start (then seq), both final and of one speaker, with gaps of 0 to ``gap_ms``, become one.
+    Texts that are joined are trimmed, blank ones left out; a segment that joins none keeps its text as it is."""
+    w = Window.partitionBy("tid").orderBy("start_ms", "seq")
+    gap = F.col("start_ms") - F.lag("end_ms").over(w)
+    joins = (F.lag(label()).over(w) == label()) & F.col("is_final") & F.lag("is_final").over(w) & gap.between(0, gap_ms)
+    block = F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    texts = F.array_sort(F.collect_list(F.struct("start_ms", "seq", "text")))["text"]
+    merged = rows.withColumn("__block", block).groupBy("tid", "__block").agg(
+        F.min_by("seq", F.struct("start_ms", "seq")).alias("seq"),
+        F.min("start_ms").alias("start_ms"),
+        F.max("end_ms").alias("end_ms"),
+        F.min_by("speaker_id", F.struct("start_ms", "seq")).alias("speaker_id"),
+        F.min_by("speaker_label", F.struct("start_ms", "seq")).alias("speaker_label"),
+        texts.alias("__texts"),
+        F.count(F.lit(1)).alias("n_merged"),
+    )
+    joined = F.array_join(F.filter(F.transform("__texts", trimmed), lambda t: t != ""), " ")
+    return merged.withColumn("text", F.when(F.col("n_merged") == 1, F.get("__texts", F.lit(0))).otherwise(joined)).drop("__block", "__texts")
+
+
+def merge_display(rows: DataFrame, gap_ms: int = 1200) -> DataFrame:
+    """As ``merge_history``, but a segment also joins by an equal label (null equals null), is compared with the first
+    segment of what it joins, and is_new is kept if any part is new. Each step depends on the head that the steps
+    before gave, so a timeline is one group."""
+    names = ["tid", "seq", "start_ms", "end_ms", "speaker_id", "speaker_label", "text", "is_final", "is_new"]
+
+    def run(timeline: pd.DataFrame) -> pd.DataFrame:
+        done: list[dict] = []
+        for r in timeline.sort_values(["start_ms", "seq"], kind="stable").to_dict("records"):
+            head = done[-1] if done else None
+            own = r["speaker_id"] if isinstance(r["speaker_id"], str) and r["speaker_id"].strip() else None
+            if head and own and head["own"] and head["is_final"] and r["is_final"] and 0 <= r["start_ms"] - head["end_ms"] <= gap_ms and (own == head["own"] or head["speaker_label"] == r["speaker_label"]):
+                both = [t.strip() for t in (head["text"] or "", r["text"] or "")]
+                head |= {"text": " ".join(t for t in both if t), "end_ms": max(head["end_ms"], r["end_ms"]), "is_new": head["is_new"] or r["is_new"], "n_merged": head["n_merged"] + 1}
+            else:
+                done.append(r | {"own": own, "n_merged": 1})
+        return pd.DataFrame(done, columns=[*names, "n_merged"])
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", n_merged long"
+    return rows.select(*names).groupBy("tid").applyInPandas(run, schema)
+
+
+def name_by_appearance(rows: DataFrame, prefix: str = "Sprecher ") -> DataFrame:
+    """speaker_label numbers the speakers of a timeline in the order of their first segments; ids stay."""
+    numbered = renumber(rows)
+    return numbered.withColumn("speaker_label", F.when(F.col("speaker_no").isNotNull(), speaker_name(F.col("speaker_no") - 1, prefix)).otherwise(F.col("speaker_label"))).drop("speaker_no")
+
+
+def enrich(rows: DataFrame, fewest: int = 3) -> DataFrame:
+    """What is done to a transcript before it is saved, where it has ``fewest`` segments at least: islands smoothed,
+    gaps between one speaker filled, tiny segments labeled, neighbours merged, speakers named by appearance."""
+    counted = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("tid")))
+    long_ = counted.filter(F.col("__n") >= fewest).drop("__n")
+    done = name_by_appearance(merge_history(inherit_tiny(fill_between(smooth_islands(long_)))))
+    names = ["tid", "seq", "start_ms", "end_ms", "speaker_id", "speaker_label", "text"]
+    return done.select(*names).unionByName(counted.filter(F.col("__n") < fewest).select(*names))
 
 
 def compact_tiny(rows: DataFrame, shortest_ms: int = 600, fewest_chars: int = 3, gap_ms: int = 1200) -> DataFrame:
     """Segments of under ``shortest_ms`` or ``fewest_chars`` characters join the one before, if it is close."""
     gap = F.col("start_ms") - F.lag("end_ms").over(order())
-    tiny = (F.col("end_ms") - F.col("start_ms") < shortest_ms) | (F.length(F.trim("text")) < fewest_chars)
+    tiny = (F.col("end_ms") - F.col("start_ms") < shortest_ms) | (F.length(trimmed(F.col("text"))) < fewest_chars)
     return collapse(rows, F.coalesce(tiny & gap.between(0, gap_ms), F.lit(False)))
 
 

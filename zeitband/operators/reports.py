@@ -1,39 +1,58 @@
-"""Reports of transcripts: plain text and Markdown, one text per timeline."""
+"""Transcripts as they are saved, and their reports: plain text and Markdown, one text per timeline.
+
+Rows: tid, seq, start_ms, end_ms, speaker_id, speaker_label, text. Blocks go by label; null labels form blocks too.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zeitband.functions.text import clean_text, hms
+from zeitband.functions.text import clean_text, count_text, date_text, duration, hms, trimmed
 
 from .labels import collapse, order
 
 
-def summaries(segments: DataFrame, title_chars: int = 60) -> DataFrame:
-    """tid, title (the first characters of the first text), duration_ms and speaker_count of each timeline."""
-    title = F.substring(F.min_by(F.trim("text"), "seq"), 1, title_chars)
-    return segments.groupBy("tid").agg(title.alias("title"), F.max("end_ms").alias("duration_ms"), F.count_distinct("speaker_id").alias("speaker_count"))
+def summaries(segments: DataFrame, created_ms: int = 0, title_chars: int = 60) -> DataFrame:
+    """tid, title (the first characters of the first text, trimmed; the date if that leaves three or fewer),
+    duration_ms (the last end) and speaker_count (distinct ids, blank ones too) of each timeline."""
+    start = trimmed(F.substring(F.coalesce(F.min_by("text", "seq"), F.lit("Transkript")), 1, title_chars))
+    rows = segments.groupBy("tid").agg(start.alias("start"), F.max("end_ms").alias("duration_ms"), F.count_distinct("speaker_id").alias("speaker_count"))
+    dated = F.concat(F.lit("Transkript vom "), date_text(F.lit(created_ms).cast("bigint"), "dd.MM.yy HH:mm"))
+    return rows.select("tid", F.when(F.length("start") > 3, F.col("start")).otherwise(dated).alias("title"), "duration_ms", "speaker_count")
+
+
+def saved_segments(segments: DataFrame) -> DataFrame:
+    """Segments as they are saved: numbered from 0, with a label exactly if they have an id."""
+    place = F.row_number().over(order()) - 1
+    named = F.when(F.col("speaker_id").isNotNull(), F.coalesce("speaker_label", F.lit("Sprecher 1")))
+    return segments.withColumn("sequence_index", place.cast("long")).withColumn("speaker_label", named)
 
 
 def speaker_blocks(segments: DataFrame, between: str = " ") -> DataFrame:
-    """Runs of segments of one speaker (or of none) as one row each; blank texts are left out first."""
-    rows = segments.withColumn("text", clean_text(F.col("text"))).filter("text <> ''")
-    same = F.lag("seq").over(order()).isNotNull() & F.col("speaker_id").eqNullSafe(F.lag("speaker_id").over(order()))
-    return collapse(rows, same, between)
+    """Runs of segments of one label (or of none) as one row each; blank texts are left out first."""
+    rows = segments.withColumn("text", clean_text(F.col("text"))).filter("text <> ''").withColumn("speaker_id", F.col("speaker_label"))
+    same = F.lag("seq").over(order()).isNotNull() & F.col("speaker_label").eqNullSafe(F.lag("speaker_label").over(order()))
+    return collapse(rows, same, between).withColumnRenamed("speaker_id", "speaker_label")
 
 
 def report(segments: DataFrame, markdown: bool) -> DataFrame:
     """tid and report of each timeline. A report is one text, so the blocks of a timeline meet in one row."""
     blocks = speaker_blocks(segments, " " if markdown else "\n")
-    name = F.coalesce("speaker_id", F.lit("Unbekannt" if markdown else "—"))
+    name = F.coalesce("speaker_label", F.lit("Unbekannt" if markdown else "—"))
     part = F.concat(F.lit("\n## "), name, F.lit(" · "), hms(F.col("start_ms"))) if markdown else F.concat(F.lit("\n"), name, F.lit(" "), hms(F.col("start_ms")))
-    parts = blocks.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("seq", F.concat(part, F.lit("\n"), "text", F.lit("\n")).alias("part")))).alias("parts"))
-    s = F.floor(F.col("duration_ms") / 1000)
-    length = F.format_string("%d:%02d Min", F.floor(s / 60), s % 60)
+    one = F.struct("seq", F.concat(part, F.lit("\n"), "text", F.lit("\n")).alias("part"))
+    parts = blocks.groupBy("tid").agg(F.array_sort(F.collect_list(one)).alias("parts"))
+    length, speakers = duration(F.col("duration_ms")), F.col("speaker_count").cast("string")
     if markdown:
-        head = F.concat(F.lit("# "), "title", F.lit("\n\n**Dauer:** "), length, F.lit(" · **Sprecher:** "), F.col("speaker_count").cast("string"), F.lit("\n"))
+        head = F.concat(F.lit("# "), "title", F.lit("\n\n**Dauer:** "), length, F.lit(" · **Sprecher:** "), speakers, F.lit("\n"))
     else:
-        head = F.concat("title", F.lit("\nDauer: "), length, F.lit(" · Sprecher: "), F.col("speaker_count").cast("string"), F.lit("\n"))
+        head = F.concat("title", F.lit("\nDauer: "), length, F.lit(" · Sprecher: "), speakers, F.lit("\n"))
     body = F.coalesce(F.array_join(F.col("parts")["part"], ""), F.lit(""))
     return summaries(segments).join(parts, "tid", "left").select("tid", F.concat(head, body).alias("report"))
+
+
+def history_line(segments: DataFrame) -> DataFrame:
+    """tid and what a list of transcripts shows of it: title, length, and the number of speakers if there are any."""
+    rows = summaries(segments)
+    return rows.select("tid", F.concat_ws(" · ", "title", duration(F.col("duration_ms")), F.nullif(count_text(F.col("speaker_count")), F.lit(""))).alias("line"))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from zeitband.functions import text
 from zeitband.operators import dedupe, identity, intervals, labels, reports, splitting, store
-from zeitband.sources.timelines import VIEWS, segments, turns
+from zeitband.sources.timelines import VIEWS, parts, segments, turns
 from zeitband.streaming.levels import levels, run_levels
 
+from . import labelings, sessions, stores
+
 SQL_VIEWS = VIEWS.format(lineitem="lineitem", part="part")
 SHORT = "trim(speaker_id)"
 WINDOW = "window w as (partition by tid order by seq)"
@@ -29,34 +31,21 @@ votes as (select s.tid, s.seq, t.speaker, min(t.turn_seq) as first_turn,
   cast(sum(least(greatest(s.end_ms, s.start_ms + 300), t.end_ms) - greatest(s.start_ms, t.start_ms)) as bigint) as overlap_ms
   from v_seg s join v_turn t on s.tid = t.tid and t.start_ms < greatest(s.end_ms, s.start_ms + 300) and t.end_ms > s.start_ms group by all),
 best as (select * from votes qualify row_number() over (partition by tid, seq order by overlap_ms desc, first_turn) = 1),
-r as (select s.tid, s.seq, s.start_ms, s.end_ms, s.text, b.overlap_ms, b.speaker, case when b.overlap_ms is null then 'noOverlap' when b.overlap_ms < 80 then 'belowMinOverlap'
+r as (select s.tid, s.seq, s.start_ms, s.end_ms, s.text, s.speaker_id as old, b.overlap_ms, b.speaker,
+  case when s.tid not in (select tid from v_turn) then 'noTurns' when b.overlap_ms is null then 'noOverlap' when b.overlap_ms < 80 then 'belowMinOverlap'
   when b.overlap_ms < 300 and 100 * b.overlap_ms < 35 * greatest(s.end_ms - s.start_ms, 300) then 'lowConfidence' else 'label' end as reason from v_seg s left join best b on s.tid = b.tid and s.seq = b.seq)
 """
 
 
-def overlap_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = turns(spark, sf_dir)
-    return intervals.overlap_votes(t.filter("turn_seq % 2 = 0"), t.filter("turn_seq % 2 = 1"), 2000, 9000)
-
-
-def replace_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = turns(spark, sf_dir)
-    return intervals.replace_interval(t.filter("turn_seq % 2 = 0"), t.filter("turn_seq % 2 = 1"), 5000)
-
-
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.change_points(turns(spark, sf_dir))
 
 
-def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.match_greedily(overlap_votes(spark, sf_dir))
-
-
 def identify_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     mixed = F.transform("embedding", lambda x, i: x.cast("double") * 0.7 + F.when(i == F.col("label"), 1.0).otherwise(0.0))
     rows = rows.select((F.col("vec_id") % 4).alias("session"), "vec_id", F.col("label").alias("speaker"), mixed.alias("embedding"))
-    return identity.identify(rows.drop("speaker"), identity.mean_voices(rows.filter("vec_id % 3 = 0")))
+    return identity.identify(rows.drop("speaker"), identity.mean_voices(rows))
 
 
 def upsert_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +72,8 @@ def compare_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.concat(F.lit("["), text.hms(F.col("start_ms")), F.lit("] "), F.coalesce("speaker_id", F.lit("Unbekannt")), F.lit(": "))
-    return reports.speaker_blocks(segments(spark, sf_dir)).select("tid", "seq", F.concat(head, F.col("text")).alias("line"))
+    head = F.concat(F.lit("["), text.hms(F.col("start_ms")), F.lit("] "), F.coalesce("speaker_label", F.lit("Unbekannt")), F.lit(": "))
+    return reports.speaker_blocks(parts(spark, sf_dir)).select("tid", "seq", F.concat(head, F.col("text")).alias("line"))
 
 
 def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,14 +113,18 @@ MERGED = "select tid, min(seq) as seq, min(start_ms) as start_ms, max(end_ms) as
 MERGED = f"select * exclude (s), nullif(s, chr(1)) as speaker_id from ({MERGED})"
 WORDS = "len(string_split_regex(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '\\s+'))"
 
-SAME_SPEAKER = "lag(seq) over w is not null and speaker_id is not distinct from lag(speaker_id) over w"
+BLOCKS = f"""{SQL_VIEWS}, c as (select *, regexp_replace(regexp_replace(text, '^[\\s.,;:!?]+', ''), '\\s+$', '') as t from v_part),
+j as (select *, case when lag(seq) over w is not null and speaker_label is not distinct from lag(speaker_label) over w then 0 else 1 end as new from c where t <> '' {WINDOW}),
+k as (select *, sum(new) over (partition by tid order by seq) as block from j),
+m as (select tid, min(seq) as seq, min(start_ms) as start_ms, any_value(speaker_label) as speaker_label, string_agg(t, {{between}} order by seq) as text from k group by tid, block)"""
+SUMMARIES = """h as (select tid, trim(left(coalesce(arg_min(text, seq), 'Transkript'), 60)) as start, max(end_ms) as duration_ms, count(distinct speaker_id) as speaker_count from v_part group by tid),
+t as (select tid, case when length(start) > 3 then start else 'Transkript vom 01.01.70 00:00' end as title, duration_ms, speaker_count, printf('%d:%02d Min', duration_ms // 60000, duration_ms // 1000 % 60) as length from h)"""
 
 
 def _report_sql(head: str, part: str, between: str) -> str:
-    return f"""{_block_sql(SAME_SPEAKER)}, m as ({MERGED.replace("' '", between)}),
-h as (select tid, left(arg_min(trim(text), seq), 60) as title, printf('%d:%02d Min', max(end_ms) // 60000, max(end_ms) // 1000 % 60) as length, count(distinct speaker_id) as speakers from v_seg group by tid),
+    return f"""{BLOCKS.format(between=between)}, {SUMMARIES},
 p as (select tid, string_agg({part} || chr(10) || text || chr(10), '' order by seq) as body from m group by tid)
-select tid, {head} || chr(10) || coalesce(body, '') as report from h left join p using (tid)"""
+select tid, {head} || chr(10) || coalesce(body, '') as report from t left join p using (tid)"""
 
 
 HMS = "printf('%02d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60)"
@@ -140,8 +133,6 @@ HOURLY = "select cast(epoch(date_trunc('hour', ts)) as bigint) as start_s, round
 QUERIES = {
     "assign_speakers": assign_speakers,
     "assignment_reasons": assignment_reasons,
-    "overlap_votes": overlap_votes,
-    "replace_interval": replace_interval,
     "change_points": change_points,
     "smooth_islands": _on_segments(labels.smooth_islands),
     "fill_between": _on_segments(labels.fill_between),
@@ -149,12 +140,10 @@ QUERIES = {
     "fill_nearest": _on_segments(labels.fill_nearest),
     "fill_leading": _on_segments(labels.fill_leading),
     "renumber": _on_segments(labels.renumber),
-    "merge_gaps": _on_segments(labels.merge_gaps),
     "compact_tiny": _on_segments(labels.compact_tiny),
     "assignment_quality": _on_segments(labels.quality),
     "compare_assignments": compare_assignments,
     "export_blocks": export_blocks,
-    "reconcile": reconcile,
     "identify_voices": identify_voices,
     "upsert_segments": upsert_segments,
     "delete_transcripts": delete_transcripts,
@@ -166,17 +155,15 @@ QUERIES = {
     "stream_hourly_peak": stream_hourly_peak,
     "split_long": split_long,
     "dedupe_texts": _on_segments(dedupe.dedupe_texts),
-    "report_text": _on_segments(lambda rows: reports.report(rows, markdown=False)),
-    "report_markdown": _on_segments(lambda rows: reports.report(rows, markdown=True)),
+    "report_text": lambda spark, sf_dir: reports.report(parts(spark, sf_dir), markdown=False),
+    "report_markdown": lambda spark, sf_dir: reports.report(parts(spark, sf_dir), markdown=True),
+    "transcript_summaries": lambda spark, sf_dir: reports.summaries(parts(spark, sf_dir)),
+    "saved_segments": lambda spark, sf_dir: reports.saved_segments(parts(spark, sf_dir)).select("tid", "seq", "sequence_index", "speaker_id", "speaker_label"),
+    "history_lines": lambda spark, sf_dir: reports.history_line(parts(spark, sf_dir)),
 }
 ORACLES = {
-    "assign_speakers": f"{ASSIGN} select tid, seq, start_ms, end_ms, text, overlap_ms, reason, case when reason = 'label' then 'speaker_' || speaker end as speaker_id from r",
+    "assign_speakers": f"{ASSIGN} select tid, seq, start_ms, end_ms, text, overlap_ms, reason, case when reason = 'label' then 'speaker_' || speaker when reason = 'noTurns' then old end as speaker_id from r",
     "assignment_reasons": f"{ASSIGN} select reason, count(*) as n from r group by reason",
-    "overlap_votes": f"""{SQL_VIEWS}, c as (select tid, turn_seq, speaker, greatest(start_ms, 2000) as s, least(end_ms, 9000) as e from v_turn)
-select a.tid, a.speaker as local, b.speaker as "global", cast(sum(least(a.e, b.e) - greatest(a.s, b.s)) as bigint) as overlap_ms from c a join c b on a.tid = b.tid and a.s < b.e and b.s < a.e
-where a.turn_seq % 2 = 0 and b.turn_seq % 2 = 1 and a.e > a.s and b.e > b.s group by all""",
-    "replace_interval": f"""{SQL_VIEWS} select tid, turn_seq, start_ms, case when turn_seq % 2 = 1 or end_ms <= 4990 then end_ms else least(end_ms, 5000) end as end_ms, speaker from v_turn
-where turn_seq % 2 = 1 or end_ms <= 4990 or start_ms < 5000""",
     "change_points": f"{SQL_VIEWS} select * from (select tid, turn_seq, start_ms, lag(speaker) over (partition by tid order by turn_seq) as before, speaker from v_turn) where before <> speaker",
     "smooth_islands": f"""{SQL_VIEWS}, x as (select *, lag(speaker_id) over w as l, lead(speaker_id) over w as r, lag(end_ms - start_ms) over w as dl, lead(end_ms - start_ms) over w as dr,
  count(*) over (partition by tid, speaker_id) as n from v_seg {WINDOW})
@@ -192,16 +179,19 @@ select {KEPT}, coalesce(speaker_id, case when l is null or r is null or l = r th
 select {KEPT}, case when speaker_id is null and end_ms <= fs then fl else speaker_id end as speaker_id from v_seg left join f using (tid)""",
     "renumber": f"""{SQL_VIEWS}, x as (select *, case when speaker_id is not null then min(seq) over (partition by tid, speaker_id) end as f from v_seg)
 select {KEPT}, speaker_id, case when f is not null then dense_rank() over (partition by tid order by f nulls last) end as speaker_no from x""",
-    "merge_gaps": f"{_block_sql('lag(speaker_id) over w = speaker_id and start_ms - lag(end_ms) over w between 0 and 1200')} {MERGED}",
     "compact_tiny": f"{_block_sql('(end_ms - start_ms < 600 or length(trim(text)) < 3) and start_ms - lag(end_ms) over w between 0 and 1200')} {MERGED}",
     "assignment_quality": f"""{SQL_VIEWS} select tid, count(speaker_id) as labeled, count(*) - count(speaker_id) as unlabeled, count(distinct speaker_id) as speakers,
  cast(coalesce(sum(end_ms - start_ms) filter (speaker_id is not null), 0) as bigint) as labeled_ms from v_seg group by tid""",
-    "compare_assignments": f"""{ASSIGN}, z as (select r.tid, v.speaker_id as a, case when reason = 'label' then 'speaker_' || speaker end as b from r join v_seg v on r.tid = v.tid and r.seq = v.seq)
+    "compare_assignments": f"""{ASSIGN}, z as (select r.tid, v.speaker_id as a, case when reason = 'label' then 'speaker_' || speaker when reason = 'noTurns' then old end as b from r join v_seg v on r.tid = v.tid and r.seq = v.seq)
 select tid, count(*) filter (a is null and b is not null) as "new", count(*) filter (a <> b) as changed, count(*) filter (a is not null and b is null) as lost from z group by tid""",
-    "export_blocks": f"""{_block_sql('lag(seq) over w is not null and speaker_id is not distinct from lag(speaker_id) over w')}, m as ({MERGED}) select tid, seq, '[' || printf('%02d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) || '] ' || coalesce(speaker_id, 'Unbekannt') || ': ' || text as line from m""",
+    "export_blocks": f"""{BLOCKS.format(between="' '")} select tid, seq, '[' || {HMS} || '] ' || coalesce(speaker_label, 'Unbekannt') || ': ' || text as line from m""",
+    "transcript_summaries": f"{SQL_VIEWS}, {SUMMARIES} select tid, title, duration_ms, speaker_count from t",
+    "saved_segments": f"""{SQL_VIEWS} select tid, seq, row_number() over (partition by tid order by seq) - 1 as sequence_index, speaker_id,
+  case when speaker_id is not null then coalesce(speaker_label, 'Sprecher 1') end as speaker_label from v_part""",
+    "history_lines": f"{SQL_VIEWS}, {SUMMARIES} select tid, title || ' · ' || length || case when speaker_count > 0 then ' · ' || speaker_count || ' Sprecher' else '' end as line from t",
     "identify_voices": """with e as (select vec_id % 4 as session, vec_id, label, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings),
 f as (select session, vec_id, label, i, cast(x as double) * 0.7 + case when i = label then 1.0 else 0.0 end as x from e),
-v as (select session, label, i, avg(x) as x from f where vec_id % 3 = 0 group by all),
+v as (select session, label, i, avg(x) as x from f group by all),
 s as (select f.vec_id, v.label, round(sum(f.x * v.x) / (sqrt(sum(f.x * f.x)) * sqrt(sum(v.x * v.x))), 6) as similarity from f join v on f.session = v.session and f.i = v.i group by all)
 select vec_id, similarity, case when similarity > 0.62 then label end as speaker from s qualify row_number() over (partition by vec_id order by similarity desc, label) = 1""",
     "upsert_segments": f"""{SQL_VIEWS} select tid, seq, case when seq >= 3 then 'speaker_9' else speaker_id end as speaker_id, case when seq >= 3 then start_ms + 2 else start_ms end as start_ms from v_seg""",
@@ -213,8 +203,8 @@ select vec_id, similarity, case when similarity > 0.62 then label end as speaker
  (select event_id, ts, unnest([time_bucket(interval '60 minutes', ts, timestamp '1970-01-01 00:40:00'), time_bucket(interval '60 minutes', ts, timestamp '1970-01-01 00:40:00') - interval '60 minutes']) as s from events) where ts < s + interval '80 minutes' group by s""",
     "hourly_peak": HOURLY,
     "stream_hourly_peak": HOURLY,
-    "report_text": _report_sql("title || chr(10) || 'Dauer: ' || length || ' · Sprecher: ' || speakers", f"chr(10) || coalesce(speaker_id, '—') || ' ' || {HMS}", "chr(10)"),
-    "report_markdown": _report_sql("'# ' || title || chr(10) || chr(10) || '**Dauer:** ' || length || ' · **Sprecher:** ' || speakers", f"chr(10) || '## ' || coalesce(speaker_id, 'Unbekannt') || ' · ' || {HMS}", "' '"),
+    "report_text": _report_sql("title || chr(10) || 'Dauer: ' || length || ' · Sprecher: ' || speaker_count", f"chr(10) || coalesce(speaker_label, '—') || ' ' || {HMS}", "chr(10)"),
+    "report_markdown": _report_sql("'# ' || title || chr(10) || chr(10) || '**Dauer:** ' || length || ' · **Sprecher:** ' || speaker_count", f"chr(10) || '## ' || coalesce(speaker_label, 'Unbekannt') || ' · ' || {HMS}", "' '"),
     "split_long": f"""{SQL_VIEWS}, m as (select s.tid, s.seq, s.start_ms, s.end_ms, t.speaker, t.start_ms as cut, lag(t.speaker) over (partition by s.tid, s.seq order by t.start_ms, t.turn_seq) as before
  from v_seg s join v_turn t on s.tid = t.tid and t.start_ms < s.end_ms and t.end_ms > s.start_ms where s.end_ms - s.start_ms >= 4000),
 k as (select distinct tid, seq, cut as a from m where before <> speaker and cut > start_ms and cut < end_ms),
@@ -226,3 +216,6 @@ best as (select * from o qualify row_number() over (partition by tid, seq, part
 select tid, seq, part, a as start_ms, z as end_ms, coalesce('speaker_' || speaker, speaker_id) as speaker_id, coalesce(nullif(array_to_string(words[cast(floor(len(words) * (a - start_ms) / (end_ms - start_ms)) as int) + 1 : cast(floor(len(words) * (z - start_ms) / (end_ms - start_ms)) as int)], ' '), ''), '...') as text
 from w left join best using (tid, seq, part) union all select tid, seq, 0, start_ms, end_ms, speaker_id, text from v_seg anti join k using (tid, seq)""",
 }
+for module in (labelings, stores, sessions):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES

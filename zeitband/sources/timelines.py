@@ -14,6 +14,17 @@ base as (
 v_seg as (
  select tid, seq, end_ms - dur as start_ms, end_ms, case when l_suppkey % 5 = 0 then null else concat('speaker_', cast(l_suppkey % 3 as string)) end as speaker_id,
   concat(p_name, ' ', p_type) as text from base left join {part} on p_partkey = l_partkey),
+v_part as (
+ select tid, seq, concat(cast(tid as string), '-', cast(seq as string)) as segment_id, greatest(end_ms - dur - (l_suppkey % 4) * 300, 0) as start_ms, end_ms,
+  case when l_partkey % 13 = 0 then '  ' when l_partkey % 5 = 0 then concat('  ', p_name, ' ') else concat(p_name, ' ', p_type) end as text,
+  case when l_suppkey % 5 = 0 then null when l_suppkey % 11 = 0 then ' ' else concat('speaker_', cast(l_suppkey % 3 + tid % 2 as string)) end as speaker_id,
+  case when l_suppkey % 5 = 0 or l_suppkey % 11 = 0 then null when l_partkey % 7 = 0 then 'Sprecher 1' else concat('Sprecher ', cast(l_suppkey % 3 + tid % 2 + 1 as string)) end as speaker_label,
+  l_partkey % 11 <> 0 as is_final, l_suppkey % 6 = 0 as is_new
+ from base left join {part} on p_partkey = l_partkey),
+v_cand as (
+ select tid, seq, start_ms, end_ms, case when seq % 4 = 1 or tid % 6 = 0 then null else concat('speaker_', cast((seq + tid) % (1 + tid % 4) as string)) end as speaker_id,
+  case when seq % 4 = 1 or tid % 6 = 0 then null else concat('Stimme ', cast((seq + tid) % (1 + tid % 4) as string)) end as speaker_label from v_part where (tid + seq) % 9 <> 0),
+v_conf as (select distinct tid, l_suppkey % 3 as speaker from base where l_suppkey % 3 <> tid % 3 and tid % 7 <> 0),
 v_turn as (
  select tid, seq as turn_seq, end_ms - dur + ((l_suppkey % 7) - 3) * 400 as start_ms, end_ms + ((l_partkey % 5) - 2) * 400 as end_ms, l_suppkey % 3 as speaker
  from base where l_partkey % 4 <> 0 and end_ms + ((l_partkey % 5) - 2) * 400 > end_ms - dur + ((l_suppkey % 7) - 3) * 400)
@@ -25,6 +36,22 @@ def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS + f"select * from {name}", **tables)
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tid, seq, segment_id, start_ms, end_ms, text, speaker_id and speaker_label (null or blank: unlabeled), is_final and
+    is_new; neighbours may overlap."""
+    return _view(spark, sf_dir, "v_part")
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another labeling of most of ``parts``: tid, seq, start_ms, end_ms, speaker_id, speaker_label."""
+    return _view(spark, sf_dir, "v_cand")
+
+
+def confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tid and speaker of confirmed speakers."""
+    return _view(spark, sf_dir, "v_conf")
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tid, seq, start_ms, end_ms, speaker_id (null: unlabeled) and text."""
     return _view(spark, sf_dir, "v_seg")
