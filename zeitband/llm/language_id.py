@@ -2,13 +2,13 @@
 
 The network reads the bytes of a stretch of text from both sides, labels every position, and the log probabilities
 of all positions of a document are pooled (averaged, then normalised). It is trained in numpy by backpropagation
-through time on a sample of labelled documents, bounded for each language, and applied to whole texts. A stretch is one word with the
-blank on either side (words over ``LONGEST`` bytes are read in pieces, all of them), so the states start afresh at
-each word and the pooled sums of a word are computed once per worker.
+through time on a sample of labelled documents, bounded for each language, and applied to whole texts, in stretches of
+``WINDOW`` bytes of running text; at the ends of a stretch one of the two directions has read the whole of it.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; if no labelled row can be learned from,
-every text is; rows with a null id may be learned from, and are never held out; repeated rows give a row each; an
-empty table gives an empty result; columns other than doc_id, text and lang are ignored.
+every text is; rows with a null id may be learned from, and are never held out; of languages with equal scores the
+first by name is taken; repeated rows give a row each; texts of any length are read whole; an empty table gives an empty
+result; columns other than doc_id, text and lang, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,161 +24,166 @@ from pyspark.sql import functions as F
 
 from .common import blocks
 
-LONGEST = 48
-CACHE_WORDS = 300_000
+#: Bytes of a stretch, and stretches read at once.
+WINDOW = 128
+AT_ONCE = 1024
+#: Lengths of the stretches that a batch of training may have, and bytes of a batch.
+LENGTHS = (16, 32, 64, 128)
+BATCH_BYTES = 4096
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
+
+
+def backwards(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Columns (along the first axis) of real length ``n``, each read from its end; what pads it stays behind."""
+    at = np.arange(len(x))[:, None]
+    at = np.where(at < n, n - 1 - at, at)
+    return np.take_along_axis(x, at if x.ndim == 2 else at[:, None, :], axis=0)
 
 
 class ByteGRU:
-    """Two gated recurrent layers, one for each direction, and a linear label layer over both."""
+    """Two gated recurrent layers, one for each direction, and a linear label layer over both.
+
+    Arrays are (direction, unit, stretch); either direction's stretches begin at their first byte, padding comes last
+    and so never reaches a real position."""
 
     def __init__(self, labels: list[str], hidden: int, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.labels, self.hidden = labels, hidden
         small = lambda *shape: rng.normal(0, 0.2, shape).astype(np.float32)
-        self.w = {"out": small(2 * hidden, len(labels)), "bias": np.zeros(len(labels), np.float32)}
-        for side in "fb":
-            self.w |= {f"in_{side}": small(256, 3 * hidden), f"gates_{side}": small(hidden, 2 * hidden), f"new_{side}": small(hidden, hidden)}
-
-    def scan(self, side: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states at each position (time, sequence, unit); with ``keep``, what the backward pass needs."""
-        n, h = self.hidden, np.zeros((x.shape[1], self.hidden), np.float32)
-        entry, gates, new = self.w[f"in_{side}"], self.w[f"gates_{side}"], self.w[f"new_{side}"]
-        out, kept = np.zeros((len(x), x.shape[1], n), np.float32), []
-        for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
-            a = entry[x[t]]
-            zr = sigmoid(a[:, : 2 * n] + h @ gates)
+        self.w = {"entry": small(2, 3 * hidden, 256), "gates": small(2, 2 * hidden, hidden), "new": small(2, hidden, hidden), "out": small(2, len(labels), hidden), "bias": np.zeros(len(labels), np.float32)}
+
+    def scan(self, both: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """State before, update and reset gate, recurrent part, candidate and state of each position; ``both`` holds
+        the bytes as (direction, time, stretch)."""
+        n, entry, gates, new = self.hidden, self.w["entry"], self.w["gates"], self.w["new"]
+        h = np.zeros((2, n, both.shape[2]), entry.dtype)
+        for t in range(both.shape[1]):
+            a = np.stack([np.take(entry[i], both[i, t], axis=1) for i in (0, 1)])
+            zr = sigmoid(a[:, : 2 * n] + gates @ h)
             z, r = zr[:, :n], zr[:, n:]
-            u = h @ new
+            u = new @ h
             c = np.tanh(a[:, 2 * n :] + r * u)
-            g = np.where(mask[t][:, None], (1 - z) * c + z * h, h)
-            if keep:
-                kept.append((t, h, z, r, u, c))
-            out[t] = h = g
-        return out, kept
-
-    def log_probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        states = np.concatenate([self.scan(s, x, mask, False)[0] for s in "fb"], axis=2)
-        logits = states @ self.w["out"] + self.w["bias"]
-        logits -= logits.max(axis=2, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
-
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross-entropy over all real positions, each labelled with its document's language."""
-        n, grad = self.hidden, {}
-        scans = {s: self.scan(s, x, mask, True) for s in "fb"}
-        states = np.concatenate([scans[s][0] for s in "fb"], axis=2)
-        logits = states @ self.w["out"] + self.w["bias"]
-        p = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        p[:, np.arange(len(y)), y] -= 1
-        p *= mask[:, :, None] / mask.sum()
-        flat = p.reshape(-1, p.shape[2])
-        grad["out"], grad["bias"] = states.reshape(len(flat), -1).T @ flat, flat.sum(0)
-        into = p @ self.w["out"].T
-        for i, s in enumerate("fb"):
-            entry, gates, new = (np.zeros_like(self.w[f"{k}_{s}"]) for k in ("in", "gates", "new"))
-            back = np.zeros((x.shape[1], n), np.float32)
-            for t, h, z, r, u, c in reversed(scans[s][1]):
-                d = into[t][:, i * n : (i + 1) * n] + back
-                live = mask[t][:, None]
-                dl = np.where(live, d, 0)
-                dc = dl * (1 - z) * (1 - c * c)
-                dz = dl * (h - c) * z * (1 - z)
-                dr = dc * u * r * (1 - r)
-                du, dzr = dc * r, np.concatenate([dz, dr], axis=1)
-                back = np.where(live, dl * z + dzr @ self.w[f"gates_{s}"].T + du @ self.w[f"new_{s}"].T, d)
-                gates += h.T @ dzr
-                new += h.T @ du
-                np.add.at(entry, x[t], np.concatenate([dzr, dc], axis=1))
-            grad |= {f"in_{s}": entry, f"gates_{s}": gates, f"new_{s}": new}
+            before, h = h, c + z * (h - c)
+            yield before, z, r, u, c, h
+
+    def logits(self, x: np.ndarray, n: np.ndarray, steps: list | None = None) -> np.ndarray:
+        """(time, label, stretch); the steps of the scan are kept in ``steps``."""
+        out = self.w["out"]
+        made = np.empty((2, len(x), len(self.labels), x.shape[1]), out.dtype)
+        for t, step in enumerate(self.scan(np.stack([x, backwards(x, n)]))):
+            made[:, t] = out @ step[-1]
+            if steps is not None:
+                steps.append(step)
+        return made[0] + backwards(made[1], n) + self.w["bias"][:, None]
+
+    def log_probabilities(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        logits = self.logits(x, n)
+        logits -= logits.max(axis=1, keepdims=True)
+        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+    def loss(self, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> float:
+        """The mean cross-entropy over all real positions, each labelled with its document's language."""
+        own = self.log_probabilities(x, n)[:, y, np.arange(len(y))]
+        return -float(own[np.arange(len(x))[:, None] < n].mean())
+
+    def gradients(self, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of ``loss``, by backpropagation through time."""
+        steps: list[tuple[np.ndarray, ...]] = []
+        logits = self.logits(x, n, steps)
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[:, y, np.arange(len(y))] -= 1
+        p *= (np.arange(len(x))[:, None] < n)[:, None, :] / n.sum()
+        p = p.astype(logits.dtype)
+        each = np.stack([p, backwards(p, n)], axis=1)
+        states = np.stack([s[-1] for s in steps])
+        grad = {"bias": p.sum(axis=(0, 2)), "out": np.matmul(each, states.transpose(0, 1, 3, 2)).sum(axis=0)}
+        into = self.w["out"].transpose(0, 2, 1) @ each
+        grad["gates"], grad["new"] = np.zeros_like(self.w["gates"]), np.zeros_like(self.w["new"])
+        gates_t, new_t = self.w["gates"].transpose(0, 2, 1), self.w["new"].transpose(0, 2, 1)
+        back, entered = np.zeros_like(states[0]), np.empty((2, 3 * self.hidden, *x.shape), logits.dtype)
+        for t in range(len(x) - 1, -1, -1):
+            before, z, r, u, c, _ = steps[t]
+            d = into[t] + back
+            dc = d * (1 - z) * (1 - c * c)
+            dzr = np.concatenate([d * (before - c) * z * (1 - z), dc * u * r * (1 - r)], axis=1)
+            du = dc * r
+            back = d * z + gates_t @ dzr + new_t @ du
+            past = before.transpose(0, 2, 1)
+            grad["gates"] += dzr @ past
+            grad["new"] += du @ past
+            entered[:, :, t] = np.concatenate([dzr, dc], axis=1)
+        both = (x.ravel(), backwards(x, n).ravel())
+        grad["entry"] = np.stack([[np.bincount(both[i], row.ravel(), 256) for row in entered[i]] for i in (0, 1)]).astype(logits.dtype)
         return grad
 
 
-def stretches(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The stretches of each word, and the word that each belongs to."""
-    cut = [[b" " + w + b" "] if len(w) <= LONGEST else [b" " * (i == 0) + w[i : i + LONGEST] for i in range(0, len(w), LONGEST)] for w in words]
-    return [s for each in cut for s in each], np.repeat(np.arange(len(words)), [len(each) for each in cut])
-
-
 def padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and mask as (time, sequence) arrays."""
+    """Bytes as a (time, stretch) array, and the lengths."""
     n = np.array([len(p) for p in parts])
-    mask = np.arange(n.max())[:, None] < n[None, :]
-    x = np.zeros(mask.shape, np.uint8)
-    x.T[mask.T] = np.frombuffer(b"".join(parts), np.uint8)
-    return x, mask
+    x = np.zeros((n.max(), len(parts)), np.uint8)
+    x.T[np.arange(n.max()) < n[:, None]] = np.frombuffer(b"".join(parts), np.uint8)
+    return x, n
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode().split()
+def bytes_of(text: str) -> bytes:
+    return text.lower().encode()
 
 
-def train(samples: list[tuple[str, str]], hidden: int = 16, steps: int = 700, batch: int = 256, rate: float = 0.01, seed: int = 0) -> ByteGRU | None:
-    """Fit the network on (text, language) samples by Adam; every batch draws languages evenly."""
+def train(samples: list[tuple[str, str]], hidden: int = 16, steps: int = 700, rate: float = 0.01, seed: int = 0) -> ByteGRU | None:
+    """Fit the network on (text, language) samples by Adam; every batch draws languages evenly, and stretches of one
+    length from anywhere in their texts."""
     labels = sorted({lang for _, lang in samples})
     if not labels:
         return None
-    pools = [[w for t, lang in samples if lang == label for w in words_of(t)] or [b""] for label in labels]
+    pools = [[raw for t, lang in samples if lang == label and (raw := bytes_of(t))] or [b" "] for label in labels]
     rng, net = np.random.default_rng(seed), ByteGRU(labels, hidden, seed)
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
     v = {k: np.zeros_like(x) for k, x in net.w.items()}
     for step in range(1, steps + 1):
-        y = rng.integers(len(labels), size=batch)
-        parts, of = stretches([pools[k][rng.integers(len(pools[k]))] for k in y])
-        x, mask = padded(parts)
-        for k, g in net.gradients(x, mask, y[of]).items():
+        length = LENGTHS[step % len(LENGTHS)]
+        y = rng.integers(len(labels), size=BATCH_BYTES // length)
+        parts = []
+        for k in y:
+            raw = pools[k][rng.integers(len(pools[k]))]
+            at = rng.integers(max(1, len(raw) - length + 1))
+            parts.append(raw[at : at + length])
+        for k, g in net.gradients(*padded(parts), y).items():
             m[k] += 0.1 * (g - m[k])
             v[k] += 0.005 * (g * g - v[k])
             net.w[k] -= (rate * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.995**step)) + 1e-8)).astype(np.float32)
     return net
 
 
-class Identifier:
-    def __init__(self, net: ByteGRU | None):
-        self.net = net
-        self.place: dict[bytes, int] = {}
-        self.sums = np.zeros((0, 0))
-
-    def learn(self, words: list[bytes]) -> None:
-        """Sums over positions of log probabilities of new words; the last column counts positions."""
-        parts, of = stretches(words)
-        made = np.zeros((len(words), len(self.net.labels) + 1))
-        order = np.argsort([len(p) for p in parts], kind="stable")
-        for i in range(0, len(order), 4096):
-            at = order[i : i + 4096]
-            x, mask = padded([parts[k] for k in at])
-            log_p = np.where(mask[:, :, None], self.net.log_probabilities(x, mask), 0).sum(axis=0)
-            np.add.at(made, of[at], np.column_stack([log_p, mask.sum(axis=0)]))
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.sums = made if not self.sums.size else np.concatenate([self.sums, made])
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        known = [t if t and any(c.isalpha() for c in t) else None for t in texts]
-        if self.net is None:
-            return ["und"] * len(texts), [0.0] * len(texts)
-        if len(self.place) > CACHE_WORDS:
-            self.place.clear()
-            self.sums = np.zeros((0, 0))
-        cut = [words_of(t) if t else [] for t in known]
-        if new := list({w for words in cut for w in words} - self.place.keys()):
-            self.learn(new)
-        langs, scores = [], []
-        for words in cut:
-            if not words:
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            total = self.sums[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0)
-            mean = total[:-1] / total[-1]
-            p = np.exp(mean - mean.max())
-            best = int(p.argmax())
-            langs.append(self.net.labels[best])
-            scores.append(float(p[best] / p.sum()))
+def pooled(net: ByteGRU, texts: list[bytes]) -> np.ndarray:
+    """The mean over all positions of each text of the log probabilities of the labels."""
+    parts = [t[i : i + WINDOW] for t in texts for i in range(0, len(t), WINDOW)]
+    of = np.repeat(np.arange(len(texts)), [-(-len(t) // WINDOW) for t in texts])
+    total = np.zeros((len(texts), len(net.labels)))
+    # Stretches of like length together; all but the last of each text are of full length.
+    order = np.argsort([len(p) for p in parts], kind="stable")
+    for i in range(0, len(order), AT_ONCE):
+        at = order[i : i + AT_ONCE]
+        x, n = padded([parts[k] for k in at])
+        log_p = np.where((np.arange(len(x))[:, None] < n)[:, None, :], net.log_probabilities(x, n), 0)
+        np.add.at(total, of[at], log_p.sum(axis=0, dtype=np.float64).T)
+    return total / np.array([[len(t)] for t in texts])
+
+
+def predict(net: ByteGRU | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+    known = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
+    if net is None or not known:
         return langs, scores
+    mean = pooled(net, [bytes_of(texts[i]) for i in known])
+    p = np.exp(mean - mean.max(axis=1, keepdims=True))
+    for i, each, best in zip(known, p / p.sum(axis=1, keepdims=True), p.argmax(axis=1), strict=True):
+        langs[i], scores[i] = net.labels[best], float(each[best])
+    return langs, scores
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -208,9 +213,8 @@ def identify(docs: DataFrame, rows: int = 3000, chars: int = 1500, hidden: int =
     net = train(sample(docs, rows, chars), hidden, steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Identifier(net)
         for b in blocks(batches, "text"):
-            langs, scores = of.predict(b.column(2).to_pylist())
+            langs, scores = predict(net, b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
