@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select("u", F.col("v").alias("root"))
         before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # In the large-star result every v is less than its u; the small star hangs u and its v on the least v.
         small = _with_least(large)
         hung = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))

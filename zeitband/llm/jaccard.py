@@ -139,8 +139,10 @@ class Tile:
             self.maps[i] = np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
     def links(self, across: np.ndarray | None = None) -> list[tuple[int, int]]:
-        """Links that connect what was not connected. Pairs are of one group; with ``across``, of both its sides."""
-        found = []
+        """Edges that connect what links connect and was not connected before: of one set of each label to the least one
+        of its component (sets of one label are connected already). Pairs are of one group; with ``across``, of
+        both its sides."""
+        before = self.root.copy()
         for i in range(len(self.sets)):
             end = np.searchsorted(self.n, self.n[i] * 100 // self.percent, side="right")
             j = np.arange(i + 1, end)
@@ -157,9 +159,13 @@ class Tile:
                     continue
                 both = len(np.intersect1d(self.sets[i], self.sets[x], assume_unique=True))
                 if (100 + self.percent) * both >= self.percent * (self.n[i] + self.n[x]):
-                    found.append((int(self.ids[i]), int(self.ids[x])))
                     self.root[self.root == self.root[x]] = self.root[i]
-        return found
+        _, first = np.unique(before, return_index=True)
+        _, of = np.unique(self.root, return_inverse=True)
+        least = np.full(of.max(initial=-1) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, of, self.ids)
+        joined = np.bincount(of[first]) > 1
+        return [(int(self.ids[i]), int(least[of[i]])) for i in first if joined[of[i]] and self.ids[i] != least[of[i]]]
 
 
 def tile_links(rows: DataFrame, key: str, percent: int, across: bool = False) -> DataFrame:
