@@ -236,3 +236,40 @@ def merge_rare_speakers(rows: DataFrame, fewest: int = 1, shortest_ms: int = 200
     named = F.coalesce("__to.speaker_label", F.concat(F.lit("Sprecher "), F.right(F.col("__to.speaker_id"), F.lit(1))))
     put = F.when(F.col("__to").isNotNull(), F.struct(F.col("__to.speaker_id").alias("speaker_id"), named.alias("speaker_label")))
     return _put(rows.join(merged, ["tid", "speaker_id"], "left"), put).drop("__to").select(*rows.columns)
+
+
+def commit(raw: DataFrame, best: DataFrame, candidate: DataFrame, confirmed: DataFrame, final: bool = False) -> DataFrame:
+    """The labeling after a candidate came, timeline by timeline: the guarded merge where the candidate says something
+    new and is accepted, else the best labeling as it was. In a final run a candidate that would leave a timeline with
+    fewer speakers is not taken either."""
+    merged = merge_candidate(raw, best, candidate, confirmed)
+    taken = accept(best, candidate).filter("accepted").join(is_meaningful(best, merged).filter("meaningful"), "tid", "left_semi").select("tid")
+    if final:
+        counts = [x.groupBy("tid").agg(F.count_distinct(label()).alias(n)) for x, n in ((best, "b"), (merged, "m"))]
+        taken = taken.join(counts[0].join(counts[1], "tid", "full_outer").filter("coalesce(m, 0) >= coalesce(b, 0)"), "tid", "left_semi")
+    kept = overlay(raw, best).join(taken, "tid", "left_anti")
+    return merged.join(taken, "tid", "left_semi").unionByName(kept)
+
+
+def display(raw: DataFrame, assigned: DataFrame, partial: DataFrame) -> DataFrame:
+    """What is shown of each timeline: final segments under their labels, neighbours merged, and the partial text that
+    is being spoken (``partial``: the columns of ``raw``), in order of start."""
+    from .labels import merge_display
+
+    shown = merge_display(overlay(raw, assigned))
+    waiting = partial.select(*[c for c in shown.columns if c != "n_merged"]).withColumn("n_merged", F.lit(0).cast("long"))
+    place = F.row_number().over(Window.partitionBy("tid").orderBy("start_ms", "n_merged", "seq"))
+    return shown.unionByName(waiting).withColumn("place", place.cast("long"))
+
+
+def resolve_turns(turns: DataFrame, confirmed: DataFrame, matches: DataFrame, margin_ms: int = 10) -> DataFrame:
+    """A session's turns after its end: speakers without a confirmed voice take the confirmed one that their longest turn
+    matches (``matches``: tid, turn_seq, matched), and neighbours of one speaker that touch become one turn."""
+    from .intervals import coalesce_turns, longest_turns
+
+    known = confirmed.select("tid", F.col("speaker").cast("bigint").alias("speaker")).distinct()
+    open_ = turns.join(known, ["tid", "speaker"], "left_anti")
+    found = longest_turns(open_, ["tid", "speaker"]).join(matches.select("tid", "turn_seq", "matched"), ["tid", "turn_seq"]).filter("matched is not null")
+    to = found.groupBy("tid", "speaker").agg(F.min("matched").cast("bigint").alias("__to"))
+    rows = turns.join(to, ["tid", "speaker"], "left").withColumn("speaker", F.coalesce("__to", "speaker")).drop("__to")
+    return coalesce_turns(rows, margin_ms)

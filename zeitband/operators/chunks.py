@@ -83,3 +83,19 @@ def turn_diagnostics(turns: DataFrame, key: str = "tid") -> DataFrame:
     """Number of turns and speakers, and the least, mean and largest length of each group."""
     ms = F.col("end_ms") - F.col("start_ms")
     return turns.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("speaker").alias("speakers"), F.min(ms).alias("least_ms"), F.round(F.avg(ms), 3).alias("mean_ms"), F.max(ms).alias("most_ms"))
+
+
+def sliding_windows(clocked: DataFrame, length_ms: int = 30_000, every_ms: int = 10_000, fewest: int = 1) -> DataFrame:
+    """session, window_end, frames and first seq of the last ``length_ms`` at every multiple of ``every_ms`` that a session
+    reaches, where there are ``fewest`` frames at least. A frame goes to the few windows that it lies in."""
+    ends = clocked.groupBy("session").agg(F.max("end_ms").alias("__newest"))
+    first, last = F.floor(F.col("start_ms") / every_ms) + 1, F.floor((F.col("start_ms") + length_ms) / every_ms)
+    near = clocked.filter("end_ms > start_ms").join(ends, "session").withColumn("k", F.explode(F.sequence(first, last))).withColumn("window_end", F.col("k") * every_ms)
+    inside = near.filter((F.col("window_end") <= F.col("__newest")) & (F.col("end_ms") <= F.col("window_end")) & (F.col("start_ms") >= F.col("window_end") - length_ms))
+    return inside.groupBy("session", "window_end").agg(F.count(F.lit(1)).alias("frames"), F.min("seq").alias("first_seq")).filter(F.col("frames") >= fewest)
+
+
+def endpoints(events: DataFrame, silence: str) -> DataFrame:
+    """Utterances of events (session, ts) that a silence ends: session, start_s, n. Also on a stream with a watermark."""
+    w = F.session_window("ts", silence)
+    return events.groupBy("session", w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("session", F.unix_timestamp(F.col("w.start").cast("timestamp")).alias("start_s"), "n")

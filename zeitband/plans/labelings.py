@@ -54,6 +54,23 @@ def correct_by_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(c.correct_by_voice(rows, rows.select("tid", "seq", ((F.col("tid") + F.col("seq")) % 3).cast("int").alias("matched"))))
 
 
+def commit_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _short(c.commit(raw_parts(spark, sf_dir), parts(spark, sf_dir), candidates(spark, sf_dir), confirmed(spark, sf_dir)))
+
+
+def display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final segments under the candidate's labels, those that are not final as texts being spoken."""
+    rows = parts(spark, sf_dir)
+    return c.display(rows.filter("is_final"), candidates(spark, sf_dir), rows.filter("not is_final")).select("tid", "place", "seq", "start_ms", "end_ms", "speaker_id", "n_merged")
+
+
+def resolve_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn but each fourth matches the speaker that the timeline's number gives."""
+    rows = turns(spark, sf_dir)
+    matches = rows.filter("turn_seq % 4 > 0").selectExpr("tid", "turn_seq", "tid % 2 as matched")
+    return c.resolve_turns(rows, confirmed(spark, sf_dir), matches, margin_ms=1000)
+
+
 def remapped_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three showings: the labels of one list, of the other, and of the first again."""
     p, d = parts(spark, sf_dir).select("tid", "seq", "speaker_id"), candidates(spark, sf_dir).select("tid", "seq", "speaker_id")
@@ -122,6 +139,9 @@ QUERIES = {
     "nearest_confirmed": _sure(c.nearest_confirmed),
     "leading_confirmed": _sure(c.leading_confirmed),
     "live_renumber": lambda spark, sf_dir: _short(c.live_renumber(parts(spark, sf_dir))),
+    "commit_candidate": commit_candidate,
+    "display": display,
+    "resolve_turns": resolve_turns,
     "session_ids": session_ids,
     "merge_rare_speakers": lambda spark, sf_dir: _short(c.merge_rare_speakers(parts(spark, sf_dir))),
     "correct_by_voice": correct_by_voice,
@@ -164,6 +184,15 @@ def _nearest(edge: str, condition: str, order: str) -> str:
     return f"(select {edge} from s x where x.tid = s.tid and x.sure and {condition} order by x.seq {order} limit 1)"
 
 
+#: Turns of one speaker that lie up to a second apart, folded one after the other.
+COALESCED = """with recursive {views}, o as (select *, row_number() over (partition by tid order by start_ms, turn_seq) as n from {source}),
+f as (select tid, n, turn_seq as hq, start_ms as hs, end_ms as he, speaker, 1 as k from o where n = 1
+ union all select o.tid, o.n, case when j then hq else o.turn_seq end, case when j then hs else o.start_ms end, case when j then greatest(he, o.end_ms) else o.end_ms end, o.speaker, case when j then k + 1 else 1 end
+  from (select f.*, x.n as nn, f.speaker = x.speaker and x.start_ms <= he + 1000 as j from f join o x on x.tid = f.tid and x.n = f.n + 1) f join o on o.tid = f.tid and o.n = nn)
+select tid, hq as turn_seq, speaker, hs as start_ms, he as end_ms, cast(k as bigint) as n_merged from f qualify row_number() over (partition by tid, hq order by n desc) = 1"""
+RESOLVED = f"""{SQL_VIEWS}, lt as (select tid, speaker, turn_seq from v_turn t where not exists (select 1 from v_conf c where c.tid = t.tid and c.speaker = t.speaker)
+  qualify row_number() over (partition by tid, speaker order by end_ms - start_ms desc, turn_seq) = 1),
+rt as (select t.tid, t.turn_seq, t.start_ms, t.end_ms, case when lt.turn_seq % 4 > 0 then t.tid % 2 else t.speaker end as speaker from v_turn t left join lt on lt.tid = t.tid and lt.speaker = t.speaker)"""
 ORACLES = {
     "overlay_labels": f"""{SIDES}, {RAW} select r.tid, r.seq, r.start_ms, r.end_ms, case when d.id is not null then d.speaker_id else rid end as speaker_id,
   case when d.id is not null then d.speaker_label else rlabel end as speaker_label from r left join d using (tid, seq)""",
@@ -241,11 +270,8 @@ select tid, seq, batch, before, id as speaker_id from (select *, lag(id) over (p
   from (select *, row_number() over (partition by tid order by start_ms, turn_seq) as place from v_turn) where place <= 3""",
     "speaker_numbers": f"{SIDES} select tid, seq, num as number from p",
     "contiguous_segments": f"{SQL_VIEWS} select tid, seq, coalesce(lag(end_ms) over (partition by tid order by seq), 0) as start_ms, end_ms from v_part",
-    "coalesce_turns": f"""with recursive {SQL_VIEWS.strip().removeprefix("with")}, o as (select *, row_number() over (partition by tid order by start_ms, turn_seq) as n from v_turn),
-f as (select tid, n, turn_seq as hq, start_ms as hs, end_ms as he, speaker, 1 as k from o where n = 1
- union all select o.tid, o.n, case when j then hq else o.turn_seq end, case when j then hs else o.start_ms end, case when j then greatest(he, o.end_ms) else o.end_ms end, o.speaker, case when j then k + 1 else 1 end
-  from (select f.*, x.n as nn, f.speaker = x.speaker and x.start_ms <= he + 1000 as j from f join o x on x.tid = f.tid and x.n = f.n + 1) f join o on o.tid = f.tid and o.n = nn)
-select tid, hq as turn_seq, speaker, hs as start_ms, he as end_ms, cast(k as bigint) as n_merged from f qualify row_number() over (partition by tid, hq order by n desc) = 1""",
+    "coalesce_turns": COALESCED.format(views=SQL_VIEWS.strip().removeprefix("with"), source="v_turn"),
+    "resolve_turns": COALESCED.format(views=RESOLVED.strip().removeprefix("with"), source="rt"),
     "longest_turns": f"{SQL_VIEWS} select tid, speaker, turn_seq, start_ms, end_ms from v_turn qualify row_number() over (partition by tid, speaker order by end_ms - start_ms desc, turn_seq) = 1",
     "turn_diagnostics": f"""{SQL_VIEWS} select tid, count(*) as n, count(distinct speaker) as speakers, min(end_ms - start_ms) as least_ms, round(avg(end_ms - start_ms), 3) as mean_ms, max(end_ms - start_ms) as most_ms from v_turn group by tid""",
     "fragment_aggregate": f"""{SQL_VIEWS}, {LOCAL}, w as (select * from l where end_ms - start_ms >= 400)
@@ -258,3 +284,10 @@ select a.tid, a.speaker as local, b.speaker as "global", cast(sum(least(a.e, b.e
 select tid, turn_seq, start_ms, case when turn_seq % 2 = 1 or not zoned or end_ms <= zs - 10 then end_ms else zs end as end_ms, speaker from z where turn_seq % 2 = 1 or not zoned or end_ms <= zs - 10 or start_ms < zs""",
 }
 ORACLES["votes_text"] = f"select tid, local, string_agg(printf('%d:%.2fs', \"global\", overlap_ms / 1000), ',' order by overlap_ms desc, \"global\") as votes from ({ORACLES['overlap_votes']}) group by tid, local"
+_MERGED, _GATE = ORACLES["merge_candidate"], ORACLES["accept_candidate"]
+ORACLES["commit_candidate"] = f"""{SIDES}, {RAW}, merged as ({_MERGED}), gate as ({_GATE}),
+m as (select *, nullif(trim(speaker_id), '') as id from merged),
+mc as (select tid, count(*) filter (p.id is null and m.id is not null) > 0 or count(*) filter (p.id <> m.id) > 0 or count(distinct m.id) > count(distinct p.id) as new from p full join m using (tid, seq) group by tid),
+taken as (select tid from gate join mc using (tid) where accepted and new)
+select {ROW}, speaker_id, speaker_label from merged where tid in (select tid from taken) union all
+select r.tid, r.seq, r.start_ms, r.end_ms, case when p.id is not null then p.speaker_id else rid end, case when p.id is not null then p.speaker_label else rlabel end from r left join p using (tid, seq) where r.tid not in (select tid from taken)"""

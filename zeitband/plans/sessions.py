@@ -98,7 +98,14 @@ def final_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return utterances(results(spark, sf_dir))
 
 
+def event_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return chunks.endpoints(events.select((F.col("user_id") % 10).alias("session"), "ts"), "2 hours")
+
+
 QUERIES = {
+    "sliding_windows": lambda spark, sf_dir: chunks.sliding_windows(chunks.on_sample_clock(frames(spark, sf_dir), RATE), fewest=2),
+    "event_endpoints": event_endpoints,
     "sample_clock": sample_clock,
     "chunk_windows": chunk_windows,
     "chunk_audio": chunk_audio,
@@ -121,6 +128,10 @@ k as (select session, newest, unnest(range(cast(ceil(newest / 15000) as bigint))
 w as (select session, chunk, chunk * 15000 - case when chunk > 0 then 5000 else 0 end as window_start, least(newest, chunk * 15000 + 15000) as window_end, case when chunk > 0 then 5000 else 0 end as overlap_ms from k)"""
 AUDIO = f"{WINDOWS}, x as (select w.*, count(*) * 16 as n, round(sum(a) * 16, 3) as total, sqrt(avg(a * a)) as level from w join c on c.session = w.session and end_ms > window_start and end_ms - 1000 < window_end group by all)"
 ORACLES = {
+    "sliding_windows": f"""{FRAMES}, e as (select session, unnest(range(10000, max(end_ms) + 1, 10000)) as window_end from c group by session)
+select session, window_end, count(*) as frames, min(seq) as first_seq from e join c using (session) where end_ms <= window_end and end_ms - 1000 >= window_end - 30000 group by all having count(*) >= 2""",
+    "event_endpoints": """with g as (select user_id % 10 as session, ts, case when ts < lag(ts) over w + interval '2 hours' then 0 else 1 end as new from events window w as (partition by user_id % 10 order by ts)),
+b as (select *, sum(new) over (partition by session order by ts) as block from g) select session, cast(floor(epoch(min(ts))) as bigint) as start_s, count(*) as n from b group by session, block""",
     "sample_clock": f"{FRAMES} select session, seq, end_ms - 1000 as start_ms, end_ms from c",
     "chunk_windows": f"{WINDOWS} select * from w",
     "chunk_audio": f"{AUDIO} select * exclude (level) from x",
