@@ -32,9 +32,10 @@ LENGTHS = (16, 32, 64, 128)
 BATCH_BYTES = 4096
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return 1 / (1 + np.exp(-x))
+def squash(x: np.ndarray) -> np.ndarray:
+    """Between -1 and 1, as tanh is, from additions and one division alone; its slope is (1 - |squash(x)|) ** 2. Gates
+    are half of it, plus a half."""
+    return x / (1 + np.abs(x))
 
 
 def backwards(x: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -54,19 +55,20 @@ class ByteGRU:
         rng = np.random.default_rng(seed)
         self.labels, self.hidden = labels, hidden
         small = lambda *shape: rng.normal(0, 0.2, shape).astype(np.float32)
-        self.w = {"entry": small(2, 3 * hidden, 256), "gates": small(2, 2 * hidden, hidden), "new": small(2, hidden, hidden), "out": small(2, len(labels), hidden), "bias": np.zeros(len(labels), np.float32)}
+        self.w = {"entry": small(2, 3 * hidden, 256), "inner": small(2, 3 * hidden, hidden), "out": small(2, len(labels), hidden), "bias": np.zeros(len(labels), np.float32)}
 
     def scan(self, both: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """State before, update and reset gate, recurrent part, candidate and state of each position; ``both`` holds
         the bytes as (direction, time, stretch)."""
-        n, entry, gates, new = self.hidden, self.w["entry"], self.w["gates"], self.w["new"]
-        h = np.zeros((2, n, both.shape[2]), entry.dtype)
+        n, entry, inner = self.hidden, self.w["entry"], self.w["inner"]
+        h, a = np.zeros((2, n, both.shape[2]), entry.dtype), np.empty((2, 3 * n, both.shape[2]), entry.dtype)
         for t in range(both.shape[1]):
-            a = np.stack([np.take(entry[i], both[i, t], axis=1) for i in (0, 1)])
-            zr = sigmoid(a[:, : 2 * n] + gates @ h)
-            z, r = zr[:, :n], zr[:, n:]
-            u = new @ h
-            c = np.tanh(a[:, 2 * n :] + r * u)
+            for i in (0, 1):
+                np.take(entry[i], both[i, t], axis=1, out=a[i], mode="clip")
+            g = inner @ h
+            zr = 0.5 + 0.5 * squash(a[:, : 2 * n] + g[:, : 2 * n])
+            z, r, u = zr[:, :n], zr[:, n:], g[:, 2 * n :]
+            c = squash(a[:, 2 * n :] + r * u)
             before, h = h, c + z * (h - c)
             yield before, z, r, u, c, h
 
@@ -74,7 +76,7 @@ class ByteGRU:
         """(time, label, stretch); the steps of the scan are kept in ``steps``."""
         out = self.w["out"]
         made = np.empty((2, len(x), len(self.labels), x.shape[1]), out.dtype)
-        for t, step in enumerate(self.scan(np.stack([x, backwards(x, n)]))):
+        for t, step in enumerate(self.scan(np.stack([x, backwards(x, n)]).astype(np.intp))):
             made[:, t] = out @ step[-1]
             if steps is not None:
                 steps.append(step)
@@ -103,20 +105,18 @@ class ByteGRU:
         states = np.stack([s[-1] for s in steps])
         grad = {"bias": p.sum(axis=(0, 2)), "out": np.matmul(each, states.transpose(0, 1, 3, 2)).sum(axis=0)}
         into = self.w["out"].transpose(0, 2, 1) @ each
-        grad["gates"], grad["new"] = np.zeros_like(self.w["gates"]), np.zeros_like(self.w["new"])
-        gates_t, new_t = self.w["gates"].transpose(0, 2, 1), self.w["new"].transpose(0, 2, 1)
+        grad["inner"], inner_t = np.zeros_like(self.w["inner"]), self.w["inner"].transpose(0, 2, 1)
         back, entered = np.zeros_like(states[0]), np.empty((2, 3 * self.hidden, *x.shape), logits.dtype)
         for t in range(len(x) - 1, -1, -1):
             before, z, r, u, c, _ = steps[t]
             d = into[t] + back
-            dc = d * (1 - z) * (1 - c * c)
-            dzr = np.concatenate([d * (before - c) * z * (1 - z), dc * u * r * (1 - r)], axis=1)
-            du = dc * r
-            back = d * z + gates_t @ dzr + new_t @ du
-            past = before.transpose(0, 2, 1)
-            grad["gates"] += dzr @ past
-            grad["new"] += du @ past
-            entered[:, :, t] = np.concatenate([dzr, dc], axis=1)
+            dc = d * (1 - z) * (1 - np.abs(c)) ** 2
+            dz = d * (before - c) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+            dr = dc * u * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
+            dg = np.concatenate([dz, dr, dc * r], axis=1)
+            back = d * z + inner_t @ dg
+            grad["inner"] += dg @ before.transpose(0, 2, 1)
+            entered[:, :, t] = np.concatenate([dz, dr, dc], axis=1)
         both = (x.ravel(), backwards(x, n).ravel())
         grad["entry"] = np.stack([[np.bincount(both[i], row.ravel(), 256) for row in entered[i]] for i in (0, 1)]).astype(logits.dtype)
         return grad
