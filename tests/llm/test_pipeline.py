@@ -1,0 +1,149 @@
+"""Each stage of the pipeline against a brute-force version, on what the stage before left."""
+
+import re
+import sys
+from pathlib import Path
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from zeitband.llm.secrets import all_spans
+
+sys.path.insert(0, str(Path(__file__).parent))
+from test_decontaminate import brute_force  # noqa: E402
+from test_llm_queries import EDGES  # noqa: E402
+
+FOLDER = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """The rows before and after each stage."""
+    path = str(tmp_path_factory.mktemp("pipeline"))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    # Passages with benchmark items, and rows that a host's rate alone decides.
+    leaks = [(200_000 + i, f"{filler(i)} {r['text']} {filler(i + 900)}", "en", "leaky", None) for i, r in enumerate(items.orderBy("item_id").limit(5).collect())]
+    symbols = [(300_000 + i, (filler(i) if i % 4 == 0 else filler(i).replace(" ", " #* ")), "en", "symbols", 5) for i in range(24)]
+    made = docs.union(spark.createDataFrame([*EDGES, *leaks, *symbols], docs.schema)).coalesce(3)
+    made.write.parquet(f"{path}/documents.parquet")
+    items.write.parquet(f"{path}/benchmark.parquet")
+    seen, out = spark.read.parquet(f"{path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        after = corpus_pipeline.materialize(stage(spark, seen, path), name)
+        if name != "packing":
+            assert after.columns == docs.columns
+        out.append(([tuple(r) for r in seen.collect()], [tuple(r) for r in after.collect()]))
+        seen = after
+    return out, [(r["item_id"], r["text"]) for r in items.collect()]
+
+
+def filler(i):
+    return " ".join(f"word{(i * 131 + j * 17) % 9973}" for j in range(70))
+
+
+def measures(text):
+    """base failure and soft failure of a text."""
+    text = text or ""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    windows, repeated = {}, set()
+    for i in range(len(words) - 2):
+        windows.setdefault(tuple(words[i : i + 3]), []).append(i)
+    for at in windows.values():
+        if len(at) > 1:
+            repeated |= {i + k for i in at for k in range(3)}
+    n, chars, symbols = len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text)
+    dup = len(lines) - len(set(lines))
+    return n < 50 or 100 * len(repeated) > 50 * n, 10 * symbols > chars or 10 * dup > 3 * len(lines) or chars < 2 * n or chars > 20 * n
+
+
+def test_quality_rules(stages):
+    before, after = stages[0][0]
+    failed = {r: measures(r[1]) for r in set(before)}
+    hosts = {}
+    for r in before:
+        hosts.setdefault(r[3], []).append(any(failed[r]))
+    rates = {h: sum(x) / len(x) for h, x in hosts.items()}
+    m = sum(rates.values()) / len(rates)
+    v = sum((x - m) ** 2 for x in rates.values()) / len(rates)
+    k = min(10_000.0, max(1.0, m * (1 - m) / v - 1)) if v else 10_000.0
+    rate = {h: (sum(x) + k * m) / (len(x) + k) for h, x in hosts.items()}
+    kept = [r for r in before if not failed[r][0] and not (rate[r[3]] > 0.5 and failed[r][1] or rate[r[3]] > 0.9)]
+    assert sorted(after, key=repr) == sorted(kept, key=repr)
+    assert any(rate[r[3]] > 0.5 and failed[r][1] and not failed[r][0] for r in before)
+
+
+def test_near_duplicates(stages):
+    before, after = stages[0][1]
+    sets = []
+    for r in before:
+        w = WORD.findall(re.sub("[A-Z]", lambda x: x.group().lower(), r[1] or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(before)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (before[i][0] is not None and before[i][0] == before[j][0]) or (a and 100 * len(a & sets[j]) >= 75 * len(a | sets[j])):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(before):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    kept = {r for i, r in enumerate(before) if r[0] is None or r[0] == least[find(i)]}
+    assert len(kept) < len(set(before))
+    assert sorted((r for r in after if r[0] is not None), key=repr) == sorted((r for r in kept if r[0] is not None), key=repr)
+
+
+def test_decontamination(stages):
+    (before, after), items = stages[0][2], stages[1]
+    found = brute_force(items, [r[1] for r in before], 0.6, 0.6)
+    leaking = {d for d, *_ in found}
+    assert len(leaking) >= 5
+    assert sorted(after, key=repr) == sorted((r for i, r in enumerate(before) if i not in leaking), key=repr)
+
+
+def test_secret_scan(stages):
+    before, after = stages[0][3]
+    want, changed = [], 0
+    for r in before:
+        text = r[1] or ""
+        hidden = [False] * (len(text) + 1)
+        for _, e, _, s in all_spans(text):
+            hidden[s:e] = [True] * (e - s)
+        out, runs = [], 0
+        for i, c in enumerate(text):
+            if not hidden[i]:
+                out.append(c)
+            elif not i or not hidden[i - 1]:
+                out.append("[secret]")
+                runs += 1
+        # Secrets that touch are marked one by one, or as one: the rest of the text is what counts.
+        want.append((r[0], "".join(out).replace("[secret]", ""), r[2], r[3]))
+        changed += bool(runs)
+    got = [(r[0], (r[1] or "").replace("[secret]", ""), r[2], r[3]) for r in after]
+    assert changed and sorted(got, key=repr) == sorted(want, key=repr)
+    for r in after:
+        assert r[1] is None or not re.search(r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}", r[1])
+        assert r[1] is None or "[secret]" not in r[1] or r[4] == len(r[1])
+
+
+def test_packing(stages):
+    before, after = stages[0][4]
+    ids = [e.ids for e in Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode_batch([r[1] or "" for r in before], add_special_tokens=False)]
+    want = []
+    for r, own in zip(before, ids):
+        own, at = [*own, 1], 0
+        while at < len(own):
+            n = min(2048, 1 << ((len(own) - at).bit_length() - 1))
+            want.append((r[0], at, n, len(own), own[at : at + n]))
+            at += n
+    assert sorted(((r[0], r[1], r[2], r[3], list(r[6])) for r in after), key=repr) == sorted(want, key=repr)
+    assert sorted(r[4] for r in after) == list(range(len(after)))

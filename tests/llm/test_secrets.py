@@ -78,3 +78,27 @@ def test_joined_names_and_strings():
     assert named('abc = "x1"\nprivate_key=abc+Def1/Ghi2JkL==') == ["abc+Def1/Ghi2JkL=="]
     assert named('A = "exam"\nprivate_key = A + "ple6hIj9kLm"') == []
     assert named("private_key: Ab3d=EfGh6hIj9k") == ["Ab3d=EfGh6hIj9k"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f'<add key="db_pwd" value="{KEY}"/>', [KEY]),
+        (f"<pwd> {KEY} </pwd>", [KEY]),
+        (f"<colour>{KEY}</colour>", []),
+        (f'<input name="colour" value="{KEY}">', []),
+        (f"signing_key = '''\n{KEY}\n'''\nx = 1", [KEY]),
+        (f"connect(user='bob',pwd='{KEY}')", [KEY]),
+        ("-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/=\n-----END RSA PRIVATE KEY-----\nrest", ["-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/=\n-----END RSA PRIVATE KEY-----"]),
+        ("-----BEGIN PUBLIC KEY-----\nMIIB\n-----END PUBLIC KEY-----", []),
+    ],
+)
+def test_markup_keys_and_long_strings(text, want):
+    assert named(text) == want
+
+
+def test_markup_takes_linear_time():
+    for unit in ("<a ", "<a>", "-----BEGIN PRIVATE KEY-----", "k = \"\"\"", '<a b="'):
+        start = time.perf_counter()
+        all_spans(unit * 40_000)
+        assert time.perf_counter() - start < 5

@@ -4,7 +4,9 @@ Three plain patterns give the base spans. Beside them, every assignment in the t
 ``"name": "value"``, ``name := value``, ``name => value``; source, JSON, YAML, INI and environment files alike) is
 lexed into a name and its literal: string literals, literals and names joined by ``+`` or standing side by side, bare
 words, and names bound earlier, whose literal is carried on. The name may be quoted, a subscript (``x["name"] = value``)
-or have a type (``name: type = value``). A literal of any length is reported if its target's name is sensitive and the
+or have a type (``name: type = value``); strings may be in triple quotes over several lines. Markup gives pairs as well:
+elements (``<name>value</name>``) and tags with a name and a value (``<add key="name" value="value"/>``). Blocks that are
+marked as private keys are reported whatever their name. A literal of any length is reported if its target's name is sensitive and the
 literal looks like key material. Added spans cover the literal alone and never overlap a base span.
 
 Defined cases: a null or empty text has no spans; each row gives one row, in any order, repeated rows and null ids
@@ -40,6 +42,11 @@ STRING = re.compile(r"""[rbuf]?("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""", re.
 BARE = re.compile(r"[^\s\"',;(){}\[\]<>|&]+")
 PLUS = re.compile(r"[ \t]*\+[ \t]*")
 BLANKS = re.compile(r"[ \t]*")
+TAG = re.compile(r"<([A-Za-z_][\w.:\-]*)([^<>]*)>([^<>]*)", re.ASCII)
+ATTRIBUTE = re.compile(r"""([A-Za-z_][\w.:\-]*)[ \t]*=[ \t]*(?:"([^"]*)"|'([^']*)')""", re.ASCII)
+# Attributes that name what another one holds.
+NAMING, HOLDING = ("key", "name", "id"), ("value", "val", "content")
+KEY_BEGIN, KEY_END = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----"), "-----END %s-----"
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 # How sensitive a part of a name is, and pairs of parts that are more so together.
@@ -270,10 +277,52 @@ def annotation_end(text: str, at: int) -> int | None:
     return None
 
 
+def markup(text: str) -> Iterator[tuple[str, tuple[int, int]]]:
+    """Names and literals of elements, and of tags that name what they hold."""
+    for m in TAG.finditer(text):
+        if m.group(2):
+            found = {a.group(1).lower(): a for a in ATTRIBUTE.finditer(text, m.start(2), m.end(2))}
+            name, held = (next((found[k] for k in kinds if k in found), None) for kinds in (NAMING, HOLDING))
+            if name and held:
+                yield name.group(2) or name.group(3) or "", held.span(2 if held.group(2) is not None else 3)
+        body = m.group(3).strip()
+        if body and text.startswith(f"</{m.group(1)}", m.end()):
+            start = m.start(3) + m.group(3).index(body[0])
+            yield m.group(1), (start, start + len(body))
+
+
+def private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Blocks that are marked as private keys, from mark to mark."""
+    at = 0
+    while m := KEY_BEGIN.search(text, at):
+        mark = KEY_END % m.group(1)
+        end = text.find(mark, m.end())
+        if end < 0:
+            return
+        yield m.start(), end + len(mark)
+        at = end
+
+
+def triple_quoted(text: str, at: int, unclosed: set[str]) -> tuple[Value, int] | None:
+    """The string over several lines that begins at ``at``, without white space on either side, and its end."""
+    at = BLANKS.match(text, at).end()
+    quotes = text[at : at + 3]
+    if quotes not in ('"""', "'''") or quotes in unclosed:
+        return None
+    end = text.find(quotes, at + 3)
+    if end < 0:
+        unclosed.add(quotes)
+        return None
+    inside = text[at + 3 : end]
+    start = at + 3 + len(inside) - len(inside.lstrip())
+    return Value([(start, start + len(inside.strip()))]), end + 3
+
+
 def assignments(text: str) -> Iterator[tuple[str, Value]]:
     """Each assigned name with its literal, constants carried on from earlier names."""
     known: dict[str, Value] = {}
     done = bare_end = 0
+    unclosed: set[str] = set()
     for m in OPERATOR.finditer(text):
         if m.start() < done:
             continue
@@ -283,6 +332,10 @@ def assignments(text: str) -> Iterator[tuple[str, Value]]:
         at = m.end()
         if m.group() == ":" and (value_at := annotation_end(text, at)):
             done = at = value_at
+        if long_ := triple_quoted(text, at, unclosed):
+            known[name], done = long_
+            yield name, known[name]
+            continue
         value, end, bare = literal_at(text, at, known, bare_end)
         if value is None:
             continue
@@ -296,7 +349,9 @@ def assignments(text: str) -> Iterator[tuple[str, Value]]:
 
 def all_spans(text: str) -> list[tuple[int, int, str, int]]:
     found = base_spans(text)
-    if ":" in text or "=" in text:
+    plain = [span for name, span in markup(text) if sensitivity(name) * strength(text[span[0] : span[1]]) >= LEAST_SCORE] if "<" in text else []
+    plain += private_keys(text) if "-----BEGIN " in text else []
+    if ":" in text or "=" in text or plain:
         taken: list[tuple[int, int]] = []
         for s, e in sorted((s, e) for s, e, _, _ in found):
             if taken and s <= taken[-1][1]:
@@ -313,6 +368,13 @@ def all_spans(text: str) -> list[tuple[int, int, str, int]]:
         for values in runs.values():
             rate_bare(text, values)
         seen: set[tuple[int, int] | int] = set()
+
+        def add(s: int, e: int) -> None:
+            at = bisect.bisect_left(taken, (e,)) - 1
+            if e > s and (s, e) not in seen and (at < 0 or taken[at][1] <= s):
+                seen.add((s, e))
+                found.append((s, e, "named", s))
+
         for weight, value in asked:
             waiting = [value] if weight * value.strength >= LEAST_SCORE else []
             while waiting:
@@ -324,11 +386,9 @@ def all_spans(text: str) -> list[tuple[int, int, str, int]]:
                     if isinstance(p, Value):
                         waiting.append(p)
                         continue
-                    s, e = p
-                    at = bisect.bisect_left(taken, (e,)) - 1
-                    if e > s and p not in seen and (at < 0 or taken[at][1] <= s):
-                        seen.add(p)
-                        found.append((s, e, "named", s))
+                    add(*p)
+        for p in plain:
+            add(*p)
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
