@@ -25,7 +25,7 @@ def test_continued(a, b, want):
 def test_fold(spark):
     rows = [(1, 1, 0, 1000, "guten Morgen"), (1, 2, 1100, 1300, "ja"), (1, 3, 2000, 4000, "Morgen ja und weiter"), (1, 4, 90_000, 91_000, "und weiter"), (2, 1, 0, 100, None)]
     got = dedupe_texts(spark.createDataFrame(rows, "tid long, seq int, start_ms long, end_ms long, text string")).orderBy("tid", "seq").collect()
-    assert [tuple(r) for r in got] == [(1, 1, 0, 4000, "guten Morgen ja und weiter", 3), (1, 4, 90_000, 91_000, "und weiter", 1), (2, 1, 0, 100, "", 1)]
+    assert [tuple(r) for r in got] == [(1, 1, 0, 4000, "guten Morgen ja und weiter", 3), (1, 4, 90_000, 91_000, "und weiter", 1), (2, 1, 0, 100, None, 1)]
 
 
 def test_query_keeps_the_count_of_rows(spark):

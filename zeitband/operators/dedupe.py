@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
+
+from .folds import fold_sorted
 
 
 def continued(a: list[str], b: list[str]) -> list[str] | None:
@@ -23,33 +27,33 @@ def continued(a: list[str], b: list[str]) -> list[str] | None:
     return longer if s in t or t in s else None
 
 
-def fold(rows: pd.DataFrame, reach_ms: int, micro_ms: int, pause_ms: int) -> pd.DataFrame:
-    done: list[dict] = []
-    ordered = rows.sort_values(["seq", "start_ms", "end_ms", "text"], kind="stable", na_position="first")
-    for r in ordered.itertuples(index=False):
-        text = r.text if isinstance(r.text, str) else None
-        words, made = (text or "").split(), None
-        last = done[-1] if done else None
-        if last and 1 <= r.start_ms - last["start_ms"] < reach_ms:
+def fold(rows: Iterable[dict], reach_ms: int, micro_ms: int, pause_ms: int) -> Iterator[tuple]:
+    """The segments that are left of a timeline's rows in order, each as soon as nothing more can join it."""
+    last: dict | None = None
+    for r in rows:
+        words, made = (r["text"] or "").split(), None
+        if last and 1 <= r["start_ms"] - last["start_ms"] < reach_ms:
             own = (last["text"] or "").split()
-            micro = r.end_ms - r.start_ms < micro_ms and len(words) < 2 and r.start_ms - last["end_ms"] < pause_ms
+            micro = r["end_ms"] - r["start_ms"] < micro_ms and len(words) < 2 and r["start_ms"] - last["end_ms"] < pause_ms
             made = own + words if micro else continued(own, words)
-        if made is None:
-            done.append({"tid": r.tid, "seq": r.seq, "start_ms": r.start_ms, "end_ms": r.end_ms, "text": text, "n_merged": 1})
-        else:
-            last |= {"text": " ".join(made), "end_ms": max(last["end_ms"], r.end_ms), "n_merged": last["n_merged"] + 1}
-    return pd.DataFrame(done, columns=["tid", "seq", "start_ms", "end_ms", "text", "n_merged"])
+        if made is not None:
+            last |= {"text": " ".join(made), "end_ms": max(last["end_ms"], r["end_ms"]), "n_merged": last["n_merged"] + 1}
+            continue
+        if last:
+            yield tuple(last.values())
+        last = r | {"n_merged": 1}
+    if last:
+        yield tuple(last.values())
 
 
 def dedupe_texts(rows: DataFrame, reach_ms: int = 60_000, micro_ms: int = 500, pause_ms: int = 1500) -> DataFrame:
     """Segments (tid, seq, start_ms, end_ms, text) with each one that repeats, continues or hangs on the one before it,
-    within ``reach_ms`` of its start, folded into it. Every step depends on the one before, so a timeline is one group.
+    within ``reach_ms`` of its start, folded into it.
 
     Texts that nothing is folded into stay as they are, null ones too. Rows of equal seq come in the order of their
     start, end and text; rows without a seq, start or end are left out, as they have no place in time.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     names = ["tid", "seq", "start_ms", "end_ms", "text"]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", n_merged long"
     placed = rows.select(*names).na.drop(subset=["seq", "start_ms", "end_ms"])
-    return placed.groupBy("tid").applyInPandas(lambda g: fold(g, reach_ms, micro_ms, pause_ms), schema)
+    schema = StructType([*placed.schema, StructField("n_merged", LongType())])
+    return fold_sorted(placed, "tid", names[1:], lambda own: fold(own, reach_ms, micro_ms, pause_ms), schema)

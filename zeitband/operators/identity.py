@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from zeitband.functions.text import cosine
 
+from .folds import fold_sorted
 from .intervals import overlaps
 
 #: A bank of up to so many voices is broadcast; a larger one is joined in salted copies of its sessions.
@@ -184,13 +185,13 @@ def match_greedily(votes: DataFrame, least_ms: int = 300) -> DataFrame:
     """One-to-one pairs of local and global speaker per timeline, the largest overlap first; ties go to the local, then
     the global speaker whose turn comes first. A timeline has few speakers, so its votes are one small group."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["overlap_ms", "local_first", "global_first", "local", "global"], ascending=[False, True, True, True, True])
-        found = greedy_pairs(list(zip(ordered["local"], ordered["global"], ordered["overlap_ms"], strict=True)), least_ms)
-        return pd.DataFrame([(rows["tid"].iloc[0], *x) for x in found], columns=["tid", "local", "global", "overlap_ms"])
+    def fold(own: Iterable[dict]) -> Iterator[tuple]:
+        rows = list(own)
+        for pair in greedy_pairs([(r["local"], r["global"], r["overlap_ms"]) for r in rows], least_ms):
+            yield (rows[0]["tid"], *pair)
 
-    schema = votes.select("tid", "local", "global", "overlap_ms").schema
-    return votes.filter(F.col("overlap_ms") >= least_ms).groupBy("tid").applyInPandas(run, schema)
+    ordered = votes.filter(F.col("overlap_ms") >= least_ms).withColumn("less", -F.col("overlap_ms"))
+    return fold_sorted(ordered, "tid", ["less", "local_first", "global_first", "local", "global"], fold, votes.select("tid", "local", "global", "overlap_ms").schema)
 
 
 def speaker_mapping(local: DataFrame, world: DataFrame, zones: DataFrame, least_ms: int = 300, fragment_ms: int = 400, aggregate_ms: int = 2000) -> DataFrame:

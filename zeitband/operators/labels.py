@@ -3,12 +3,16 @@ speaker_id, text; a null or blank speaker_id is unlabeled."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from zeitband.functions.text import is_blank, speaker_name, trimmed
 
+from .folds import fold_sorted
+
 
 def order() -> WindowSpec:
     return Window.partitionBy("tid").orderBy("seq")
@@ -101,24 +105,26 @@ def merge_history(rows: DataFrame, gap_ms: int = 1200) -> DataFrame:
 
 def merge_display(rows: DataFrame, gap_ms: int = 1200) -> DataFrame:
     """As ``merge_history``, but a segment also joins by an equal label (null equals null), is compared with the first
-    segment of what it joins, and is_new is kept if any part is new. Each step depends on the head that the steps
-    before gave, so a timeline is one group."""
+    segment of what it joins, and is_new is kept if any part is new."""
     names = ["tid", "seq", "start_ms", "end_ms", "speaker_id", "speaker_label", "text", "is_final", "is_new"]
 
-    def run(timeline: pd.DataFrame) -> pd.DataFrame:
-        done: list[dict] = []
-        for r in timeline.sort_values(["start_ms", "seq"], kind="stable").to_dict("records"):
-            head = done[-1] if done else None
-            own = r["speaker_id"] if isinstance(r["speaker_id"], str) and r["speaker_id"].strip() else None
-            if head and own and head["own"] and head["is_final"] and r["is_final"] and 0 <= r["start_ms"] - head["end_ms"] <= gap_ms and (own == head["own"] or head["speaker_label"] == r["speaker_label"]):
-                both = [t.strip() for t in (head["text"] or "", r["text"] or "")]
+    def fold(timeline: Iterable[dict]) -> Iterator[tuple]:
+        head: dict | None = None
+        for r in timeline:
+            close = head is not None and None not in (r["start_ms"], head["end_ms"]) and 0 <= r["start_ms"] - head["end_ms"] <= gap_ms and head["is_final"] and r["is_final"]
+            ids = [(x["speaker_id"] or "").strip() for x in (head, r)] if close else []
+            if close and all(ids) and (ids[0] == ids[1] or head["speaker_label"] == r["speaker_label"]):
+                both = [(x["text"] or "").strip() for x in (head, r)]
                 head |= {"text": " ".join(t for t in both if t), "end_ms": max(head["end_ms"], r["end_ms"]), "is_new": head["is_new"] or r["is_new"], "n_merged": head["n_merged"] + 1}
-            else:
-                done.append(r | {"own": own, "n_merged": 1})
-        return pd.DataFrame(done, columns=[*names, "n_merged"])
-
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", n_merged long"
-    return rows.select(*names).groupBy("tid").applyInPandas(run, schema)
+                continue
+            if head:
+                yield tuple(head.values())
+            head = r | {"n_merged": 1}
+        if head:
+            yield tuple(head.values())
+
+    schema = StructType([*rows.select(*names).schema, StructField("n_merged", LongType())])
+    return fold_sorted(rows.select(*names), "tid", ["start_ms", "seq"], fold, schema)
 
 
 def name_by_appearance(rows: DataFrame, prefix: str = "Sprecher ") -> DataFrame:
