@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from zeitband.functions.audio import RATE, level
 
+from .scans import SPAN, carried
 
-def on_sample_clock(frames: DataFrame, rate: int = RATE) -> DataFrame:
+
+def on_sample_clock(frames: DataFrame, rate: int = RATE, span: int = SPAN) -> DataFrame:
     """``frames`` with start_ms and end_ms: the time that the samples before and up to each frame last."""
-    so_far = F.sum(F.coalesce(F.greatest(F.size("samples"), F.lit(0)), F.lit(0)).cast("bigint")).over(Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     ms = lambda n: F.floor(n * 1000 / rate)
     own = F.coalesce(F.greatest(F.size("samples"), F.lit(0)), F.lit(0))
-    return frames.withColumn("__n", so_far).withColumns({"start_ms": ms(F.col("__n") - own), "end_ms": ms(F.col("__n"))}).drop("__n")
+    clocked = carried(frames, "session", ["seq"], sums={"__n": own.cast("bigint")}, span=span)
+    return clocked.withColumns({"start_ms": ms(F.col("__n") - own), "end_ms": ms(F.col("__n"))}).drop("__n")
 
 
 def chunk_windows(clocked: DataFrame, chunk_ms: int = 15_000, overlap_ms: int = 5_000, rest: bool = True) -> DataFrame:

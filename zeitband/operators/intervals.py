@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import SPAN, SPAN_MS, carried
+
 BUCKET_MS = 60_000
 
 
@@ -58,13 +60,13 @@ def replace_interval(kept: DataFrame, added: DataFrame, zones: DataFrame, margin
     return left.withColumn("end_ms", clipped).select(*kept.columns).unionByName(added)
 
 
-def coalesce_turns(turns: DataFrame, margin_ms: int = 10) -> DataFrame:
+def coalesce_turns(turns: DataFrame, margin_ms: int = 10, span_ms: int = SPAN_MS) -> DataFrame:
     """Neighbouring turns of one speaker, in order of start, that overlap or lie up to ``margin_ms`` apart, as one:
     tid, turn_seq (of the first), speaker, start_ms, end_ms, n_merged."""
-    w = Window.partitionBy("tid").orderBy("start_ms", "turn_seq")
-    rows = turns.select("tid", "turn_seq", "speaker", "start_ms", "end_ms", F.lag("speaker").over(w).alias("l"))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("l") == F.col("speaker"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy("tid", "run").orderBy("start_ms", "turn_seq")
+    order = ["start_ms", "turn_seq"]
+    rows = carried(turns.select("tid", "turn_seq", "speaker", "start_ms", "end_ms"), "tid", order, before={"__left": F.col("speaker")}, span=span_ms)
+    rows = carried(rows, "tid", order, sums={"run": F.when(F.col("__left") == F.col("speaker"), 0).otherwise(1)}, span=span_ms)
+    within = Window.partitionBy("tid", "run").orderBy(*order)
     reach = F.max("end_ms").over(within.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("apart", F.when(F.col("start_ms") <= reach + margin_ms, 0).otherwise(1))
     rows = rows.withColumn("block", F.sum("apart").over(within.rowsBetween(Window.unboundedPreceding, 0)))
@@ -77,7 +79,7 @@ def longest_turns(turns: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "b.turn.turn_seq", "b.turn.start_ms", "b.turn.end_ms")
 
 
-def change_points(turns: DataFrame) -> DataFrame:
+def change_points(turns: DataFrame, span: int = SPAN) -> DataFrame:
     """Turns whose speaker differs from that of the turn before."""
-    before = F.lag("speaker").over(Window.partitionBy("tid").orderBy("turn_seq"))
-    return turns.withColumn("before", before).filter("before <> speaker").select("tid", "turn_seq", "start_ms", "before", "speaker")
+    met = carried(turns, "tid", ["turn_seq"], before={"__left": F.struct("speaker")}, span=span)
+    return met.withColumn("before", F.col("__left.speaker")).filter("before <> speaker").select("tid", "turn_seq", "start_ms", "before", "speaker")

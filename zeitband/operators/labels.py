@@ -5,17 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from zeitband.functions.text import is_blank, speaker_name, trimmed
+from zeitband.shared import stored
 
 from .folds import fold_sorted
-
-
-def order() -> WindowSpec:
-    return Window.partitionBy("tid").orderBy("seq")
+from .scans import SPAN, SPAN_MS, bucket, by_group, carried, told
 
 
 def label(name: str = "speaker_id") -> Column:
@@ -26,71 +24,98 @@ def words(name: str = "text") -> Column:
     return F.size(F.split(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"^\s+|\s+$", ""), r"\s+"))
 
 
-def smooth_islands(rows: DataFrame, longest_ms: int = 2000, most_words: int = 3) -> DataFrame:
-    """A short segment between two of one other speaker takes their label, if a neighbour lasts three times as long
-    and its own speaker has more segments."""
-    length = F.col("end_ms") - F.col("start_ms")
-    left, right = F.lag(label()).over(order()), F.lead(label()).over(order())
-    island = (left == right) & (left != label()) & (length <= longest_ms) & (words() <= most_words)
-    island &= length * 3 <= F.greatest(F.lag(length).over(order()), F.lead(length).over(order()))
-    island &= F.count(F.lit(1)).over(Window.partitionBy("tid", "speaker_id")) > 1
-    return rows.withColumn("speaker_id", F.when(island, left).otherwise(F.col("speaker_id")))
+def _near(*more: str) -> Column:
+    """What a segment shows its neighbours: its label if it has one, its times, and ``more``."""
+    return F.struct(label().alias("id"), *more, "start_ms", "end_ms")
+
+
+def _both(rows: DataFrame) -> list[str]:
+    """The label's text goes with the id wherever rows have it."""
+    return [c for c in ("speaker_label",) if c in rows.columns]
+
+
+def _taken(rows: DataFrame, found: Column) -> DataFrame:
+    """``rows`` with id (and label) of the neighbour ``found`` where it is not null; without the working columns."""
+    made = rows.withColumn("__found", found)
+    put = {"speaker_id": F.when(F.col("__found").isNotNull(), F.col("__found.id")).otherwise(F.col("speaker_id"))}
+    put |= {c: F.when(F.col("__found").isNotNull(), F.col(f"__found.{c}")).otherwise(F.col(c)) for c in _both(rows)}
+    return made.withColumns(put).drop(*[c for c in made.columns if c.startswith("__")])
+
+
+def smooth_islands(rows: DataFrame, longest_ms: int = 2000, most_words: int = 3, span: int = SPAN) -> DataFrame:
+    """A short segment between two of one other speaker takes their id and label (the one's before it), if a neighbour
+    lasts three times as long and its own speaker has more segments."""
+    near = _near(*_both(rows))
+    counted = by_group(rows, ["tid", "speaker_id"], "seq", {"__n": ("sum", F.lit(1))}, span)
+    met = carried(counted, "tid", ["seq"], before={"__left": near}, after={"__right": near}, span=span)
+    length = lambda of="": F.col(f"{of}end_ms") - F.col(f"{of}start_ms")
+    island = (F.col("__left.id") == F.col("__right.id")) & (F.col("__left.id") != label()) & (length() <= longest_ms) & (words() <= most_words)
+    island &= (length() * 3 <= F.greatest(length("__left."), length("__right."))) & (F.col("__n") > 1)
+    return _taken(met, F.when(island, F.col("__left")))
 
 
-def fill_between(rows: DataFrame, longest_ms: int = 2000, most_words: int = 3) -> DataFrame:
-    """An unlabeled segment, short in time or words, between two of one speaker takes their label."""
-    left, right = F.lag(label()).over(order()), F.lead(label()).over(order())
+def fill_between(rows: DataFrame, longest_ms: int = 2000, most_words: int = 3, span: int = SPAN) -> DataFrame:
+    """An unlabeled segment, short in time or words, between two of one speaker takes id and label of the one before."""
+    near = _near(*_both(rows))
+    met = carried(rows, "tid", ["seq"], before={"__left": near}, after={"__right": near}, span=span)
     short = (F.col("end_ms") - F.col("start_ms") <= longest_ms) | (words() <= most_words)
-    return rows.withColumn("speaker_id", F.when(label().isNull() & (left == right) & short, left).otherwise(F.col("speaker_id")))
+    return _taken(met, F.when(label().isNull() & (F.col("__left.id") == F.col("__right.id")) & short, F.col("__left")))
 
 
-def inherit_tiny(rows: DataFrame, longest_ms: int = 800, most_chars: int = 3, gap_ms: int = 500) -> DataFrame:
-    """A tiny unlabeled segment takes the label of the segment close before it, else of the one close after."""
+def inherit_tiny(rows: DataFrame, longest_ms: int = 800, most_chars: int = 3, gap_ms: int = 500, span: int = SPAN) -> DataFrame:
+    """A tiny unlabeled segment takes id and label of the segment close before it, else of the one close after."""
+    near = _near(*_both(rows))
+    met = carried(rows, "tid", ["seq"], before={"__left": near}, after={"__right": near}, span=span)
     tiny = (F.col("end_ms") - F.col("start_ms") <= longest_ms) | (F.length(trimmed(F.col("text"))) <= most_chars)
-    before = F.when((F.col("start_ms") - F.lag("end_ms").over(order())).between(0, gap_ms), F.lag(label()).over(order()))
-    after = F.when((F.lead("start_ms").over(order()) - F.col("end_ms")).between(0, gap_ms), F.lead(label()).over(order()))
-    return rows.withColumn("speaker_id", F.when(label().isNull() & tiny, F.coalesce(before, after)).otherwise(F.col("speaker_id")))
+    before = F.when((F.col("start_ms") - F.col("__left.end_ms")).between(0, gap_ms) & F.col("__left.id").isNotNull(), F.col("__left"))
+    after = F.when((F.col("__right.start_ms") - F.col("end_ms")).between(0, gap_ms) & F.col("__right.id").isNotNull(), F.col("__right"))
+    return _taken(met, F.when(label().isNull() & tiny, F.coalesce(before, after)))
 
 
-def fill_nearest(rows: DataFrame) -> DataFrame:
-    """An unlabeled segment takes the label of its nearest labeled neighbours, if they agree or only one exists."""
-    before = F.last(label(), ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(label(), ignorenulls=True).over(order().rowsBetween(1, Window.unboundedFollowing))
-    found = F.when(before.isNull() | after.isNull() | (before == after), F.coalesce(before, after))
-    return rows.withColumn("speaker_id", F.coalesce(label(), found))
+def fill_nearest(rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """An unlabeled segment takes id and label of its nearest labeled neighbours, if their ids agree or only one exists."""
+    near = F.when(label().isNotNull(), F.struct(label().alias("id"), *_both(rows)))
+    met = carried(rows, "tid", ["seq"], before={"__left": near}, after={"__right": near}, span=span)
+    left, right = F.col("__left"), F.col("__right")
+    found = F.when(left.isNull() | right.isNull() | (F.col("__left.id") == F.col("__right.id")), F.coalesce(left, right))
+    return _taken(met, F.when(label().isNull(), found))
 
 
-def fill_leading(rows: DataFrame) -> DataFrame:
-    """Unlabeled segments that end before the first labeled one take its label."""
-    first = F.min(F.when(label().isNotNull(), F.struct("start_ms", "seq", "speaker_id"))).over(Window.partitionBy("tid"))
-    leads = label().isNull() & (F.col("end_ms") <= F.col("__first.start_ms"))
-    return rows.withColumn("__first", first).withColumn("speaker_id", F.when(leads, F.col("__first.speaker_id")).otherwise(F.col("speaker_id"))).drop("__first")
+def fill_leading(rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """Unlabeled segments that end before the first labeled one take its id and label."""
+    first = F.when(label().isNotNull(), F.struct("start_ms", "seq", F.col("speaker_id").alias("id"), *_both(rows)))
+    met = by_group(rows, ["tid"], "seq", {"__first": ("min", first)}, span)
+    return _taken(met, F.when(label().isNull() & (F.col("end_ms") <= F.col("__first.start_ms")), F.col("__first")))
 
 
-def renumber(rows: DataFrame) -> DataFrame:
+def renumber(rows: DataFrame, span: int = SPAN) -> DataFrame:
     """speaker_no numbers the speakers of a timeline from 1 in the order of their first segments."""
-    first = F.when(label().isNotNull(), F.min("seq").over(Window.partitionBy("tid", "speaker_id")))
-    ranked = rows.withColumn("__first", first).withColumn("__rank", F.dense_rank().over(Window.partitionBy("tid").orderBy(F.col("__first").asc_nulls_last())))
-    return ranked.withColumn("speaker_no", F.when(F.col("__first").isNotNull(), F.col("__rank").cast("long"))).drop("__first", "__rank")
+    marked = rows.withColumn("__bucket", bucket("seq", span))
+    parts = marked.filter(label().isNotNull()).groupBy("tid", "speaker_id", "__bucket").agg(F.min("seq").alias("__first"))
+    firsts = parts.groupBy("tid", "speaker_id").agg(F.min("__first").alias("__first"))
+    ranked = firsts.select("tid", "speaker_id", F.dense_rank().over(Window.partitionBy("tid").orderBy("__first")).cast("long").alias("speaker_no"))
+    numbers = told(parts.drop("__first"), ["tid", "speaker_id"], ranked)
+    return told(marked, ["tid", "speaker_id", "__bucket"], numbers).drop("__bucket")
 
 
-def collapse(rows: DataFrame, joins: Column, between: str = " ") -> DataFrame:
+def collapse(rows: DataFrame, joins: Column, between: str = " ", span: int = SPAN) -> DataFrame:
     """Runs of rows that join the row before them, as one row each; texts joined in order, ``between`` them."""
-    block = F.sum(F.when(joins, 0).otherwise(1)).over(order().rowsBetween(Window.unboundedPreceding, 0))
     parts = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    merged = rows.withColumn("block", block).groupBy("tid", "block").agg(F.min("seq").alias("seq"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min_by("speaker_id", "seq").alias("speaker_id"), F.array_join(parts["text"], between).alias("text"), F.count(F.lit(1)).alias("n_merged"))
-    return merged.drop("block")
+    blocks = carried(rows, "tid", ["seq"], sums={"__block": F.when(joins, 0).otherwise(1)}, span=span)
+    merged = blocks.groupBy("tid", "__block").agg(F.min("seq").alias("seq"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min_by("speaker_id", "seq").alias("speaker_id"), F.array_join(parts["text"], between).alias("text"), F.count(F.lit(1)).alias("n_merged"))
+    return merged.drop("__block")
 
 
-def merge_history(rows: DataFrame, gap_ms: int = 1200) -> DataFrame:
+def merge_history(rows: DataFrame, gap_ms: int = 1200, span_ms: int = SPAN_MS) -> DataFrame:
     """Neighbours in order of start (then seq), both final and of one speaker, with gaps of 0 to ``gap_ms``, become one.
     Texts that are joined are trimmed, blank ones left out; a segment that joins none keeps its text as it is."""
-    w = Window.partitionBy("tid").orderBy("start_ms", "seq")
-    gap = F.col("start_ms") - F.lag("end_ms").over(w)
-    joins = (F.lag(label()).over(w) == label()) & F.col("is_final") & F.lag("is_final").over(w) & gap.between(0, gap_ms)
-    block = F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    order, near = ["start_ms", "seq"], F.struct(label().alias("id"), "end_ms", "is_final")
+    met = carried(rows, "tid", order, before={"__left": near}, span=span_ms)
+    gap = F.col("start_ms") - F.col("__left.end_ms")
+    joins = (F.col("__left.id") == label()) & F.col("is_final") & F.col("__left.is_final") & gap.between(0, gap_ms)
+    blocks = carried(met.withColumn("__new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).drop("__left"), "tid", order, sums={"__block": F.col("__new")}, span=span_ms)
     texts = F.array_sort(F.collect_list(F.struct("start_ms", "seq", "text")))["text"]
-    merged = rows.withColumn("__block", block).groupBy("tid", "__block").agg(
+    merged = blocks.groupBy("tid", "__block").agg(
         F.min_by("seq", F.struct("start_ms", "seq")).alias("seq"),
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),
@@ -133,21 +158,25 @@ def name_by_appearance(rows: DataFrame, prefix: str = "Sprecher ") -> DataFrame:
     return numbered.withColumn("speaker_label", F.when(F.col("speaker_no").isNotNull(), speaker_name(F.col("speaker_no") - 1, prefix)).otherwise(F.col("speaker_label"))).drop("speaker_no")
 
 
-def enrich(rows: DataFrame, fewest: int = 3) -> DataFrame:
+def enrich(rows: DataFrame, fewest: int = 3, span: int = SPAN, span_ms: int = SPAN_MS) -> DataFrame:
     """What is done to a transcript before it is saved, where it has ``fewest`` segments at least: islands smoothed,
-    gaps between one speaker filled, tiny segments labeled, neighbours merged, speakers named by appearance."""
-    counted = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("tid")))
-    long_ = counted.filter(F.col("__n") >= fewest).drop("__n")
-    done = name_by_appearance(merge_history(inherit_tiny(fill_between(smooth_islands(long_)))))
+    gaps between one speaker filled, tiny segments labeled, neighbours merged, speakers named by appearance.
+
+    Each step refers to the rows of the one before more than once, so each is written to the shared folder."""
+    counted = stored(by_group(rows, ["tid"], "seq", {"__n": ("sum", F.lit(1))}, span), "enrich")
+    done = counted.filter(F.col("__n") >= fewest).drop("__n")
+    for step in (smooth_islands, fill_between, inherit_tiny):
+        done = stored(step(done, span=span), "enrich")
+    done = name_by_appearance(stored(merge_history(done, span_ms=span_ms), "enrich"))
     names = ["tid", "seq", "start_ms", "end_ms", "speaker_id", "speaker_label", "text"]
     return done.select(*names).unionByName(counted.filter(F.col("__n") < fewest).select(*names))
 
 
-def compact_tiny(rows: DataFrame, shortest_ms: int = 600, fewest_chars: int = 3, gap_ms: int = 1200) -> DataFrame:
+def compact_tiny(rows: DataFrame, shortest_ms: int = 600, fewest_chars: int = 3, gap_ms: int = 1200, span: int = SPAN) -> DataFrame:
     """Segments of under ``shortest_ms`` or ``fewest_chars`` characters join the one before, if it is close."""
-    gap = F.col("start_ms") - F.lag("end_ms").over(order())
+    met = carried(rows, "tid", ["seq"], before={"__end": F.col("end_ms")}, span=span)
     tiny = (F.col("end_ms") - F.col("start_ms") < shortest_ms) | (F.length(trimmed(F.col("text"))) < fewest_chars)
-    return collapse(rows, F.coalesce(tiny & gap.between(0, gap_ms), F.lit(False)))
+    return collapse(met, F.coalesce(tiny & (F.col("start_ms") - F.col("__end")).between(0, gap_ms), F.lit(False)), span=span)
 
 
 def quality(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from zeitband.functions.text import clean_text, count_text, date_text, duration, hms, trimmed
 
-from .labels import collapse, order
+from .labels import collapse
+from .scans import SPAN, carried
 
 
 def summaries(segments: DataFrame, created_ms: int = 0, title_chars: int = 60) -> DataFrame:
@@ -22,18 +23,19 @@ def summaries(segments: DataFrame, created_ms: int = 0, title_chars: int = 60) -
     return rows.select("tid", F.when(F.length("start") > 3, F.col("start")).otherwise(dated).alias("title"), "duration_ms", "speaker_count")
 
 
-def saved_segments(segments: DataFrame) -> DataFrame:
+def saved_segments(segments: DataFrame, span: int = SPAN) -> DataFrame:
     """Segments as they are saved: numbered from 0, with a label exactly if they have an id."""
-    place = F.row_number().over(order()) - 1
+    rows = carried(segments, "tid", ["seq"], sums={"sequence_index": F.lit(1).cast("long")}, span=span)
     named = F.when(F.col("speaker_id").isNotNull(), F.coalesce("speaker_label", F.lit("Sprecher 1")))
-    return segments.withColumn("sequence_index", place.cast("long")).withColumn("speaker_label", named)
+    return rows.withColumn("sequence_index", F.col("sequence_index") - 1).withColumn("speaker_label", named)
 
 
-def speaker_blocks(segments: DataFrame, between: str = " ") -> DataFrame:
+def speaker_blocks(segments: DataFrame, between: str = " ", span: int = SPAN) -> DataFrame:
     """Runs of segments of one label (or of none) as one row each; blank texts are left out first."""
     rows = segments.withColumn("text", clean_text(F.col("text"))).filter("text <> ''").withColumn("speaker_id", F.col("speaker_label"))
-    same = F.lag("seq").over(order()).isNotNull() & F.col("speaker_label").eqNullSafe(F.lag("speaker_label").over(order()))
-    return collapse(rows, same, between).withColumnRenamed("speaker_id", "speaker_label")
+    met = carried(rows, "tid", ["seq"], before={"__left": F.struct("speaker_label")}, span=span)
+    same = F.col("__left").isNotNull() & F.col("speaker_label").eqNullSafe(F.col("__left.speaker_label"))
+    return collapse(met, same, between, span).withColumnRenamed("speaker_id", "speaker_label")
 
 
 def report(segments: DataFrame, markdown: bool) -> DataFrame:

@@ -67,6 +67,11 @@ def _on_segments(f):
     return lambda spark, sf_dir: f(segments(spark, sf_dir))
 
 
+def _on_parts(f):
+    """Segments with the texts of their labels, which go where the ids go."""
+    return lambda spark, sf_dir: f(parts(spark, sf_dir)).select("tid", "seq", "speaker_id", "speaker_label")
+
+
 def compare_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.compare(segments(spark, sf_dir), assign_speakers(spark, sf_dir))
 
@@ -130,6 +135,19 @@ select tid, {head} || chr(10) || coalesce(body, '') as report from t left join p
 HMS = "printf('%02d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60)"
 HOURLY = "select cast(epoch(date_trunc('hour', ts)) as bigint) as start_s, round(sqrt(avg(value * value)), 6) as rms, max(abs(value)) as peak from events group by date_trunc('hour', ts)"
 
+#: Each part with id and label of its neighbours, null where they have none.
+NEIGHBOURS = f"""{SQL_VIEWS}, n as (select *, nullif(trim(speaker_id), '') as s, count(*) over (partition by tid, speaker_id) as k from v_part),
+x as (select *, lag(s) over w as l, lag(speaker_label) over w as ll, lead(s) over w as r, lead(speaker_label) over w as rl, start_ms - lag(end_ms) over w as gl, lead(start_ms) over w - end_ms as gr,
+ lag(end_ms - start_ms) over w as dl, lead(end_ms - start_ms) over w as dr from n {WINDOW}),
+y as (select *, coalesce(s is null and l = r and (end_ms - start_ms <= 2000 or {WORDS} <= 3), false) as between_,
+ coalesce(l = r and l <> s and end_ms - start_ms <= 2000 and {WORDS} <= 3 and 3 * (end_ms - start_ms) <= greatest(dl, dr) and k > 1, false) as island,
+ s is null and (end_ms - start_ms <= 800 or length(trim(text)) <= 3) as tiny, gl between 0 and 500 and l is not null as by_left, gr between 0 and 500 and r is not null as by_right from x)"""
+
+
+def _neighbour_sql(cases: str) -> str:
+    return f"{NEIGHBOURS} select tid, seq, case {cases.format(l='l', r='r')} else speaker_id end as speaker_id, case {cases.format(l='ll', r='rl')} else speaker_label end as speaker_label from y"
+
+
 QUERIES = {
     "assign_speakers": assign_speakers,
     "assignment_reasons": assignment_reasons,
@@ -139,6 +157,11 @@ QUERIES = {
     "inherit_tiny": _on_segments(labels.inherit_tiny),
     "fill_nearest": _on_segments(labels.fill_nearest),
     "fill_leading": _on_segments(labels.fill_leading),
+    "smooth_labels": _on_parts(labels.smooth_islands),
+    "fill_between_labels": _on_parts(labels.fill_between),
+    "inherit_tiny_labels": _on_parts(labels.inherit_tiny),
+    "fill_nearest_labels": _on_parts(labels.fill_nearest),
+    "fill_leading_labels": _on_parts(labels.fill_leading),
     "renumber": _on_segments(labels.renumber),
     "compact_tiny": _on_segments(labels.compact_tiny),
     "assignment_quality": _on_segments(labels.quality),
@@ -177,6 +200,17 @@ select {KEPT}, case when speaker_id is null and (end_ms - start_ms <= 800 or len
 select {KEPT}, coalesce(speaker_id, case when l is null or r is null or l = r then coalesce(l, r) end) as speaker_id from x""",
     "fill_leading": f"""{SQL_VIEWS}, f as (select tid, start_ms as fs, speaker_id as fl from v_seg where speaker_id is not null qualify row_number() over (partition by tid order by start_ms, seq) = 1)
 select {KEPT}, case when speaker_id is null and end_ms <= fs then fl else speaker_id end as speaker_id from v_seg left join f using (tid)""",
+    "smooth_labels": _neighbour_sql("when island then {l}"),
+    "fill_between_labels": _neighbour_sql("when between_ then {l}"),
+    "inherit_tiny_labels": _neighbour_sql("when tiny and by_left then {l} when tiny and by_right then {r}"),
+    "fill_nearest_labels": f"""{SQL_VIEWS}, n as (select *, nullif(trim(speaker_id), '') as s from v_part), o as (select *, case when s is not null then {{'s': s, 't': speaker_label}} end as own from n),
+x as (select *, last_value(own ignore nulls) over (partition by tid order by seq rows between unbounded preceding and 1 preceding) as l,
+ first_value(own ignore nulls) over (partition by tid order by seq rows between 1 following and unbounded following) as r from o),
+y as (select *, case when s is null and (l is null or r is null or l.s = r.s) then coalesce(l, r) end as f from x)
+select tid, seq, case when f is not null then f.s else speaker_id end as speaker_id, case when f is not null then f.t else speaker_label end as speaker_label from y""",
+    "fill_leading_labels": f"""{SQL_VIEWS}, n as (select *, nullif(trim(speaker_id), '') as s from v_part),
+f as (select tid, start_ms as fs, speaker_id as fi, speaker_label as fl from n where s is not null qualify row_number() over (partition by tid order by start_ms, seq) = 1)
+select tid, seq, case when s is null and end_ms <= fs then fi else speaker_id end as speaker_id, case when s is null and end_ms <= fs then fl else speaker_label end as speaker_label from n left join f using (tid)""",
     "renumber": f"""{SQL_VIEWS}, x as (select *, case when speaker_id is not null then min(seq) over (partition by tid, speaker_id) end as f from v_seg)
 select {KEPT}, speaker_id, case when f is not null then dense_rank() over (partition by tid order by f nulls last) end as speaker_no from x""",
     "compact_tiny": f"{_block_sql('(end_ms - start_ms < 600 or length(trim(text)) < 3) and start_ms - lag(end_ms) over w between 0 and 1200')} {MERGED}",

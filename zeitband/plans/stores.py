@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zeitband.functions import text
 from zeitband.operators import store
-from zeitband.shared import new_folder
+from zeitband.shared import scratch_folder
 from zeitband.sources.timelines import VIEWS, parts
 
 DOC = """select cast(o_orderkey as string) as transcript_id, concat('Gespräch_', o_orderpriority, ' ', cast(o_custkey as string)) as title, 'de' as language, cast(floor(o_totalprice) as bigint) * 10 as duration_ms,
@@ -70,7 +70,7 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written(spark: SparkSession, sf_dir: str) -> str:
     """The transcripts as JSON files in the shared folder."""
-    path = new_folder(spark, "documents")
+    path = scratch_folder(spark, "documents")
     store.write_documents(store.nested(transcripts(spark, sf_dir), segments(spark, sf_dir)), path)
     return path
 

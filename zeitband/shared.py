@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/zeitband-{what}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A folder that goes when the driver's Python ends, if the session still runs then."""
+    path = new_folder(spark, what)
+
+    @atexit.register
+    def gone() -> None:
+        with contextlib.suppress(Exception):
+            delete_folder(spark, path)
+
+    return path
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once and read back, so that what refers to it several times doesn't compute it several times, and
+    restarts from files when executors are lost."""
+    path = scratch_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

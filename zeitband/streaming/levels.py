@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zeitband.shared import new_folder
+from zeitband.shared import scratch_folder
 
 
 def levels(values: DataFrame, width: str = "1 hour", late: str = "120 seconds") -> DataFrame:
@@ -16,11 +16,20 @@ def levels(values: DataFrame, width: str = "1 hour", late: str = "120 seconds")
     return rows.groupBy(F.window("ts", width).alias("w")).agg(rms.alias("rms"), F.max(F.abs("value")).alias("peak")).select(F.unix_timestamp("w.start").alias("start_s"), "rms", "peak")
 
 
+def file_stream(spark: SparkSession, table: str) -> DataFrame:
+    """A Parquet table, one file or a folder of files, as a stream. A stream reads folders, so a table of one file is
+    named by a pattern that nothing but itself fits."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(table)
+    is_file = at.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(at)
+    head, _, name = table.rpartition("/")
+    return spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{head}/[{name[0]}]{name[1:]}" if is_file else table)
+
+
 def run_levels(spark: SparkSession, events: str, width: str = "1 hour", late: str = "120 seconds") -> DataFrame:
     """Read the Parquet files of ``events`` as a stream to their end; each batch appends the windows that it changed,
     and the last version of each window is the result."""
-    place = new_folder(spark, "levels")
-    stream = spark.readStream.schema(spark.read.parquet(events).schema).parquet(events + "*")
+    place = scratch_folder(spark, "levels")
+    stream = file_stream(spark, events)
 
     def write(batch: DataFrame, number: int) -> None:
         # A batch that runs again after a failure writes over its own folder.
