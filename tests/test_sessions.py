@@ -3,18 +3,20 @@
 import difflib
 import re
 import struct
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from zeitband.functions import audio
-from zeitband.operators import chunks, identity, metrics
+from zeitband.operators import chunks, identity, metrics, utterances, voices
 from zeitband.plans.labelings import local_turns, world_turns, zones
 from zeitband.plans.registry import QUERIES
-from zeitband.plans.sessions import RATE, contacts, frames, results, worker
+from zeitband.plans.sessions import contacts
 from zeitband.shared import new_folder
-from zeitband.streaming.sessions import ChunkWorker, Utterances, chunk_turns, utterances
+from zeitband.streaming.utterances import stream_spoken
+from zeitband.streaming.voices import stream_contacts
 
 FOLDER = "/root/testdata/sf0.001"
 A, B, C = np.eye(3)
@@ -23,40 +25,48 @@ A, B, C = np.eye(3)
 # The bank.
 
 
+def met(*contacts, **limits):
+    """The bank after contacts (speaker, embedding, ms), and what the last one gave."""
+    bank, done = {}, None
+    for speaker, x, ms in contacts:
+        done = voices.meet(bank, speaker, x, ms, voices.Limits(**limits))
+    return bank, done
+
+
 def test_first_contact_waits_and_second_confirms():
-    bank = identity.VoiceBank()
-    assert bank.identify(A, 5000) is None and not bank.enroll(0, A, 3000)
-    assert bank.pending.keys() == {0} and not bank.sure and bank.knows(0)
-    assert bank.enroll(0, A, 3000) and bank.sure[0][1] == 2 and not bank.pending
+    bank, done = met((0, A, 3000))
+    assert done == (None, False, 0) and bank[0].pending
+    bank, done = met((0, A, 3000), (0, A, 3000))
+    assert done == (0, False, 0) and bank[0].n == 2 and not bank[0].pending
+    bank, done = met((0, A, 3000), (0, [0.5, 0.9, 0.9], 3000), confirm=0.36)
+    assert done == (0, False, 0)
 
 
 def test_long_contact_confirms_at_once_and_short_ones_do_nothing():
-    bank = identity.VoiceBank()
-    assert bank.enroll(1, B, 4000) and bank.sure[1][1] == 2
-    assert not bank.enroll(2, C, 1999) and not bank.knows(2)
-    assert bank.identify(B, 1999) is None and bank.identify(B, 2000) == 1 and bank.identify(None, 9000) is None
+    bank, done = met((1, B, 4000), (2, C, 1999))
+    assert done == (None, False, None) and bank.keys() == {1} and bank[1].n == 2 and not bank[1].pending
+    assert met((1, B, 4000), (5, B, 1999))[1][0] is None and met((1, B, 4000), (5, B, 2000))[1] == (1, False, None)
+    assert met((1, B, 4000), (1, None, 9000))[1] == (None, False, None)
 
 
 def test_unlike_second_contact_replaces_the_first():
-    bank = identity.VoiceBank()
-    bank.enroll(0, A, 3000)
-    assert not bank.enroll(0, B, 9000) and (bank.pending[0] == B).all()
+    bank, done = met((0, A, 3000), (0, B, 9000))
+    assert done == (None, False, 0) and bank[0].pending and (bank[0].mean == B).all()
 
 
-def test_pending_voice_is_confirmed_by_a_loose_match_and_left_alone_by_confirmed_only():
-    bank, near = identity.VoiceBank(), np.array([0.4, 0.9, 0.0])
-    bank.enroll(0, A, 3000)
-    assert bank.identify(near, 3000, confirmed_only=True) is None
-    assert bank.identify(near, 3000) == 0 and np.allclose(bank.sure[0][0], (A + near) / 2)
+def test_known_voices_need_more_than_pending_ones():
+    near = [0.4, 0.9, 0.0]
+    assert met((0, A, 3000), (7, near, 3000))[1] == (0, False, 0)
+    bank, done = met((0, A, 4000), (7, near, 3000))
+    assert done == (None, False, 7) and bank[7].pending
 
 
-def test_mean_weighs_all_contacts():
-    bank = identity.VoiceBank()
-    bank.enroll(0, A, 5000)
-    bank.enroll(0, np.array([1.0, 3.0, 0.0]), 5000)
-    assert np.allclose(bank.sure[0][0], [1, 1, 0]) and bank.sure[0][1] == 3
-    again = identity.VoiceBank().load(bank.dump())
-    assert np.allclose(again.sure[0][0], bank.sure[0][0]) and again.pending == {}
+def test_mean_weighs_all_contacts_and_ties_go_to_known_and_smaller():
+    bank, done = met((0, A, 5000), (0, [1.0, 3.0, 0.0], 5000))
+    assert done == (None, True, 0) and np.allclose(bank[0].mean, [1, 1, 0]) and bank[0].n == 3
+    bank = {9: voices.Voice(A, 2, False), 4: voices.Voice(A, 2, False), 1: voices.Voice(A, 1, True)}
+    assert voices.meet(bank, 3, A, 5000, voices.Limits())[0] == 4
+    assert voices.cosines(A, [np.zeros(3), np.ones(2)]) == [0.0, 0.0]
 
 
 def test_bank_over_a_table(spark):
@@ -91,9 +101,9 @@ def test_bank_over_a_table(spark):
 
 def test_nulls_and_ties_in_contacts(spark):
     rows = [(1, 2, 0, 5000, [1.0, 0.0]), (1, 1, 1, 5000, None), (1, 2, 1, 5000, [0.0, 1.0]), (2, 1, 0, 100, [1.0]), (1, 3, 7, 3000, [0.0, 1.0])]
-    made = identity.identify_and_enroll(spark.createDataFrame(rows, "session long, seq long, speaker int, ms long, embedding array<double>"))
+    made = voices.identify_and_enroll(spark.createDataFrame(rows, "session long, seq long, speaker int, ms long, embedding array<double>"))
     assert sorted(tuple(r) for r in made.filter("session = 1 and seq in (1, 3)").collect()) == [(1, 1, None, False, 0, 0), (1, 3, 1, False, 2, 0)]
-    assert identity.identify_and_enroll(made.limit(0).selectExpr("session", "seq", "matched as speaker", "n_pending as ms", "array(1.0D) as embedding")).count() == 0
+    assert voices.identify_and_enroll(made.limit(0).selectExpr("session", "seq", "matched as speaker", "n_pending as ms", "array(1.0D) as embedding")).count() == 0
 
 
 def test_identify_has_a_threshold_for_pending_voices(spark):
@@ -107,8 +117,32 @@ def test_identify_has_a_threshold_for_pending_voices(spark):
 # Matching.
 
 
+def matched(own, world, zone, fragment_ms=400, aggregate_ms=2000):
+    """Significant turns of a chunk, the session's number of each of its speakers, and which are new, in plain loops."""
+    kept = [t for t in own if t[1] - t[0] >= fragment_ms]
+    if not kept:
+        for who in dict.fromkeys(t[2] for t in own):
+            mine = [t for t in own if t[2] == who]
+            if sum(e - s for s, e, _ in mine) >= aggregate_ms:
+                kept.append((min(t[0] for t in mine), max(t[1] for t in mine), who))
+    long_ = [t for t in world if t[1] - t[0] >= fragment_ms]
+    votes = {}
+    for s, e, a in kept:
+        for ws, we, b in long_:
+            ms = min(e, zone[1], we) - max(s, zone[0], ws)
+            if ms > 0:
+                votes[a, b] = votes.get((a, b), 0) + ms
+    mapping = {}
+    for (a, b), ms in sorted(votes.items(), key=lambda v: -v[1]):
+        if ms >= 300 and a not in mapping and b not in mapping.values():
+            mapping[a] = b
+    new = [a for a in sorted({t[2] for t in kept}) if a not in mapping]
+    top = max((t[2] for t in long_), default=-1)
+    return kept, mapping | {a: top + 1 + i for i, a in enumerate(new)}, set(new)
+
+
 def test_mapping_over_a_table(spark):
-    """Fragments, votes, greedy pairs and new numbers of every timeline, in plain Python."""
+    """Fragments, votes, greedy pairs and new numbers of every timeline."""
     zone = {r["tid"]: (r["zone_start"], r["zone_end"]) for r in zones(spark, FOLDER).collect()}
     local, world = {}, {}
     for rows, into in ((local_turns(spark, FOLDER), local), (world_turns(spark, FOLDER), world)):
@@ -116,10 +150,7 @@ def test_mapping_over_a_table(spark):
             into.setdefault(r["tid"], []).append((r["start_ms"], r["end_ms"], r["speaker"]))
     want, turns = {}, set()
     for tid, own in local.items():
-        w = ChunkWorker(lambda x: [], aggregate_ms=700)
-        w.turns = world.get(tid, [])
-        kept = w.significant(own)
-        mapping, new = w.match(kept, zone[tid])
+        kept, mapping, new = matched(own, world.get(tid, []), zone[tid], aggregate_ms=700)
         want |= {(tid, a): (b, a in new) for a, b in mapping.items()}
         turns |= {(tid, s, e, a, mapping[a]) for s, e, a in kept}
     got = {(r["tid"], r["local"]): (r["speaker"], r["is_new"]) for r in QUERIES["speaker_mapping"](spark, FOLDER).collect()}
@@ -127,118 +158,118 @@ def test_mapping_over_a_table(spark):
     assert {(r["tid"], r["start_ms"], r["end_ms"], r["local"], r["speaker"]) for r in QUERIES["reconcile"](spark, FOLDER).collect()} == turns
 
 
-def matched(local, world, zone=(15_000, 20_000)):
-    w = ChunkWorker(lambda x: [])
-    w.turns = world
-    kept = w.significant(local)
-    return (kept, *w.match(kept, zone))
-
-
-def test_numbers_are_permuted_back():
-    _, mapping, new = matched([(15_000, 17_500, 0), (17_500, 21_000, 1)], [(10_000, 17_500, 1), (17_500, 20_000, 0)])
-    assert mapping == {0: 1, 1: 0} and not new
-
-
-@pytest.mark.parametrize(("ms", "is_new"), [(400, False), (200, True)])
-def test_votes_below_the_gate_make_a_new_speaker(ms, is_new):
-    _, mapping, new = matched([(15_000, 19_000, 0)], [(20_000 - 5000 - 4000, 15_000 + ms, 3)])
-    assert mapping == ({0: 4} if is_new else {0: 3}) and bool(new) == is_new
-
-
-def test_greedy_takes_the_larger_vote_first():
-    _, mapping, new = matched([(15_000, 18_000, 0), (18_000, 20_000, 1)], [(14_000, 20_000, 7)])
-    assert mapping == {0: 7, 1: 8} and new == {1}
-
-
-def test_fragments_go_or_are_put_together():
-    kept, mapping, _ = matched([(15_000, 15_390, 0), (16_000, 19_000, 1)], [])
-    assert kept == [(16_000, 19_000, 1)] and mapping == {1: 0}
-    many = [(15_000 + 500 * i, 15_000 + 500 * i + 390, 2) for i in range(6)]
-    assert matched(many, [])[0] == [(15_000, 17_890, 2)] and matched(many[:5], [])[0] == []
-
-
-# The worker.
-
-
-def scripted(*answers):
-    """A diarizer that gives its answers one after the other."""
-    left = list(answers)
-    return lambda x: left.pop(0) if left else []
-
-
-def test_two_chunks_make_one_list():
-    w = ChunkWorker(scripted([(0, 10_000, 0), (10_000, 20_000, 1)], [(0, 5000, 0), (5000, 20_000, 1)]), rate=RATE)
-    w.step(0, 0, np.ones(20 * RATE))
-    done = w.step(15_000, 5000, np.ones(20 * RATE))
-    assert done["mapping"] == {0: 1, 1: 2} and w.turns == [(0, 10_000, 0), (10_000, 15_000, 1), (15_000, 20_000, 1), (20_000, 35_000, 2)]
-    assert w.step(30_000, 5000, np.ones(5 * RATE))["turns"] == [] and len(w.turns) == 4
+@pytest.mark.parametrize(
+    ("local", "world", "want"),
+    [
+        ([(15_000, 17_500, 0), (17_500, 21_000, 1)], [(10_000, 17_500, 1), (17_500, 20_000, 0)], {0: (1, False), 1: (0, False)}),
+        ([(15_000, 19_000, 0)], [(11_000, 15_400, 3)], {0: (3, False)}),
+        ([(15_000, 19_000, 0)], [(11_000, 15_200, 3)], {0: (4, True)}),
+        ([(15_000, 18_000, 0), (18_000, 20_000, 1)], [(14_000, 20_000, 7)], {0: (7, False), 1: (8, True)}),
+        ([(15_000, 15_390, 0), (16_000, 19_000, 1)], [], {1: (0, True)}),
+        ([(15_000 + 500 * i, 15_390 + 500 * i, 2) for i in range(6)], [], {2: (0, True)}),
+        ([(15_000 + 500 * i, 15_390 + 500 * i, 2) for i in range(5)], [], {}),
+    ],
+)
+def test_numbers_across_chunks(spark, local, world, want):
+    """Permuted back; the vote's gate; the larger vote first; fragments that go, or are put together."""
+    frame = lambda rows: spark.createDataFrame([(1, i, *t) for i, t in enumerate(rows)], "tid long, turn_seq long, start_ms long, end_ms long, speaker long")
+    zone = spark.createDataFrame([(1, 15_000, 20_000)], "tid long, zone_start long, zone_end long")
+    assert {r["local"]: (r["speaker"], r["is_new"]) for r in identity.speaker_mapping(frame(local), frame(world), zone).collect()} == want
 
 
-def test_retries_begin_later_and_short_chunks_are_not_retried():
-    w = ChunkWorker(scripted([], [], [(0, 5000, 0)]), rate=RATE)
-    done = w.step(2000, 0, np.ones(20 * RATE))
-    assert done["offset_ms"] == 5000 and done["turns"] == [(7000, 12_000, 0)]
-    w = ChunkWorker(scripted([], [(0, 5000, 0)]), rate=RATE)
-    assert w.step(0, 0, np.ones(9 * RATE))["turns"] == []
-
-
-def voices(x):
-    return np.eye(3)[int(round(float(np.median(x)))) % 3]
+def test_chunks_have_no_gaps(spark):
+    rows = [(1, i, [float(i)] * 160) for i in range(4200)] + [(2, i, [1.0] * 160) for i in range(900)] + [(3, 0, None), (3, 1, [])]
+    made = chunks.chunk_audio(spark.createDataFrame(rows, "session int, seq int, samples array<float>"))
+    got = {(r["session"], r["chunk"]): (r["window_start"], r["window_end"], r["overlap_ms"], len(r["samples"]), r["samples"][0]) for r in made.collect()}
+    assert got == {(1, 0): (0, 15_000, 0, 240_000, 0.0), (1, 1): (10_000, 30_000, 5000, 320_000, 1000.0), (1, 2): (25_000, 42_000, 5000, 272_000, 2500.0)}
 
 
-def test_a_voice_that_comes_back_keeps_its_number():
-    w = ChunkWorker(scripted([(0, 10_000, 0)], [(5000, 15_000, 0)], [(5000, 15_000, 0)]), voices, rate=RATE)
-    assert w.step(0, 0, np.full(15 * RATE, 1.0))["enrolled"] == 1
-    other = w.step(10_000, 5000, np.full(20 * RATE, 2.0))
-    assert other["mapping"] == {0: 1} and other["new"] == {0} and other["enrolled"] == 1
-    back = w.step(25_000, 5000, np.full(20 * RATE, 1.0))
-    assert back["mapping"] == {0: 0} and back["resolved"] == 1 and not back["new"]
+# Texts.
 
 
-def test_a_number_of_another_voice_is_not_taken_over():
-    w = ChunkWorker(scripted([(0, 20_000, 0)], [(0, 20_000, 0)]), voices, rate=RATE)
-    w.step(0, 0, np.full(20 * RATE, 1.0))
-    done = w.step(15_000, 5000, np.full(20 * RATE, 2.0))
-    assert done["mapping"] == {0: 1} and w.turns == [(0, 15_000, 0), (15_000, 35_000, 1)]
+def said(*texts, **rules):
+    """What texts (ms, text, is final, ends the session) end, one list a text."""
+    now, made, rules = None, [], utterances.Rules(**rules)
+    for i, (at, text, final, *ends) in enumerate(texts):
+        ended, now = rules.take(now, i, at, text, final, *ends)
+        made.append(ended)
+    return made, now
 
 
-def test_chunks_of_a_stream_like_those_of_a_table(spark):
-    made = chunks.chunk_audio(frames(spark, FOLDER), rate=RATE)
-    want = sorted(tuple(r) for r in chunk_turns(made, worker).collect())
-    path = new_folder(spark, "chunks")
-    made.orderBy("chunk", "session").repartitionByRange(3, "chunk").write.parquet(path)
-    stream = spark.readStream.schema(made.schema).parquet(path)
-    query = chunk_turns(stream, worker).writeStream.format("memory").queryName("turns_of_chunks").option("checkpointLocation", new_folder(spark, "state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert want and sorted(tuple(r) for r in spark.table("turns_of_chunks").collect()) == want
+def test_forced_end_and_shortest_final():
+    made, _ = said((0, "a", False), (0, "a", False), (6000, "a b", False), (6001, "a b c", False), (7000, " ", True), (7000, "x", True))
+    assert made == [[], [], [], [(3, 0, 6001, "a b c", "longest")], [], [(5, 7000, 7100, "x", "final")]]
 
 
-def test_chunks_have_no_gaps(spark):
-    rows = [(1, i, [float(i)] * 160) for i in range(4200)] + [(2, i, [1.0] * 160) for i in range(900)] + [(3, 0, None), (3, 1, [])]
-    made = chunks.chunk_audio(spark.createDataFrame(rows, "session int, seq int, samples array<float>"))
-    got = {(r["session"], r["chunk"]): (r["window_start"], r["window_end"], r["overlap_ms"], len(r["samples"]), r["samples"][0]) for r in made.collect()}
-    assert got == {(1, 0): (0, 15_000, 0, 240_000, 0.0), (1, 1): (10_000, 30_000, 5000, 320_000, 1000.0), (1, 2): (25_000, 42_000, 5000, 272_000, 2500.0)}
+def test_idle_time_and_ends():
+    texts = [(0, "a", False), (3000, " ", False), (9000, "a", False), (15_001, "b", False), (15_500, None, False, True)]
+    made, now = said(*texts, idle_ms=6000, longest_ms=20_000)
+    assert made == [[], [], [], [(0, 0, 0, "a", "idle")], [(3, 15_001, 15_001, "b", "end")]] and now is None
+    assert said(*texts, longest_ms=20_000)[0][3] == []
 
 
-# Texts.
+def stream_of(spark, batches, schema):
+    """A stream of one file a batch, in order."""
+    path = new_folder(spark, "batches")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{i}")
+        time.sleep(0.02)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path), path
 
 
-def test_forced_end_and_shortest_final():
-    u = Utterances()
-    assert u.step(0, "a", False) is None and u.step(0, "a", False) is None and u.step(6000, "a b", False) is None
-    assert u.step(6001, "a b c", False) == (0, 6001, "a b c", True)
-    assert u.step(7000, " ", True) is None and u.step(7000, "x", True) == (7000, 7100, "x", False)
-
-
-def test_texts_of_a_stream_like_those_of_a_table(spark):
-    rows = results(spark, FOLDER)
-    want = sorted(tuple(r) for r in utterances(rows).collect())
-    path = new_folder(spark, "results")
-    rows.repartitionByRange(4, "seq").write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(path)
-    query = utterances(stream).writeStream.format("memory").queryName("ended_texts").option("checkpointLocation", new_folder(spark, "state")).trigger(availableNow=True).start()
+def appended(stream, state):
+    """What a run to the end appends; a later run with the same ``state`` goes on."""
+    spark, rows = stream.sparkSession, []
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda df, i: rows.extend(tuple(r) for r in df.collect())).start()
     query.awaitTermination()
-    assert want and sorted(tuple(r) for r in spark.table("ended_texts").collect()) == want
+    return sorted(rows, key=repr)
+
+
+TEXTS = "session long, seq long, ts_ms long, text string, is_final boolean, is_end boolean"
+
+
+def test_an_open_partial_is_cut_when_time_has_passed(spark):
+    """Session 1 says nothing more: the texts of session 2 move the watermark. Late texts change nothing."""
+    batches = [
+        [(1, 1, 1000, "a", False, False), (1, 2, 2000, "a b", False, False), (2, 1, 1500, "x", False, None)],
+        [(2, 2, 9500, "y", True, False)],  # the watermark is at 8.5 s after this, over 2 s + 6 s
+        [(1, 3, 3000, "late", True, False), (2, 3, 10_000, "z", False, False)],
+        [(2, 4, 10_500, " ", False, True), (3, 1, 10_600, "open", False, False)],
+    ]
+    stream, _ = stream_of(spark, batches, TEXTS)
+    got = appended(stream_spoken(stream), new_folder(spark, "state"))
+    # 9.5 s is over 6 s behind session 2's first text as well.
+    assert got == [(1, 2, 1000, 2000, "a b", "idle"), (2, 1, 1500, 1500, "x", "idle"), (2, 2, 9500, 9600, "y", "final"), (2, 3, 10_000, 10_000, "z", "end")]
+    table = spark.createDataFrame([r for b in batches for r in b if r[3] != "late"], TEXTS)
+    whole = sorted((tuple(r) for r in utterances.spoken(table).collect()), key=repr)
+    assert [r for r in whole if r[0] != 3] == [r if r[0] != 1 else (*r[:5], "end") for r in got] and (3, 1, 10_600, 10_600, "open", "end") in whole
+
+
+def test_a_bank_goes_on_after_a_restart(spark):
+    """Half the contacts, then the others in a second run on the same state: as over the whole table."""
+    rows = contacts(spark, FOLDER).orderBy("seq").collect()
+    schema = contacts(spark, FOLDER).schema
+    stream, path = stream_of(spark, [rows[:200]], schema)
+    state = new_folder(spark, "state")
+    first = appended(stream_contacts(stream), state)
+    spark.createDataFrame(rows[200:], schema).coalesce(1).write.parquet(f"{path}/1")
+    second = appended(stream_contacts(stream), state)
+    want = sorted((tuple(r) for r in voices.identify_and_enroll(contacts(spark, FOLDER)).collect()), key=repr)
+    assert len(first) == 200 and sorted(first + second, key=repr) == want
+
+
+def test_a_bank_begins_with_stored_voices(spark):
+    schema = "session long, seq long, speaker int, ms long, embedding array<double>"
+    bank = spark.createDataFrame([(1, 5, [1.0, 0.0], 3, False), (1, 6, [0.0, 1.0], 1, True), (2, 7, [1.0, 1.0], 2, False)], "session long, speaker int, mean array<double>, n long, pending boolean")
+    stream, _ = stream_of(spark, [[(1, 1, 0, 3000, [0.1, 1.0]), (1, 2, 0, 3000, [1.0, 0.1]), (3, 1, 0, 3000, [1.0, 0.0])]], schema)
+    assert appended(stream_contacts(stream, bank=bank), new_folder(spark, "state")) == [(1, 1, 6, False, 2, 0), (1, 2, 5, False, 2, 0), (3, 1, None, False, 0, 1)]
+
+
+@pytest.mark.parametrize("name", ["stream_bank", "stream_utterances"])
+def test_stream_queries_like_tables(spark, name):
+    table = {"stream_bank": "bank_identify_enroll", "stream_utterances": "session_utterances"}[name]
+    want = sorted((tuple(r) for r in QUERIES[table](spark, FOLDER).collect()), key=repr)
+    assert want and sorted((tuple(r) for r in QUERIES[name](spark, FOLDER).collect()), key=repr) == want
 
 
 def test_word_differences(spark):

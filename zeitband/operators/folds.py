@@ -7,6 +7,7 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows made until a batch is handed on, about.
@@ -18,7 +19,7 @@ def fold_sorted(rows: DataFrame, key: str, order: list[str], fold: Callable[[Ite
 
     Groups are dealt to partitions by key and sorted there by Spark, so a group is read as a stream: no task holds more
     than a batch of rows and what the fold keeps. Many small groups share a task."""
-    names, kinds = schema.fieldNames(), [_arrow(f.dataType.simpleString()) for f in schema]
+    names, kinds = schema.fieldNames(), [f.type for f in to_arrow_schema(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple] = []
@@ -38,7 +39,3 @@ def fold_sorted(rows: DataFrame, key: str, order: list[str], fold: Callable[[Ite
         yield hand_on()
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}[kind]

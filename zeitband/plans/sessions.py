@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zeitband.functions import audio
-from zeitband.operators import chunks, identity
-from zeitband.streaming.sessions import ChunkWorker, Turn, chunk_turns, session_turns, utterances
+from zeitband.operators import chunks, utterances, voices
+from zeitband.streaming.levels import file_stream
+from zeitband.streaming.state import run_appended
+from zeitband.streaming.utterances import stream_spoken
+from zeitband.streaming.voices import stream_contacts
 
 #: Samples a second of the frames made from events; each event is one second.
 RATE = 16
@@ -54,48 +56,50 @@ def normalized_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts of voices that lean towards their labels: session, seq, speaker, ms and embedding."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return contacts_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def contacts_of(rows: DataFrame) -> DataFrame:
     mixed = F.transform("embedding", lambda x, i: x.cast("double") * 0.7 + F.when(i == F.col("label"), 1.0).otherwise(0.0))
     return rows.select((F.col("vec_id") % 4).alias("session"), F.col("vec_id").alias("seq"), F.col("label").cast("int").alias("speaker"), (F.col("vec_id") * 37 % 60 * 100).alias("ms"), mixed.alias("embedding"))
 
 
 def bank_identify_enroll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.identify_and_enroll(contacts(spark, sf_dir))
+    return voices.identify_and_enroll(contacts(spark, sf_dir))
 
 
-def by_loudness(x: np.ndarray) -> list[Turn]:
-    """A stand-in for a diarizer: seconds of like loudness are turns."""
-    kinds = np.digitize(np.abs(x[: len(x) // RATE * RATE]).reshape(-1, RATE).mean(axis=1), [0.02, 0.2])
-    edges = np.flatnonzero(np.diff(kinds)) + 1
-    cuts = [0, *edges.tolist(), len(kinds)]
-    return [(s * 1000, e * 1000, int(kinds[s])) for s, e in zip(cuts[:-1], cuts[1:], strict=True) if e > s]
+def stream_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_appended(spark, stream_contacts(contacts_of(file_stream(spark, f"{sf_dir}/embeddings.parquet"))), "bank")
 
 
-def loudness_voice(x: np.ndarray) -> np.ndarray:
-    """A stand-in for an embedder: one axis for each loudness."""
-    return np.eye(3)[int(np.digitize(np.abs(x).mean(), [0.02, 0.2]))] if len(x) else np.zeros(0)
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised texts: session, seq, ts_ms, text, is_final."""
+    return results_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-def worker() -> ChunkWorker:
-    return ChunkWorker(by_loudness, loudness_voice, rate=RATE)
+def results_of(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), (F.col("turn") * 2500 + F.col("conv_id") % 7 * 100).alias("ts_ms"), F.when(F.col("turn") % 5 == 4, " ").otherwise(F.substring("text", 1, 3)).alias("text"), (F.col("turn") % 6 == 5).alias("is_final"))
 
 
-def diarize_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_turns(chunks.chunk_audio(frames(spark, sf_dir), rate=RATE), worker)
+def final_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return utterances.utterances(results(spark, sf_dir))
 
 
-def diarize_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session_turns(chunks.chunk_audio(frames(spark, sf_dir), rate=RATE), worker)
+def spoken_of(rows: DataFrame) -> DataFrame:
+    """Texts with a pause of over six seconds before every fourth."""
+    return results_of(rows).withColumn("ts_ms", F.col("ts_ms") + F.floor(F.col("seq") / 4) * 7000 + F.col("session") * 1000 + 1000)
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recognised texts: session, seq, ts_ms, text, is_final."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return rows.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), (F.col("turn") * 2500 + F.col("conv_id") % 7 * 100).alias("ts_ms"), F.when(F.col("turn") % 5 == 4, " ").otherwise(F.substring("text", 1, 3)).alias("text"), (F.col("turn") % 6 == 5).alias("is_final"))
+def session_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return utterances.spoken(spoken_of(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
-def final_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return utterances(results(spark, sf_dir))
+def stream_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a stream; each conversation's last text says that it ends."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    last = rows.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    texts = spoken_of(file_stream(spark, f"{sf_dir}/conversations.parquet")).join(last, F.col("session") == F.col("conv_id"))
+    return run_appended(spark, stream_spoken(texts.withColumn("is_end", F.col("seq") == F.col("last"))), "utterances")
 
 
 def event_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,9 +121,10 @@ QUERIES = {
     "wav_round_trip": wav_round_trip,
     "normalized_levels": normalized_levels,
     "bank_identify_enroll": bank_identify_enroll,
-    "diarize_chunks": diarize_chunks,
-    "diarize_sessions": diarize_sessions,
+    "stream_bank": stream_bank,
     "final_utterances": final_utterances,
+    "session_utterances": session_utterances,
+    "stream_utterances": stream_utterances,
 }
 FRAMES = """with f as (select user_id % 10 as session, event_id as seq, abs(cast(cast(value / 1000 as float) as double)) as a, cast(value / 1000 as float) as v from events),
 c as (select *, row_number() over (partition by session order by seq) * 1000 as end_ms from f)"""
@@ -127,7 +132,44 @@ WINDOWS = f"""{FRAMES}, n as (select session, max(end_ms) as newest from c group
 k as (select session, newest, unnest(range(cast(ceil(newest / 15000) as bigint))) as chunk from n),
 w as (select session, chunk, chunk * 15000 - case when chunk > 0 then 5000 else 0 end as window_start, least(newest, chunk * 15000 + 15000) as window_end, case when chunk > 0 then 5000 else 0 end as overlap_ms from k)"""
 AUDIO = f"{WINDOWS}, x as (select w.*, count(*) * 16 as n, round(sum(a) * 16, 3) as total, sqrt(avg(a * a)) as level from w join c on c.session = w.session and end_ms > window_start and end_ms - 1000 < window_end group by all)"
+#: The bank as a list of structs, contact by contact.
+BANK = """with recursive e as (select vec_id % 4 as session, vec_id as seq, cast(label as int) as speaker, vec_id * 37 % 60 * 100 as ms,
+  list_transform(embedding, lambda x, i: cast(x as double) * 0.7 + case when i - 1 = label then 1.0 else 0.0 end) as e from embeddings),
+c as (select *, row_number() over (partition by session order by seq, speaker) as n from e),
+s(session, n, seq, bank, matched, confirmed) as (
+ select distinct session, cast(0 as bigint), cast(null as bigint), cast([] as struct(s int, v double[], k bigint, p boolean)[]), cast(null as int), false from c
+ union all
+ select session, n, seq, case when touched is null then bank else list_append(list_filter(bank, lambda b: b.s <> touched), fresh) end, matched, coalesce(matched is null and not fresh.p, false) from (
+  select *, case when matched is null then case when ms >= 2000 then speaker end when best.p then matched end as touched,
+   case when matched is not null then {'s': matched, 'v': list_transform(list_zip(list_filter(bank, lambda b: b.s = matched)[1].v, e), lambda z: (z[1] + z[2]) / 2), 'k': cast(2 as bigint), 'p': false}
+    when ms < 2000 then null
+    when own is null then {'s': speaker, 'v': e, 'k': cast(case when ms >= 4000 then 2 else 1 end as bigint), 'p': ms < 4000}
+    when not own.p then {'s': speaker, 'v': list_transform(list_zip(own.v, e), lambda z: (z[1] * own.k + z[2]) / (own.k + 1)), 'k': own.k + 1, 'p': false}
+    when list_cosine_similarity(own.v, e) >= 0.35 then {'s': speaker, 'v': list_transform(list_zip(own.v, e), lambda z: (z[1] + z[2]) / 2), 'k': cast(2 as bigint), 'p': false}
+    else {'s': speaker, 'v': e, 'k': cast(1 as bigint), 'p': true} end as fresh
+  from (select *, case when ms >= 2000 and -best.x > case when best.p then 0.35 else 0.62 end then best.s end as matched, list_filter(bank, lambda b: b.s = speaker)[1] as own
+   from (select s.session, c.n, c.seq, c.speaker, c.ms, c.e, s.bank, list_sort(list_filter(list_transform(s.bank, lambda b: {'x': -list_cosine_similarity(b.v, c.e), 'p': b.p, 's': b.s}), lambda b: b.x < 0))[1] as best
+    from s join c on c.session = s.session and c.n = s.n + 1))))
+select session, seq, matched, confirmed, cast(len(list_filter(bank, lambda b: not b.p)) as bigint) as n_confirmed, cast(len(list_filter(bank, lambda b: b.p)) as bigint) as n_pending from s where seq is not null"""
+#: Utterances with pauses of over 6 s and ends of sessions; each step has up to two rows to give.
+SPOKEN = """with recursive r as (select conv_id as session, turn as seq, turn * 2500 + conv_id % 7 * 100 + turn // 4 * 7000 + conv_id * 1000 + 1000 as ts,
+  case when turn % 5 = 4 then '' else trim(substr(text, 1, 3)) end as t, turn % 6 = 5 as fin from conversations),
+q as (select *, row_number() over (partition by session order by ts, seq) as n, count(*) over (partition by session) as k from r),
+s(session, n, o, made) as (
+ select distinct session, cast(0 as bigint), cast(null as struct(a bigint, q bigint, z bigint, t varchar, seen bigint)), cast([] as struct(seq bigint, a bigint, z bigint, t varchar, why varchar)[]) from q
+ union all
+ select session, n, case when n = k then null else o2 end, list_concat(list_concat(idle, said), case when n = k and o2 is not null then [{'seq': o2.q, 'a': o2.a, 'z': o2.z, 't': o2.t, 'why': 'end'}] else [] end) from (
+  select *, case when t <> '' and fin then [{'seq': seq, 'a': a, 'z': greatest(ts, a + 100), 't': t, 'why': 'final'}] when news and ts - a > 6000 then [{'seq': seq, 'a': a, 'z': ts, 't': t, 'why': 'longest'}] else [] end as said,
+   case when (t <> '' and fin) or (news and ts - a > 6000) then null when news then {'a': a, 'q': seq, 'z': ts, 't': t, 'seen': ts} when o1 is null then null else {'a': o1.a, 'q': o1.q, 'z': o1.z, 't': o1.t, 'seen': ts} end as o2
+  from (select *, coalesce(o1.a, ts) as a, not fin and t <> '' and (o1 is null or t <> o1.t) as news
+   from (select q.*, case when ts - o.seen > 6000 then [{'seq': o.q, 'a': o.a, 'z': o.z, 't': o.t, 'why': 'idle'}] else [] end as idle, case when ts - o.seen > 6000 then null else o end as o1
+    from s join q on q.session = s.session and q.n = s.n + 1))))
+select session, m.seq as seq, m.a as start_ms, m.z as end_ms, m.t as text, m.why as ended_by from (select session, unnest(made) as m from s)"""
 ORACLES = {
+    "bank_identify_enroll": BANK,
+    "stream_bank": BANK,
+    "session_utterances": SPOKEN,
+    "stream_utterances": SPOKEN,
     "sliding_windows": f"""{FRAMES}, e as (select session, unnest(range(10000, max(end_ms) + 1, 10000)) as window_end from c group by session)
 select session, window_end, count(*) as frames, min(seq) as first_seq from e join c using (session) where end_ms <= window_end and end_ms - 1000 >= window_end - 30000 group by all having count(*) >= 2""",
     "event_endpoints": """with g as (select user_id % 10 as session, ts, case when ts < lag(ts) over w + interval '2 hours' then 0 else 1 end as new from events window w as (partition by user_id % 10 order by ts)),
