@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scans import SPAN, SPAN_MS, carried
@@ -22,6 +22,20 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, bucket_ms: int = BUCKE
     return pairs.withColumn("overlap_ms", F.least("end_ms", "r_end_ms") - begin).drop("bucket")
 
 
+def assignment(rows: DataFrame, heard: Column, least_ms: int = 80, sure_ms: int = 300, sure_percent: int = 35) -> DataFrame:
+    """``rows`` with the gates put to their winner (overlap_ms, speaker): reason, and speaker_id by it."""
+    duration = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(300))
+    reason = (
+        F.when(~heard, "noTurns")
+        .when(F.col("overlap_ms").isNull(), "noOverlap")
+        .when(F.col("overlap_ms") < least_ms, "belowMinOverlap")
+        .when((F.col("overlap_ms") < sure_ms) & (100 * F.col("overlap_ms") < sure_percent * duration), "lowConfidence")
+        .otherwise("label")
+    )
+    named = F.when(F.col("reason") == "label", F.concat(F.lit("speaker_"), F.col("speaker").cast("string"))).when(F.col("reason") == "noTurns", F.col("speaker_id"))
+    return rows.withColumn("reason", reason).withColumn("speaker_id", named).drop("speaker")
+
+
 def assign_speakers(segments: DataFrame, turns: DataFrame, least_ms: int = 80, sure_ms: int = 300, sure_percent: int = 35) -> DataFrame:
     """Label each segment with the speaker whose turns overlap it most; ties go to the speaker whose turn comes first.
 
@@ -34,16 +48,7 @@ def assign_speakers(segments: DataFrame, turns: DataFrame, least_ms: int = 80, s
     best = votes.groupBy("tid", "seq").agg(F.max(F.struct("overlap_ms", -F.col("first_turn"), "speaker")).alias("best")).select("tid", "seq", "best.overlap_ms", "best.speaker")
     heard = turns.select("tid").distinct().withColumn("__heard", F.lit(True))
     rows = segments.join(best, ["tid", "seq"], "left").join(heard, "tid", "left")
-    duration = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(300))
-    reason = (
-        F.when(F.col("__heard").isNull(), "noTurns")
-        .when(F.col("overlap_ms").isNull(), "noOverlap")
-        .when(F.col("overlap_ms") < least_ms, "belowMinOverlap")
-        .when((F.col("overlap_ms") < sure_ms) & (100 * F.col("overlap_ms") < sure_percent * duration), "lowConfidence")
-        .otherwise("label")
-    )
-    named = F.when(F.col("reason") == "label", F.concat(F.lit("speaker_"), F.col("speaker").cast("string"))).when(F.col("reason") == "noTurns", F.col("speaker_id"))
-    return rows.withColumn("reason", reason).withColumn("speaker_id", named).drop("speaker", "__heard")
+    return assignment(rows, F.col("__heard").isNotNull(), least_ms, sure_ms, sure_percent).drop("__heard")
 
 
 def replace_interval(kept: DataFrame, added: DataFrame, zones: DataFrame, margin_ms: int = 10) -> DataFrame:

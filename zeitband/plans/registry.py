@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from zeitband.functions import text
 from zeitband.operators import dedupe, identity, intervals, labels, reports, splitting, store
 from zeitband.sources.timelines import VIEWS, parts, segments, turns
-from zeitband.streaming.levels import levels, run_levels
+from zeitband.shared import scratch_folder
+from zeitband.streaming.assign import stream_assign, without_turns
+from zeitband.streaming.levels import file_stream, levels, run_levels
+from zeitband.streaming.state import run_appended
 
 from . import labelings, sessions, stores
 
@@ -36,6 +39,22 @@ r as (select s.tid, s.seq, s.start_ms, s.end_ms, s.text, s.speaker_id as old, b.
   when b.overlap_ms < 300 and 100 * b.overlap_ms < 35 * greatest(s.end_ms - s.start_ms, 300) then 'lowConfidence' else 'label' end as reason from v_seg s left join best b on s.tid = b.tid and s.seq = b.seq)
 """
 
+ASSIGNED = f"{ASSIGN} select tid, seq, start_ms, end_ms, text, overlap_ms, reason, case when reason = 'label' then 'speaker_' || speaker when reason = 'noTurns' then old end as speaker_id from r"
+
+
+def stream_assign_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and turns as two streams, an hour later than they are; a last row of each moves the watermark past all."""
+    hour, end = 3_600_000, 10**12
+    shift = lambda df: df.withColumns({"start_ms": F.col("start_ms") + hour, "end_ms": F.col("end_ms") + hour})
+    own, heard = shift(segments(spark, sf_dir)), shift(turns(spark, sf_dir))
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("tid"), F.lit(end).alias("start_ms"), F.lit(end + 1).alias("end_ms"))
+    place = scratch_folder(spark, "live")
+    own.unionByName(last, allowMissingColumns=True).write.parquet(f"{place}/segments")
+    heard.unionByName(last, allowMissingColumns=True).write.parquet(f"{place}/turns")
+    made = run_appended(spark, stream_assign(file_stream(spark, f"{place}/segments"), file_stream(spark, f"{place}/turns")), "assigned")
+    rows = without_turns(made.filter("tid >= 0"), heard)
+    return rows.withColumns({"start_ms": F.col("start_ms") - hour, "end_ms": F.col("end_ms") - hour})
+
 
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.change_points(turns(spark, sf_dir))
@@ -151,6 +170,7 @@ def _neighbour_sql(cases: str) -> str:
 QUERIES = {
     "assign_speakers": assign_speakers,
     "assignment_reasons": assignment_reasons,
+    "stream_assign_speakers": stream_assign_speakers,
     "change_points": change_points,
     "smooth_islands": _on_segments(labels.smooth_islands),
     "fill_between": _on_segments(labels.fill_between),
@@ -185,7 +205,8 @@ QUERIES = {
     "history_lines": lambda spark, sf_dir: reports.history_line(parts(spark, sf_dir)),
 }
 ORACLES = {
-    "assign_speakers": f"{ASSIGN} select tid, seq, start_ms, end_ms, text, overlap_ms, reason, case when reason = 'label' then 'speaker_' || speaker when reason = 'noTurns' then old end as speaker_id from r",
+    "assign_speakers": ASSIGNED,
+    "stream_assign_speakers": ASSIGNED,
     "assignment_reasons": f"{ASSIGN} select reason, count(*) as n from r group by reason",
     "change_points": f"{SQL_VIEWS} select * from (select tid, turn_seq, start_ms, lag(speaker) over (partition by tid order by turn_seq) as before, speaker from v_turn) where before <> speaker",
     "smooth_islands": f"""{SQL_VIEWS}, x as (select *, lag(speaker_id) over w as l, lead(speaker_id) over w as r, lag(end_ms - start_ms) over w as dl, lead(end_ms - start_ms) over w as dr,
