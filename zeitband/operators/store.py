@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zeitband.functions.text import ascii_like, contains_text, json_text
+from zeitband.sources.versions import VersionedTables
 
 SEGMENT = "array<struct<seq:int,start_ms:bigint,end_ms:bigint,speaker_id:string,text:string>>"
 DOCUMENT = (
@@ -126,12 +127,12 @@ def write_documents(documents: DataFrame, path: str) -> None:
 
 
 def scan_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """The documents of a folder, newest first. What is broken or has no id is left out; missing fields get their
+    """The documents of a folder, in no order. What is broken or has no id is left out; missing fields get their
     defaults: empty title, language "de", status "finalized", no time, no speakers, and the file's time."""
     rows = spark.read.schema(DOCUMENT).option("multiLine", multi_line).option("mode", "DROPMALFORMED").json(path)
     changed = F.unix_millis("_metadata.file_modification_time")
     defaults = {"title": F.lit(""), "language": F.lit("de"), "duration_ms": F.lit(0), "speaker_count": F.lit(0), "status": F.lit("finalized"), "created_at": changed, "updated_at": changed}
-    return newest_first(rows.withColumns({c: F.coalesce(F.col(c), d.cast(rows.schema[c].dataType)) for c, d in defaults.items()}).filter(F.col("transcript_id").isNotNull()))
+    return rows.withColumns({c: F.coalesce(F.col(c), d.cast(rows.schema[c].dataType)) for c, d in defaults.items()}).filter(F.col("transcript_id").isNotNull())
 
 
 def document_segments(documents: DataFrame) -> DataFrame:
@@ -169,3 +170,49 @@ def from_documents(documents: DataFrame) -> DataFrame:
     """The segments of documents; a broken document has none."""
     parts = F.explode(F.from_json("document", SEGMENT)).alias("s")
     return documents.select("tid", parts).select("tid", "s.*")
+
+
+# A store on disk, whose two tables change together.
+
+STORED = {
+    "transcripts": "transcript_id string, title string, language string, duration_ms bigint, speaker_count int, status string, created_at bigint, updated_at bigint",
+    "segments": "transcript_id string, segment_id string, seq int, start_ms bigint, end_ms bigint, text string, speaker_id string, speaker_label string",
+}
+
+
+class TranscriptStore(VersionedTables):
+    """Transcripts and segments by transcript_id; every edit is one commit of both tables."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        super().__init__(spark, path, STORED, "transcript_id", buckets)
+
+    def save(self, transcripts: DataFrame, segments: DataFrame) -> int:
+        """As ``save``."""
+        ids = transcripts.select("transcript_id").union(segments.select("transcript_id"))
+        return self.edit(ids, lambda now: dict(zip(STORED, save(now["transcripts"], now["segments"], transcripts, segments), strict=True)))
+
+    def delete(self, ids: DataFrame) -> int:
+        """As ``delete_transcripts``."""
+        return self.edit(ids, lambda now: dict(zip(STORED, delete_transcripts(now["transcripts"], now["segments"], ids), strict=True)))
+
+    def rename(self, titles: DataFrame, now_ms: int | None = None) -> int:
+        """As ``rename``; the segments' files stay as they are."""
+        return self.edit(titles, lambda now: {"transcripts": rename(now["transcripts"], titles, now_ms)})
+
+    def migrate(self, documents: DataFrame) -> int:
+        """As ``migrate``."""
+        return self.edit(documents, lambda now: dict(zip(STORED, migrate(now["transcripts"], now["segments"], documents), strict=True)))
+
+
+class DocumentStore(VersionedTables):
+    """Nested transcripts as JSON, one document a line, in buckets by transcript_id."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        super().__init__(spark, path, {"documents": DOCUMENT}, "transcript_id", buckets, "json")
+
+    def put(self, documents: DataFrame) -> int:
+        """Documents in place of those with their ids."""
+        return self.edit(documents, lambda now: {"documents": delete(now["documents"], documents.select("transcript_id")).unionByName(documents.select(*now["documents"].columns))})
+
+    def delete(self, ids: DataFrame) -> int:
+        return self.edit(ids, lambda now: {"documents": delete(now["documents"], ids.select("transcript_id"))})

@@ -29,6 +29,13 @@ def _both(f):
     return lambda spark, sf_dir: f(transcripts(spark, sf_dir), segments(spark, sf_dir))
 
 
+def stored(t: DataFrame, s: DataFrame) -> store.TranscriptStore:
+    """A store that holds both tables."""
+    at = store.TranscriptStore(t.sparkSession, scratch_folder(t.sparkSession, "store"))
+    at.edit(t.select("transcript_id").union(s.select("transcript_id")), lambda now: {"transcripts": t, "segments": s})
+    return at
+
+
 def _digest(t: DataFrame, s: DataFrame) -> DataFrame:
     """Both tables of a store after an edit, in one."""
     one = t.select("transcript_id", F.lit("").alias("segment_id"), F.col("title").alias("value"), "updated_at")
@@ -49,7 +56,9 @@ def save_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("transcript_id").cast("bigint")
     new_t = t.filter(n % 4 == 0).withColumn("title", F.concat("title", F.lit(" (2)")))
     new_s = s.filter((n % 8 == 0) & (F.col("seq") % 2 == 0)).withColumn("text", F.upper("text"))
-    return _digest(*store.save(t, s, new_t, new_s))
+    at = stored(t, s)
+    at.save(new_t, new_s)
+    return _digest(at.read("transcripts"), at.read("segments"))
 
 
 def rename_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +74,9 @@ def rename_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, s = transcripts(spark, sf_dir), segments(spark, sf_dir)
-    return _digest(*store.delete_transcripts(t, s, t.filter("status = 'open'").select("transcript_id")))
+    at = stored(t, s)
+    at.delete(t.filter("status = 'open'").select("transcript_id"))
+    return _digest(at.read("transcripts"), at.read("segments"))
 
 
 def written(spark: SparkSession, sf_dir: str) -> str:
@@ -76,12 +87,38 @@ def written(spark: SparkSession, sf_dir: str) -> str:
 
 
 def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.scan_documents(spark, written(spark, sf_dir)).drop("segments")
+    return store.newest_first(store.scan_documents(spark, written(spark, sf_dir))).drop("segments")
 
 
 def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = store.find_transcript(store.scan_documents(spark, written(spark, sf_dir)), "17")
-    return store.document_segments(found).orderBy("seq")
+    """Of documents in buckets; one bucket is read."""
+    at = store.DocumentStore(spark, scratch_folder(spark, "documents"))
+    at.put(store.nested(transcripts(spark, sf_dir), segments(spark, sf_dir)))
+    return store.document_segments(at.find("documents", "17")).orderBy("seq")
+
+
+def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = transcripts(spark, sf_dir)
+    at = store.DocumentStore(spark, scratch_folder(spark, "documents"))
+    at.put(store.nested(t, segments(spark, sf_dir)))
+    at.delete(t.filter("transcript_id like '%7'").select("transcript_id"))
+    return at.read("documents").select("transcript_id", "title", F.size("segments").cast("long").alias("n"))
+
+
+def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of one transcript, from its bucket of the store."""
+    return store.segments_of(stored(transcripts(spark, sf_dir), segments(spark, sf_dir)).find("segments", "42"), "42")
+
+
+def stored_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after some transcripts were migrated from documents, some renamed and some deleted: three commits."""
+    t, s = transcripts(spark, sf_dir), segments(spark, sf_dir)
+    n = F.col("transcript_id").cast("bigint")
+    at = stored(t.filter(n % 4 > 0).withColumn("title", F.upper("title")), s.filter(n % 4 > 0))
+    at.migrate(store.scan_documents(spark, written(spark, sf_dir)))
+    at.rename(t.filter(n % 10 == 0).select("transcript_id", F.lit("neu").alias("new_title")), now_ms=1)
+    at.delete(t.filter(n % 7 == 0).select("transcript_id"))
+    return _digest(at.read("transcripts"), at.read("segments"))
 
 
 def migrate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +170,9 @@ QUERIES = {
     "document_scan": document_scan,
     "document_lookup": document_lookup,
     "migrate_documents": migrate_documents,
+    "delete_documents": delete_documents,
+    "stored_lookup": stored_lookup,
+    "stored_edits": stored_edits,
     "export_json": _both(store.json_report),
     "shown_values": shown_values,
     "word_lists": word_lists,
@@ -171,6 +211,11 @@ y as (select * replace (case when cast(transcript_id as bigint) % 8 = 0 and seq
     "document_scan": f"{SQL} select * from t",
     "document_lookup": f"{SQL} select * from s where transcript_id = '17'",
     "migrate_documents": f"{SQL}, x as (select * replace (case when cast(transcript_id as bigint) % 4 > 0 then upper(title) else title end as title) from t), y as (select * from s where transcript_id in (select transcript_id from t)) {DIGEST.format(t='x', s='y')}",
+    "delete_documents": f"{SQL} select t.transcript_id, title, count(s.seq) as n from t left join s using (transcript_id) where not t.transcript_id like '%7' group by all",
+    "stored_lookup": f"{SQL} select * from s where transcript_id = '42'",
+    "stored_edits": f"""{SQL}, i as (select *, cast(transcript_id as bigint) as n from t),
+x as (select transcript_id, case when n % 10 = 0 then 'neu' when n % 4 > 0 then upper(title) else title end as title, case when n % 10 = 0 then 1 else updated_at end as updated_at from i where n % 7 <> 0),
+y as (select * from s where cast(transcript_id as bigint) % 7 <> 0 and transcript_id in (select transcript_id from t)) {DIGEST.format(t='x', s='y')}""",
     "export_json": f"""{SQL}, p as (select transcript_id, string_agg('    {{' || chr(10) || {_fields("segmentId=segment_id", "startTimeMs=+start_ms", "endTimeMs=+end_ms", "text=text", "speakerId=speaker_id", "speakerLabel=speaker_label", indent=6)} || chr(10) || '    }}', ',' || chr(10) order by seq) as parts from s group by all)
 select transcript_id, '{{' || chr(10) || {_fields("transcriptId=transcript_id", "title=title", "language=language", "durationMs=+duration_ms", "speakerCount=+speaker_count", "createdAt=+created_at", "updatedAt=+updated_at", indent=2)} || ',' || chr(10) || '  "segments": [' || chr(10) || coalesce(parts || chr(10), '') || '  ]' || chr(10) || '}}' || chr(10) as report
   from t left join p using (transcript_id)""",
