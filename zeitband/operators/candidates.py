@@ -18,9 +18,10 @@ from .labels import label, quality
 KEY = ["tid", "seq"]
 
 
-def _labels(rows: DataFrame, name: str) -> DataFrame:
-    """Each segment's id and label as one struct, null where it has none; of repeated keys one."""
-    found = F.when(label().isNotNull(), F.struct("speaker_id", "speaker_label"))
+def _labels(rows: DataFrame, name: str, blank: bool = False) -> DataFrame:
+    """Each segment's id and label as one struct, null where it has none; of repeated keys one. With ``blank``, a blank id
+    is one as well."""
+    found = F.when(F.col("speaker_id").isNotNull() if blank else label().isNotNull(), F.struct("speaker_id", "speaker_label"))
     return rows.groupBy(*KEY).agg(F.max(found).alias(name))
 
 
@@ -30,9 +31,10 @@ def _put(rows: DataFrame, found: Column) -> DataFrame:
     return made.withColumns({c: F.when(F.col("__put").isNotNull(), F.col(f"__put.{c}")).otherwise(F.col(c)) for c in ("speaker_id", "speaker_label")}).drop("__put")
 
 
-def overlay(raw: DataFrame, assigned: DataFrame) -> DataFrame:
-    """All raw segments, with id and label of the assigned segment of the same key where that is labeled."""
-    return _put(raw.join(_labels(assigned, "__best"), KEY, "left"), F.col("__best")).drop("__best")
+def overlay(raw: DataFrame, assigned: DataFrame, blank: bool = False) -> DataFrame:
+    """All raw segments, with id and label of the assigned segment of the same key where that is labeled (with ``blank``:
+    where it has any id)."""
+    return _put(raw.join(_labels(assigned, "__best", blank), KEY, "left"), F.col("__best")).drop("__best")
 
 
 def speaker_sets(best: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -253,10 +255,10 @@ def commit(raw: DataFrame, best: DataFrame, candidate: DataFrame, confirmed: Dat
 
 def display(raw: DataFrame, assigned: DataFrame, partial: DataFrame) -> DataFrame:
     """What is shown of each timeline: final segments under their labels, neighbours merged, and the partial text that
-    is being spoken (``partial``: the columns of ``raw``), in order of start."""
+    is being spoken (``partial``: the columns of ``raw``), in order of start. Assigned ids count even if blank."""
     from .labels import merge_display
 
-    shown = merge_display(overlay(raw, assigned))
+    shown = merge_display(overlay(raw, assigned, blank=True))
     waiting = partial.select(*[c for c in shown.columns if c != "n_merged"]).withColumn("n_merged", F.lit(0).cast("long"))
     place = F.row_number().over(Window.partitionBy("tid").orderBy("start_ms", "n_merged", "seq"))
     return shown.unionByName(waiting).withColumn("place", place.cast("long"))

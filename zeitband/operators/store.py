@@ -100,6 +100,7 @@ def rename(transcripts: DataFrame, titles: DataFrame, now_ms: int | None = None)
 
 def delete_transcripts(transcripts: DataFrame, segments: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the transcripts of ``ids``."""
+    ids = ids.select("transcript_id")
     return delete(transcripts, ids), delete(segments, ids)
 
 

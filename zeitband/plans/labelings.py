@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from zeitband.operators import candidates as c
 from zeitband.operators import chunks, identity, intervals, labels, metrics
+from zeitband.shared import scratch_folder
 from zeitband.sources.timelines import VIEWS, candidates, confirmed, parts, turns
+from zeitband.streaming.layers import CHANGE, LiveLayers
 
 SQL_VIEWS = VIEWS.format(lineitem="lineitem", part="part")
 #: Ids and labels of the labeled segments on either side, and what is known of each timeline.
@@ -64,6 +66,27 @@ def display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.display(rows.filter("is_final"), candidates(spark, sf_dir), rows.filter("not is_final")).select("tid", "place", "seq", "start_ms", "end_ms", "speaker_id", "n_merged")
 
 
+def live_changes(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Three batches of changes: every other part; the others, with some labels; all labels (some of them again), and some
+    parts as they are."""
+    rows = parts(spark, sf_dir).select(F.lit("segment").alias("kind"), F.lit(0).cast("long").alias("at"), "tid", F.col("seq").cast("int").alias("seq"), "start_ms", "end_ms", "text", "speaker_id", "speaker_label", "is_final", "is_new")
+    given = candidates(spark, sf_dir).select(F.lit("label").alias("kind"), F.lit(1).cast("long").alias("at"), "tid", F.col("seq").cast("int").alias("seq"), "speaker_id", "speaker_label")
+    odd = F.col("seq") % 2 == 1
+    more = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+    return [rows.filter(odd), more(rows.filter(~odd), given.filter("tid % 3 = 0")), more(rows.filter("tid % 5 = 0"), given)]
+
+
+def live_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches as a stream; what is shown after the last one."""
+    place = scratch_folder(spark, "live")
+    live = LiveLayers(spark, f"{place}/live")
+    for i, batch in enumerate(live_changes(spark, sf_dir)):
+        batch.write.parquet(f"{place}/changes/{i}")
+        stream = spark.readStream.schema(CHANGE).option("recursiveFileLookup", "true").parquet(f"{place}/changes")
+        live.follow(stream, f"{place}/state")
+    return live.shown().select("tid", "place", "seq", "start_ms", "end_ms", "speaker_id", "speaker_label", "text", "is_new", "n_merged")
+
+
 def resolve_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn but each fourth matches the speaker that the timeline's number gives."""
     rows = turns(spark, sf_dir)
@@ -141,6 +164,7 @@ QUERIES = {
     "live_renumber": lambda spark, sf_dir: _short(c.live_renumber(parts(spark, sf_dir))),
     "commit_candidate": commit_candidate,
     "display": display,
+    "live_layers": live_layers,
     "resolve_turns": resolve_turns,
     "session_ids": session_ids,
     "merge_rare_speakers": lambda spark, sf_dir: _short(c.merge_rare_speakers(parts(spark, sf_dir))),
@@ -193,6 +217,24 @@ select tid, hq as turn_seq, speaker, hs as start_ms, he as end_ms, cast(k as big
 RESOLVED = f"""{SQL_VIEWS}, lt as (select tid, speaker, turn_seq from v_turn t where not exists (select 1 from v_conf c where c.tid = t.tid and c.speaker = t.speaker)
   qualify row_number() over (partition by tid, speaker order by end_ms - start_ms desc, turn_seq) = 1),
 rt as (select t.tid, t.turn_seq, t.start_ms, t.end_ms, case when lt.turn_seq % 4 > 0 then t.tid % 2 else t.speaker end as speaker from v_turn t left join lt on lt.tid = t.tid and lt.speaker = t.speaker)"""
+def _shown_sql(source: str, then: str) -> str:
+    """``then`` over ``m``, the rows of the table ``w`` (which ``source`` defines) merged for display, one step a row."""
+    return f"""with recursive {SIDES.strip().removeprefix("with")}, {source}, o as (select *, row_number() over (partition by tid order by start_ms, seq) as n from w),
+f as (select tid, n, seq as hq, start_ms as hs, end_ms as he, id as hi, speaker_id as hraw, speaker_label as hl, is_final as hf, is_new as hn, text as ht, 1 as k from o where n = 1
+ union all select o.tid, o.n, case when j then hq else o.seq end, case when j then hs else o.start_ms end, case when j then greatest(he, o.end_ms) else o.end_ms end, case when j then hi else o.id end, case when j then hraw else o.speaker_id end,
+  case when j then hl else o.speaker_label end, case when j then hf else o.is_final end, case when j then hn or o.is_new else o.is_new end, case when j then trim(concat_ws(' ', nullif(trim(ht), ''), nullif(trim(o.text), ''))) else o.text end, case when j then k + 1 else 1 end
+  from (select f.*, x.n as nn, coalesce(hf and x.is_final and hi is not null and x.id is not null and (hi = x.id or hl is not distinct from x.speaker_label) and x.start_ms - he between 0 and 1200, false) as j from f join o x on x.tid = f.tid and x.n = f.n + 1) f join o on o.tid = f.tid and o.n = nn),
+m as (select tid, hq as seq, hs as start_ms, he as end_ms, hraw as speaker_id, hl as speaker_label, ht as text, hf as is_final, hn as is_new, cast(k as bigint) as n_merged from f qualify row_number() over (partition by tid, hq order by n desc) = 1)
+{then}"""
+
+
+#: The candidate's ids over the final parts, merged, with the parts that are not final among them.
+DISPLAY = _shown_sql(
+    """w as (select p.* replace (coalesce(v_cand.speaker_id, p.speaker_id) as speaker_id, case when v_cand.speaker_id is not null then v_cand.speaker_label else p.speaker_label end as speaker_label,
+  nullif(trim(coalesce(v_cand.speaker_id, p.speaker_id)), '') as id) from p left join v_cand using (tid, seq) where is_final)""",
+    """, u as (select tid, seq, start_ms, end_ms, speaker_id, speaker_label, text, is_new, n_merged from m union all select tid, seq, start_ms, end_ms, speaker_id, speaker_label, text, is_new, 0 from p where not is_final),
+z as (select *, row_number() over (partition by tid order by start_ms, n_merged, seq) as place from u) select {columns} from z""",
+)
 ORACLES = {
     "overlay_labels": f"""{SIDES}, {RAW} select r.tid, r.seq, r.start_ms, r.end_ms, case when d.id is not null then d.speaker_id else rid end as speaker_id,
   case when d.id is not null then d.speaker_label else rlabel end as speaker_label from r left join d using (tid, seq)""",
@@ -247,12 +289,9 @@ bl as (select *, sum(new) over (partition by tid order by start_ms, seq) as bloc
 m as (select tid, block, list({{'q': seq, 'e': end_ms, 's': start_ms, 'i': speaker_id, 'l': speaker_label, 't': text}} order by start_ms, seq) as r from bl group by tid, block)
 select tid, r[1].q as seq, r[1].s as start_ms, list_max(list_transform(r, lambda x: x.e)) as end_ms, r[1].i as speaker_id, r[1].l as speaker_label, cast(len(r) as bigint) as n_merged,
   case when len(r) = 1 then r[1].t else array_to_string(list_filter(list_transform(r, lambda x: trim(x.t)), lambda t: t <> ''), ' ') end as text from m""",
-    "merge_display": f"""with recursive {SIDES.strip().removeprefix("with")}, o as (select *, row_number() over (partition by tid order by start_ms, seq) as n from p),
-f as (select tid, n, seq as hq, start_ms as hs, end_ms as he, id as hi, speaker_id as hraw, speaker_label as hl, is_final as hf, is_new as hn, text as ht, 1 as k from o where n = 1
- union all select o.tid, o.n, case when j then hq else o.seq end, case when j then hs else o.start_ms end, case when j then greatest(he, o.end_ms) else o.end_ms end, case when j then hi else o.id end, case when j then hraw else o.speaker_id end,
-  case when j then hl else o.speaker_label end, case when j then hf else o.is_final end, case when j then hn or o.is_new else o.is_new end, case when j then trim(concat_ws(' ', nullif(trim(ht), ''), nullif(trim(o.text), ''))) else o.text end, case when j then k + 1 else 1 end
-  from (select f.*, x.n as nn, coalesce(hf and x.is_final and hi is not null and x.id is not null and (hi = x.id or hl is not distinct from x.speaker_label) and x.start_ms - he between 0 and 1200, false) as j from f join o x on x.tid = f.tid and x.n = f.n + 1) f join o on o.tid = f.tid and o.n = nn)
-select tid, hq as seq, hs as start_ms, he as end_ms, hraw as speaker_id, hl as speaker_label, ht as text, hf as is_final, hn as is_new, cast(k as bigint) as n_merged from f qualify row_number() over (partition by tid, hq order by n desc) = 1""",
+    "merge_display": _shown_sql("w as (select * from p)", "select * from m"),
+    "display": DISPLAY.format(columns="tid, place, seq, start_ms, end_ms, speaker_id, n_merged"),
+    "live_layers": DISPLAY.format(columns="tid, place, seq, start_ms, end_ms, speaker_id, speaker_label, text, is_new, n_merged"),
     "name_by_appearance": f"""{SIDES}, x as (select *, case when id is not null then min(seq) over (partition by tid, id) end as f from p), y as (select *, dense_rank() over (partition by tid order by f nulls last) as k from x)
 select {ROW}, speaker_id, case when f is not null then 'Sprecher ' || k else speaker_label end as speaker_label from y""",
     "speaker_totals": f"{SIDES} select tid, id as speaker_id, count(*) as n, cast(sum(end_ms - start_ms) as bigint) as ms from p where id is not null group by all",

@@ -50,14 +50,21 @@ class VersionedTables:
 
     def manifest(self, version: int) -> dict[str, dict[str, list[str]]]:
         """The files of each bucket (its number as text) of each table."""
+        return self._manifest(version)["tables"]
+
+    def note(self) -> dict:
+        """What the edit that made the newest version said with it."""
+        return self._manifest(self.version())["note"]
+
+    def _manifest(self, version: int) -> dict:
         if not version:
-            return {n: {} for n in self.schemas}
+            return {"tables": {n: {} for n in self.schemas}, "note": {}}
         return json.loads(self.spark.read.text(f"{self.path}/version-{version:010d}.json", wholetext=True).first()[0])
 
-    def _publish(self, version: int, manifest: dict) -> None:
+    def _publish(self, version: int, tables: dict, note: dict) -> None:
         made, target = self._at(f"{self.path}/.{uuid.uuid4().hex}"), self._at(f"{self.path}/version-{version:010d}.json")
         out = self._files.create(made, False)
-        out.write(json.dumps(manifest).encode())
+        out.write(json.dumps({"tables": tables, "note": note}).encode())
         out.close()
         conf = self.spark._jsc.hadoopConfiguration()
         never = self.spark._sc._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 1)
@@ -94,7 +101,8 @@ class VersionedTables:
         dealt = rows.select(*self.schemas[table].fieldNames()).withColumn("__bucket", self._bucket()).filter(F.col("__bucket").isin(touched))
         out = dealt.repartition(len(touched), "__bucket").sortWithinPartitions("__bucket", self.key).write.partitionBy("__bucket")
         if self.kind == "parquet":
-            out = out.option(f"parquet.bloom.filter.enabled#{self.key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+            # A column with a dictionary gets no Bloom filter.
+            out = out.option(f"parquet.enable.dictionary#{self.key}", "false").option(f"parquet.bloom.filter.enabled#{self.key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         elif self.kind == "json":
             out = out.option("ignoreNullFields", "false")
         out.format(self.kind).save(f"{self.path}/{place}")
@@ -104,26 +112,31 @@ class VersionedTables:
             made.setdefault(folder.removeprefix("__bucket="), []).append(f"{place}/{folder}/{name}")
         return made
 
-    def edit(self, keys: DataFrame, change: Callable[[Tables], Tables], base: int | None = None) -> int:
+    def edit(self, keys: DataFrame, change: Callable[[Tables], Mapping[str, DataFrame | tuple[DataFrame, DataFrame]]], base: int | None = None, note: dict | None = None) -> int:
         """Put what ``change`` makes of the tables in place of them, and return the new version.
 
         ``keys`` holds the key of every row that may change. ``change`` gets the tables' rows of the buckets of these
-        keys, and gives all rows that shall be in those buckets then, of each table that it changes. ``base`` is the
-        version that the change was made for; by default the newest.
+        keys, and gives all rows that shall be in those buckets then, of each table that it changes; or such rows and
+        fewer keys, whose buckets alone are written. ``base`` is the version that the change was made for; by default the
+        newest. ``note`` is kept with the version, and makes one even if there are no keys.
         """
         base = self.version() if base is None else base
         old = self.manifest(base)
-        # A row a bucket at most.
-        touched = sorted(r[0] for r in keys.select(self._bucket()).distinct().collect())
-        if not touched:
+        touched = self._buckets_of(keys)
+        if not touched and note is None:
             return base
         new = dict(old)
-        for table, rows in change({t: self._read(old, t, touched) for t in self.schemas}).items():
-            kept = {b: fs for b, fs in old[table].items() if int(b) not in touched}
-            new[table] = kept | self._write(table, rows, touched)
-        self._publish(base + 1, new)
+        for table, made in change({t: self._read(old, t, touched) for t in self.schemas}).items() if touched else ():
+            rows, own = (made[0], self._buckets_of(made[1])) if isinstance(made, tuple) else (made, touched)
+            kept = {b: fs for b, fs in old[table].items() if int(b) not in own}
+            new[table] = kept | (self._write(table, rows, own) if own else {})
+        self._publish(base + 1, new, note or {})
         return base + 1
 
+    def _buckets_of(self, keys: DataFrame) -> list[int]:
+        """The buckets of ``keys``: numbers below ``buckets``."""
+        return sorted(r[0] for r in keys.select(self._bucket()).distinct().collect())
+
     def clean(self, keep: int = 1) -> None:
         """Delete the manifests before the newest ``keep``, and all files that no manifest names. Not while others write."""
         newest = self.version()
