@@ -4,13 +4,20 @@ Three plain patterns give the base spans. Beside them, every assignment in the t
 ``"name": "value"``, ``name := value``, ``name => value``; source, JSON, YAML, INI and environment files alike) is
 lexed into a name and its literal: string literals, literals and names joined by ``+`` or standing side by side, bare
 words, and names bound earlier, whose literal is carried on. The name may be quoted, a subscript (``x["name"] = value``)
-or have a type (``name: type = value``); strings may be in triple quotes over several lines. Markup gives pairs as well:
-elements (``<name>value</name>``) and tags with a name and a value (``<add key="name" value="value"/>``). Blocks that are
-marked as private keys are reported whatever their name. A literal of any length is reported if its target's name is sensitive and the
-literal looks like key material. Added spans cover the literal alone and never overlap a base span.
+or have a type (``name: type = value``), or stand in a tuple of names; strings may be in triple quotes over several
+lines, raw, on the next line, or block scalars of YAML. A value in brackets or a call (``name = f('value')``) gives every
+literal in it, but for the name that a lookup asks for (``getenv('NAME', 'value')``). Other pairs of names and literals:
+elements (``<name>value</name>``), tags with a name and a value (``<add key="name" value="value"/>``), calls with a
+quoted name before the value (``define('name', 'value')``), ``set name 'value'`` and options (``--name value``). Blocks
+that are marked as private keys are reported whatever their name, up to the end of the text if they have no end.
+
+A literal of any length is reported if its target's name is sensitive and the literal looks like key material; under
+names that say it all (``passphrase``, ``pwd``) every quoted literal of eight characters does that is no placeholder.
+Added spans cover the literal alone and never overlap a base span.
 
 Defined cases: a null or empty text has no spans; each row gives one row, in any order, repeated rows and null ids
-included; other columns are ignored by the scan and passed on by the redaction; offsets count code points.
+included; other columns are ignored by the scan and passed on by the redaction; offsets count code points. Texts of any
+length are read whole, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -34,12 +41,24 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-OPERATOR = re.compile(r"(?::=|=>|[:=])(?!=)")
+OPERATOR = re.compile(r"(?::=|=>|<-|[:=])(?!=)")
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w.$\-]*", re.ASCII)
 NAME_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.$-")
 TYPE_START = re.compile(r"[ \t]*(?:&(?:'\w+[ \t]+)?(?:mut[ \t]+)?)?[A-Za-z_$]", re.ASCII)
-STRING = re.compile(r"""[rbuf]?("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""", re.ASCII)
-BARE = re.compile(r"[^\s\"',;(){}\[\]<>|&]+")
+STRING = re.compile(r"""[rbuf]?("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)""", re.ASCII)
+RAW_STRING = re.compile(r'(?:u8|[uUL])?R"([^\s()\\"]{0,16})\(')
+BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>|&]+")
+RAW_END = re.compile(r'\)([^\s()\\"]{0,16})"')
+CALL = re.compile(r"(?:(?:await|new)[ \t]+)?([A-Za-z_$][\w.$:]*)(?:!(?=[(\[])|[ \t]*(?=\())", re.ASCII)
+WORD_INSIDE = re.compile(r"[^\s\"'`,()\[\]{}+]+")
+#: Blanks, with a line that is continued or whose value stands in quotes on the next one.
+TO_VALUE = re.compile(r"""[ \t]*(?:\\\r?\n[ \t]*|\r?\n[ \t]*(?=["'`]))?""")
+BLOCK_SCALAR = re.compile(r"[ \t]*[|>][+\-]?\d?[ \t]*\r?\n")
+TUPLE_NAMES = re.compile(r"\(([^()\n]{1,500})\)[ \t]*$")
+QUOTED_NAME = re.compile(r"""\(\s*(["'])([A-Za-z_$][\w.$\-]*)\1\s*,\s*""", re.ASCII)
+COMMAND = re.compile(r"(?:(?m:^)[ \t]*(?:set|setenv|setx|export|define)[ \t]+|(?<![\w\-])--(?=[A-Za-z]))([A-Za-z_$][\w.$\-]*)[ \t]+(?=[^\s\-])", re.ASCII)
+# Calls whose first argument is the name of what they fetch.
+LOOKUPS = ("getenv", "get", "env", "environ", "getproperty", "getenvironmentvariable", "fetch", "lookup", "getstring", "config")
 PLUS = re.compile(r"[ \t]*\+[ \t]*")
 BLANKS = re.compile(r"[ \t]*")
 TAG = re.compile(r"<([A-Za-z_][\w.:\-]*)([^<>]*)>([^<>]*)", re.ASCII)
@@ -61,6 +80,10 @@ PLACEHOLDER_FIRST = "$%<"
 #: No placeholder is longer.
 EDGE = len("placeholder")
 WEIGHTS = sorted({*PART_WEIGHT.values(), *PAIR_WEIGHT.values()})
+#: A text without any of these holds no sensitive name.
+SENSITIVE_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "private", "signature", "salt", "access")
+#: Beside placeholder words, so many characters make a literal of its own.
+REST_LENGTH = 12
 LEAST_SCORE = 0.5
 LEAST_LENGTH = 8
 
@@ -82,22 +105,25 @@ def entropy(counts: Iterable[int], n: int) -> float:
 class Facts:
     """What a literal's strength depends on; the facts of joined literals follow from those of the parts."""
 
-    __slots__ = ("n", "counts", "head", "tail", "bad")
+    __slots__ = ("n", "counts", "head", "tail", "filler")
 
     def __init__(self, literal: str):
         self.n, self.counts, self.head, self.tail = len(literal), Counter(literal), literal[:EDGE], literal[-EDGE:]
-        self.bad = bool(re.search(r"\s", literal) or PLACEHOLDER.search(literal))
+        self.filler = sum(len(m.group()) for m in PLACEHOLDER.finditer(literal))
 
     def add(self, other: Facts) -> None:
-        self.bad = self.bad or other.bad or bool(PLACEHOLDER.search(self.tail + other.head))
+        edge = len(self.tail)
+        across = (m for m in PLACEHOLDER.finditer(self.tail + other.head) if m.start() < edge < m.end())
+        self.filler += other.filler + sum(len(m.group()) for m in across)
         self.n += other.n
         self.counts.update(other.counts)
         self.head, self.tail = (self.head + other.head)[:EDGE], (self.tail + other.tail)[-EDGE:]
 
-    def strength(self) -> float:
+    def strength(self, rest: int | None = None) -> float:
         """0 to 1: bits a character of the literal, against 3 bits; 0 for short, blank-holding or placeholder literals and
-        those of letters in one case only."""
-        if self.n < LEAST_LENGTH or self.bad or self.head[0] in PLACEHOLDER_FIRST:
+        those of letters in one case only. A placeholder word makes a placeholder of the whole, or with ``rest`` only
+        where fewer other characters than that are left."""
+        if self.n < LEAST_LENGTH or any(c.isspace() for c in self.counts) or self.placeholder(rest):
             return 0.0
         once = self.counts[self.head[0]] == 1
         kinds = [kinds_of(c) for c in self.counts]
@@ -106,6 +132,19 @@ class Facts:
             return 0.0
         return min(1.0, entropy(self.counts.values(), self.n) / 3)
 
+    def placeholder(self, rest: int | None) -> bool:
+        return self.head[0] in PLACEHOLDER_FIRST or self.filler > 0 and (rest is None or self.n - self.filler < rest)
+
+    def score(self, weight: float) -> float:
+        """The score of a literal in quotes or brackets under a name of ``weight``. Full weight asks for length alone, of
+        several words for some more, and that they are words."""
+        if weight < 1:
+            return weight * self.strength(REST_LENGTH)
+        words = any(c.isspace() for c in self.counts)
+        if self.n < (REST_LENGTH if words else LEAST_LENGTH) or self.placeholder(REST_LENGTH):
+            return 0.0
+        return float(not words or all(c.isalnum() or c in " -_'!" for c in self.counts))
+
 
 def strength(literal: str) -> float:
     return Facts(literal).strength()
@@ -198,7 +237,7 @@ def joined_at(text: str, at: int, known: dict[str, Value]) -> tuple[Value | None
         at = end = m.end()
         if plus := PLUS.match(text, at):
             at = plus.end()
-        elif not (text[end - 1] in "\"'" and STRING.match(text, at := BLANKS.match(text, at).end())):
+        elif not (text[end - 1] in "\"'`" and STRING.match(text, at := BLANKS.match(text, at).end())):
             at = end
             break
     if not parts or tight and not strings and (unknown or BARE.match(text, at, at + 1)):
@@ -233,11 +272,13 @@ def name_before(text: str, end: int, low: int) -> str | None:
     i = skip(end)
     if i > low and text[i - 1] == "]":
         i = skip(i - 1)
-    quote = text[i - 1] if i > low and text[i - 1] in "\"'" else ""
+    quote = text[i - 1] if i > low and text[i - 1] in "\"'`" else ""
     i -= len(quote)
     start = i
     while start > low and text[start - 1] in NAME_CHARACTERS:
         start -= 1
+    while not quote and start < i and text[start] == "-":
+        start += 1
     if start == i or not IDENTIFIER.match(text, start):
         return None
     if quote and (start == low or text[start - 1] != quote or start - 1 > low and text[start - 2] in NAME_CHARACTERS):
@@ -298,6 +339,7 @@ def private_keys(text: str) -> Iterator[tuple[int, int]]:
         mark = KEY_END % m.group(1)
         end = text.find(mark, m.end())
         if end < 0:
+            yield m.start(), len(text)
             return
         yield m.start(), end + len(mark)
         at = end
@@ -318,24 +360,158 @@ def triple_quoted(text: str, at: int, unclosed: set[str]) -> tuple[Value, int] |
     return Value([(start, start + len(inside.strip()))]), end + 3
 
 
+class RawStrings:
+    """Raw strings with delimiters of their own; where they may end is looked up once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.ends: dict[str, list[int]] | None = None
+
+    def at(self, at: int) -> tuple[Value, int] | None:
+        m = RAW_STRING.match(self.text, at)
+        if not m:
+            return None
+        if self.ends is None:
+            self.ends = {}
+            for e in RAW_END.finditer(self.text):
+                self.ends.setdefault(e.group(1), []).append(e.start())
+        ends = self.ends.get(m.group(1), [])
+        i = bisect.bisect_left(ends, m.end())
+        return (Value([(m.end(), ends[i])]), ends[i] + len(m.group(1)) + 2) if i < len(ends) else None
+
+
+def block_scalar(text: str, at: int, name_at: int) -> tuple[Value, int] | None:
+    """The lines behind ``at`` that stand further in than the line of the name."""
+    m = BLOCK_SCALAR.match(text, at)
+    if not m:
+        return None
+    line = text.rfind("\n", 0, name_at) + 1
+    indent = len(text[line:name_at]) - len(text[line:name_at].lstrip(" -"))
+    parts, i = [], m.end()
+    while i < len(text):
+        end = text.find("\n", i)
+        end = len(text) if end < 0 else end
+        inside = text[i:end]
+        if inside.strip() and len(inside) - len(inside.lstrip(" ")) <= indent:
+            break
+        if inside.strip():
+            start = i + len(inside) - len(inside.lstrip())
+            parts.append((start, start + len(inside.strip())))
+        i = end + 1
+    return (Value(parts), min(i, len(text))) if parts else None
+
+
+def bracketed(text: str, at: int, known: dict[str, Value]) -> tuple[list[tuple[int, Value]], int]:
+    """The literals between the bracket at ``at`` and the one that closes it, each with the number of its element, and the
+    end. Strings side by side or joined by ``+``, over lines as well, are one literal. Without a closing bracket, those
+    of its line."""
+    found: list[tuple[int, Value]] = []
+    parts: list[tuple[int, int] | Value] = []
+    depth = element = 0
+    first_line = None
+    i, n = at, len(text)
+
+    def flush() -> None:
+        if parts:
+            found.append((element, Value(list(parts))))
+            parts.clear()
+
+    while i < n:
+        c = text[i]
+        if c == "\n" and first_line is None:
+            first_line = len(found) + bool(parts)
+        if c.isspace() or c in "\\+":
+            i += 1
+        elif c in "([{":
+            flush()
+            depth += 1
+            i += 1
+        elif c in ")]}":
+            flush()
+            depth -= 1
+            i += 1
+            if not depth:
+                return found, i
+        elif c == ",":
+            flush()
+            element += depth == 1
+            i += 1
+        elif m := STRING.match(text, i):
+            parts.append((m.start(1) + 1, m.end(1) - 1))
+            i = m.end()
+        elif m := WORD_INSIDE.match(text, i):
+            if m.group() in known:
+                parts.append(known[m.group()])
+            else:
+                flush()
+            i = m.end()
+        else:
+            i += 1
+    flush()
+    return (found if first_line is None else found[:first_line]), n
+
+
+class Brackets:
+    """Literals in brackets under sensitive names. A bracket inside one that was read under no smaller weight has nothing
+    new, so no text is read more often than there are weights."""
+
+    def __init__(self, text: str, known: dict[str, Value]):
+        self.text, self.known = text, known
+        self.read: list[tuple[float, int]] = []
+
+    def _found(self, weight: float, at: int) -> list[tuple[int, Value]]:
+        if not weight or any(w >= weight and at < end for w, end in self.read):
+            return []
+        found, end = bracketed(self.text, at, self.known)
+        self.read = [(w, e) for w, e in self.read if w != weight and e > at] + [(weight, end)]
+        return found
+
+    def values(self, name: str, at: int, call: str) -> Iterator[tuple[str, Value]]:
+        """Those of a name's value; a lookup's first argument is none."""
+        asks = call.rpartition(".")[2].lower() in LOOKUPS
+        yield from ((name, value) for element, value in self._found(sensitivity(name), at) if element or not asks)
+
+    def tuple_values(self, end: int, at: int, low: int) -> Iterator[tuple[str, Value]]:
+        """Names in brackets before ``end``, and the literals that stand in brackets from ``at`` on in the same places."""
+        m = TUPLE_NAMES.search(self.text, max(low, end - 600), end)
+        at = BLANKS.match(self.text, at).end()
+        if m and self.text[at : at + 1] in ("(", "["):
+            names = [x.strip() for x in m.group(1).split(",")]
+            found = self._found(max(map(sensitivity, names)), at)
+            yield from ((names[element], value) for element, value in found if element < len(names))
+
+
 def assignments(text: str) -> Iterator[tuple[str, Value]]:
-    """Each assigned name with its literal, constants carried on from earlier names."""
+    """Each assigned name with its literals, constants carried on from earlier names."""
     known: dict[str, Value] = {}
     done = bare_end = 0
     unclosed: set[str] = set()
+    brackets, raw = Brackets(text, known), RawStrings(text)
     for m in OPERATOR.finditer(text):
         if m.start() < done:
             continue
         name = name_before(text, m.start(), done)
         if not name:
+            if m.group() == "=":
+                yield from brackets.tuple_values(m.start(), m.end(), done)
             continue
         at = m.end()
-        if m.group() == ":" and (value_at := annotation_end(text, at)):
-            done = at = value_at
-        if long_ := triple_quoted(text, at, unclosed):
+        if m.group() == ":":
+            if value_at := annotation_end(text, at):
+                done = at = value_at
+            elif block := block_scalar(text, at, m.start()):
+                known[name], done = block
+                yield name, known[name]
+                continue
+        at = TO_VALUE.match(text, at).end()
+        if long_ := triple_quoted(text, at, unclosed) or raw.at(at):
             known[name], done = long_
             yield name, known[name]
             continue
+        call = CALL.match(text, at) if at >= bare_end else None
+        if call or text[at : at + 1] in ("(", "["):
+            yield from brackets.values(name, call.end() if call else at, call.group(1) if call else "")
+            continue
         value, end, bare = literal_at(text, at, known, bare_end)
         if value is None:
             continue
@@ -347,48 +523,61 @@ def assignments(text: str) -> Iterator[tuple[str, Value]]:
             done = end
 
 
+def commands(text: str) -> Iterator[tuple[str, Value]]:
+    """Names and literals of calls with a quoted name before the value, of ``set`` and of options."""
+    for m in QUOTED_NAME.finditer(text):
+        if sensitivity(m.group(2)):
+            value, _, bare = literal_at(text, m.end(), {})
+            if value is not None and not bare:
+                yield m.group(2), value
+    for m in COMMAND.finditer(text):
+        if sensitivity(m.group(1)):
+            value, _, _ = literal_at(text, m.end(), {})
+            if value is not None:
+                yield m.group(1), value
+
+
+def named_literals(text: str) -> Iterator[tuple[int, int]]:
+    """The literals under sensitive names that look like secrets, some of them repeatedly."""
+    for name, span in markup(text) if "<" in text else ():
+        if span[1] > span[0] and sensitivity(name) * strength(text[span[0] : span[1]]) >= LEAST_SCORE:
+            yield span
+    pairs = [*assignments(text), *commands(text)]
+    asked = [(weight, value) for name, value in pairs if (weight := sensitivity(name)) > 0]
+    runs: dict[int, list[Value]] = {}
+    for value in {id(v): v for _, v in asked}.values():
+        if value.bare:
+            runs.setdefault(value.parts[0][1], []).append(value)
+    for values in runs.values():
+        rate_bare(text, values)
+    seen: set[int] = set()
+    for weight, value in asked:
+        score = weight * value.strength if value.bare else facts_of(text, value).score(weight) if value.parts else 0.0
+        waiting = [value] if score >= LEAST_SCORE else []
+        while waiting:
+            v = waiting.pop()
+            if id(v) not in seen:
+                seen.add(id(v))
+                waiting += [p for p in v.parts if isinstance(p, Value)]
+                yield from (p for p in v.parts if not isinstance(p, Value))
+
+
 def all_spans(text: str) -> list[tuple[int, int, str, int]]:
     found = base_spans(text)
-    plain = [span for name, span in markup(text) if sensitivity(name) * strength(text[span[0] : span[1]]) >= LEAST_SCORE] if "<" in text else []
-    plain += private_keys(text) if "-----BEGIN " in text else []
-    if ":" in text or "=" in text or plain:
+    low = text.lower()
+    own = list(named_literals(text)) if any(w in low for w in SENSITIVE_WORDS) else []
+    own += private_keys(text) if "-----BEGIN " in text else []
+    if own:
         taken: list[tuple[int, int]] = []
         for s, e in sorted((s, e) for s, e, _, _ in found):
             if taken and s <= taken[-1][1]:
                 taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
             else:
                 taken.append((s, e))
-        asked = [(weight, value) for name, value in assignments(text) if (weight := sensitivity(name)) > 0]
-        runs: dict[int, list[Value]] = {}
-        for value in {id(v): v for _, v in asked}.values():
-            if value.bare:
-                runs.setdefault(value.parts[0][1], []).append(value)
-            else:
-                value.strength = facts_of(text, value).strength()
-        for values in runs.values():
-            rate_bare(text, values)
-        seen: set[tuple[int, int] | int] = set()
-
-        def add(s: int, e: int) -> None:
+        for s, e in sorted(set(own)):
             at = bisect.bisect_left(taken, (e,)) - 1
-            if e > s and (s, e) not in seen and (at < 0 or taken[at][1] <= s):
-                seen.add((s, e))
+            if e > s and (at < 0 or taken[at][1] <= s):
                 found.append((s, e, "named", s))
-
-        for weight, value in asked:
-            waiting = [value] if weight * value.strength >= LEAST_SCORE else []
-            while waiting:
-                v = waiting.pop()
-                if id(v) in seen:
-                    continue
-                seen.add(id(v))
-                for p in v.parts:
-                    if isinstance(p, Value):
-                        waiting.append(p)
-                        continue
-                    add(*p)
-        for p in plain:
-            add(*p)
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
