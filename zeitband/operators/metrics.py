@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zeitband.functions.text import normal_words, speaker_number
@@ -104,3 +104,38 @@ def word_differences(pairs: DataFrame) -> DataFrame:
     kind = pairs.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_reference long, n_hypothesis long, replaced long, deleted long, inserted long, ratio double, error_rate double, replaced_rate double"
     return pairs.select("id", words("reference").alias("a"), words("hypothesis").alias("b")).mapInPandas(run, schema)
+
+
+#: The steps of an alignment, as one number each: every step costs one, and of alignments that cost the same the one with
+#: fewer deletions is less, then the one with fewer insertions.
+STEP, DELETION, INSERTION = 1 << 42, 1 << 21, 1
+
+
+def word_errors(pairs: DataFrame) -> DataFrame:
+    """The least word error of a hypothesis against a reference (``pairs``: id, reference, hypothesis): id, n_reference,
+    n_hypothesis, replaced, deleted, inserted (of the alignment with the fewest of all three together; of these, with the
+    fewest deletions, then insertions) and error_rate (against the reference; null without words). A null text has no
+    words.
+
+    A row of the table of distances is carried over the words of the hypothesis, inside the row of the pair: work and
+    memory of a pair grow with the product of its lengths and with the reference's length.
+    """
+    words = lambda c: F.coalesce(normal_words(F.col(c)), F.array().cast("array<string>"))
+    rows = pairs.select("id", words("reference").alias("a"), words("hypothesis").alias("b"))
+
+    def next_row(row: Column, heard: Column) -> Column:
+        first = F.get(row, F.lit(0)) + (STEP + INSERTION)
+        places = F.transform("a", lambda w, j: F.struct(w.alias("w"), j.alias("j")))
+
+        def cell(made: Column, x: Column) -> Column:
+            best = F.least(F.get(row, x["j"]) + F.when(x["w"] == heard, F.lit(0).cast("bigint")).otherwise(F.lit(STEP)), F.get(row, x["j"] + 1) + (STEP + INSERTION), made["last"] + (STEP + DELETION))
+            return F.struct(F.concat(made["row"], F.array(best)).alias("row"), best.alias("last"))
+
+        return F.aggregate(places, F.struct(F.array(first).alias("row"), first.alias("last")), cell, lambda made: made["row"])
+
+    start = F.transform(F.sequence(F.lit(0), F.size("a")), lambda j: j.cast("bigint") * (STEP + DELETION))
+    last = rows.select("id", F.size("a").cast("long").alias("n_reference"), F.size("b").cast("long").alias("n_hypothesis"), F.element_at(F.aggregate("b", start, next_row), -1).alias("d"))
+    steps, rest = F.expr(f"d div {STEP}L"), F.col("d") % STEP
+    deleted, inserted = F.expr(f"(d % {STEP}L) div {DELETION}L"), rest % DELETION
+    counts = last.select("id", "n_reference", "n_hypothesis", (steps - deleted - inserted).cast("long").alias("replaced"), deleted.cast("long").alias("deleted"), inserted.cast("long").alias("inserted"), steps.alias("steps"))
+    return counts.withColumn("error_rate", F.when(F.col("n_reference") > 0, F.round(F.col("steps") / F.col("n_reference"), 6))).drop("steps")

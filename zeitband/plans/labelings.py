@@ -144,11 +144,11 @@ def replace_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.replace_interval(world_turns(spark, sf_dir), turns(spark, sf_dir).filter("turn_seq % 2 = 1"), some)
 
 
-def word_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a conversation against the one before it."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
-    return metrics.word_differences(rows.join(before, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "reference", F.col("text").alias("hypothesis")))
+    return rows.join(before, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "reference", F.col("text").alias("hypothesis"))
 
 
 QUERIES = {
@@ -190,7 +190,8 @@ QUERIES = {
     "speaker_mapping": speaker_mapping,
     "reconcile": reconcile,
     "replace_interval": replace_interval,
-    "word_differences": word_differences,
+    "word_differences": lambda spark, sf_dir: metrics.word_differences(word_pairs(spark, sf_dir)),
+    "word_errors": lambda spark, sf_dir: metrics.word_errors(word_pairs(spark, sf_dir)),
 }
 
 RAW = "r as (select tid, seq, start_ms, end_ms, case when not is_new then speaker_id end as rid, case when not is_new then speaker_label end as rlabel from v_part)"
@@ -235,7 +236,18 @@ DISPLAY = _shown_sql(
     """, u as (select tid, seq, start_ms, end_ms, speaker_id, speaker_label, text, is_new, n_merged from m union all select tid, seq, start_ms, end_ms, speaker_id, speaker_label, text, is_new, 0 from p where not is_final),
 z as (select *, row_number() over (partition by tid order by start_ms, n_merged, seq) as place from u) select {columns} from z""",
 )
+#: Distances row by row: what a cell takes from the row above, then the best way along the row to each cell.
+WORD_ERRORS = r"""with recursive w as (select conv_id, turn, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-zäöüß0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> '') as w from conversations),
+p as (select x.conv_id * 1000 + x.turn as id, y.w as a, x.w as b from w x join w y on x.conv_id = y.conv_id and x.turn = y.turn + 1),
+d(id, i, row) as (select id, cast(0 as bigint), list_transform(range(0, len(a) + 1), lambda j: j * 4398048608256) from p
+ union all
+ select id, i, list_transform(range(1, len(t) + 1), lambda j: list_min(list_transform(range(1, j + 1), lambda k: t[k] + (j - k) * 4398048608256))) from (
+  select d.id, d.i + 1 as i, list_transform(range(0, len(a) + 1), lambda j: case when j = 0 then row[1] + 4398046511105 else least(row[j] + case when a[j] = b[d.i + 1] then 0 else 4398046511104 end, row[j + 1] + 4398046511105) end) as t
+  from d join p on p.id = d.id where d.i < len(b)))
+select id, cast(len(a) as bigint) as n_reference, cast(len(b) as bigint) as n_hypothesis, c // 4398046511104 - c % 4398046511104 // 2097152 - c % 2097152 as replaced, c % 4398046511104 // 2097152 as deleted, c % 2097152 as inserted,
+ case when len(a) > 0 then round((c // 4398046511104) / len(a), 6) end as error_rate from (select p.id, a, b, row[-1] as c from d join p on p.id = d.id and d.i = len(b))"""
 ORACLES = {
+    "word_errors": WORD_ERRORS,
     "overlay_labels": f"""{SIDES}, {RAW} select r.tid, r.seq, r.start_ms, r.end_ms, case when d.id is not null then d.speaker_id else rid end as speaker_id,
   case when d.id is not null then d.speaker_label else rlabel end as speaker_label from r left join d using (tid, seq)""",
     "merge_candidate": f"""{SIDES}, {RAW}, {SETS},

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from zeitband.functions import audio
 from zeitband.operators import chunks, utterances, voices
+from zeitband.shared import scratch_folder
+from zeitband.sources.recordings import recordings, write_recordings
 from zeitband.streaming.levels import file_stream
 from zeitband.streaming.state import run_appended
 from zeitband.streaming.utterances import stream_spoken
@@ -49,6 +51,15 @@ def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("session", "seq", F.octet_length("wav").cast("long").alias("n_bytes"), F.size("back").cast("long").alias("n"), F.round(F.get("back", F.lit(0)).cast("double"), 3).alias("first"))
 
 
+def recording_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames written as one recording a session, and ten seconds of each read back."""
+    path = scratch_folder(spark, "recordings")
+    clocked = chunks.on_sample_clock(frames(spark, sf_dir), RATE)
+    write_recordings(clocked.select(F.col("session").alias("name"), "start_ms", "samples"), path, RATE)
+    some = recordings(spark, path, RATE).filter("start_ms >= 100000 and start_ms < 110000")
+    return some.select(F.col("name").cast("long").alias("session"), "start_ms", "end_ms", F.size("samples").cast("long").alias("n"), F.round(F.get("samples", F.lit(0)).cast("double"), 3).alias("first"))
+
+
 def normalized_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     louder = audio.normalize_audio("samples")
     return frames(spark, sf_dir).select("session", "seq", F.round(audio.level(louder), 4).alias("rms"))
@@ -119,6 +130,7 @@ QUERIES = {
     "silence_causes": lambda spark, sf_dir: chunks.silence_cause(chunks.chunk_audio(frames(spark, sf_dir), rate=RATE), RATE),
     "frame_slices": frame_slices,
     "wav_round_trip": wav_round_trip,
+    "recording_ranges": recording_ranges,
     "normalized_levels": normalized_levels,
     "bank_identify_enroll": bank_identify_enroll,
     "stream_bank": stream_bank,
@@ -168,6 +180,7 @@ select session, m.seq as seq, m.a as start_ms, m.z as end_ms, m.t as text, m.why
 ORACLES = {
     "bank_identify_enroll": BANK,
     "stream_bank": BANK,
+    "recording_ranges": f"{FRAMES} select session, end_ms - 1000 as start_ms, end_ms, cast(16 as bigint) as n, round(cast(trunc(v * 32767) as double) / 32768, 3) as first from c where end_ms - 1000 >= 100000 and end_ms - 1000 < 110000",
     "session_utterances": SPOKEN,
     "stream_utterances": SPOKEN,
     "sliding_windows": f"""{FRAMES}, e as (select session, unnest(range(10000, max(end_ms) + 1, 10000)) as window_end from c group by session)
