@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from zeitband.functions.text import speaker_name, speaker_number
 
 from .labels import label, quality
+from .scans import SPAN, carried
 
 KEY = ["tid", "seq"]
 
@@ -221,20 +222,20 @@ def session_ids(candidate: DataFrame, existing: DataFrame, prefix: str = "Sprech
     return _put(numbered.join(stable, ["tid", "__engine"], "left"), put).select(*candidate.columns)
 
 
-def merge_rare_speakers(rows: DataFrame, fewest: int = 1, shortest_ms: int = 2000) -> DataFrame:
+def merge_rare_speakers(rows: DataFrame, fewest: int = 1, shortest_ms: int = 2000, span: int = SPAN) -> DataFrame:
     """Speakers with ``fewest`` segments or under ``shortest_ms`` in all become the nearest other speaker before their
     first segment, else the nearest one after it."""
     known = label().isNotNull()
     totals = rows.filter(known).groupBy("tid", "speaker_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"), F.min("seq").alias("first_seq"))
     rare = totals.filter((F.col("n") == fewest) | (F.col("ms") < shortest_ms))
-    # The last change of speaker before a first segment, and the first one after it.
+    # Of labeled segments: the one before, and the next at which the speaker changes, which is another's.
     runs = rows.filter(known).select("tid", "seq", "speaker_id", "speaker_label")
-    w = Window.partitionBy("tid").orderBy("seq")
-    runs = runs.withColumn("before", F.lag(F.struct("speaker_id", "speaker_label")).over(w))
+    own = F.struct("speaker_id", "speaker_label")
+    runs = carried(runs, "tid", ["seq"], before={"before": own}, span=span)
+    changes = F.when(~F.col("before.speaker_id").eqNullSafe(F.col("speaker_id")), own)
+    runs = carried(runs, "tid", ["seq"], after={"after": changes}, span=span)
     firsts = runs.join(rare.select("tid", "speaker_id", F.col("first_seq").alias("seq")), ["tid", "speaker_id", "seq"])
-    later = runs.select("tid", F.col("seq").alias("s"), F.col("speaker_id").alias("id"), F.struct("speaker_id", "speaker_label").alias("x")).join(rare.select("tid", F.col("speaker_id").alias("own"), "first_seq"), "tid").filter("s > first_seq and id <> own")
-    after = later.groupBy("tid", F.col("own").alias("speaker_id")).agg(F.min_by("x", "s").alias("after"))
-    merged = firsts.select("tid", "speaker_id", "before").join(after, ["tid", "speaker_id"], "left").select("tid", "speaker_id", F.coalesce("before", "after").alias("__to"))
+    merged = firsts.select("tid", "speaker_id", F.coalesce("before", "after").alias("__to"))
     named = F.coalesce("__to.speaker_label", F.concat(F.lit("Sprecher "), F.right(F.col("__to.speaker_id"), F.lit(1))))
     put = F.when(F.col("__to").isNotNull(), F.struct(F.col("__to.speaker_id").alias("speaker_id"), named.alias("speaker_label")))
     return _put(rows.join(merged, ["tid", "speaker_id"], "left"), put).drop("__to").select(*rows.columns)
@@ -266,12 +267,15 @@ def display(raw: DataFrame, assigned: DataFrame, partial: DataFrame) -> DataFram
 
 def resolve_turns(turns: DataFrame, confirmed: DataFrame, matches: DataFrame, margin_ms: int = 10) -> DataFrame:
     """A session's turns after its end: speakers without a confirmed voice take the confirmed one that their longest turn
-    matches (``matches``: tid, turn_seq, matched), and neighbours of one speaker that touch become one turn."""
+    matches (``matches``: tid, turn_seq, matched), and where that was so, neighbours of one speaker that touch become one turn."""
     from .intervals import coalesce_turns, longest_turns
 
     known = confirmed.select("tid", F.col("speaker").cast("bigint").alias("speaker")).distinct()
     open_ = turns.join(known, ["tid", "speaker"], "left_anti")
     found = longest_turns(open_, ["tid", "speaker"]).join(matches.select("tid", "turn_seq", "matched"), ["tid", "turn_seq"]).filter("matched is not null")
     to = found.groupBy("tid", "speaker").agg(F.min("matched").cast("bigint").alias("__to"))
-    rows = turns.join(to, ["tid", "speaker"], "left").withColumn("speaker", F.coalesce("__to", "speaker")).drop("__to")
-    return coalesce_turns(rows, margin_ms)
+    # Timelines where no speaker was matched keep their turns as they are.
+    rows = turns.join(to.select("tid").distinct(), "tid", "left_semi").join(to, ["tid", "speaker"], "left").withColumn("speaker", F.coalesce("__to", "speaker")).drop("__to")
+    merged = coalesce_turns(rows, margin_ms)
+    rest = turns.join(to.select("tid").distinct(), "tid", "left_anti").withColumn("n_merged", F.lit(1).cast("long"))
+    return merged.unionByName(rest.select(*merged.columns))

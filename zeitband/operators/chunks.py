@@ -54,12 +54,24 @@ def chunk_audio(frames: DataFrame, chunk_ms: int = 15_000, overlap_ms: int = 5_0
     return parts.withColumn("samples", F.flatten(F.col("parts")["x"])).drop("parts")
 
 
-def levels_by_count(frames: DataFrame, every: int = RATE) -> DataFrame:
-    """session, block, rms and peak of each ``every`` samples received."""
-    samples = frames.select("session", "seq", F.posexplode("samples").alias("i", "x"))
-    place = F.row_number().over(Window.partitionBy("session").orderBy("seq", "i")) - 1
-    blocks = samples.withColumn("block", F.floor(place / every))
-    return blocks.groupBy("session", "block").agg(F.round(F.sqrt(F.avg(F.col("x").cast("double") * F.col("x").cast("double"))), 6).alias("rms"), F.max(F.abs("x")).alias("peak"), F.count(F.lit(1)).alias("n"))
+def levels_by_count(frames: DataFrame, every: int = RATE, span: int = SPAN) -> DataFrame:
+    """session, block, rms and peak of each ``every`` samples received. A frame is cut where blocks meet, and a piece
+    gives its sums."""
+    n = F.coalesce(F.greatest(F.size("samples"), F.lit(0)), F.lit(0)).cast("bigint")
+    placed = carried(frames.select("session", "seq", "samples"), "session", ["seq"], sums={"__end": n}, span=span).withColumn("__start", F.col("__end") - n).filter(n > 0)
+    blocks = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("__start") / every), F.floor((F.col("__end") - 1) / every))))
+    first = F.greatest(F.lit(0), F.col("block") * every - F.col("__start"))
+    last = F.least(n, (F.col("block") + 1) * every - F.col("__start"))
+    piece = F.slice("samples", (first + 1).cast("int"), (last - first).cast("int"))
+    sums = blocks.select("session", "block", piece.alias("x")).select(
+        "session",
+        "block",
+        F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")).alias("squares"),
+        F.array_max(F.transform("x", F.abs)).alias("peak"),
+        F.size("x").alias("n"),
+    )
+    rms = F.round(F.sqrt(F.sum("squares") / F.sum("n")), 6)
+    return sums.groupBy("session", "block").agg(rms.alias("rms"), F.max("peak").alias("peak"), F.sum("n").alias("n"))
 
 
 def recent(clocked: DataFrame, keep_ms: int = 120_000) -> DataFrame:

@@ -7,15 +7,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zeitband.functions.text import cosine
-
 from .folds import fold_sorted
 from .intervals import overlaps
-
-#: A bank of up to so many voices is broadcast; a larger one is joined in salted copies of its sessions.
-BROADCAST_VOICES = 20_000
-SALTS = 32
-
+from .neighbours import scored, unit
 
 def mean_voices(rows: DataFrame) -> DataFrame:
     """session, speaker and the mean of its embeddings: sums by dimension are combined before the shuffle."""
@@ -24,25 +18,25 @@ def mean_voices(rows: DataFrame) -> DataFrame:
     return means.groupBy("session", "speaker").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("voice"))
 
 
-def with_voices(queries: DataFrame, bank: DataFrame) -> DataFrame:
-    """Each query with each voice of its session, or with none; the size of the bank decides how they meet."""
-    if bank.limit(BROADCAST_VOICES + 1).count() <= BROADCAST_VOICES:
-        return queries.join(F.broadcast(bank), "session", "left")
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")
-    copies = bank.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return queries.withColumn("__salt", salt).join(copies, ["session", "__salt"], "left").drop("__salt")
-
-
 def identify(queries: DataFrame, bank: DataFrame, threshold: float = 0.62, pending_threshold: float = 0.35) -> DataFrame:
     """vec_id, similarity and speaker of the voice of the same session that is most similar; the speaker is null up to
     the threshold, and ties go to the least one. Voices may be pending (``pending``, if the bank has that column): they
     have a threshold of their own, and give way to a confirmed voice that is as similar. ``queries`` has session, vec_id
-    and embedding; without a voice in its session a query has similarity 0."""
+    (unique) and embedding; without a voice in its session a query has similarity 0, as it has to unlike and zero
+    vectors."""
     voices = bank if "pending" in bank.columns else bank.withColumn("pending", F.lit(False))
-    scored = with_voices(queries, voices).select("vec_id", F.coalesce(F.round(cosine(F.col("embedding"), F.col("voice")), 6), F.lit(0.0)).alias("similarity"), "speaker", F.coalesce("pending", F.lit(False)).alias("pending"))
-    best = scored.groupBy("vec_id").agg(F.max(F.struct("similarity", (~F.col("pending")).alias("sure"), (-F.col("speaker")).alias("place"))).alias("b"))
+    voices = voices.withColumn("pending", F.coalesce("pending", F.lit(False)))
+    found = scored(queries, voices)
+    best = found.groupBy("vec_id").agg(F.max(F.struct("similarity", (~F.col("pending")).alias("sure"), (-F.col("speaker")).alias("place"))).alias("b"))
     needed = F.when(F.col("b.sure"), threshold).otherwise(pending_threshold)
-    return best.select("vec_id", "b.similarity", F.when(F.col("b.similarity") > needed, -F.col("b.place")).alias("speaker"))
+    named = best.select("vec_id", F.col("b.similarity").alias("similarity"), F.when(F.col("b.similarity") > needed, -F.col("b.place")).alias("speaker"))
+    # A voice that can't be compared counts as similar by 0, which is more than what is below.
+    sizes = unit(voices.select("session", "voice"), "voice", "v").groupBy("session").agg(F.min("dim").alias("small"), F.max("dim").alias("large"))
+    asked = unit(queries.select("session", "vec_id", "embedding"), "embedding", "u").select("session", "vec_id", "dim")
+    rows = asked.join(sizes, "session", "left").join(named, "vec_id", "left")
+    unlike = F.coalesce((F.col("small") != F.col("dim")) | (F.col("large") != F.col("dim")), F.lit(False))
+    value = F.coalesce("similarity", F.lit(0.0))
+    return rows.select("vec_id", F.when(unlike, F.greatest(value, F.lit(0.0))).otherwise(value).alias("similarity"), "speaker")
 
 
 def best_confirmed(queries: DataFrame, bank: DataFrame) -> DataFrame:

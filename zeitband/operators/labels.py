@@ -21,7 +21,7 @@ def label(name: str = "speaker_id") -> Column:
 
 
 def words(name: str = "text") -> Column:
-    return F.size(F.split(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"^\s+|\s+$", ""), r"\s+"))
+    return F.size(F.split(trimmed(F.coalesce(F.col(name), F.lit(""))), r"\s+"))
 
 
 def _near(*more: str) -> Column:

@@ -51,9 +51,29 @@ def session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.session_ids(candidates(spark, sf_dir), parts(spark, sf_dir))
 
 
+def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session, vec_id, speaker and embedding; embeddings lean towards their labels."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    mixed = F.transform("embedding", lambda x, i: x.cast("double") * 0.7 + F.when(i == F.col("label"), 1.0).otherwise(0.0))
+    return rows.select((F.col("vec_id") % 4).alias("session"), "vec_id", F.col("label").alias("speaker"), mixed.alias("embedding"))
+
+
+def identify_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = voices(spark, sf_dir)
+    return identity.identify(rows.drop("speaker"), identity.mean_voices(rows))
+
+
+def voice_matches(spark: SparkSession, sf_dir: str, rows: DataFrame, place: str) -> DataFrame:
+    """The voices that rows are taken to be spoken in, one after the other, and the speaker that each is identified as."""
+    known = identify_voices(spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    heard = rows.select("tid", place, ((F.col("tid") * 7 + F.col(place)) % n).alias("vec_id"))
+    return heard.join(known, "vec_id").select("tid", place, F.col("speaker").cast("int").alias("matched"))
+
+
 def correct_by_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parts(spark, sf_dir)
-    return _short(c.correct_by_voice(rows, rows.select("tid", "seq", ((F.col("tid") + F.col("seq")) % 3).cast("int").alias("matched"))))
+    return _short(c.correct_by_voice(rows, voice_matches(spark, sf_dir, rows, "seq")))
 
 
 def commit_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +108,8 @@ def live_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn but each fourth matches the speaker that the timeline's number gives."""
     rows = turns(spark, sf_dir)
-    matches = rows.filter("turn_seq % 4 > 0").selectExpr("tid", "turn_seq", "tid % 2 as matched")
-    return c.resolve_turns(rows, confirmed(spark, sf_dir), matches, margin_ms=1000)
+    return c.resolve_turns(rows, confirmed(spark, sf_dir), voice_matches(spark, sf_dir, rows, "turn_seq"), margin_ms=1000)
 
 
 def remapped_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +187,7 @@ QUERIES = {
     "session_ids": session_ids,
     "merge_rare_speakers": lambda spark, sf_dir: _short(c.merge_rare_speakers(parts(spark, sf_dir))),
     "correct_by_voice": correct_by_voice,
+    "identify_voices": identify_voices,
     "merge_gaps": lambda spark, sf_dir: labels.merge_history(parts(spark, sf_dir)),
     "merge_display": lambda spark, sf_dir: labels.merge_display(parts(spark, sf_dir)),
     "name_by_appearance": lambda spark, sf_dir: _short(labels.name_by_appearance(parts(spark, sf_dir))),
@@ -215,9 +234,18 @@ f as (select tid, n, turn_seq as hq, start_ms as hs, end_ms as he, speaker, 1 as
  union all select o.tid, o.n, case when j then hq else o.turn_seq end, case when j then hs else o.start_ms end, case when j then greatest(he, o.end_ms) else o.end_ms end, o.speaker, case when j then k + 1 else 1 end
   from (select f.*, x.n as nn, f.speaker = x.speaker and x.start_ms <= he + 1000 as j from f join o x on x.tid = f.tid and x.n = f.n + 1) f join o on o.tid = f.tid and o.n = nn)
 select tid, hq as turn_seq, speaker, hs as start_ms, he as end_ms, cast(k as bigint) as n_merged from f qualify row_number() over (partition by tid, hq order by n desc) = 1"""
-RESOLVED = f"""{SQL_VIEWS}, lt as (select tid, speaker, turn_seq from v_turn t where not exists (select 1 from v_conf c where c.tid = t.tid and c.speaker = t.speaker)
+#: The voice that each embedding is most similar to, by all pairs.
+VOICES = """ve as (select vec_id % 4 as session, vec_id, label, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings),
+vf as (select session, vec_id, label, i, cast(x as double) * 0.7 + case when i = label then 1.0 else 0.0 end as x from ve),
+vv as (select session, label, i, avg(x) as x from vf group by all),
+vs as (select vf.vec_id, vv.label, round(sum(vf.x * vv.x) / (sqrt(sum(vf.x * vf.x)) * sqrt(sum(vv.x * vv.x))), 6) as similarity from vf join vv on vf.session = vv.session and vf.i = vv.i group by all),
+iv as (select vec_id, similarity, case when similarity > 0.62 then label end as speaker from vs qualify row_number() over (partition by vec_id order by similarity desc, label) = 1)"""
+RESOLVED = f"""{SQL_VIEWS}, {VOICES}, lt as (select tid, speaker, turn_seq from v_turn t where not exists (select 1 from v_conf c where c.tid = t.tid and c.speaker = t.speaker)
   qualify row_number() over (partition by tid, speaker order by end_ms - start_ms desc, turn_seq) = 1),
-rt as (select t.tid, t.turn_seq, t.start_ms, t.end_ms, case when lt.turn_seq % 4 > 0 then t.tid % 2 else t.speaker end as speaker from v_turn t left join lt on lt.tid = t.tid and lt.speaker = t.speaker)"""
+lm as (select lt.tid, lt.speaker, iv.speaker as matched from lt join iv on iv.vec_id = (lt.tid * 7 + lt.turn_seq) % (select count(*) from embeddings) where iv.speaker is not null),
+rt as (select t.tid, t.turn_seq, t.start_ms, t.end_ms, coalesce(lm.matched, t.speaker) as speaker from v_turn t left join lm on lm.tid = t.tid and lm.speaker = t.speaker where t.tid in (select tid from lm))"""
+
+
 def _shown_sql(source: str, then: str) -> str:
     """``then`` over ``m``, the rows of the table ``w`` (which ``source`` defines) merged for display, one step a row."""
     return f"""with recursive {SIDES.strip().removeprefix("with")}, {source}, o as (select *, row_number() over (partition by tid order by start_ms, seq) as n from w),
@@ -294,7 +322,9 @@ select d.tid, d.seq, d.start_ms, d.end_ms, coalesce(s.id, d.speaker_id) as speak
 z as (select *, coalesce((select {{'i': p.id, 'l': p.speaker_label}} from p where p.tid = t.tid and p.id <> t.id and p.seq < f order by p.seq desc limit 1), (select {{'i': p.id, 'l': p.speaker_label}} from p where p.tid = t.tid and p.id <> t.id and p.seq > f order by p.seq limit 1)) as z
   from t where n = 1 or ms < 2000)
 select {ROW}, case when z is not null then z.i else speaker_id end as speaker_id, case when z is not null then coalesce(z.l, 'Sprecher ' || right(z.i, 1)) else speaker_label end as speaker_label from p left join z using (tid, id)""",
-    "correct_by_voice": f"""{SIDES}, m as (select *, (tid + seq) % 3 as m, num is not null and (tid + seq) % 3 <> num and end_ms - start_ms >= 2000 as other from p)
+    "identify_voices": f"with {VOICES} select * from iv",
+    "correct_by_voice": f"""{SIDES}, {VOICES}, m as (select p.*, iv.speaker as m, num is not null and iv.speaker <> num and end_ms - start_ms >= 2000 as other
+  from p left join iv on iv.vec_id = (tid * 7 + seq) % (select count(*) from embeddings))
 select {ROW}, case when other then 'speaker_' || m else speaker_id end as speaker_id, case when other then 'Sprecher ' || (m + 1) else speaker_label end as speaker_label from m""",
     "merge_gaps": f"""{SIDES}, j as (select *, case when lag(id) over w = id and is_final and lag(is_final) over w and start_ms - lag(end_ms) over w between 0 and 1200 then 0 else 1 end as new from p window w as (partition by tid order by start_ms, seq)),
 bl as (select *, sum(new) over (partition by tid order by start_ms, seq) as block from j),
@@ -322,7 +352,7 @@ select tid, seq, batch, before, id as speaker_id from (select *, lag(id) over (p
     "speaker_numbers": f"{SIDES} select tid, seq, num as number from p",
     "contiguous_segments": f"{SQL_VIEWS} select tid, seq, coalesce(lag(end_ms) over (partition by tid order by seq), 0) as start_ms, end_ms from v_part",
     "coalesce_turns": COALESCED.format(views=SQL_VIEWS.strip().removeprefix("with"), source="v_turn"),
-    "resolve_turns": COALESCED.format(views=RESOLVED.strip().removeprefix("with"), source="rt"),
+    "resolve_turns": f"{COALESCED.format(views=RESOLVED.strip().removeprefix('with'), source='rt')} union all select tid, turn_seq, speaker, start_ms, end_ms, 1 from v_turn where tid not in (select tid from lm)",
     "longest_turns": f"{SQL_VIEWS} select tid, speaker, turn_seq, start_ms, end_ms from v_turn qualify row_number() over (partition by tid, speaker order by end_ms - start_ms desc, turn_seq) = 1",
     "turn_diagnostics": f"""{SQL_VIEWS} select tid, count(*) as n, count(distinct speaker) as speakers, min(end_ms - start_ms) as least_ms, round(avg(end_ms - start_ms), 3) as mean_ms, max(end_ms - start_ms) as most_ms from v_turn group by tid""",
     "fragment_aggregate": f"""{SQL_VIEWS}, {LOCAL}, w as (select * from l where end_ms - start_ms >= 400)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zeitband.functions import text
-from zeitband.operators import dedupe, identity, intervals, labels, reports, splitting, store
+from zeitband.operators import dedupe, intervals, labels, reports, splitting, store
 from zeitband.sources.timelines import VIEWS, parts, segments, turns
 from zeitband.shared import scratch_folder
 from zeitband.streaming.assign import stream_assign, without_turns
@@ -60,13 +60,6 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.change_points(turns(spark, sf_dir))
 
 
-def identify_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    mixed = F.transform("embedding", lambda x, i: x.cast("double") * 0.7 + F.when(i == F.col("label"), 1.0).otherwise(0.0))
-    rows = rows.select((F.col("vec_id") % 4).alias("session"), "vec_id", F.col("label").alias("speaker"), mixed.alias("embedding"))
-    return identity.identify(rows.drop("speaker"), identity.mean_voices(rows))
-
-
 def upsert_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segments(spark, sf_dir).select("tid", "seq", "speaker_id", "start_ms")
     new = rows.filter("seq >= 3").withColumn("speaker_id", F.lit("speaker_9")).withColumn("start_ms", F.col("start_ms") + 1)
@@ -187,7 +180,6 @@ QUERIES = {
     "assignment_quality": _on_segments(labels.quality),
     "compare_assignments": compare_assignments,
     "export_blocks": export_blocks,
-    "identify_voices": identify_voices,
     "upsert_segments": upsert_segments,
     "delete_transcripts": delete_transcripts,
     "document_round_trip": document_round_trip,
@@ -244,11 +236,6 @@ select tid, count(*) filter (a is null and b is not null) as "new", count(*) fil
     "saved_segments": f"""{SQL_VIEWS} select tid, seq, row_number() over (partition by tid order by seq) - 1 as sequence_index, speaker_id,
   case when speaker_id is not null then coalesce(speaker_label, 'Sprecher 1') end as speaker_label from v_part""",
     "history_lines": f"{SQL_VIEWS}, {SUMMARIES} select tid, title || ' · ' || length || case when speaker_count > 0 then ' · ' || speaker_count || ' Sprecher' else '' end as line from t",
-    "identify_voices": """with e as (select vec_id % 4 as session, vec_id, label, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings),
-f as (select session, vec_id, label, i, cast(x as double) * 0.7 + case when i = label then 1.0 else 0.0 end as x from e),
-v as (select session, label, i, avg(x) as x from f group by all),
-s as (select f.vec_id, v.label, round(sum(f.x * v.x) / (sqrt(sum(f.x * f.x)) * sqrt(sum(v.x * v.x))), 6) as similarity from f join v on f.session = v.session and f.i = v.i group by all)
-select vec_id, similarity, case when similarity > 0.62 then label end as speaker from s qualify row_number() over (partition by vec_id order by similarity desc, label) = 1""",
     "upsert_segments": f"""{SQL_VIEWS} select tid, seq, case when seq >= 3 then 'speaker_9' else speaker_id end as speaker_id, case when seq >= 3 then start_ms + 2 else start_ms end as start_ms from v_seg""",
     "delete_transcripts": f"{SQL_VIEWS} select tid, seq from v_seg where tid % 5 <> 0",
     "document_round_trip": f"{SQL_VIEWS} select tid, cast(seq as int) as seq, start_ms, end_ms, speaker_id, text from v_seg",
