@@ -274,8 +274,65 @@ d(id, i, row) as (select id, cast(0 as bigint), list_transform(range(0, len(a) +
   from d join p on p.id = d.id where d.i < len(b)))
 select id, cast(len(a) as bigint) as n_reference, cast(len(b) as bigint) as n_hypothesis, c // 4398046511104 - c % 4398046511104 // 2097152 - c % 2097152 as replaced, c % 4398046511104 // 2097152 as deleted, c % 2097152 as inserted,
  case when len(a) > 0 then round((c // 4398046511104) / len(a), 6) end as error_rate from (select p.id, a, b, row[-1] as c from d join p on p.id = d.id and d.i = len(b))"""
+#: Significant turns, votes, and pairs taken one by one, the largest vote first.
+MAPPED = f"""with recursive {SQL_VIEWS.strip().removeprefix("with")}, {LOCAL},
+w as (select * from l where end_ms - start_ms >= 400),
+own as (select tid, turn_seq, speaker, start_ms, end_ms from w union all
+ select tid, min(turn_seq), speaker, min(start_ms), max(end_ms) from l where tid not in (select tid from w) group by tid, speaker having sum(end_ms - start_ms) >= 700),
+old as (select * from v_turn where turn_seq % 2 = 0 and end_ms - start_ms >= 400),
+la as (select tid, turn_seq, speaker, greatest(start_ms, {ZONE}) as s, least(end_ms, {ZONE} + 7000) as e from own where tid in (select tid from v_turn)),
+wb as (select tid, turn_seq, speaker, greatest(start_ms, {ZONE}) as s, least(end_ms, {ZONE} + 7000) as e from old),
+vo as (select a.tid, a.speaker as a, b.speaker as b, sum(least(a.e, b.e) - greatest(a.s, b.s)) as ms, min(a.turn_seq) as af, min(b.turn_seq) as bf
+ from la a join wb b on a.tid = b.tid and a.s < b.e and b.s < a.e where a.e > a.s and b.e > b.s group by all having ms >= 300),
+vn as (select *, row_number() over (partition by tid order by ms desc, af, bf, a, b) as n from vo),
+gr(tid, n, "as", bs) as (select distinct tid, cast(0 as bigint), cast([] as bigint[]), cast([] as bigint[]) from vn
+ union all select gr.tid, vn.n, case when list_contains("as", a) or list_contains(bs, b) then "as" else list_append("as", a) end, case when list_contains("as", a) or list_contains(bs, b) then bs else list_append(bs, b) end
+ from gr join vn on vn.tid = gr.tid and vn.n = gr.n + 1),
+pr as (select tid, unnest("as") as a, unnest(bs) as b from gr qualify row_number() over (partition by tid order by n desc) = 1),
+sp as (select o.tid, o.a as local, pr.b, coalesce((select max(speaker) from old where old.tid = o.tid), -1) as top from (select distinct tid, speaker as a from own) o left join pr on pr.tid = o.tid and pr.a = o.a),
+mapped as (select tid, local, coalesce(b, top + count(*) filter (b is null) over (partition by tid order by local)) as speaker, b is null as is_new from sp)"""
+#: Texts folded into the one before, one step a row.
+FOLDED = f"""with recursive {SQL_VIEWS.strip().removeprefix("with")},
+o as (select tid, seq, start_ms, end_ms, text, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '') as w, row_number() over (partition by tid order by seq) as n from v_seg),
+f(tid, n, hq, hs, he, t, w, k) as (select tid, n, seq, start_ms, end_ms, text, w, 1 from o where n = 1
+ union all select tid, n, case when made is null then q else hq end, case when made is null then s else hs end, case when made is null then e else greatest(he, e) end, case when made is null then x else array_to_string(made, ' ') end,
+  case when made is null then b else made end, case when made is null then 1 else k + 1 end from (
+  select *, case when not (s - hs >= 1 and s - hs < 60000) then null when e - s < 500 and len(b) < 2 and s - he < 1500 then list_concat(w, b)
+    when shared is not null then case when shared = len(w) and len(w) < len(b) then b else list_concat(w, b[shared + 1:]) end
+    when len(lw) >= 3 and lw[1:3] = lb[1:3] or contains(array_to_string(lb, ' '), array_to_string(lw, ' ')) or contains(array_to_string(lw, ' '), array_to_string(lb, ' ')) then case when len(w) >= len(b) then w else b end end as made
+  from (select *, list_max(list_filter(range(2, least(len(w), len(b)) + 1), lambda j: lw[len(lw) - j + 1:len(lw)] = lb[1:j])) as shared
+   from (select f.*, o.n as n2, o.seq as q, o.start_ms as s, o.end_ms as e, o.text as x, o.w as b, list_transform(f.w, lambda y: lower(y)) as lw, list_transform(o.w, lambda y: lower(y)) as lb
+    from f join o on o.tid = f.tid and o.n = f.n + 1))) z(tid, n_, hq, hs, he, t, w, k, n, q, s, e, x, b, lw, lb, shared, made))
+select tid, hq as seq, hs as start_ms, he as end_ms, t as text, cast(k as bigint) as n_merged from f qualify row_number() over (partition by tid, hq order by n desc) = 1"""
+
+
+def _step_sql(i: int, source: str, cases: str) -> str:
+    """Table ``y<i>``: the rows of ``source`` with id and label taken from neighbours in some cases."""
+    return f"""n{i} as (select *, nullif(trim(speaker_id), '') as s, count(*) over (partition by tid, speaker_id) as kk from {source}),
+x{i} as (select *, lag(s) over w as l, lag(speaker_label) over w as ll, lead(s) over w as r, lead(speaker_label) over w as rl, start_ms - lag(end_ms) over w as gl, lead(start_ms) over w - end_ms as gr,
+ lag(end_ms - start_ms) over w as dl, lead(end_ms - start_ms) over w as dr, end_ms - start_ms as ms, len(string_split_regex(trim(coalesce(text, '')), '\\s+')) as nw from n{i} window w as (partition by tid order by seq)),
+y{i} as (select tid, seq, start_ms, end_ms, text, is_final, case {cases.format(l="l", r="r")} else speaker_id end as speaker_id, case {cases.format(l="ll", r="rl")} else speaker_label end as speaker_label from x{i})"""
+
+
+ENRICHED = f"""{SQL_VIEWS}, many as (select *, count(*) over (partition by tid) as cn from v_part), y0 as (select tid, seq, start_ms, end_ms, text, is_final, speaker_id, speaker_label from many where cn >= 3),
+{_step_sql(1, "y0", "when l = r and l <> s and ms <= 2000 and nw <= 3 and 3 * ms <= greatest(dl, dr) and kk > 1 then {l}")},
+{_step_sql(2, "y1", "when s is null and l = r and (ms <= 2000 or nw <= 3) then {l}")},
+{_step_sql(3, "y2", "when s is null and (ms <= 800 or length(trim(text)) <= 3) and gl between 0 and 500 and l is not null then {l} when s is null and (ms <= 800 or length(trim(text)) <= 3) and gr between 0 and 500 and r is not null then {r}")},
+mi as (select *, nullif(trim(speaker_id), '') as id from y3),
+mj as (select *, case when lag(id) over w = id and is_final and lag(is_final) over w and start_ms - lag(end_ms) over w between 0 and 1200 then 0 else 1 end as new from mi window w as (partition by tid order by start_ms, seq)),
+mb as (select *, sum(new) over (partition by tid order by start_ms, seq) as block from mj),
+mm as (select tid, block, list({{'q': seq, 'e': end_ms, 's': start_ms, 'i': speaker_id, 'l': speaker_label, 't': text}} order by start_ms, seq) as r from mb group by tid, block),
+mr as (select tid, r[1].q as seq, r[1].s as start_ms, list_max(list_transform(r, lambda x: x.e)) as end_ms, r[1].i as speaker_id, r[1].l as speaker_label,
+  case when len(r) = 1 then r[1].t else array_to_string(list_filter(list_transform(r, lambda x: trim(x.t)), lambda t: t <> ''), ' ') end as text, nullif(trim(r[1].i), '') as id from mm),
+mf as (select *, case when id is not null then min(seq) over (partition by tid, id) end as f from mr), mk as (select *, dense_rank() over (partition by tid order by f nulls last) as k from mf)
+select tid, seq, start_ms, end_ms, speaker_id, case when f is not null then 'Sprecher ' || k else speaker_label end as speaker_label, text from mk
+union all select tid, seq, start_ms, end_ms, speaker_id, speaker_label, text from many where cn < 3"""
 ORACLES = {
     "word_errors": WORD_ERRORS,
+    "speaker_mapping": f"{MAPPED} select tid, local, speaker, is_new from mapped",
+    "reconcile": f"{MAPPED} select own.tid, turn_seq, local, mapped.speaker, start_ms, end_ms from own join mapped on mapped.tid = own.tid and local = own.speaker",
+    "dedupe_texts": FOLDED,
+    "enrich": ENRICHED,
     "overlay_labels": f"""{SIDES}, {RAW} select r.tid, r.seq, r.start_ms, r.end_ms, case when d.id is not null then d.speaker_id else rid end as speaker_id,
   case when d.id is not null then d.speaker_label else rlabel end as speaker_label from r left join d using (tid, seq)""",
     "merge_candidate": f"""{SIDES}, {RAW}, {SETS},
