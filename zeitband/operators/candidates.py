@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zeitband.functions.text import speaker_name, speaker_number
+from zeitband.functions.text import is_blank, speaker_name, speaker_number
+from zeitband.shared import stored
 
 from .labels import label, quality
 from .scans import SPAN, carried
@@ -72,12 +73,20 @@ def accept(best: DataFrame, candidate: DataFrame) -> DataFrame:
     """
     b, c = (quality(x).withColumnsRenamed({n: f"{p}_{n}" for n in ("labeled", "unlabeled", "speakers", "labeled_ms")}) for x, p in ((best, "b"), (candidate, "c")))
     both = b.join(c, "tid", "full_outer").join(new_speaker_evidence(best, candidate).select("tid", "has_evidence"), "tid", "left").fillna(0).fillna({"has_evidence": False})
-    n = {k: F.col(k) for k in ("b_labeled", "c_labeled", "b_speakers", "c_speakers", "b_labeled_ms", "c_labeled_ms")}
+    rule = _rule({k: F.col(k) for k in QUALITIES}, F.col("has_evidence"))
+    return both.select("tid", (~F.startswith(rule, F.lit("-"))).alias("accepted"), F.ltrim(rule, F.lit("-")).alias("rule"))
+
+
+QUALITIES = ("b_labeled", "c_labeled", "b_speakers", "c_speakers", "b_labeled_ms", "c_labeled_ms")
+
+
+def _rule(n: dict[str, Column], has_evidence: Column) -> Column:
+    """The rule that decides on a candidate (c) against the best labeling (b); those that refuse it begin with a dash."""
     first_two = (n["b_speakers"] == 1) & (n["c_speakers"] == 2)
-    enough = F.when(first_two, (10 * n["c_labeled"] >= 5 * n["b_labeled"]) & F.col("has_evidence")).otherwise(10 * n["c_labeled"] >= 7 * n["b_labeled"])
+    enough = F.when(first_two, (10 * n["c_labeled"] >= 5 * n["b_labeled"]) & has_evidence).otherwise(10 * n["c_labeled"] >= 7 * n["b_labeled"])
     no_worse = (n["c_labeled"] >= n["b_labeled"]) & (n["c_labeled_ms"] >= n["b_labeled_ms"])
     more = (10 * n["c_labeled"] > 12 * n["b_labeled"]) & (10 * n["c_labeled_ms"] >= 8 * n["b_labeled_ms"])
-    rule = (
+    return (
         F.when((n["b_labeled"] == 0) & (n["b_speakers"] == 0), "first")
         .when((n["b_labeled"] > 0) & (n["c_labeled"] == 0), "-labelsGone")
         .when((n["b_speakers"] >= 2) & (n["c_speakers"] < n["b_speakers"]), "-fewerSpeakers")
@@ -89,7 +98,6 @@ def accept(best: DataFrame, candidate: DataFrame) -> DataFrame:
         .when(n["c_speakers"] == n["b_speakers"], "-worse")
         .otherwise("other")
     )
-    return both.select("tid", (~F.startswith(rule, F.lit("-"))).alias("accepted"), F.ltrim(rule, F.lit("-")).alias("rule"))
 
 
 def new_speaker_evidence(best: DataFrame, candidate: DataFrame, least: int = 2, least_ms: int = 3000) -> DataFrame:
@@ -241,17 +249,77 @@ def merge_rare_speakers(rows: DataFrame, fewest: int = 1, shortest_ms: int = 200
     return _put(rows.join(merged, ["tid", "speaker_id"], "left"), put).drop("__to").select(*rows.columns)
 
 
-def commit(raw: DataFrame, best: DataFrame, candidate: DataFrame, confirmed: DataFrame, final: bool = False) -> DataFrame:
+def _by_speaker(sides: dict[str, DataFrame], confirmed: DataFrame) -> DataFrame:
+    """tid and ``ids``: of each id of a timeline (null: unlabeled) its segments and their time on each side, and whether
+    it is confirmed. A timeline's speakers are few, whatever its length."""
+    rows = confirmed.select("tid", F.concat(F.lit("speaker_"), F.col("speaker").cast("string")).alias("id"), F.lit("sure").alias("side"), F.lit(0).cast("long").alias("ms"))
+    for name, side in sides.items():
+        rows = rows.unionByName(side.select("tid", label().alias("id"), F.lit(name).alias("side"), (F.col("end_ms") - F.col("start_ms")).cast("long").alias("ms")))
+    of = lambda name: F.col("side") == name
+    sums = [c for name in sides for c in (F.count_if(of(name)).alias(f"{name}_n"), F.coalesce(F.sum(F.when(of(name), F.col("ms"))), F.lit(0)).alias(f"{name}_ms"))]
+    ids = rows.groupBy("tid", "id").agg(*sums, F.max(of("sure")).alias("sure"))
+    return ids.groupBy("tid").agg(F.collect_list(F.struct(*ids.columns[1:])).alias("ids"))
+
+
+def _verdicts(sides: dict[str, DataFrame], confirmed: DataFrame) -> DataFrame:
+    """tid, and of each timeline: the ids of the best labeling (``__ids``), whether new ones are kept out (``__strip``),
+    whether the candidate is accepted (``__accepted``), and if ``kept`` is among the sides, whether that is to be fallen
+    back on (``__fallback``)."""
+    rows = _by_speaker(sides, confirmed)
+    known = F.filter("ids", lambda x: x["id"].isNotNull())
+    of = lambda side: F.transform(F.filter(known, lambda x: x[f"{side}_n"] > 0), lambda x: x["id"])
+    total = lambda name, among=known: F.aggregate(among, F.lit(0).cast("long"), lambda a, x: a + x[name])
+    rows = rows.withColumns({"__ids": of("b"), "__new": of("c"), "__sure": F.transform(F.filter(known, lambda x: x["sure"]), lambda x: x["id"])})
+    several, strange = F.size("__ids") >= 2, F.size(F.array_except("__new", F.array_union("__ids", "__sure"))) > 0
+    n = {"b_labeled": total("b_n"), "c_labeled": total("c_n"), "b_speakers": F.size("__ids"), "c_speakers": F.size("__new"), "b_labeled_ms": total("b_ms"), "c_labeled_ms": total("c_ms")}
+    fresh = F.filter(known, lambda x: (x["c_n"] > 0) & (x["b_n"] == 0))
+    evidence = (F.size("__ids") > 0) & (F.size(fresh) > 0) & ((total("c_n", fresh) >= 2) | (total("c_ms", fresh) >= 3000))
+    found = {"__strip": several & ((F.size("__new") < F.size("__ids")) | strange), "__accepted": ~F.startswith(_rule(n, evidence), F.lit("-"))}
+    if "kept" in sides:
+        none = total("c_n", F.col("ids")) == 0
+        found["__fallback"] = none & ((total("kept_n") > total("b_n")) | (F.size(of("kept")) > F.size("__ids")))
+    return rows.withColumns(found).select("tid", "__ids", *found)
+
+
+def commit(raw: DataFrame, best: DataFrame, candidate: DataFrame, confirmed: DataFrame, final: bool = False, preserved: DataFrame | None = None) -> DataFrame:
     """The labeling after a candidate came, timeline by timeline: the guarded merge where the candidate says something
     new and is accepted, else the best labeling as it was. In a final run a candidate that would leave a timeline with
-    fewer speakers is not taken either."""
-    merged = merge_candidate(raw, best, candidate, confirmed)
-    taken = accept(best, candidate).filter("accepted").join(is_meaningful(best, merged).filter("meaningful"), "tid", "left_semi").select("tid")
-    if final:
-        counts = [x.groupBy("tid").agg(F.count_distinct(label()).alias(n)) for x, n in ((best, "b"), (merged, "m"))]
-        taken = taken.join(counts[0].join(counts[1], "tid", "full_outer").filter("coalesce(m, 0) >= coalesce(b, 0)"), "tid", "left_semi")
-    kept = overlay(raw, best).join(taken, "tid", "left_anti")
-    return merged.join(taken, "tid", "left_semi").unionByName(kept)
+    fewer speakers is not taken either, and timelines that the candidate has no segment of fall back on ``preserved``
+    (a labeling that was dropped when it came), where that has more labels or more speakers than the best one.
+
+    All segments of a key stand in one wide row, with what each labeling says of them; it is written once and read for
+    the verdict on its timeline and for the result.
+    """
+    sides = {"b": best, "c": candidate} | ({"kept": preserved} if final and preserved is not None else {})
+    columns = raw.columns
+    wide = raw.select(*KEY, F.struct(*columns).alias("__raw"), *(F.lit(None).cast("struct<speaker_id:string,speaker_label:string>").alias(f"__{s}") for s in sides))
+    for name, side in sides.items():
+        keyed = side.filter(F.col("tid").isNotNull() & F.col("seq").isNotNull() & label().isNotNull())
+        wide = wide.unionByName(keyed.select(*KEY, F.struct("speaker_id", "speaker_label").alias(f"__{name}")), allowMissingColumns=True)
+    wide = wide.groupBy(*KEY).agg(F.collect_list("__raw").alias("__raws"), *(F.max(f"__{s}").alias(f"__{s}") for s in sides))
+    met = wide.join(_verdicts(sides, confirmed), "tid", "left")
+    guarded = F.coalesce("__strip", F.lit(False))
+    usable = F.when(~guarded | F.array_contains("__ids", F.col("__c.speaker_id")), F.col("__c"))
+    met = met.withColumn("__merged", F.when(guarded, F.coalesce("__b", usable)).otherwise(F.coalesce(usable, "__b"))).drop("__ids", "__strip", "__c")
+    own = F.array_max(F.transform("__raws", lambda r: F.when(~is_blank(r["speaker_id"]), r["speaker_id"])))
+    met = stored(met.withColumn("__id", F.when(F.size("__raws") > 0, F.coalesce("__merged.speaker_id", own))), "commit")
+    a, b = F.col("__b.speaker_id"), F.col("__id")
+    counts = met.filter("tid is not null").groupBy("tid").agg(F.first("__accepted").alias("ok"), F.count_if(b.isNotNull() & (a.isNull() | (a != b))).alias("changed"), F.count_distinct(a).alias("n"), F.count_distinct(b).alias("m"))
+    takes = F.col("ok") & ((F.col("changed") > 0) | (F.col("m") > F.col("n")))
+    taken = counts.select("tid", (takes & (F.col("m") >= F.col("n")) if final else takes).alias("__taken"))
+    rows = met.join(taken, "tid", "left").withColumn("__raw", F.explode("__raws"))
+    put = F.when(F.coalesce("__taken", F.lit(False)), F.col("__merged")).otherwise(F.col("__b"))
+    if "kept" in sides:
+        put = F.when(F.coalesce("__fallback", F.lit(False)), F.col("__kept")).otherwise(put)
+    return _put(rows.select("__raw.*", put.alias("__found")), F.col("__found")).select(*columns)
+
+
+def preserve(best: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Of a labeling that comes too late to be committed, the timelines where it has more labels or more speakers than the
+    best one: what a final run may fall back on."""
+    b, d = (quality(x).select("tid", F.col("labeled").alias(f"{n}_l"), F.col("speakers").alias(f"{n}_s")) for x, n in ((best, "b"), (dropped, "d")))
+    better = d.join(b, "tid", "left").filter("d_l > coalesce(b_l, 0) or d_s > coalesce(b_s, 0)")
+    return dropped.join(better.select("tid"), "tid", "left_semi")
 
 
 def display(raw: DataFrame, assigned: DataFrame, partial: DataFrame) -> DataFrame:
