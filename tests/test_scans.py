@@ -95,3 +95,19 @@ def test_one_long_timeline_spreads(spark, name):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(counts) == n and len(counts) == 4 and max(counts) <= 2 * statistics.median(counts)
+
+
+def test_counters_since_a_recording_began(spark):
+    rows = [(1, i, c, b) for i, (c, b) in enumerate([("borderline", None), ("engineOrThreshold", False), (None, False), ("engineOrThreshold", True), ("tooFewSamples", False), ("engineOrThreshold", False), (None, True)])]
+    got = chunks.silence_counters(spark.createDataFrame([*rows, (2, 0, None, None)], "session int, chunk long, cause string, begins boolean"), span=2)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 1, 0), (1, 1, 2, 1), (1, 2, 2, 1), (1, 3, 1, 1), (1, 4, 1, 1), (1, 5, 2, 2), (1, 6, 0, 0), (2, 0, 0, 0)]
+
+
+def test_recogniser_documents(spark, tmp_path):
+    from zeitband.sources.timelines import recognised
+
+    (tmp_path / "clip.json").write_text('{\n "segments": [{"start": 0.0004, "end": 1.2346, "text": "a", "words": []},\n {"end": 3}, {"start": 5.5, "text": null}]}')
+    (tmp_path / "empty.json").write_text('{"segments": []}')
+    (tmp_path / "broken.json").write_text('{"segments": [')
+    got = recognised(spark, str(tmp_path), multi_line=True)
+    assert sorted(tuple(r) for r in got.collect()) == [("clip", 1, 0, 1235, "a"), ("clip", 2, 0, 3000, None), ("clip", 3, 5500, 5500, None)]

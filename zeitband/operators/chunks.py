@@ -93,6 +93,21 @@ def silence_cause(chunks: DataFrame, rate: int = RATE) -> DataFrame:
     return chunks.select("session", "chunk", cause.alias("cause"), F.round(level(F.col("samples")), 6).alias("rms"))
 
 
+def silence_counters(causes: DataFrame, span: int = SPAN) -> DataFrame:
+    """session, chunk, and how many chunks up to it gave no turns (``zero``), and how many of these for no cause but the
+    engine (``engine``), since the recording last began. ``causes``: session, chunk, cause (null where there were turns;
+    chunks with too few samples to try don't count) and begins (a recording begins with this chunk)."""
+    tried = F.col("cause").isNotNull() & (F.col("cause") != "tooFewSamples")
+    rows = causes.select("session", "chunk", tried.cast("long").alias("__zero"), (F.col("cause") == "engineOrThreshold").cast("long").alias("__engine"), F.coalesce("begins", F.lit(False)).alias("__begins"))
+    so_far = carried(rows, "session", ["chunk"], sums={"zero": F.coalesce("__zero", F.lit(0)), "engine": F.coalesce("__engine", F.lit(0))}, span=span)
+    # What had been counted when the recording began.
+    base = F.struct((F.col("zero") - F.coalesce("__zero", F.lit(0))).alias("zero"), (F.col("engine") - F.coalesce("__engine", F.lit(0))).alias("engine"))
+    marked = so_far.withColumn("__own", F.when(F.col("__begins"), base))
+    met = carried(marked, "session", ["chunk"], before={"__last": F.col("__own")}, span=span).withColumn("__base", F.coalesce("__own", "__last"))
+    since = lambda c: F.col(c) - F.coalesce(F.col(f"__base.{c}"), F.lit(0))
+    return met.select("session", "chunk", since("zero").alias("zero"), since("engine").alias("engine"))
+
+
 def turn_diagnostics(turns: DataFrame, key: str = "tid") -> DataFrame:
     """Number of turns and speakers, and the least, mean and largest length of each group."""
     ms = F.col("end_ms") - F.col("start_ms")

@@ -39,6 +39,12 @@ def chunk_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("session", "chunk", "window_start", "window_end", "overlap_ms", F.size("samples").cast("long").alias("n"), total.alias("total"))
 
 
+def silence_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loud chunks have turns; a recording begins with every twentieth chunk."""
+    causes = chunks.silence_cause(chunks.chunk_audio(frames(spark, sf_dir), rate=RATE), RATE)
+    return chunks.silence_counters(causes.select("session", "chunk", F.when(F.col("rms") < 0.06, F.col("cause")).alias("cause"), (F.col("chunk") % 20 == 0).alias("begins")))
+
+
 def frame_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second quarter of each frame, and its level."""
     cut = audio.cut_samples(F.col("samples"), F.lit(250), F.lit(500), RATE)
@@ -128,6 +134,7 @@ QUERIES = {
     "recent_frames": lambda spark, sf_dir: chunks.recent(chunks.on_sample_clock(frames(spark, sf_dir), RATE), 20_000).drop("samples"),
     "latest_frames": lambda spark, sf_dir: chunks.latest_frames(frames(spark, sf_dir), 5).drop("samples"),
     "silence_causes": lambda spark, sf_dir: chunks.silence_cause(chunks.chunk_audio(frames(spark, sf_dir), rate=RATE), RATE),
+    "silence_counters": silence_counters,
     "frame_slices": frame_slices,
     "wav_round_trip": wav_round_trip,
     "recording_ranges": recording_ranges,
@@ -179,6 +186,8 @@ s(session, n, o, made) as (
 select session, m.seq as seq, m.a as start_ms, m.z as end_ms, m.t as text, m.why as ended_by from (select session, unnest(made) as m from s)"""
 ORACLES = {
     "bank_identify_enroll": BANK,
+    "silence_counters": f"""{AUDIO}, z as (select session, chunk, case when round(level, 6) < 0.06 then case when n < 16 then 'tooFewSamples' when n < 80 then 'bufferTooShort' when n < 128 then 'borderline' else 'engineOrThreshold' end end as cause from x)
+select session, chunk, count(*) filter (cause <> 'tooFewSamples') over w as zero, count(*) filter (cause = 'engineOrThreshold') over w as engine from z window w as (partition by session, chunk // 20 order by chunk)""",
     "stream_bank": BANK,
     "recording_ranges": f"{FRAMES} select session, end_ms - 1000 as start_ms, end_ms, cast(16 as bigint) as n, round(cast(trunc(v * 32767) as double) / 32768, 3) as first from c where end_ms - 1000 >= 100000 and end_ms - 1000 < 110000",
     "session_utterances": SPOKEN,

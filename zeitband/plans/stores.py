@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from zeitband.functions import text
 from zeitband.operators import store
 from zeitband.shared import scratch_folder
-from zeitband.sources.timelines import VIEWS, parts
+from zeitband.sources.timelines import VIEWS, parts, recognised
 
 DOC = """select cast(o_orderkey as string) as transcript_id, concat('Gespräch_', o_orderpriority, ' ', cast(o_custkey as string)) as title, 'de' as language, cast(floor(o_totalprice) as bigint) * 10 as duration_ms,
  cast(o_custkey % 4 as int) as speaker_count, case when o_orderstatus = 'F' then 'finalized' else 'open' end as status, o_orderkey * 7919 % 100003 * 1000000 as created_at, o_orderkey * 7919 % 100003 * 1000000 + 5000 as updated_at from {orders}"""
@@ -121,6 +121,15 @@ def stored_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(at.read("transcripts"), at.read("segments"))
 
 
+def recognised_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as a recogniser writes them, with times in seconds, and read back."""
+    path = scratch_folder(spark, "recognised")
+    one = F.struct("seq", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "text")
+    docs = parts(spark, sf_dir).groupBy(F.col("tid").cast("string").alias("name")).agg(F.array_sort(F.collect_list(one)).alias("segments"))
+    docs.write.json(path)
+    return recognised(spark, path)
+
+
 def migrate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Into a store that has three of four transcripts already, under other titles."""
     t, s = transcripts(spark, sf_dir), segments(spark, sf_dir)
@@ -171,6 +180,7 @@ QUERIES = {
     "document_lookup": document_lookup,
     "migrate_documents": migrate_documents,
     "delete_documents": delete_documents,
+    "recognised_segments": recognised_segments,
     "stored_lookup": stored_lookup,
     "stored_edits": stored_edits,
     "export_json": _both(store.json_report),
@@ -191,6 +201,7 @@ def _fields(*names: str, indent: int) -> str:
 
 
 ORACLES = {
+    "recognised_segments": f"{SQL} select cast(tid as string) as name, row_number() over (partition by tid order by seq) as seq, start_ms, end_ms, text from v_part",
     "transcript_list": f"{SQL} select * from t",
     "transcript_lookup": f"{SQL} select * from t where transcript_id = '42'",
     "transcript_segments": f"{SQL} select * from s where transcript_id = '42'",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Common table expressions, valid in Spark SQL and DuckDB; ``{lineitem}`` and ``{part}`` name the tables.
 VIEWS = """
@@ -60,3 +61,18 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tid, turn_seq, start_ms, end_ms and speaker."""
     return _view(spark, sf_dir, "v_turn")
+
+
+RECOGNISED = "name string, segments array<struct<start:double,end:double,text:string>>"
+
+
+def recognised(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The segments that a recogniser wrote as JSON, one document a line, or with ``multi_line`` one a file: name (the
+    document's, else the file's), seq (from 1), start_ms, end_ms (from seconds) and text. Broken documents and those
+    without segments give none; a segment without a start begins at 0, and without an end lasts no time."""
+    rows = spark.read.schema(RECOGNISED).option("multiLine", multi_line).option("mode", "DROPMALFORMED").json(path)
+    name = F.coalesce("name", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
+    each = rows.select(name.alias("name"), F.posexplode("segments").alias("i", "s"))
+    ms = lambda c: F.round(c * 1000).cast("long")
+    start = F.coalesce(ms(F.col("s.start")), F.lit(0))
+    return each.select("name", (F.col("i") + 1).alias("seq"), start.alias("start_ms"), F.coalesce(ms(F.col("s.end")), start).alias("end_ms"), F.col("s.text").alias("text"))
