@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
+#: Edges of one vertex are dealt to so many tasks.
+SALTS = 64
+
+
 def _with_least(edges: DataFrame) -> DataFrame:
-    """Each directed edge (u, v) with the least of u and all its v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return edges.join(least, "u")
+    """Each directed edge (u, v) with the least of u and all its v. The edges of a vertex that a large group hangs on stand
+    in slices; a slice gives its least v and is told that of all."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    slices = dealt.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = slices.groupBy("u").agg(F.min("m").alias("m")).withColumn("m", F.least("u", "m"))
+    told = slices.select("u", "salt").join(least, "u")
+    return dealt.join(told, ["u", "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
