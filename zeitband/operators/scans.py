@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Places (numbers in a timeline) in a bucket, and milliseconds where the order is by time.
-SPAN = 50_000
+SPAN = 2_000
 SPAN_MS = 3_600_000
 #: The bucket of null places: before all others.
 NOWHERE = -(2**62)
