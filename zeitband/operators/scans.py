@@ -43,14 +43,19 @@ def carried(rows: DataFrame, key: str, order: list[str], before: Mapping[str, Co
     up, down = over(F.asc("__bucket")), over(F.desc("__bucket"))
     known = lambda n, w: F.last(f"__{n}", ignorenulls=True).over(w).alias(f"__{n}")
     incoming = totals.select(key, "__bucket", *(known(n, up) for n in before), *(known(n, down) for n in after), *(F.sum(f"__{n}").over(up).alias(f"__{n}") for n in sums))
-    incoming = incoming.filter(reduce(or_, (F.col(f"__{n}").isNotNull() for n in (before | after | sums))))
-    both = marked.withColumn("__front", F.lit(0)).unionByName(incoming.withColumn("__front", F.lit(1)), allowMissingColumns=True)
-    inside = Window.partitionBy(key, "__bucket")
-    ahead = inside.orderBy(F.desc("__front"), *(F.asc(o) for o in order))
-    behind = inside.orderBy(F.desc("__front"), *(F.desc(o) for o in order)).rowsBetween(Window.unboundedPreceding, -1)
-    found = {n: F.last(f"__{n}", ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, -1)) for n in before}
-    found |= {n: F.sum(f"__{n}").over(ahead.rowsBetween(Window.unboundedPreceding, 0)) for n in sums}
-    found |= {n: F.last(f"__{n}", ignorenulls=True).over(behind) for n in after}
+    # What comes in stands in front of the rows, and behind them what comes from behind.
+    fronts = [f for f, names in ((-1, [*before, *sums]), (1, after)) if names]
+    told_at = lambda n: F.when(F.col("__front") == (1 if n in after else -1), F.col(f"__{n}")).alias(f"__{n}")
+    named = [*before, *after, *sums]
+    incoming = incoming.withColumn("__front", F.explode(F.array(*map(F.lit, fronts)))).select(key, "__bucket", "__front", *map(told_at, named))
+    incoming = incoming.filter(reduce(or_, (F.col(f"__{n}").isNotNull() for n in named)))
+    both = marked.withColumn("__front", F.lit(0)).unionByName(incoming, allowMissingColumns=True)
+    # One order serves both directions: the nearest value that is not null is an offset that passes over nulls.
+    inside = f"over (partition by `{key}`, `__bucket` order by `__front`, {', '.join(f'`{o}`' for o in order)})"
+    found = {n: F.expr(f"lag(`__{n}`) ignore nulls {inside}") for n in before}
+    found |= {n: F.expr(f"lead(`__{n}`) ignore nulls {inside}") for n in after}
+    running = Window.partitionBy(key, "__bucket").orderBy("__front", *order).rowsBetween(Window.unboundedPreceding, 0)
+    found |= {n: F.sum(f"__{n}").over(running) for n in sums}
     return both.withColumns(found).filter("__front = 0").select(*rows.columns, *found)
 
 
