@@ -52,7 +52,7 @@ def stream_assign_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     own.unionByName(last, allowMissingColumns=True).write.parquet(f"{place}/segments")
     heard.unionByName(last, allowMissingColumns=True).write.parquet(f"{place}/turns")
     made = run_appended(spark, stream_assign(file_stream(spark, f"{place}/segments"), file_stream(spark, f"{place}/turns")), "assigned")
-    rows = without_turns(made.filter("tid >= 0"), heard)
+    rows = without_turns(made.filter("tid >= 0"), spark.read.parquet(f"{place}/turns"))
     return rows.withColumns({"start_ms": F.col("start_ms") - hour, "end_ms": F.col("end_ms") - hour})
 
 
