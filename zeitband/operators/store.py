@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zeitband.functions.text import ascii_like, contains_text, json_text
+from zeitband.shared import small_tasks
 from zeitband.sources.versions import VersionedTables
 
 SEGMENT = "array<struct<seq:int,start_ms:bigint,end_ms:bigint,speaker_id:string,text:string>>"
@@ -123,8 +124,9 @@ def nested(transcripts: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Nested transcripts as JSON files, one document a line, nulls written out."""
-    documents.write.option("ignoreNullFields", "false").json(path)
+    """Nested transcripts as compressed JSON files, one document a line, nulls written out."""
+    with small_tasks(documents.sparkSession):
+        documents.write.option("ignoreNullFields", "false").option("compression", "gzip").json(path)
 
 
 def scan_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

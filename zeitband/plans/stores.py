@@ -9,6 +9,7 @@ from zeitband.functions import text
 from zeitband.operators import store
 from zeitband.shared import scratch_folder
 from zeitband.sources.timelines import VIEWS, parts, recognised
+from zeitband.sources.versions import buckets_for
 
 DOC = """select cast(o_orderkey as string) as transcript_id, concat('Gespräch_', o_orderpriority, ' ', cast(o_custkey as string)) as title, 'de' as language, cast(floor(o_totalprice) as bigint) * 10 as duration_ms,
  cast(o_custkey % 4 as int) as speaker_count, case when o_orderstatus = 'F' then 'finalized' else 'open' end as status, o_orderkey * 7919 % 100003 * 1000000 as created_at, o_orderkey * 7919 % 100003 * 1000000 + 5000 as updated_at from {orders}"""
@@ -29,9 +30,14 @@ def _both(f):
     return lambda spark, sf_dir: f(transcripts(spark, sf_dir), segments(spark, sf_dir))
 
 
-def stored(t: DataFrame, s: DataFrame) -> store.TranscriptStore:
-    """A store that holds both tables."""
-    at = store.TranscriptStore(t.sparkSession, scratch_folder(t.sparkSession, "store"))
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    """Of a store of all transcripts: as many as its segments need, which are as many as order lines."""
+    return buckets_for(spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())
+
+
+def stored(t: DataFrame, s: DataFrame, n: int = 16) -> store.TranscriptStore:
+    """A store of ``n`` buckets that holds both tables."""
+    at = store.TranscriptStore(t.sparkSession, scratch_folder(t.sparkSession, "store"), n)
     at.edit(t.select("transcript_id").union(s.select("transcript_id")), lambda now: {"transcripts": t, "segments": s})
     return at
 
@@ -56,7 +62,7 @@ def save_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("transcript_id").cast("bigint")
     new_t = t.filter(n % 4 == 0).withColumn("title", F.concat("title", F.lit(" (2)")))
     new_s = s.filter((n % 8 == 0) & (F.col("seq") % 2 == 0)).withColumn("text", F.upper("text"))
-    at = stored(t, s)
+    at = stored(t, s, buckets(spark, sf_dir))
     at.save(new_t, new_s)
     return _digest(at.read("transcripts"), at.read("segments"))
 
@@ -74,7 +80,7 @@ def rename_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, s = transcripts(spark, sf_dir), segments(spark, sf_dir)
-    at = stored(t, s)
+    at = stored(t, s, buckets(spark, sf_dir))
     at.delete(t.filter("status = 'open'").select("transcript_id"))
     return _digest(at.read("transcripts"), at.read("segments"))
 
@@ -92,14 +98,14 @@ def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of documents in buckets; one bucket is read."""
-    at = store.DocumentStore(spark, scratch_folder(spark, "documents"))
+    at = store.DocumentStore(spark, scratch_folder(spark, "documents"), buckets(spark, sf_dir))
     at.put(store.nested(transcripts(spark, sf_dir), segments(spark, sf_dir)))
     return store.document_segments(at.find("documents", "17")).orderBy("seq")
 
 
 def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transcripts(spark, sf_dir)
-    at = store.DocumentStore(spark, scratch_folder(spark, "documents"))
+    at = store.DocumentStore(spark, scratch_folder(spark, "documents"), buckets(spark, sf_dir))
     at.put(store.nested(t, segments(spark, sf_dir)))
     at.delete(t.filter("transcript_id like '%7'").select("transcript_id"))
     return at.read("documents").select("transcript_id", "title", F.size("segments").cast("long").alias("n"))
@@ -107,14 +113,14 @@ def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments of one transcript, from its bucket of the store."""
-    return store.segments_of(stored(transcripts(spark, sf_dir), segments(spark, sf_dir)).find("segments", "42"), "42")
+    return store.segments_of(stored(transcripts(spark, sf_dir), segments(spark, sf_dir), buckets(spark, sf_dir)).find("segments", "42"), "42")
 
 
 def stored_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store after some transcripts were migrated from documents, some renamed and some deleted: three commits."""
     t, s = transcripts(spark, sf_dir), segments(spark, sf_dir)
     n = F.col("transcript_id").cast("bigint")
-    at = stored(t.filter(n % 4 > 0).withColumn("title", F.upper("title")), s.filter(n % 4 > 0))
+    at = stored(t.filter(n % 4 > 0).withColumn("title", F.upper("title")), s.filter(n % 4 > 0), buckets(spark, sf_dir))
     at.migrate(store.scan_documents(spark, written(spark, sf_dir)))
     at.rename(t.filter(n % 10 == 0).select("transcript_id", F.lit("neu").alias("new_title")), now_ms=1)
     at.delete(t.filter(n % 7 == 0).select("transcript_id"))

@@ -4,8 +4,8 @@ An edit rewrites the buckets that its keys fall in, under new names, and then pu
 that never overwrites. So all tables change at once or not at all: readers of the manifest before see the version before,
 a job that is killed midway leaves nothing but files that no manifest names, and of two writers that began with one
 version one gets a ``Conflict``. Within a bucket rows are sorted by key; Parquet files have Bloom filters on it, so a
-lookup opens one bucket and skips what is left of it by statistics. A bucket is written by one task: have one for each
-gigabyte or less.
+lookup opens one bucket and skips what is left of it by statistics. A bucket is written by one task, in memory as far as
+it is sorted, and read by one: ``buckets_for`` says how many to have.
 """
 
 from __future__ import annotations
@@ -19,9 +19,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from zeitband.shared import small_tasks
+
 Tables = Mapping[str, DataFrame]
 
 
+#: Rows in a bucket.
+BUCKET_ROWS = 200_000
+
+
+def buckets_for(rows: int) -> int:
+    """The number of buckets for so many rows."""
+    return max(16, -(-rows // BUCKET_ROWS))
+
+
 class Conflict(Exception):
     """Another writer has made the next version."""
 
@@ -104,8 +115,9 @@ class VersionedTables:
             # A column with a dictionary gets no Bloom filter.
             out = out.option(f"parquet.enable.dictionary#{self.key}", "false").option(f"parquet.bloom.filter.enabled#{self.key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         elif self.kind == "json":
-            out = out.option("ignoreNullFields", "false")
-        out.format(self.kind).save(f"{self.path}/{place}")
+            out = out.option("ignoreNullFields", "false").option("compression", "gzip")
+        with small_tasks(rows.sparkSession):
+            out.format(self.kind).save(f"{self.path}/{place}")
         made: dict[str, list[str]] = {}
         for f in self._files.globStatus(self._at(f"{self.path}/{place}/__bucket=*/part-*")) or ():
             folder, name = f.getPath().getParent().getName(), f.getPath().getName()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from zeitband.operators.candidates import KEY, display, overlay
 from zeitband.operators.labels import label
 from zeitband.operators.store import delete, upsert
-from zeitband.shared import delete_folder, new_folder
+from zeitband.shared import delete_folder, new_folder, small_tasks
 from zeitband.sources.versions import VersionedTables
 
 SEGMENT = "tid long, seq int, start_ms long, end_ms long, text string, speaker_id string, speaker_label string, is_final boolean, is_new boolean"
@@ -62,7 +62,8 @@ class LiveLayers:
         scratch = new_folder(self.spark, "refresh")
 
         def kept(rows: DataFrame, name: str) -> DataFrame:
-            rows.write.mode("overwrite").parquet(f"{scratch}/{name}")
+            with small_tasks(rows.sparkSession):
+                rows.write.mode("overwrite").parquet(f"{scratch}/{name}")
             return self.spark.read.schema(rows.schema).parquet(f"{scratch}/{name}")
 
         new = kept(changes, "changes")
