@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,30 +113,40 @@ def word_differences(pairs: DataFrame) -> DataFrame:
 STEP, DELETION, INSERTION = 1 << 42, 1 << 21, 1
 
 
+def _distance(a: list[str], b: list[str]) -> int:
+    """The least sum of steps from ``a`` to ``b``."""
+    codes: dict[str, int] = {}
+    own = np.array([codes.setdefault(w, len(codes)) for w in a], dtype=np.int64)
+    deletions = np.arange(len(a) + 1, dtype=np.int64) * (STEP + DELETION)
+    row, best = deletions, np.empty_like(deletions)
+    for w in b:
+        best[0] = row[0] + STEP + INSERTION
+        np.minimum(row[:-1] + np.where(own == codes.get(w, -1), 0, STEP), row[1:] + (STEP + INSERTION), out=best[1:])
+        row = np.minimum.accumulate(best - deletions) + deletions
+    return int(row[-1])
+
+
 def word_errors(pairs: DataFrame) -> DataFrame:
     """The least word error of a hypothesis against a reference (``pairs``: id, reference, hypothesis): id, n_reference,
     n_hypothesis, replaced, deleted, inserted (of the alignment with the fewest of all three together; of these, with the
     fewest deletions, then insertions) and error_rate (against the reference; null without words). A null text has no
     words.
 
-    A row of the table of distances is carried over the words of the hypothesis, inside the row of the pair: work and
-    memory of a pair grow with the product of its lengths and with the reference's length.
+    A row of the table of distances is carried over the words of the hypothesis, as one array: work and memory of a pair
+    grow with the product of its lengths and with the reference's length. Pairs are few bytes and much work, so they are
+    dealt to four partitions a core whatever their size.
     """
     words = lambda c: F.coalesce(normal_words(F.col(c)), F.array().cast("array<string>"))
-    rows = pairs.select("id", words("reference").alias("a"), words("hypothesis").alias("b"))
-
-    def next_row(row: Column, heard: Column) -> Column:
-        first = F.get(row, F.lit(0)) + (STEP + INSERTION)
-        places = F.transform("a", lambda w, j: F.struct(w.alias("w"), j.alias("j")))
+    rows = pairs.select("id", words("reference").alias("a"), words("hypothesis").alias("b")).repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism)
 
-        def cell(made: Column, x: Column) -> Column:
-            best = F.least(F.get(row, x["j"]) + F.when(x["w"] == heard, F.lit(0).cast("bigint")).otherwise(F.lit(STEP)), F.get(row, x["j"] + 1) + (STEP + INSERTION), made["last"] + (STEP + DELETION))
-            return F.struct(F.concat(made["row"], F.array(best)).alias("row"), best.alias("last"))
-
-        return F.aggregate(places, F.struct(F.array(first).alias("row"), first.alias("last")), cell, lambda made: made["row"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a"), batch.column("b")
+            made = [_distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+            sizes = [x.value_lengths().cast(pa.int64()) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *sizes, pa.array(made, pa.int64())], ["id", "n_reference", "n_hypothesis", "d"])
 
-    start = F.transform(F.sequence(F.lit(0), F.size("a")), lambda j: j.cast("bigint") * (STEP + DELETION))
-    last = rows.select("id", F.size("a").cast("long").alias("n_reference"), F.size("b").cast("long").alias("n_hypothesis"), F.element_at(F.aggregate("b", start, next_row), -1).alias("d"))
+    last = rows.mapInArrow(run, f"id {pairs.schema['id'].dataType.simpleString()}, n_reference long, n_hypothesis long, d long")
     steps, rest = F.expr(f"d div {STEP}L"), F.col("d") % STEP
     deleted, inserted = F.expr(f"(d % {STEP}L) div {DELETION}L"), rest % DELETION
     counts = last.select("id", "n_reference", "n_hypothesis", (steps - deleted - inserted).cast("long").alias("replaced"), deleted.cast("long").alias("deleted"), inserted.cast("long").alias("inserted"), steps.alias("steps"))
