@@ -39,3 +39,18 @@ def test_null_keys_of_two_labelings_do_not_meet(spark):
     a = spark.createDataFrame(rows, ROW)
     assert pairs(c.is_meaningful(a, a)) == [(1, True), (None, False)]
     assert pairs(c.is_meaningful(a.filter("seq is not null"), a.filter("seq is not null"))) == [(1, False), (None, False)]
+
+
+def test_commit_moves_verdicts_alone(spark):
+    best, given = (labeling(spark, i).repartition(5, "tid") for i in (0, 1))
+    raw = labeling(spark, 0).withColumns({x: F.lit(None).cast("string") for x in ("speaker_id", "speaker_label")}).repartition(5, "tid")
+    sure = spark.createDataFrame([(t, 0) for t in range(40)], "tid long, speaker int").repartition(5, "tid")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for final in (False, True):
+            found = c.commit(raw, best, given, sure, final=final)
+            assert len(moves(found)) <= 1
+            assert found.count() == 240
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
