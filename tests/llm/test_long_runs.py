@@ -25,3 +25,19 @@ def test_letters_that_compose_in_lower_case_only():
     for text in ("H̱ello", "İstanbul", "W̊ J̌"):
         ids = np.frombuffer(encoder(path).encode([text])[0], "<u4").tolist()
         assert ids == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_plain_words_are_cut_without_python():
+    import random
+
+    from zeitband.llm.chunk_encoder import ChunkEncoder
+
+    of = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    looked, parts = [], of.parts
+    of.parts = lambda chunk: looked.append(chunk) or parts(chunk)
+    texts = [" ".join(f"word{i}{m}" for i in range(500) for m in ("", ",", "...", "!?"))]
+    assert of.encode(texts) == of.direct(texts) and looked == []
+    random.seed(3)
+    bits = ["a", "Z", "é", "é", "Σ", "İ", "ß", " ", "\n", "\x1c", "\x85", "\xa0", "　", ".", ",", "...", "'s", "7", "<|", "<|endoftext|>", "|>", "日本", "😀", "</w>", "\0"]
+    odd = ["", "  ", " a", "a "] + ["".join(random.choices(bits, k=12)) for _ in range(2000)]
+    assert of.encode(odd) == of.direct(odd) and of.encode([]) == []
