@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from zeitband.functions.text import trimmed
 from zeitband.operators import candidates as c
+from zeitband.operators import labels
 
 ROW = "tid long, seq int, start_ms long, end_ms long, speaker_id string, speaker_label string"
 
@@ -54,3 +56,27 @@ def test_commit_moves_verdicts_alone(spark):
             assert found.count() == 240
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_enrich_stays_where_it_is_dealt(spark):
+    """Short timelines: nothing moves or is written between the steps; a long one among them gives what it gives alone."""
+    rows = labeling(spark, 0).withColumns({"text": F.lit(" a "), "is_final": F.col("seq") % 4 > 0}).repartition(5, "tid")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = labels.enrich(rows)
+        assert moves(found) == []
+        assert found.count() == 240
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    long = rows.filter("tid = 3").select(F.lit(99).cast("long").alias("tid"), *[c for c in rows.columns if c != "tid"])
+    nowhere = long.withColumn("tid", F.lit(None).cast("long"))
+    some = rows.filter("seq < 2").unionByName(long).unionByName(nowhere)
+    assert pairs(labels.enrich(some, fewest=2, span=4, span_ms=2500)) == pairs(labels.enrich(some, fewest=2))
+
+
+def test_white_space_of_any_kind(spark):
+    chars = [chr(i) for i in range(1, 0x3100)]
+    rows = spark.createDataFrame([(c,) for c in chars], "c string").withColumn("x", F.concat("c", "c", F.lit("a "), "c", F.lit("b\r\n"), "c"))
+    assert rows.filter(~trimmed(F.col("x")).eqNullSafe(F.regexp_replace("x", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert rows.filter(trimmed(F.col("c")) == "").count() == 25
