@@ -217,7 +217,7 @@ def odd_conversations(spark, folder):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["final_utterances", "session_utterances"])
+@pytest.mark.parametrize("name", ["final_utterances", "session_utterances", "stream_utterances"])
 def test_utterances_of_odd_texts_like_sql(spark, tmp_path, name):
     folder, con = odd_conversations(spark, tmp_path), duckdb.connect()
     con.execute(f"create view conversations as select * from '{folder}/conversations.parquet/*.parquet'")

@@ -57,7 +57,7 @@ class UtteranceProcessor(StatefulProcessor):
         pass
 
 
-def stream_spoken(results: DataFrame, longest_ms: int = 6000, shortest_ms: int = 100, idle_ms: int = 6000, late: str = "1 second") -> DataFrame:
+def stream_spoken(results: DataFrame, longest_ms: int = 6000, shortest_ms: int = 100, idle_ms: int = 6000, late: str = "1 second", white: str | None = None) -> DataFrame:
     """What ``operators.utterances.spoken`` gives, of a stream (ts_ms in milliseconds since 1970).
 
     An open utterance is cut as soon as the watermark (``late`` behind the newest text of any session) passes the last
@@ -66,4 +66,4 @@ def stream_spoken(results: DataFrame, longest_ms: int = 6000, shortest_ms: int =
     """
     needs_rocksdb(results.sparkSession)
     timed = ordered(results).withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", late)
-    return timed.groupBy("session").transformWithState(UtteranceProcessor(Rules(longest_ms, shortest_ms, idle_ms)), UTTERANCES, "Append", "EventTime")
+    return timed.groupBy("session").transformWithState(UtteranceProcessor(Rules(longest_ms, shortest_ms, idle_ms, white)), UTTERANCES, "Append", "EventTime")
