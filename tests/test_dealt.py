@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from zeitband.functions.text import trimmed
 from zeitband.operators import candidates as c
-from zeitband.operators import labels
+from zeitband.operators import labels, reports
+from zeitband.plans.registry import QUERIES
+from zeitband.sources.timelines import dealt_parts, parts
 
 ROW = "tid long, seq int, start_ms long, end_ms long, speaker_id string, speaker_label string"
 
@@ -80,3 +82,36 @@ def test_white_space_of_any_kind(spark):
     rows = spark.createDataFrame([(c,) for c in chars], "c string").withColumn("x", F.concat("c", "c", F.lit("a "), "c", F.lit("b\r\n"), "c"))
     assert rows.filter(~trimmed(F.col("x")).eqNullSafe(F.regexp_replace("x", r"(?U)^\s+|\s+$", ""))).count() == 0
     assert rows.filter(trimmed(F.col("c")) == "").count() == 25
+
+
+def test_report_stays_where_it_is_dealt(spark):
+    rows = labeling(spark, 0).withColumn("text", F.when(F.col("seq") == 2, " ").when((F.col("tid") < 39) & (F.col("tid") > 0), F.concat(F.lit("t"), "seq"))).repartition(5, "tid")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = reports.report(rows.withColumn("tid", F.when(F.col("tid") != 5, F.col("tid"))).repartition(5, "tid"), markdown=False)
+        assert moves(found) == []
+        got = {r["tid"]: r["report"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    length = "\nDauer: 0:05 Min · Sprecher: 3\n"
+    head = f"Transkript vom 01.01.70 00:00{length}"
+    assert len(got) == 40 and got[None] == head and got[0] == f"Transkript{length}"
+    assert got[1] == head + "\nx 00:00:00\nt0\nt1\nt3\nt4\nt5\n"
+
+
+def test_dealt_parts_are_parts(spark, tmp_path):
+    """Parts that are missing or there twice; nothing moves but lines to the names of their part and to their timeline."""
+    lines = [(o, n, None if n == 5 else (k + n) % 7, (k * n) % 11, float(n), 1.0, None) for k, o in enumerate([*range(30), None]) for n in range(6)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(0, "a", "b"), (1, "c", "d"), (1, "e", None), (3, None, "f"), (None, "g", "h")], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    want = pairs(parts(spark, str(tmp_path)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for bytes_ in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bytes_)
+        try:
+            made = dealt_parts(spark, str(tmp_path))
+            assert pairs(made) == want
+            assert len(moves(QUERIES["report_text"](spark, str(tmp_path)))) == (2 if bytes_ == "-1" else 1)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

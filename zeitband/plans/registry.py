@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zeitband.functions import text
 from zeitband.operators import dedupe, intervals, labels, reports, splitting, store
-from zeitband.sources.timelines import VIEWS, parts, segments, turns
+from zeitband.sources.timelines import VIEWS, dealt_parts, parts, segments, turns
 from zeitband.shared import scratch_folder
 from zeitband.streaming.assign import stream_assign, without_turns
 from zeitband.streaming.levels import file_stream, levels, run_levels
@@ -190,8 +190,8 @@ QUERIES = {
     "stream_hourly_peak": stream_hourly_peak,
     "split_long": split_long,
     "dedupe_texts": _on_segments(dedupe.dedupe_texts),
-    "report_text": lambda spark, sf_dir: reports.report(parts(spark, sf_dir), markdown=False),
-    "report_markdown": lambda spark, sf_dir: reports.report(parts(spark, sf_dir), markdown=True),
+    "report_text": lambda spark, sf_dir: reports.report(dealt_parts(spark, sf_dir), markdown=False),
+    "report_markdown": lambda spark, sf_dir: reports.report(dealt_parts(spark, sf_dir), markdown=True),
     "transcript_summaries": lambda spark, sf_dir: reports.summaries(parts(spark, sf_dir)),
     "saved_segments": lambda spark, sf_dir: reports.saved_segments(parts(spark, sf_dir)).select("tid", "seq", "sequence_index", "speaker_id", "speaker_label"),
     "history_lines": lambda spark, sf_dir: reports.history_line(parts(spark, sf_dir)),
