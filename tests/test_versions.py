@@ -110,3 +110,18 @@ def test_null_keys_and_documents(spark, tmp_path):
     at.delete(docs.filter("transcript_id = '6'"))
     assert at.find("documents", "5").first()["title"] == "neu" and at.find("documents", "6").count() == 0 and at.read("documents").count() == 30
     assert store.document_segments(at.find("documents", "5")).count() == 3
+
+
+def test_documents_are_deleted_where_they_are_dealt(spark, tmp_path):
+    """Null ids delete nothing, ids that aren't there neither; documents move to their buckets and nowhere else."""
+    docs = store.nested(*made(spark, 30))
+    at = store.DocumentStore(spark, f"file://{tmp_path}/documents", buckets=4)
+    at.put(docs.unionByName(docs.limit(1).withColumn("transcript_id", F.lit(None).cast("string"))))
+    ids = spark.createDataFrame([("6",), ("7",), ("7",), (None,), ("none",)], "transcript_id string")
+    left = at.without(at.read("documents"), ids)
+    left.collect()
+    plan = left._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 1
+    want = sorted(map(repr, store.delete(at.read("documents"), ids).collect()))
+    at.delete(ids)
+    assert sorted(map(repr, at.read("documents").collect())) == want and len(want) == 29

@@ -115,12 +115,13 @@ def migrate(transcripts: DataFrame, segments: DataFrame, documents: DataFrame) -
 # Documents.
 
 
-def nested(transcripts: DataFrame, segments: DataFrame) -> DataFrame:
-    """Transcripts with their segments as an array in order of seq. A document is one row, so its segments meet."""
+def nested(transcripts: DataFrame, segments: DataFrame, by: str = "transcript_id") -> DataFrame:
+    """Transcripts with their segments as an array in order of seq. A document is one row, so its segments meet: ``by``
+    names a column of both by which they may lie together already, in place of the id."""
     one = F.struct("seq", "start_ms", "end_ms", "segment_id", "text", "speaker_id", "speaker_label")
-    lists = segments.groupBy("transcript_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
+    lists = segments.groupBy(by).agg(F.array_sort(F.collect_list(one)).alias("s"))
     typed = F.transform("s", lambda x: F.struct(x["segment_id"].alias("segment_id"), x["seq"].cast("int").alias("seq"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["text"].alias("text"), x["speaker_id"].alias("speaker_id"), x["speaker_label"].alias("speaker_label")))
-    return transcripts.join(lists, "transcript_id", "left").withColumn("segments", F.coalesce(typed, F.array())).drop("s")
+    return transcripts.join(lists, by, "left").withColumn("segments", F.coalesce(typed, F.array())).drop("s")
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
@@ -218,4 +219,5 @@ class DocumentStore(VersionedTables):
         return self.edit(documents, lambda now: {"documents": delete(now["documents"], documents.select("transcript_id")).unionByName(documents.select(*now["documents"].columns))})
 
     def delete(self, ids: DataFrame) -> int:
-        return self.edit(ids, lambda now: {"documents": delete(now["documents"], ids.select("transcript_id"))})
+        """As ``delete``; documents move once, to their buckets."""
+        return self.edit(ids, lambda now: {"documents": (self.without(now["documents"], ids), ids, True)})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from zeitband.functions import text
 from zeitband.operators import store
 from zeitband.shared import scratch_folder
-from zeitband.sources.timelines import VIEWS, parts, recognised
+from zeitband.sources.timelines import VIEWS, dealt_parts, parts, recognised
 from zeitband.sources.versions import buckets_for
 
 DOC = """select cast(o_orderkey as string) as transcript_id, concat('Gespräch_', o_orderpriority, ' ', cast(o_custkey as string)) as title, 'de' as language, cast(floor(o_totalprice) as bigint) * 10 as duration_ms,
@@ -22,8 +22,11 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parts(spark, sf_dir)
-    return rows.select(F.col("tid").cast("string").alias("transcript_id"), "segment_id", F.col("seq").cast("int").alias("seq"), "start_ms", "end_ms", "text", "speaker_id", "speaker_label")
+    return _as_stored(parts(spark, sf_dir))
+
+
+def _as_stored(rows: DataFrame, *also: str) -> DataFrame:
+    return rows.select(*also, F.col("tid").cast("string").alias("transcript_id"), "segment_id", F.col("seq").cast("int").alias("seq"), "start_ms", "end_ms", "text", "speaker_id", "speaker_label")
 
 
 def _both(f):
@@ -104,9 +107,10 @@ def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are put together where their segments were made, by timeline."""
     t = transcripts(spark, sf_dir)
     at = store.DocumentStore(spark, scratch_folder(spark, "documents"), buckets(spark, sf_dir))
-    at.put(store.nested(t, segments(spark, sf_dir)))
+    at.put(store.nested(t.withColumn("tid", F.col("transcript_id").cast("bigint")), _as_stored(dealt_parts(spark, sf_dir), "tid"), "tid"))
     at.delete(t.filter("transcript_id like '%7'").select("transcript_id"))
     return at.read("documents").select("transcript_id", "title", F.size("segments").cast("long").alias("n"))
 

@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Callable, Mapping
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -115,6 +115,12 @@ class VersionedTables:
         """``rows`` with their bucket (``__bucket``), of which there are ``count``, each in one partition."""
         return rows.withColumn("__bucket", self._bucket()).repartition(max(1, count), "__bucket")
 
+    def without(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """The rows of ``rows`` whose key isn't in ``keys``, dealt by bucket. Null keys are in none."""
+        gone = keys.select(self.key).filter(F.col(self.key).isNotNull()).withColumn("__key", F.lit(True))
+        dealt = self.dealt(rows.withColumn("__key", F.lit(False)).unionByName(gone, allowMissingColumns=True), len(self.buckets_of(keys)))
+        return dealt.withColumn("__any", F.max("__key").over(Window.partitionBy("__bucket", self.key))).filter("not __any").select(*rows.columns)
+
     def _write(self, table: str, rows: DataFrame, touched: list[int], in_place: bool = False) -> dict[str, list[str]]:
         place = f"data/{uuid.uuid4().hex}"
         own = rows.select(*self.schemas[table].fieldNames()).withColumn("__bucket", self._bucket()).filter(F.col("__bucket").isin(touched))
